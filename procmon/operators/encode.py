@@ -24,6 +24,7 @@ from procmon.spec import LogSpec, col
 # Largest vocabulary kept as literal one-hot columns (wider ones need a sparse encoding).
 MAX_LEVELS = 2_000
 METHODS = {
+    "none": (),
     "static": ("static",),
     "last": ("last",),
     "agg": ("agg",),
