@@ -82,3 +82,25 @@ def exact_quantile(df: DataFrame, name: str, q: float) -> float:
     lo = kth_smallest(df, [name], lo_i + 1)[0]
     hi = lo if hi_i == lo_i else kth_smallest(df, [name], hi_i + 1)[0]
     return lo + (hi - lo) * (pos - lo_i)
+
+
+# Largest group whose values one task may hold for an exact percentile.
+MAX_GROUP_VALUES = 1_000_000
+
+
+def grouped_median(df: DataFrame, by: str, name: str, out: str = "median") -> DataFrame:
+    """Exact interpolated median of ``name`` per ``by`` group.
+
+    Groups up to ``MAX_GROUP_VALUES`` rows use Spark's exact ``percentile`` (it
+    holds a group's values in one task, so their number is checked first);
+    larger groups use distributed selection.  The number of groups must be
+    small (it is looped over only for the large ones)."""
+    counts = df.where(F.col(name).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    big = [r[by] for r in counts.where(F.col("_n") > MAX_GROUP_VALUES).select(by).collect()]
+    small = df.where(~F.col(by).isin(big)) if big else df
+    res = small.groupBy(by).agg(F.percentile(F.col(name), 0.5).alias(out))
+    if big:
+        spark = df.sparkSession
+        rows = [(b, exact_quantile(df.where(F.col(by) == b), name, 0.5)) for b in big]
+        res = res.unionByName(spark.createDataFrame(rows, res.schema))
+    return res
