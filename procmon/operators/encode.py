@@ -191,11 +191,13 @@ def encode(
     max_events: int | None = None,
     keep=(),
     key: str = "prefix_len",
+    strict: bool = True,
 ) -> DataFrame:
     """One row per prefix ``(case, prefix_len)`` with the features of ``method``.
 
     ``keep`` names event columns carried along (e.g. ``remtime``: its value at the
-    last event of the prefix is the prefix's regression label, L10)."""
+    last event of the prefix is the prefix's regression label, L10).  ``strict=False``
+    also encodes the whole trace (running cases, R1)."""
     w = spec.window()
     if max_events is None:
         max_events = max_len or 0
@@ -209,10 +211,10 @@ def encode(
         *[col(k).alias(k) for k in keep],
         *[c.alias(n) for n, c in feats.items()],
     )
-    cond = (F.col(key) >= min_len) & (F.col(key) < F.col("_len"))
+    cond = (F.col(key) >= min_len) & ((F.col(key) < F.col("_len")) if strict else (F.col(key) <= F.col("_len")))
     if max_len is not None:
         cond = cond & (F.col(key) <= max_len)
-    return x.where(cond).drop("_len")
+    return x.where(cond).withColumnRenamed("_len", "_case_len") if not strict else x.where(cond).drop("_len")
 
 
 def select_index(df: DataFrame, spec: LogSpec, vocab: Vocab, max_events: int, id_cols=("case_id", "prefix_len")) -> DataFrame:

@@ -7,7 +7,6 @@ Library code never assumes a particular session: it reads what it needs
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,8 +51,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
+    import uuid
+
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/procmon/{name}-{os.getpid()}-{abs(hash(os.urandom(8))) % 10**9}"
+    return f"{base}/procmon/{name}-{uuid.uuid4().hex}"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
