@@ -104,9 +104,9 @@ def level_counts(df: DataFrame, cols) -> DataFrame:
 
 def _replace_outside(df: DataFrame, name: str, kept: DataFrame, other: str) -> DataFrame:
     """Values of ``name`` not in ``kept.level`` become ``other`` (size-checked broadcast)."""
-    n = kept.count()
-    if n <= MAX_LITERAL_LEVELS:
-        levels = [r[0] for r in kept.collect()]
+    rows = kept.limit(MAX_LITERAL_LEVELS + 1).collect()  # size-checked literal set
+    if len(rows) <= MAX_LITERAL_LEVELS:
+        levels = [r[0] for r in rows]
         return df.withColumn(name, F.when(col(name).cast("string").isin(levels), col(name).cast("string")).otherwise(F.lit(other)))
     k = kept.select(F.col("level").alias("_lvl"), F.lit(True).alias("_kept"))
     out = df.join(k, col(name).cast("string") == F.col("_lvl"), "left")
@@ -141,10 +141,10 @@ def topk_to_other(df: DataFrame, cols, k: int = 10, other: str = "other") -> Dat
 def fit_multi_hot(df: DataFrame, name: str, sep: str = ",", max_levels: int = MAX_LITERAL_LEVELS) -> list[str]:
     """Frozen level list of a separated multi-valued attribute (sorted)."""
     levels = df.select(F.explode(F.split(col(name), sep)).alias("v")).where(F.col("v") != "").distinct()
-    n = levels.count()
-    if n > max_levels:
-        raise ValueError(f"{name}: {n} levels; use a sparse encoding above {max_levels}")
-    return sorted(r[0] for r in levels.collect())
+    rows = levels.limit(max_levels + 1).collect()
+    if len(rows) > max_levels:
+        raise ValueError(f"{name}: more than {max_levels} levels; use a sparse encoding")
+    return sorted(r[0] for r in rows)
 
 
 def multi_hot(df: DataFrame, name: str, levels, sep: str = ",") -> DataFrame:

@@ -81,11 +81,12 @@ def fit_vocab(train: DataFrame, cols, max_levels: int = MAX_LEVELS) -> Vocab:
         return Vocab({})
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast("string").alias("v")) for c in cols]))
     levels = train.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct()
-    n = levels.count()
-    if n > max_levels * len(cols):
-        raise ValueError(f"{n} levels in {cols}: reduce with topk_to_other / rare_to_other first")
+    bound = max_levels * len(cols)
+    rows = levels.limit(bound + 1).collect()  # size-checked
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} levels in {cols}: reduce with topk_to_other / rare_to_other first")
     out: dict[str, list] = {c: [] for c in cols}
-    for r in levels.collect():
+    for r in rows:
         out[r["c"]].append(r["v"])
     return Vocab({c: tuple(sorted(v)) for c, v in out.items()})
 

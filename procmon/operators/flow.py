@@ -62,11 +62,10 @@ def evaluate_formulas(terms: DataFrame, formulas: DataFrame, id_cols=ID, name: s
 
     The distinct formulas (few: one per model state) are compiled once to Spark
     expressions and dispatched with one CASE; their number is checked first."""
-    distinct = formulas.select("formula").distinct()
-    n = distinct.count()
-    if n > MAX_FORMULAS:
-        raise ValueError(f"{n} distinct formulas; at most {MAX_FORMULAS} are compiled into one plan")
-    texts = [r[0] for r in distinct.collect() if r[0] is not None]
+    distinct = formulas.select("formula").distinct().limit(MAX_FORMULAS + 1).collect()
+    if len(distinct) > MAX_FORMULAS:
+        raise ValueError(f"more than {MAX_FORMULAS} distinct formulas; they are compiled into one plan")
+    texts = [r[0] for r in distinct if r[0] is not None]
     known = [c[2:] for c in terms.columns if c.startswith("t_")]
     expr = None
     for t in sorted(texts):
@@ -108,8 +107,10 @@ def _bucketed(p: DataFrame, how: str) -> DataFrame:
 
 
 def prepare(log: DataFrame, spec: LogSpec, cfg: FlowConfig):
-    """Split, encode (one window pass per split) and bucket the prefixes of a log."""
-    log = T.remaining_time(log, spec)
+    """Split, encode (one window pass per split) and bucket the prefixes of a log.
+    The log with its remaining times is persisted: the split, the targets and both
+    encodings read it."""
+    log = T.remaining_time(log, spec).persist()
     train, test = D.temporal_split(log, spec, cfg.ratio)
     keep = ("remtime", spec.activity)
     if cfg.model == "mean":

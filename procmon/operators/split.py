@@ -18,6 +18,7 @@ def case_starts(df: DataFrame, spec: LogSpec) -> DataFrame:
 
 
 def _split_by_key(df: DataFrame, spec: LogSpec, keyed: DataFrame, keys: list[str], ratio: float):
+    keyed = keyed.persist()  # counted, searched and filtered: one row per case
     n = keyed.count()
     k = int(math.ceil(ratio * n))
     if k <= 0:
@@ -25,7 +26,7 @@ def _split_by_key(df: DataFrame, spec: LogSpec, keyed: DataFrame, keys: list[str
     elif k >= n:
         train_cases = keyed
     else:
-        cut = kth_smallest(keyed, keys, k)
+        cut = kth_smallest(keyed, keys, k, n=n)
         cond = None
         for i in range(len(keys) - 1, -1, -1):
             c, v = F.col(keys[i]), F.lit(cut[i])

@@ -123,6 +123,9 @@ def class_ratio(df: DataFrame, label: str) -> DataFrame:
 
 def gateway_exits(targets: DataFrame, gateways) -> DataFrame:
     """Number of distinct defined classes per gateway (one pass, long format)."""
+    gateways = list(gateways)
+    if not gateways:
+        return targets.sparkSession.createDataFrame([], "gateway string, exits bigint")
     pairs = F.explode(F.array(*[F.struct(F.lit(g).alias("gateway"), F.col(g).cast("int").alias("cls")) for g in gateways]))
     long = targets.select(pairs.alias("p")).select("p.gateway", "p.cls")
     return long.groupBy("gateway").agg(F.count_distinct("cls").alias("exits"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procmon.functions.select import exact_quantile, grouped_median
+from procmon.functions.select import grouped_median
 from procmon.operators import flow as FL
 from procmon.plans.fixtures import EL1, EL1_SQL, EL2, EL2_SQL, el1, el2, with_
 from procmon.plans.registry import sql_unit
@@ -18,9 +18,14 @@ METHODS = ("mean", "median", "zero")
 def _details(log: DataFrame, spec, dataset: str) -> DataFrame:
     cfg = FL.FlowConfig(bucket="prefix", max_len=MAX_LEN)
     _, train_p, test_p = FL.prepare(log, spec, cfg)
+    train_p = train_p.select("bucket", "remtime").persist()
     means = train_p.groupBy("bucket").agg(F.avg("remtime").alias("mean"))
     medians = grouped_median(train_p, "bucket", "remtime", "median")
-    overall = {"m": train_p.agg(F.avg("remtime")).first()[0], "md": exact_quantile(train_p, "remtime", 0.5)}
+    whole = train_p.withColumn("bucket", F.lit(0))
+    overall = {
+        "m": whole.agg(F.avg("remtime")).first()[0],
+        "md": grouped_median(whole, "bucket", "remtime", "median").first()["median"],
+    }
     # one row per bucket (prefix length): bounded
     per_bucket = means.join(medians, "bucket")
     x = test_p.join(F.broadcast(per_bucket), "bucket", "left")
