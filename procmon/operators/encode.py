@@ -56,11 +56,18 @@ def fit_states(train: DataFrame, name: str = "bucket") -> DataFrame:
     return train.select(name).distinct()
 
 
+# Most known buckets kept as a literal set.
+MAX_BUCKETS = 10_000
+
+
 def apply_fallback(pred: DataFrame, known: DataFrame, pred_col: str, fallback: Column, name: str = "bucket") -> DataFrame:
-    """Predictions of buckets unseen in training are replaced by ``fallback``."""
-    k = known.select(F.col(name).alias("_kb"), F.lit(True).alias("_known"))
-    out = pred.join(F.broadcast(k), pred[name] == F.col("_kb"), "left")  # known buckets: one row per bucket
-    return out.withColumn(pred_col, F.when(F.col("_known"), F.col(pred_col)).otherwise(fallback)).drop("_kb", "_known")
+    """Predictions of buckets unseen in training are replaced by ``fallback``.  The known
+    buckets (one row per bucket, size-checked) become a literal set."""
+    rows = known.limit(MAX_BUCKETS + 1).collect()
+    if len(rows) > MAX_BUCKETS:
+        raise ValueError(f"more than {MAX_BUCKETS} buckets")
+    ks = [r[0] for r in rows]
+    return pred.withColumn(pred_col, F.when(F.col(name).isin(ks), F.col(pred_col)).otherwise(fallback))
 
 
 # -- vocabulary ---------------------------------------------------------------

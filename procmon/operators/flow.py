@@ -102,6 +102,26 @@ class FlowConfig:
     method_name: str = "FA"
 
 
+# Most buckets whose per-bucket values are applied as literal lookups.
+MAX_BUCKETS = 10_000
+
+
+def bucket_lookup(table: DataFrame, key: str, cols, fallback: dict | None = None) -> dict:
+    """Columns that look up per-bucket values of ``table`` (one row per bucket, at most
+    ``MAX_BUCKETS``: collected and applied as literal maps, no join); unknown buckets get
+    ``fallback``."""
+    rows = table.limit(MAX_BUCKETS + 1).collect()
+    if len(rows) > MAX_BUCKETS:
+        raise ValueError(f"more than {MAX_BUCKETS} buckets")
+    out = {}
+    for c in cols:
+        pairs = [x for r in rows if r[c] is not None for x in (F.lit(r[key]), F.lit(float(r[c])))]
+        look = F.element_at(F.create_map(*pairs), F.col(key)) if pairs else F.lit(None).cast("double")
+        fb = (fallback or {}).get(c)
+        out[c] = F.coalesce(look, F.lit(fb).cast("double")) if fb is not None else look.cast("double")
+    return out
+
+
 def _bucketed(p: DataFrame, how: str) -> DataFrame:
     return E.bucket_zero(p) if how == "zero" else E.bucket_prefix(p)
 
@@ -134,9 +154,7 @@ def predict_labels(train_p: DataFrame, test_p: DataFrame, targets: DataFrame, rs
         fb = M.mean_predictor(targets.withColumn("bucket", F.lit(1)), rs.activities, {g: exits[g] for g in rs.gateways}).first()
         fill = {f"pred_{a}": fb[a] for a in rs.activities}
         fill.update({f"p_{g}_{c}": fb[f"p_{g}_{c}"] for g in rs.gateways for c in range(exits[g])})
-        # the mean table has one row per bucket: a bounded broadcast
-        pred = test_p.select(*ID, "bucket").join(F.broadcast(mt), "bucket", "left")
-        pred = pred.withColumns({k: F.coalesce(F.col(k), F.lit(v).cast("double")) for k, v in fill.items()})
+        pred = test_p.select(*ID, "bucket").withColumns(bucket_lookup(mt, "bucket", cols, fill))
         for a in rs.activities:
             pred = M.clip_negative(pred, f"pred_{a}")
         return [pred.drop("bucket")]
@@ -172,7 +190,7 @@ def predict_direct(log: DataFrame, spec: LogSpec, cfg: FlowConfig) -> DataFrame:
     if cfg.model == "mean":
         mt = train_p.groupBy("bucket").agg(F.avg("remtime").alias("predicted"))
         overall = train_p.agg(F.avg("remtime")).first()[0]
-        pred = test_p.join(F.broadcast(mt), "bucket", "left").withColumn("predicted", F.coalesce("predicted", F.lit(overall)))
+        pred = test_p.withColumns(bucket_lookup(mt, "bucket", ["predicted"], {"predicted": overall}))
     else:
         feats = E.feature_names(train_p)
         lm = M.fit_buckets(train_p, "remtime", "regr", feats, cfg.model, cfg.params, cfg.min_cases)

@@ -176,15 +176,13 @@ def log_quality(df: DataFrame, spec: LogSpec, name: str, cutoffs=(5, 20), since_
         *[F.max(F.when(F.col("_nr") == c, F.lit(1))).alias(f"_r{c}") for c in cutoffs],
         *[F.max(F.when((F.col("_nr") == c) & (F.col(since_start) == 0), F.lit(1))).alias(f"_z{c}") for c in cutoffs],
     )
-    ts_share = df.agg((F.count_distinct(col(spec.ts)) / F.count(col(spec.ts))).alias("avg_unique_timestamp_global"))
+    share = df.agg((F.count_distinct(col(spec.ts)) / F.count(col(spec.ts))).alias("s")).first()["s"]
     out = per_case.agg(
         F.avg("_utr").alias("avg_unique_timestamp_per_trace"),
         *[F.count(F.col(f"_r{c}")).alias(f"cases_longer_{c}") for c in cutoffs],
         *[F.count(F.col(f"_z{c}")).alias(f"timestamp_0_after_{c}") for c in cutoffs],
     )
-    # both sides are single-row aggregates, joined on a constant key
-    one = F.lit(1).alias("_k")
-    return out.select("*", one).join(ts_share.select("*", one), "_k").drop("_k").select(F.lit(name).alias("log"), "*")
+    return out.select(F.lit(name).alias("log"), "*", F.lit(share).cast("double").alias("avg_unique_timestamp_global"))
 
 
 def log_statistics(df: DataFrame, spec: LogSpec, name: str) -> DataFrame:
@@ -203,9 +201,8 @@ def log_statistics(df: DataFrame, spec: LogSpec, name: str) -> DataFrame:
         F.max("n").alias("max_events_per_case"),
         (F.sum("us").cast("double") / F.count(F.lit(1)) / F.lit(DAY * 1e6)).alias("mean_case_duration_days"),
     )
-    acts = df.agg(F.count_distinct(col(spec.activity)).alias("nr_activities"))
-    one = F.lit(1).alias("_k")
-    return stats.select("*", one).join(acts.select("*", one), "_k").select(
+    n_acts = df.agg(F.count_distinct(col(spec.activity))).first()[0]
+    return stats.withColumn("nr_activities", F.lit(n_acts).cast("long")).select(
         F.lit(name).alias("log"), "nr_cases", "nr_activities", "nr_events", "mean_events_per_case", "max_events_per_case",
         F.lit(median).cast("double").alias("median_case_duration_days"), "mean_case_duration_days",
     )
