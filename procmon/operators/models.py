@@ -109,10 +109,11 @@ def pad_classes(df: DataFrame, label: str, exits: int, prob_col: str = "probabil
 
 @dataclass
 class BucketModel:
-    kind: str  # "model" | "mean" | "onehot"
+    kind: str  # "model" | "ovr" | "mean" | "onehot"
     model: PipelineModel | None = None
     value: float | None = None
     probs: list | None = None
+    per_class: list | None = None  # "ovr": one binary pipeline per class (None: class unseen)
 
 
 @dataclass
@@ -167,6 +168,17 @@ def fit_buckets(
                     out.buckets[b] = BucketModel("mean", value=r["mean"])
                 else:
                     out.buckets[b] = BucketModel("mean", probs=[r[f"c{c}"] / r["n"] for c in range(exits)])
+            elif mode == "class" and name in ("gbt", "xgb") and exits > 2:
+                # MLlib boosting is binary: one model per exit (one-vs-rest), normalised at prediction
+                sub = data.where(F.col(by) == b)
+                per_class = []
+                for c in range(exits):
+                    if r[f"c{c}"] == 0:
+                        per_class.append(None)
+                        continue
+                    pipe = Pipeline(stages=[_assembler(features), model(name, mode, params, seed)])
+                    per_class.append(pipe.fit(sub.withColumn("label", (F.col("label") == c).cast("double"))))
+                out.buckets[b] = BucketModel("ovr", per_class=per_class)
             else:
                 est = model(name, mode, params, seed)
                 pipe = Pipeline(stages=[_assembler(features), est])
@@ -189,7 +201,20 @@ def predict_buckets(prefixes: DataFrame, lm: LabelModels, id_cols=("case_id", "p
     known = list(lm.buckets)
     for b, bm in lm.buckets.items():
         sub = prefixes.where(F.col(by) == b)
-        if bm.kind == "model":
+        if bm.kind == "ovr":
+            scored = sub.select(*id_cols, *[c for c in lm.features])
+            raw = []
+            for c, pm in enumerate(bm.per_class):
+                if pm is None:
+                    scored = scored.withColumn(f"_s{c}", F.lit(0.0))
+                else:
+                    t = pm.transform(scored).withColumn(f"_s{c}", vector_to_array("probability")[1])
+                    scored = t.drop("features", "rawPrediction", "probability", "prediction")
+                raw.append(F.col(f"_s{c}"))
+            total = sum(raw, F.lit(0.0))
+            cols = {f"p_{lm.label}_{c}": F.when(total > 0, raw[c] / total).otherwise(F.lit(1.0 / lm.exits)) for c in range(lm.exits)}
+            parts.append(scored.withColumns(cols).select(*id_cols, *cols))
+        elif bm.kind == "model":
             pred = bm.model.transform(sub)
             if lm.mode == "regr":
                 pred = pred.withColumn(f"pred_{lm.label}", F.col("prediction"))
@@ -248,6 +273,11 @@ def save_models(lm: LabelModels, path: str) -> None:
         entry = {"kind": bm.kind, "value": bm.value, "probs": bm.probs}
         if bm.kind == "model":
             bm.model.write().overwrite().save(f"{path}/bucket={b}")
+        if bm.kind == "ovr":
+            entry["classes"] = [pm is not None for pm in bm.per_class]
+            for c, pm in enumerate(bm.per_class):
+                if pm is not None:
+                    pm.write().overwrite().save(f"{path}/bucket={b}/class={c}")
         meta["buckets"][str(b)] = entry
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -266,6 +296,8 @@ def load_models(path: str) -> LabelModels:
         bm = BucketModel(e["kind"], value=e["value"], probs=e["probs"])
         if bm.kind == "model":
             bm.model = PipelineModel.load(f"{path}/bucket={b}")
+        if bm.kind == "ovr":
+            bm.per_class = [PipelineModel.load(f"{path}/bucket={b}/class={c}") if ok else None for c, ok in enumerate(e["classes"])]
         lm.buckets[int(b)] = bm
     return lm
 

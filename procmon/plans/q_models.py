@@ -66,6 +66,12 @@ def m2b(spark, d):
     return _class_pred(spark, d, "x1", 2, "gbt")
 
 
+@register("m2c_gradient_boosting_multiclass")
+def m2c(spark, d):
+    # x2 has four exits: one binary boosted model per exit, normalised
+    return _class_pred(spark, d, "x2", 4, "gbt", {**SMALL, "n_estimators": 10})
+
+
 @register("m3_decision_tree")
 def m3(spark, d):
     return _direct(spark, d, "dt")
