@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procmon.functions import bounded_collect
 from procmon.functions.time import in_unit, micros_between
 from procmon.spec import LogSpec, col
 
@@ -104,8 +105,8 @@ def level_counts(df: DataFrame, cols) -> DataFrame:
 
 def _replace_outside(df: DataFrame, name: str, kept: DataFrame, other: str) -> DataFrame:
     """Values of ``name`` not in ``kept.level`` become ``other`` (size-checked broadcast)."""
-    rows = kept.limit(MAX_LITERAL_LEVELS + 1).collect()  # size-checked literal set
-    if len(rows) <= MAX_LITERAL_LEVELS:
+    rows = bounded_collect(kept, MAX_LITERAL_LEVELS)  # size-checked literal set
+    if rows is not None:
         levels = [r[0] for r in rows]
         return df.withColumn(name, F.when(col(name).cast("string").isin(levels), col(name).cast("string")).otherwise(F.lit(other)))
     k = kept.select(F.col("level").alias("_lvl"), F.lit(True).alias("_kept"))
@@ -114,10 +115,12 @@ def _replace_outside(df: DataFrame, name: str, kept: DataFrame, other: str) -> D
 
 
 def rare_to_other(df: DataFrame, cols, min_count: int = 10, other: str = "other") -> DataFrame:
-    """Levels with fewer than ``min_count`` events become ``other``."""
+    """Levels with fewer than ``min_count`` events become ``other``.  The input is read
+    twice (counts, then replacement), so it is persisted."""
     cols = list(cols)
     if not cols:
         return df
+    df = df.persist()
     counts = level_counts(df, cols).where(F.col("count") >= min_count).cache()
     for c in cols:
         df = _replace_outside(df, c, counts.where(F.col("column") == c).select("level"), other)
@@ -131,6 +134,7 @@ def topk_to_other(df: DataFrame, cols, k: int = 10, other: str = "other") -> Dat
     cols = list(cols)
     if not cols:
         return df
+    df = df.persist()  # read twice: counts, then replacement
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("level").asc_nulls_last())
     top = level_counts(df, cols).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).cache()
     for c in cols:
@@ -141,8 +145,8 @@ def topk_to_other(df: DataFrame, cols, k: int = 10, other: str = "other") -> Dat
 def fit_multi_hot(df: DataFrame, name: str, sep: str = ",", max_levels: int = MAX_LITERAL_LEVELS) -> list[str]:
     """Frozen level list of a separated multi-valued attribute (sorted)."""
     levels = df.select(F.explode(F.split(col(name), sep)).alias("v")).where(F.col("v") != "").distinct()
-    rows = levels.limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
+    rows = bounded_collect(levels, max_levels)
+    if rows is None:
         raise ValueError(f"{name}: more than {max_levels} levels; use a sparse encoding")
     return sorted(r[0] for r in rows)
 

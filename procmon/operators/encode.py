@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procmon.functions import bounded_collect
 from procmon.spec import LogSpec, col
 
 # Largest vocabulary kept as literal one-hot columns (wider ones need a sparse encoding).
@@ -63,8 +64,8 @@ MAX_BUCKETS = 10_000
 def apply_fallback(pred: DataFrame, known: DataFrame, pred_col: str, fallback: Column, name: str = "bucket") -> DataFrame:
     """Predictions of buckets unseen in training are replaced by ``fallback``.  The known
     buckets (one row per bucket, size-checked) become a literal set."""
-    rows = known.limit(MAX_BUCKETS + 1).collect()
-    if len(rows) > MAX_BUCKETS:
+    rows = bounded_collect(known, MAX_BUCKETS)
+    if rows is None:
         raise ValueError(f"more than {MAX_BUCKETS} buckets")
     ks = [r[0] for r in rows]
     return pred.withColumn(pred_col, F.when(F.col(name).isin(ks), F.col(pred_col)).otherwise(fallback))
@@ -89,8 +90,8 @@ def fit_vocab(train: DataFrame, cols, max_levels: int = MAX_LEVELS) -> Vocab:
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast("string").alias("v")) for c in cols]))
     levels = train.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct()
     bound = max_levels * len(cols)
-    rows = levels.limit(bound + 1).collect()  # size-checked
-    if len(rows) > bound:
+    rows = bounded_collect(levels, bound)  # size-checked
+    if rows is None:
         raise ValueError(f"more than {bound} levels in {cols}: reduce with topk_to_other / rare_to_other first")
     out: dict[str, list] = {c: [] for c in cols}
     for r in rows:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procmon.functions import bounded_collect
 from procmon.functions.formula import compile_formula, term_column
 from procmon.functions.rules import RuleSet
 from procmon.operators import encode as E
@@ -62,8 +63,8 @@ def evaluate_formulas(terms: DataFrame, formulas: DataFrame, id_cols=ID, name: s
 
     The distinct formulas (few: one per model state) are compiled once to Spark
     expressions and dispatched with one CASE; their number is checked first."""
-    distinct = formulas.select("formula").distinct().limit(MAX_FORMULAS + 1).collect()
-    if len(distinct) > MAX_FORMULAS:
+    distinct = bounded_collect(formulas.select("formula").distinct(), MAX_FORMULAS)
+    if distinct is None:
         raise ValueError(f"more than {MAX_FORMULAS} distinct formulas; they are compiled into one plan")
     texts = [r[0] for r in distinct if r[0] is not None]
     known = [c[2:] for c in terms.columns if c.startswith("t_")]
@@ -110,8 +111,8 @@ def bucket_lookup(table: DataFrame, key: str, cols, fallback: dict | None = None
     """Columns that look up per-bucket values of ``table`` (one row per bucket, at most
     ``MAX_BUCKETS``: collected and applied as literal maps, no join); unknown buckets get
     ``fallback``."""
-    rows = table.limit(MAX_BUCKETS + 1).collect()
-    if len(rows) > MAX_BUCKETS:
+    rows = bounded_collect(table, MAX_BUCKETS)
+    if rows is None:
         raise ValueError(f"more than {MAX_BUCKETS} buckets")
     out = {}
     for c in cols:
