@@ -69,14 +69,16 @@ def ordered_running_sum(
         target = max(1, 2 * total // nb)
         hot = {r["_b"]: r for r in stats if r["n"] > target and r["lo0"] == r["hi0"]}
         if hot:
+            # sub-ranges are computed in double precision: monotone in the key (so the order
+            # inside a range stays exact) and free of 64-bit overflow for hash-like keys
             parts = {bb: int(math.ceil(r["n"] / target)) for bb, r in hot.items()}
             nsub = F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("_b"))
-            lo1 = F.element_at(F.create_map(*[F.lit(x) for bb, r in hot.items() for x in (bb, r["lo1"])]), F.col("_b"))
-            span = F.element_at(F.create_map(*[F.lit(x) for bb, r in hot.items() for x in (bb, r["hi1"] - r["lo1"] + 1)]), F.col("_b"))
-            sub = F.when(
-                F.col("_b").isin(list(hot)),
-                F.floor((F.col(k1) - lo1).cast("double") * nsub / span).cast("int"),
-            ).otherwise(F.lit(0))
+            lo1 = F.element_at(F.create_map(*[F.lit(x) for bb, r in hot.items() for x in (bb, float(r["lo1"]))]), F.col("_b"))
+            span = F.element_at(
+                F.create_map(*[F.lit(x) for bb, r in hot.items() for x in (bb, float(r["hi1"]) - float(r["lo1"]) + 1.0)]), F.col("_b")
+            )
+            pos = F.floor((F.col(k1).cast("double") - lo1) * nsub / span).cast("int")
+            sub = F.when(F.col("_b").isin(list(hot)), F.least(F.greatest(pos, F.lit(0)), nsub - 1)).otherwise(F.lit(0))
     b = b.withColumn("_s", sub)
 
     totals = b.groupBy("_b", "_s").agg(F.sum(value).cast("long").alias("_t"))

@@ -62,15 +62,38 @@ def three_way_split(df: DataFrame, spec: LogSpec, r1: float = 0.8, r2: float = 0
 
 
 def kfold(df: DataFrame, spec: LogSpec, k: int = 5, label: str | None = None, seed: int = 22) -> DataFrame:
-    """Fold number per event, assigned per case.
-
-    Without ``label``: fold = hash(case, seed) mod k.  With ``label`` (stratified):
-    the hash is combined with the class so each class spreads evenly over the
-    folds in expectation.  Fold ``i``'s test part is ``fold == i``."""
-    h = F.xxhash64(col(spec.case), F.lit(seed))
-    if label is not None:
-        h = F.xxhash64(col(spec.case), F.lit(seed), col(label).cast("string"))
-    return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
+    """Fold number per event, assigned per case (shuffled k-fold, or stratified by the
+    case's ``label``).
+
+    Cases are ordered by a seeded hash (inside their class when stratified) and
+    cut into ``k`` contiguous blocks of sizes ``n // k`` or ``n // k + 1``, the
+    first ``n % k`` blocks being the larger ones.  The rank of a case comes from
+    a global running count (functions/prefix.py), so no class is ranked by a
+    single task.  Fold ``i``'s test part is ``fold == i``."""
+    from procmon.functions.prefix import ordered_running_sum
+
+    if label is None:
+        cases = df.select(col(spec.case).alias(spec.case)).distinct().withColumn("_c", F.lit(0).cast("long"))
+    else:
+        cases = df.groupBy(col(spec.case).alias(spec.case)).agg(F.first(col(label), ignorenulls=True).cast("string").alias("_cls"))
+        # a label has a handful of classes
+        values = sorted(r[0] for r in cases.select("_cls").distinct().collect() if r[0] is not None)
+        index = F.create_map(*[F.lit(x) for i, v in enumerate(values) for x in (v, i)]) if values else None
+        cid = F.element_at(index, F.col("_cls")) if index is not None else F.lit(None)
+        cases = cases.withColumn("_c", F.coalesce(cid, F.lit(len(values))).cast("long"))
+    keyed = cases.select(spec.case, "_c", F.xxhash64(col(spec.case), F.lit(seed)).alias("_h"), F.lit(1).alias("_one"))
+    ranked = ordered_running_sum(keyed, ["_c", "_h"], "_one", "_r", inclusive=True)
+    sizes = {r["_c"]: r["n"] for r in keyed.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, acc = {}, 0
+    for c in sorted(sizes):
+        before[c], acc = acc, acc + sizes[c]
+    lit_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    n = F.element_at(lit_map(sizes), F.col("_c"))
+    r = F.col("_r") - F.element_at(lit_map(before), F.col("_c")) - 1  # 0-based rank inside the class
+    q, m = F.floor(n / k), n % k
+    fold = F.when(r < (q + 1) * m, F.floor(r / (q + 1))).otherwise(m + F.floor((r - (q + 1) * m) / q))
+    folds = ranked.select(spec.case, fold.cast("int").alias("fold"))
+    return df.join(folds, on=spec.case, how="inner")
 
 
 def prefix_log(df: DataFrame, spec: LogSpec, min_len: int = 1, max_len: int | None = None, key: str = "prefix_len") -> DataFrame:

@@ -117,3 +117,19 @@ def test_running_encoders_equal_exploded_groupby(spark):
             assert x[f"agg__activity_{lv}"] == r[f"agg__activity_{lv}"]
         for lv in vocab["segment_n"]:
             assert x[f"static__segment_n_{lv}"] == (1.0 if r.first_seg == lv else 0.0)
+
+
+def test_kfold_exact_sizes(spark):
+    from procmon.operators import targets as L
+    from procmon.plans.rulesets import EL1_RULES
+
+    df = el1(spark, SF_SMALL)
+    f = D.kfold(df, EL1, k=5, seed=3).select("case_id", "fold").distinct().collect()
+    sizes = sorted(sum(1 for r in f if r.fold == i) for i in range(5))
+    n = len(f)
+    assert sum(sizes) == n and sizes[-1] - sizes[0] <= 1
+    tg = L.build_targets(df, EL1, EL1_RULES).select("case_id", "x2")
+    sf = D.kfold(df.join(tg, "case_id"), EL1, k=3, label="x2", seed=3).select("case_id", "x2", "fold").distinct().collect()
+    for c in {r.x2 for r in sf}:
+        per = [sum(1 for r in sf if r.x2 == c and r.fold == i) for i in range(3)]
+        assert max(per) - min(per) <= 1, (c, per)
