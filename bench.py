@@ -36,7 +36,7 @@ def main() -> None:
     from procmon.plans import registry
     from procmon.session import local_session
 
-    spark = local_session(cores=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")), app="procmon-bench")
+    spark = local_session(cores=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", os.environ.get("BENCH_CPUS", "8"))), app="procmon-bench")
     registry.load_all()
     keys = [k for k in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if k]
     # warm-up: JVM, parquet footers and Python workers
