@@ -21,6 +21,7 @@ from procmon.operators import features as T
 from procmon.operators import models as M
 from procmon.operators import split as D
 from procmon.operators import targets as L
+from procmon.session import checkpoint_dir
 from procmon.spec import LogSpec, col
 
 # Most distinct formulas compiled into one CASE expression.
@@ -160,7 +161,9 @@ def predict_labels(train_p: DataFrame, test_p: DataFrame, targets: DataFrame, rs
             pred = M.clip_negative(pred, f"pred_{a}")
         return [pred.drop("bucket")]
     feats = E.feature_names(train_p)
-    tr = tr.persist()
+    # one model per label and bucket reads this table: checkpoint it to the shared folder
+    checkpoint_dir(tr.sparkSession)
+    tr = tr.checkpoint(eager=True)
     out = []
     for a in rs.activities:
         lm = M.fit_buckets(tr, a, "regr", feats, cfg.model, cfg.params, cfg.min_cases)
