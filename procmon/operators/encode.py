@@ -201,12 +201,19 @@ def encode(
     keep=(),
     key: str = "prefix_len",
     strict: bool = True,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """One row per prefix ``(case, prefix_len)`` with the features of ``method``.
 
     ``keep`` names event columns carried along (e.g. ``remtime``: its value at the
     last event of the prefix is the prefix's regression label, L10).  ``strict=False``
-    also encodes the whole trace (running cases, R1)."""
+    also encodes the whole trace (running cases, R1).  ``hot`` (from
+    ``segmented.hot_cases``) lists cases too large for one window task; they are
+    encoded in segments with the same result."""
+    if hot is not None:
+        from procmon.operators.segmented import encode_segmented
+
+        return encode_segmented(df, spec, vocab, method, min_len, max_len, max_events, keep, key, strict, hot=hot)
     w = spec.window()
     if max_events is None:
         max_events = max_len or 0

@@ -102,6 +102,7 @@ class FlowConfig:
     min_cases: int = 30
     k0: int = 1
     method_name: str = "FA"
+    hot_case_rows: int | None = 5_000_000  # cases above this size are encoded in segments
 
 
 # Most buckets whose per-bucket values are applied as literal lookups.
@@ -133,14 +134,19 @@ def prepare(log: DataFrame, spec: LogSpec, cfg: FlowConfig):
     The log with its remaining times is persisted: the split, the targets and both
     encodings read it."""
     log = T.remaining_time(log, spec).persist()
+    hot = None
+    if cfg.hot_case_rows is not None:
+        from procmon.operators.segmented import hot_cases
+
+        hot = hot_cases(log, spec, cfg.hot_case_rows)
     train, test = D.temporal_split(log, spec, cfg.ratio)
     keep = ("remtime", spec.activity)
     if cfg.model == "mean":
         vocab, method = E.Vocab({}), "none"
     else:
         vocab, method = E.fit_vocab(train, spec.cat_cols), cfg.encoding
-    train_p = _bucketed(E.encode(train, spec, vocab, method, cfg.min_len, cfg.max_len, keep=keep), cfg.bucket)
-    test_p = _bucketed(E.encode(test, spec, vocab, method, cfg.min_len, cfg.max_len, keep=keep), cfg.bucket)
+    train_p = _bucketed(E.encode(train, spec, vocab, method, cfg.min_len, cfg.max_len, keep=keep, hot=hot), cfg.bucket)
+    test_p = _bucketed(E.encode(test, spec, vocab, method, cfg.min_len, cfg.max_len, keep=keep, hot=hot), cfg.bucket)
     return log, train_p, test_p
 
 

@@ -195,3 +195,13 @@ def b4(spark, d):
     fallback = F.lit(overall.first()["_m"])
     out = E.apply_fallback(pred, known, "pred", fallback)
     return out.select("case_id", "prefix_len", "bucket", F.round("pred", 3).alias("pred"))
+
+
+@register("e10d_encode_combined_segmented", encode_sql("combined", 2, 5))
+def e10d(spark, d):
+    """E10 with every case above 3 events split into time segments (the hot-case path)."""
+    from procmon.operators.segmented import encode_segmented
+
+    out = encode_segmented(el1(spark, d, nulls=True), ENC, _vocab(spark, d), "combined", 2, 5, max_rows=3)
+    rounded = {c: F.round(c, 6) for c in out.columns if any(c.startswith(f"agg__{r}_") for r in ROUNDED)}
+    return out.withColumns(rounded)

@@ -133,3 +133,37 @@ def test_kfold_exact_sizes(spark):
     for c in {r.x2 for r in sf}:
         per = [sum(1 for r in sf if r.x2 == c and r.fold == i) for i in range(3)]
         assert max(per) - min(per) <= 1, (c, per)
+
+
+def test_segmented_encoder_equals_window_encoder(spark):
+    from procmon.operators.segmented import encode_segmented
+
+    df = el1(spark, SF_SMALL, nulls=True).withColumn("user_case", F.col("user_case"))
+    spec = EL1N.with_(case="user_case", dynamic_cat=("activity",), static_cat=("segment_n",))
+    vocab = E.fit_vocab(df, spec.cat_cols)
+    for method, mx in (("combined", None), ("indexbased", 4), ("previous", None), ("bool", None)):
+        a = {(r.user_case, r.prefix_len): r.asDict() for r in E.encode(df, spec, vocab, method, 1, 12, max_events=mx).collect()}
+        b = {(r.user_case, r.prefix_len): r.asDict() for r in encode_segmented(df, spec, vocab, method, 1, 12, max_events=mx, max_rows=2).collect()}
+        assert a.keys() == b.keys() and len(a) > 0, method
+        for k, ra in a.items():
+            rb = b[k]
+            assert ra.keys() == rb.keys()
+            for c, v in ra.items():
+                if isinstance(v, float):
+                    assert abs(v - rb[c]) <= 1e-6 * max(1.0, abs(v)), (method, k, c, v, rb[c])
+                else:
+                    assert v == rb[c], (method, k, c)
+
+
+def test_flow_with_hot_cases_equals_plain(spark):
+    from procmon.operators import flow as FL
+    from procmon.plans.formulas import el1_formulas
+    from procmon.plans.rulesets import EL1_RULES
+
+    df = el1(spark, SF_SMALL)
+    spec = EL1.with_(dynamic_cat=("activity",))
+    plain = FL.predict_flow(df, spec, EL1_RULES, el1_formulas, FL.FlowConfig(hot_case_rows=None))
+    split = FL.predict_flow(df, spec, EL1_RULES, el1_formulas, FL.FlowConfig(hot_case_rows=3))
+    a = sorted((r.case_id, r.nr_events, round(r.predicted, 6), r.actual) for r in plain.collect())
+    b = sorted((r.case_id, r.nr_events, round(r.predicted, 6), r.actual) for r in split.collect())
+    assert a == b and len(a) > 0
