@@ -82,8 +82,14 @@ def filter_min_length(df: DataFrame, spec: LogSpec, k: int) -> DataFrame:
     return _by_case(df, spec, long_cases, True)
 
 
-def ffill(df: DataFrame, spec: LogSpec, cols) -> DataFrame:
-    """P10: forward fill inside the case, column by column."""
+def ffill(df: DataFrame, spec: LogSpec, cols, hot=None) -> DataFrame:
+    """P10: forward fill inside the case, column by column (segment-wise for ``hot`` cases)."""
+    if hot is not None:
+        from procmon.operators.segmented import case_context
+
+        cols = list(cols)
+        x = case_context(df, spec, hot, ffill=cols)
+        return x.withColumns({c: F.col(f"_ffill_{c}") for c in cols}).drop("_pos", "_len", *[f"_ffill_{c}" for c in cols])
     w = spec.running()
     return df.withColumns({c: F.last(col(c), ignorenulls=True).over(w) for c in cols})
 
@@ -209,6 +215,7 @@ class CleanConfig:
     topk: int = 10
     min_length_last: bool = False  # notebook variant: P9 after the features
     extra: tuple = field(default=())
+    hot_case_rows: int | None = 5_000_000  # cases above this size are processed in segments
 
 
 def clean_log(df: DataFrame, spec: LogSpec, cfg: CleanConfig) -> DataFrame:
@@ -231,14 +238,20 @@ def clean_log(df: DataFrame, spec: LogSpec, cfg: CleanConfig) -> DataFrame:
     if cfg.min_length is not None and not cfg.min_length_last:
         df = filter_min_length(df, spec, cfg.min_length)
     df = project(df, spec, cfg.extra)
+    hot = None
+    if cfg.hot_case_rows is not None and (cfg.features_unit or cfg.ffill):
+        from procmon.operators.segmented import hot_cases
+
+        df = df.persist()  # counted per case, then transformed
+        hot = hot_cases(df, spec, cfg.hot_case_rows)
     if cfg.normalise:
         df = normalise_activity(df, spec)
     if cfg.features_unit:
-        df = T.standard_features(df, spec, cfg.features_unit)
+        df = T.standard_features(df, spec, cfg.features_unit, hot=hot)
     if cfg.open_cases:
         df = open_cases(df, spec)
     if cfg.ffill:
-        df = ffill(df, spec, [c for c in (*spec.cat_cols, *spec.num_cols) if c != spec.activity])
+        df = ffill(df, spec, [c for c in (*spec.cat_cols, *spec.num_cols) if c != spec.activity], hot=hot)
     if cfg.impute:
         df = impute(df, spec)
     if cfg.rare_cols:

@@ -26,8 +26,14 @@ def time_since_start(df: DataFrame, spec: LogSpec, unit: str = "m", name: str =
     return df.withColumn(name, in_unit(micros_between(start, col(spec.ts)), unit))
 
 
-def remaining_time(df: DataFrame, spec: LogSpec, unit: str = "s", name: str = "remtime") -> DataFrame:
-    """Time from the event to the last event of its case (seconds by default)."""
+def remaining_time(df: DataFrame, spec: LogSpec, unit: str = "s", name: str = "remtime", hot=None) -> DataFrame:
+    """Time from the event to the last event of its case (seconds by default).
+    ``hot`` (``segmented.hot_cases``): the case end comes from per-segment maxima."""
+    if hot is not None:
+        from procmon.operators.segmented import case_context
+
+        x = case_context(df, spec, hot, case_max=(spec.ts,))
+        return x.withColumn(name, in_unit(micros_between(col(spec.ts), F.col(f"_max_{spec.ts}")), unit)).drop("_pos", "_len", f"_max_{spec.ts}")
     end = F.max(col(spec.ts)).over(spec.whole_case())
     return df.withColumn(name, in_unit(micros_between(col(spec.ts), end), unit))
 
@@ -64,8 +70,25 @@ def activity_duration(df: DataFrame, start: str, end: str, unit: str = "m", name
     return df.withColumn(name, in_unit(F.coalesce(micros_between(col(start), col(end)), F.lit(0)), unit))
 
 
-def standard_features(df: DataFrame, spec: LogSpec, unit: str = "m") -> DataFrame:
-    """T1, T2, T3, T5, T6, T7 in one pass (one exchange, one sort)."""
+def standard_features(df: DataFrame, spec: LogSpec, unit: str = "m", hot=None) -> DataFrame:
+    """T1, T2, T3, T5, T6, T7 in one pass (one exchange, one sort).  With ``hot``
+    (``segmented.hot_cases``) large cases are processed in segments."""
+    if hot is not None:
+        from procmon.operators.segmented import case_context
+
+        ts = col(spec.ts)
+        x = case_context(df, spec, hot, lag=(spec.ts,), first=(spec.ts,), case_max=(spec.ts,))
+        x = x.withColumns(
+            {
+                "timesincelastevent": in_unit(F.coalesce(micros_between(F.col(f"_lag_{spec.ts}"), ts), F.lit(0)), unit),
+                "timesincecasestart": in_unit(micros_between(F.col(f"_first_{spec.ts}"), ts), unit),
+                "remtime": in_unit(micros_between(ts, F.col(f"_max_{spec.ts}")), "s"),
+                "event_nr": F.col("_pos").cast("int"),
+                "case_length": F.col("_len"),
+            }
+        )
+        x = x.drop("_pos", "_len", f"_lag_{spec.ts}", f"_first_{spec.ts}", f"_max_{spec.ts}")
+        return calendar(x, spec)
     df = time_since_last(df, spec, unit)
     df = time_since_start(df, spec, unit)
     df = remaining_time(df, spec)

@@ -125,6 +125,15 @@ def bucket_lookup(table: DataFrame, key: str, cols, fallback: dict | None = None
     return out
 
 
+def _hot(log: DataFrame, spec: LogSpec, cfg: "FlowConfig"):
+    """Cases of ``log`` too large for one window task (None if there are none)."""
+    if cfg.hot_case_rows is None:
+        return None
+    from procmon.operators.segmented import hot_cases
+
+    return hot_cases(log, spec, cfg.hot_case_rows)
+
+
 def _bucketed(p: DataFrame, how: str) -> DataFrame:
     return E.bucket_zero(p) if how == "zero" else E.bucket_prefix(p)
 
@@ -133,12 +142,8 @@ def prepare(log: DataFrame, spec: LogSpec, cfg: FlowConfig):
     """Split, encode (one window pass per split) and bucket the prefixes of a log.
     The log with its remaining times is persisted: the split, the targets and both
     encodings read it."""
-    log = T.remaining_time(log, spec).persist()
-    hot = None
-    if cfg.hot_case_rows is not None:
-        from procmon.operators.segmented import hot_cases
-
-        hot = hot_cases(log, spec, cfg.hot_case_rows)
+    hot = _hot(log, spec, cfg)
+    log = T.remaining_time(log, spec, hot=hot).persist()
     train, test = D.temporal_split(log, spec, cfg.ratio)
     keep = ("remtime", spec.activity)
     if cfg.model == "mean":
@@ -185,7 +190,7 @@ def predict_flow(log: DataFrame, spec: LogSpec, rs: RuleSet, formulas_of, cfg: F
 
     ``formulas_of(test_prefixes)`` gives ``(case_id, prefix_len, formula)``."""
     log, train_p, test_p = prepare(log, spec, cfg)
-    targets = L.build_targets(log, spec, rs)
+    targets = L.build_targets(log, spec, rs, hot=_hot(log, spec, cfg))
     exits = {r["gateway"]: r["exits"] for r in L.gateway_exits(targets, rs.gateways).collect()}
     preds = predict_labels(train_p, test_p, targets, rs, exits, cfg, spec)
     terms = phantom_branches(term_table(test_p, preds, rs, exits, cfg.k0), cfg.k0)

@@ -196,3 +196,53 @@ def encode_segmented(
         cond = cond & (F.col(key) <= max_len)
     out = out.where(cond)
     return out.drop("_len") if strict else out.withColumnRenamed("_len", "_case_len")
+
+
+def case_context(df: DataFrame, spec: LogSpec, hot: DataFrame | None, lag=(), lead=(), ffill=(), first=(), case_max=()) -> DataFrame:
+    """Case-window values computed segment by segment (for logs with hot cases).
+
+    Adds ``_pos`` (1-based position in the case), ``_len`` (case length) and, per
+    named column ``c``: ``_lag_c`` (previous event's value), ``_lead_c`` (next
+    event's value), ``_ffill_c`` (last non-null value so far), ``_first_c`` (first
+    non-null value so far) and ``_max_c`` (maximum over the whole case)."""
+    x = with_segments(df, spec, hot)
+    case, order = col(spec.case), F.struct(col(spec.ts), col(spec.tiebreak))
+    ws = Window.partitionBy(case, F.col("_seg")).orderBy(*spec.order())
+    wsr = ws.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = {"_rn": F.row_number().over(ws)}
+    aggs = [F.count(F.lit(1)).alias("_pn")]
+    for c in lag:
+        local[f"_lg_{c}"] = F.lag(col(c)).over(ws)
+        aggs.append(F.max_by(col(c), order).alias(f"_plast_{c}"))
+    for c in lead:
+        local[f"_ld_{c}"] = F.lead(col(c)).over(ws)
+        aggs.append(F.min_by(col(c), order).alias(f"_pfirst_{c}"))
+    for c in ffill:
+        local[f"_ff_{c}"] = F.last(col(c), ignorenulls=True).over(wsr)
+        aggs.append(F.max_by(col(c), F.when(col(c).isNotNull(), order)).alias(f"_pl_{c}"))
+    for c in first:
+        local[f"_fs_{c}"] = F.first(col(c), ignorenulls=True).over(wsr)
+        aggs.append(F.min_by(col(c), F.when(col(c).isNotNull(), order)).alias(f"_pf_{c}"))
+    for c in case_max:
+        aggs.append(F.max(col(c)).alias(f"_pmax_{c}"))
+    x = x.withColumns(local)
+    seg_tab = x.groupBy(col(spec.case).alias(spec.case), "_seg").agg(*aggs)
+    wp = Window.partitionBy(spec.case).orderBy("_seg")
+    before = wp.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(spec.case)
+    carry = {"_cn": F.coalesce(F.sum("_pn").over(before), F.lit(0)), "_len": F.sum("_pn").over(whole), "_segn": F.col("_pn")}
+    carry.update({f"_cprev_{c}": F.lag(f"_plast_{c}").over(wp) for c in lag})
+    carry.update({f"_cnext_{c}": F.lead(f"_pfirst_{c}").over(wp) for c in lead})
+    carry.update({f"_cff_{c}": F.last(f"_pl_{c}", ignorenulls=True).over(before) for c in ffill})
+    carry.update({f"_cfs_{c}": F.first(f"_pf_{c}", ignorenulls=True).over(before) for c in first})
+    carry.update({f"_max_{c}": F.max(f"_pmax_{c}").over(whole) for c in case_max})
+    carry_tab = seg_tab.select(spec.case, "_seg", *[v.alias(k) for k, v in carry.items()])
+    x = x.join(carry_tab, on=[spec.case, "_seg"], how="inner")
+    out = {"_pos": F.col("_cn") + F.col("_rn")}
+    out.update({f"_lag_{c}": F.when(F.col("_rn") == 1, F.col(f"_cprev_{c}")).otherwise(F.col(f"_lg_{c}")) for c in lag})
+    out.update({f"_lead_{c}": F.when(F.col("_rn") == F.col("_segn"), F.col(f"_cnext_{c}")).otherwise(F.col(f"_ld_{c}")) for c in lead})
+    out.update({f"_ffill_{c}": F.coalesce(F.col(f"_ff_{c}"), F.col(f"_cff_{c}")) for c in ffill})
+    out.update({f"_first_{c}": F.coalesce(F.col(f"_cfs_{c}"), F.col(f"_fs_{c}")) for c in first})
+    x = x.withColumns(out)
+    helper = [c for c in x.columns if c.startswith(("_rn", "_lg_", "_ld_", "_ff_", "_fs_", "_cn", "_segn", "_cprev_", "_cnext_", "_cff_", "_cfs_"))]
+    return x.drop("_seg", *helper)

@@ -15,7 +15,18 @@ from procmon.functions.time import micros_between
 from procmon.spec import LogSpec, col
 
 
-def _event_context(df: DataFrame, spec: LogSpec) -> DataFrame:
+def _event_context(df: DataFrame, spec: LogSpec, hot=None) -> DataFrame:
+    if hot is not None:
+        from procmon.operators.segmented import case_context
+
+        x = case_context(df, spec, hot, lag=(spec.ts,), lead=(spec.activity,))
+        return x.select(
+            col(spec.case).alias(spec.case),
+            col(spec.activity).alias("_act"),
+            micros_between(F.col(f"_lag_{spec.ts}"), col(spec.ts)).alias("_dt"),
+            F.col(f"_lead_{spec.activity}").alias("_next"),
+            F.col("_pos").cast("int").alias("_nr"),
+        )
     w = spec.window()
     return df.select(
         col(spec.case).alias(spec.case),
@@ -74,10 +85,11 @@ def label_defaults(targets: DataFrame, rs: RuleSet, undefined: int = -1) -> Data
     return targets.withColumns(fills)
 
 
-def build_targets(df: DataFrame, spec: LogSpec, rs: RuleSet, sink: bool = False) -> DataFrame:
+def build_targets(df: DataFrame, spec: LogSpec, rs: RuleSet, sink: bool = False, hot=None) -> DataFrame:
     """One row per case with every cycle time and gateway class (one aggregation).
-    Internally undefined values are NULL; ``sink=True`` applies L5."""
-    ev = _event_context(df, spec)
+    Internally undefined values are NULL; ``sink=True`` applies L5.  ``hot`` cases
+    (``segmented.hot_cases``) get their event context segment by segment."""
+    ev = _event_context(df, spec, hot)
     a, n, nr, dt = F.col("_act"), F.col("_next"), F.col("_nr"), F.col("_dt")
     aggs = [cycle_time_col(x, a, dt).alias(x) for x in rs.activities]
     aggs += [gateway_col(rs, g, a, n, nr).alias(g) for g in rs.gateways]

@@ -167,3 +167,41 @@ def test_flow_with_hot_cases_equals_plain(spark):
     a = sorted((r.case_id, r.nr_events, round(r.predicted, 6), r.actual) for r in plain.collect())
     b = sorted((r.case_id, r.nr_events, round(r.predicted, 6), r.actual) for r in split.collect())
     assert a == b and len(a) > 0
+
+
+def _rows(df, key, cols):
+    return {tuple(r[k] for k in key): tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in cols) for r in df.collect()}
+
+
+def test_segmented_case_windows_equal_plain(spark):
+    from procmon.operators import clean as P
+    from procmon.operators import features as T
+    from procmon.operators import targets as L
+    from procmon.operators.segmented import hot_cases
+    from procmon.plans.rulesets import EL1_RULES
+
+    df = el1(spark, SF_SMALL, nulls=True)
+    spec = EL1N.with_(case="user_case")
+    hot = hot_cases(df, spec, 2)
+    assert hot is not None
+    cols = ["timesincelastevent", "timesincecasestart", "remtime", "event_nr", "case_length", "hour"]
+    assert _rows(T.standard_features(df, spec), ["event_id"], cols) == _rows(T.standard_features(df, spec, hot=hot), ["event_id"], cols)
+    assert _rows(T.remaining_time(df, spec), ["event_id"], ["remtime"]) == _rows(T.remaining_time(df, spec, hot=hot), ["event_id"], ["remtime"])
+    ff = ["value_n", "segment_n"]
+    assert _rows(P.ffill(df, spec, ff), ["event_id"], ff) == _rows(P.ffill(df, spec, ff, hot=hot), ["event_id"], ff)
+    labels = [*EL1_RULES.activities, *EL1_RULES.gateways]
+    a = _rows(L.build_targets(df, spec, EL1_RULES), ["user_case"], labels)
+    b = _rows(L.build_targets(df, spec, EL1_RULES, hot=hot), ["user_case"], labels)
+    assert a == b and len(a) > 0
+
+
+def test_clean_log_with_hot_cases_equals_plain(spark):
+    from procmon.operators import clean as P
+
+    df = el1(spark, SF_SMALL, nulls=True)
+    cols = ["activity", "k", "segment_n", "value_n", "timesincelastevent", "remtime", "event_nr", "case_length"]
+    runs = []
+    for rows in (None, 3):
+        cfg = P.CleanConfig(drop_last=("error",), min_length=2, rare_cols=("k",), rare_min=5, hot_case_rows=rows)
+        runs.append(_rows(P.clean_log(df, EL1N, cfg), ["event_id"], cols))
+    assert runs[0] == runs[1] and len(runs[0]) > 0
