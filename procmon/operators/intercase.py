@@ -30,19 +30,26 @@ def open_cases(df: DataFrame, spec: LogSpec, name: str = "open_cases") -> DataFr
     return df.withColumn("_k", epoch_micros(ts)).join(cum, on="_k", how="inner").drop("_k")
 
 
-def open_cases_sequential(df: DataFrame, spec: LogSpec, name: str = "open_cases") -> DataFrame:
+def open_cases_sequential(df: DataFrame, spec: LogSpec, name: str = "open_cases", hot=None) -> DataFrame:
     """O2: open cases just before the event in log order ``(ts, tiebreak)``.
 
     A case opens at its first event and closes at its first event with
     ``ts = end``; cases whose events share one timestamp never open.
     """
-    w, wc = spec.window(), spec.whole_case()
     ts = col(spec.ts)
-    start, end = F.min(ts).over(wc), F.max(ts).over(wc)
-    first = F.row_number().over(w) == 1
-    prev = F.lag(ts).over(w)
+    if hot is not None:  # large cases: case window values segment by segment
+        from procmon.operators.segmented import case_context
+
+        df = case_context(df, spec, hot, lag=(spec.ts,), first=(spec.ts,), case_max=(spec.ts,))
+        start, end = F.col(f"_first_{spec.ts}"), F.col(f"_max_{spec.ts}")
+        first, prev = F.col("_pos") == 1, F.col(f"_lag_{spec.ts}")
+    else:
+        w, wc = spec.window(), spec.whole_case()
+        start, end = F.min(ts).over(wc), F.max(ts).over(wc)
+        first = F.row_number().over(w) == 1
+        prev = F.lag(ts).over(w)
     closes = (ts == end) & (prev.isNull() | (prev < end))
     d = F.when(start < end, first.cast("int") - closes.cast("int")).otherwise(F.lit(0))
     x = df.withColumns({"_k0": epoch_micros(ts), "_d": d})
     out = ordered_running_sum(x, ["_k0", spec.tiebreak], "_d", name, inclusive=False)
-    return out.drop("_k0", "_d")
+    return out.drop("_k0", "_d", "_pos", "_len", f"_lag_{spec.ts}", f"_first_{spec.ts}", f"_max_{spec.ts}")

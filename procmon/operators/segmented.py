@@ -2,7 +2,8 @@
 
 A window ``partitionBy(case)`` puts every event of a case into one task.  When a
 case holds a large share of the log, it is cut into consecutive *segments*
-(equal-width ranges of its timestamps), so each segment is its own window
+(equal-width ranges of its timestamps, or of its tiebreak when all its events
+share one timestamp), so each segment is its own window
 partition.  Every running value is then computed inside the segment and
 combined with a carry-in from the earlier segments of the case:
 
@@ -36,8 +37,14 @@ MAX_HOT_CASES = 100_000
 
 def hot_cases(df: DataFrame, spec: LogSpec, max_rows: int = HOT_CASE_ROWS) -> DataFrame | None:
     """``(case, _nseg, _lo, _span)`` for cases with more than ``max_rows`` events, or None."""
+    numeric_tb = dict(df.dtypes).get(spec.tiebreak) in ("bigint", "int", "smallint", "tinyint")
+    tb = col(spec.tiebreak) if numeric_tb else F.lit(0)
     per_case = df.groupBy(col(spec.case).alias(spec.case)).agg(
-        F.count(F.lit(1)).alias("_n"), epoch_micros(F.min(col(spec.ts))).alias("_lo"), epoch_micros(F.max(col(spec.ts))).alias("_hi")
+        F.count(F.lit(1)).alias("_n"),
+        epoch_micros(F.min(col(spec.ts))).alias("_lo"),
+        epoch_micros(F.max(col(spec.ts))).alias("_hi"),
+        F.min(tb).alias("_tlo"),
+        F.max(tb).alias("_thi"),
     )
     rows = bounded_collect(per_case.where(F.col("_n") > max_rows), MAX_HOT_CASES)
     if rows is None:
@@ -45,8 +52,14 @@ def hot_cases(df: DataFrame, spec: LogSpec, max_rows: int = HOT_CASE_ROWS) -> Da
     if not rows:
         return None
     spark = df.sparkSession
-    data = [(r[spec.case], -(-r["_n"] // max_rows), float(r["_lo"]), float(r["_hi"] - r["_lo"] + 1)) for r in rows]
-    return spark.createDataFrame(data, f"`{spec.case}` string, _nseg long, _lo double, _span double")
+    data = []
+    for r in rows:
+        nseg = -(-r["_n"] // max_rows)
+        if r["_hi"] > r["_lo"]:  # cut by time
+            data.append((r[spec.case], nseg, False, float(r["_lo"]), float(r["_hi"] - r["_lo"] + 1)))
+        else:  # every event at one timestamp: cut by the (numeric) tiebreak
+            data.append((r[spec.case], nseg if numeric_tb else 1, True, float(r["_tlo"]), float(r["_thi"] - r["_tlo"] + 1)))
+    return spark.createDataFrame(data, f"`{spec.case}` string, _nseg long, _bytb boolean, _lo double, _span double")
 
 
 def with_segments(df: DataFrame, spec: LogSpec, hot: DataFrame | None) -> DataFrame:
@@ -55,9 +68,13 @@ def with_segments(df: DataFrame, spec: LogSpec, hot: DataFrame | None) -> DataFr
         return df.withColumn("_seg", F.lit(0))
     # the hot-case table has at most MAX_HOT_CASES rows
     x = df.join(F.broadcast(hot), on=spec.case, how="left")
-    pos = F.floor((epoch_micros(col(spec.ts)).cast("double") - F.col("_lo")) * F.col("_nseg") / F.col("_span"))
+    numeric_tb = dict(df.dtypes).get(spec.tiebreak) in ("bigint", "int", "smallint", "tinyint")
+    value = epoch_micros(col(spec.ts)).cast("double")
+    if numeric_tb:
+        value = F.when(F.col("_bytb"), col(spec.tiebreak).cast("double")).otherwise(value)
+    pos = F.floor((value - F.col("_lo")) * F.col("_nseg") / F.col("_span"))
     seg = F.least(F.greatest(pos, F.lit(0)), F.col("_nseg") - 1)
-    return x.withColumn("_seg", F.coalesce(seg, F.lit(0)).cast("int")).drop("_nseg", "_lo", "_span")
+    return x.withColumn("_seg", F.coalesce(seg, F.lit(0)).cast("int")).drop("_nseg", "_bytb", "_lo", "_span")
 
 
 def _num(c: Column) -> Column:

@@ -96,13 +96,16 @@ def kfold(df: DataFrame, spec: LogSpec, k: int = 5, label: str | None = None, se
     return df.join(folds, on=spec.case, how="inner")
 
 
-def prefix_log(df: DataFrame, spec: LogSpec, min_len: int = 1, max_len: int | None = None, key: str = "prefix_len") -> DataFrame:
+def prefix_log(df: DataFrame, spec: LogSpec, min_len: int = 1, max_len: int | None = None, key: str = "prefix_len", hot=None) -> DataFrame:
     """Every prefix of ``n`` events (``min_len <= n <= max_len``, ``n < case length``) as its
     own trace, keyed by ``(case, prefix_len)``; one pass, no loop over lengths."""
-    w, wc = spec.window(), spec.whole_case()
-    nr = F.row_number().over(w)
-    length = F.count(F.lit(1)).over(wc)
-    x = df.withColumns({"_nr": nr, "_len": length})
+    if hot is not None:  # large cases: positions segment by segment
+        from procmon.operators.segmented import case_context
+
+        x = case_context(df, spec, hot).withColumnRenamed("_pos", "_nr")
+    else:
+        w, wc = spec.window(), spec.whole_case()
+        x = df.withColumns({"_nr": F.row_number().over(w), "_len": F.count(F.lit(1)).over(wc)})
     hi = F.col("_len") - 1 if max_len is None else F.least(F.lit(max_len), F.col("_len") - 1)
     lo = F.greatest(F.lit(min_len), F.col("_nr"))
     x = x.where(lo <= hi)  # sequence() would count down otherwise

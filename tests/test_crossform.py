@@ -205,3 +205,23 @@ def test_clean_log_with_hot_cases_equals_plain(spark):
         cfg = P.CleanConfig(drop_last=("error",), min_length=2, rare_cols=("k",), rare_min=5, hot_case_rows=rows)
         runs.append(_rows(P.clean_log(df, EL1N, cfg), ["event_id"], cols))
     assert runs[0] == runs[1] and len(runs[0]) > 0
+
+
+def test_segmented_open_cases_prefix_log_and_single_timestamp(spark):
+    from procmon.operators import features as T
+    from procmon.operators.segmented import hot_cases
+
+    df = el2(spark, SF_SMALL)
+    hot = hot_cases(df, EL2, 3)
+    a = _rows(O.open_cases_sequential(df, EL2), ["order_key"], ["open_cases"])
+    b = _rows(O.open_cases_sequential(df, EL2, hot=hot), ["order_key"], ["open_cases"])
+    assert a == b and len(a) > 0
+    p1 = sorted((r.case_id, r.order_key, r.prefix_len) for r in D.prefix_log(df, EL2, 2, 6).collect())
+    p2 = sorted((r.case_id, r.order_key, r.prefix_len) for r in D.prefix_log(df, EL2, 2, 6, hot=hot).collect())
+    assert p1 == p2 and len(p1) > 0
+    # one case whose events all share a timestamp: cut by the tiebreak
+    same = df.withColumn("ts", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")))
+    h2 = hot_cases(same, EL2, 3)
+    assert all(r["_bytb"] for r in h2.collect())
+    cols = ["timesincelastevent", "event_nr", "case_length"]
+    assert _rows(T.standard_features(same, EL2), ["order_key"], cols) == _rows(T.standard_features(same, EL2, hot=h2), ["order_key"], cols)
