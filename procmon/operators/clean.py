@@ -242,7 +242,6 @@ def clean_log(df: DataFrame, spec: LogSpec, cfg: CleanConfig) -> DataFrame:
     if cfg.hot_case_rows is not None and (cfg.features_unit or cfg.ffill):
         from procmon.operators.segmented import hot_cases
 
-        df = df.persist()  # counted per case, then transformed
         hot = hot_cases(df, spec, cfg.hot_case_rows)
     if cfg.normalise:
         df = normalise_activity(df, spec)

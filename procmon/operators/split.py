@@ -120,9 +120,15 @@ def partial_traces(df: DataFrame, spec: LogSpec, ratio: float = 0.8, min_len: in
 
 
 def length_quantile(df: DataFrame, spec: LogSpec, q: float = 0.9) -> int:
-    """``ceil`` of the interpolated ``q``-quantile of case lengths (from the length histogram,
-    which has one row per distinct length)."""
-    hist = length_histogram(df, spec).collect()
+    """``ceil`` of the interpolated ``q``-quantile of case lengths, from the length histogram
+    (one row per distinct length, size-checked); beyond that, by distributed selection."""
+    from procmon.functions import bounded_collect
+    from procmon.functions.select import exact_quantile
+
+    hist = bounded_collect(length_histogram(df, spec), 1_000_000)
+    if hist is None:
+        per_case = df.groupBy(col(spec.case)).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        return int(math.ceil(exact_quantile(per_case, "n", q)))
     counts = sorted((r["case_length"], r["n_cases"]) for r in hist)
     n = sum(c for _, c in counts)
     pos = q * (n - 1)
