@@ -15,7 +15,6 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from procmon.session import shuffle_partitions
 
@@ -93,5 +92,3 @@ def ordered_running_sum(
         run = run - F.col(value).cast("long")
     return b.withColumn(out, run).drop("_b", "_s", "_off")
 
-
-__all__ = ["ordered_running_sum", "T"]
