@@ -4,7 +4,7 @@ R1 encodes every running case up to its latest event and scores that row.
 R2 keeps per-case running aggregates in a Structured Streaming aggregation:
 counts, sums, sums of squares, extremes and level counts are algebraic, and
 first / last values are ``min_by`` / ``max_by`` on ``(ts, tiebreak)`` so an
-event that arrives late never overwrites a later one.  Each micro-batch's
+event that arrives late or out of order never overwrites a later one.  Each micro-batch's
 updated rows go through ``foreachBatch`` to a table in the shared checkpoint
 folder; the latest row per case is the current state.
 """
@@ -67,12 +67,14 @@ def state_features(state: DataFrame, spec: LogSpec) -> DataFrame:
     return out
 
 
-def run_state_stream(spark: SparkSession, source: DataFrame, spec: LogSpec, vocab: E.Vocab, sink_path: str, checkpoint: str, watermark: str | None = None):
+def run_state_stream(spark: SparkSession, source: DataFrame, spec: LogSpec, vocab: E.Vocab, sink_path: str, checkpoint: str):
     """R2: start the per-case state aggregation over a streaming source; updated rows of every
-    micro-batch are appended (with the batch id) to ``sink_path``.  ``watermark`` (e.g.
-    ``'30 days'``) lets the state of finished cases expire; rows older than it are dropped."""
-    src = source.withWatermark(spec.ts, watermark) if watermark else source
-    agg = src.groupBy(col(spec.case).alias(spec.case)).agg(*state_aggregates(spec, vocab))
+    micro-batch are appended (with the batch id) to ``sink_path``.
+
+    The state store keeps one row per case for the life of the query (the
+    grouping key has no event-time column, so Spark does not evict it); it is
+    checkpointed in ``checkpoint`` and recovered after a failure."""
+    agg = source.groupBy(col(spec.case).alias(spec.case)).agg(*state_aggregates(spec, vocab))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_path)
