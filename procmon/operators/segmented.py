@@ -101,7 +101,8 @@ def encode_segmented(
         max_events = max_len or 0
     if hot is None:
         hot = hot_cases(df, spec, max_rows)
-    x = with_segments(df, spec, hot)
+    # read by the segment windows and by the per-segment table: computed once
+    x = with_segments(df, spec, hot).persist()
     case, order = col(spec.case), F.struct(col(spec.ts), col(spec.tiebreak))
     ws = Window.partitionBy(case, F.col("_seg")).orderBy(*spec.order())
     wsr = ws.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -223,6 +224,8 @@ def case_context(df: DataFrame, spec: LogSpec, hot: DataFrame | None, lag=(), le
     event's value), ``_ffill_c`` (last non-null value so far), ``_first_c`` (first
     non-null value so far) and ``_max_c`` (maximum over the whole case)."""
     x = with_segments(df, spec, hot)
+    if hot is not None:
+        x = x.persist()  # read by the segment windows and by the per-segment table
     case, order = col(spec.case), F.struct(col(spec.ts), col(spec.tiebreak))
     ws = Window.partitionBy(case, F.col("_seg")).orderBy(*spec.order())
     wsr = ws.rowsBetween(Window.unboundedPreceding, Window.currentRow)
