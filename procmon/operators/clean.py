@@ -59,27 +59,30 @@ def _last_activity(spec: LogSpec) -> Column:
     return F.max_by(a, F.when(a.isNotNull(), F.struct(col(spec.ts), col(spec.tiebreak))))
 
 
-def _by_case(df: DataFrame, spec: LogSpec, cases: DataFrame, keep: bool) -> DataFrame:
-    return df.join(cases, on=spec.case, how="left_semi" if keep else "left_anti")
+def _by_case(df: DataFrame, spec: LogSpec, cases: DataFrame, keep: bool, hot=None) -> DataFrame:
+    """Events of (or not of) ``cases``; ``hot`` cases (``segmented.hot_cases``) are salted."""
+    from procmon.operators.segmented import case_join
 
+    return case_join(df, spec, cases, "left_semi" if keep else "left_anti", hot)
 
-def filter_last_activity(df: DataFrame, spec: LogSpec, acts, keep: bool = False) -> DataFrame:
+
+def filter_last_activity(df: DataFrame, spec: LogSpec, acts, keep: bool = False, hot=None) -> DataFrame:
     """Drop (``keep=False``) or keep the cases whose last activity is in ``acts``."""
     last = df.groupBy(col(spec.case)).agg(_last_activity(spec).alias("_last"))
     cases = last.where(F.col("_last").isin(list(acts))).select(spec.case)
-    return _by_case(df, spec, cases, keep)
+    return _by_case(df, spec, cases, keep, hot)
 
 
-def filter_any_activity(df: DataFrame, spec: LogSpec, acts) -> DataFrame:
+def filter_any_activity(df: DataFrame, spec: LogSpec, acts, hot=None) -> DataFrame:
     """Keep cases in which any of ``acts`` occurs."""
-    hit = df.where(col(spec.activity).isin(list(acts))).select(spec.case)
-    return _by_case(df, spec, hit, True)
+    hit = df.where(col(spec.activity).isin(list(acts))).select(spec.case).distinct()
+    return _by_case(df, spec, hit, True, hot)
 
 
-def filter_min_length(df: DataFrame, spec: LogSpec, k: int) -> DataFrame:
+def filter_min_length(df: DataFrame, spec: LogSpec, k: int, hot=None) -> DataFrame:
     """Keep cases with more than ``k`` events."""
     long_cases = df.groupBy(col(spec.case)).count().where(F.col("count") > k).select(spec.case)
-    return _by_case(df, spec, long_cases, True)
+    return _by_case(df, spec, long_cases, True, hot)
 
 
 def ffill(df: DataFrame, spec: LogSpec, cols, hot=None) -> DataFrame:
@@ -229,20 +232,21 @@ def clean_log(df: DataFrame, spec: LogSpec, cfg: CleanConfig) -> DataFrame:
         df = fill_case_id(df, spec, cfg.fill_case)
     if cfg.where:
         df = where_attr(df, *cfg.where)
+    hot = None
+    if cfg.hot_case_rows is not None:
+        from procmon.operators.segmented import hot_cases
+
+        # cases too large for one task: salted in the case filters, segmented in the windows
+        hot = hot_cases(df, spec, cfg.hot_case_rows)
     if cfg.drop_last:
-        df = filter_last_activity(df, spec, cfg.drop_last, keep=False)
+        df = filter_last_activity(df, spec, cfg.drop_last, keep=False, hot=hot)
     if cfg.keep_last:
-        df = filter_last_activity(df, spec, cfg.keep_last, keep=True)
+        df = filter_last_activity(df, spec, cfg.keep_last, keep=True, hot=hot)
     if cfg.require_any:
-        df = filter_any_activity(df, spec, cfg.require_any)
+        df = filter_any_activity(df, spec, cfg.require_any, hot=hot)
     if cfg.min_length is not None and not cfg.min_length_last:
-        df = filter_min_length(df, spec, cfg.min_length)
+        df = filter_min_length(df, spec, cfg.min_length, hot=hot)
     df = project(df, spec, cfg.extra)
-    hot = None
-    if cfg.hot_case_rows is not None and (cfg.features_unit or cfg.ffill):
-        from procmon.operators.segmented import hot_cases
-
-        hot = hot_cases(df, spec, cfg.hot_case_rows)
     if cfg.normalise:
         df = normalise_activity(df, spec)
     if cfg.features_unit:
@@ -258,5 +262,5 @@ def clean_log(df: DataFrame, spec: LogSpec, cfg: CleanConfig) -> DataFrame:
     if cfg.topk_cols:
         df = topk_to_other(df, cfg.topk_cols, cfg.topk)
     if cfg.min_length is not None and cfg.min_length_last:
-        df = filter_min_length(df, spec, cfg.min_length)
+        df = filter_min_length(df, spec, cfg.min_length, hot=hot)
     return df

@@ -144,7 +144,7 @@ def prepare(log: DataFrame, spec: LogSpec, cfg: FlowConfig):
     encodings read it."""
     hot = _hot(log, spec, cfg)
     log = T.remaining_time(log, spec, hot=hot).persist()
-    train, test = D.temporal_split(log, spec, cfg.ratio)
+    train, test = D.temporal_split(log, spec, cfg.ratio, hot=hot)
     keep = ("remtime", spec.activity)
     if cfg.model == "mean":
         vocab, method = E.Vocab({}), "none"

@@ -17,7 +17,7 @@ def case_starts(df: DataFrame, spec: LogSpec) -> DataFrame:
     return df.groupBy(col(spec.case).alias(spec.case)).agg(epoch_micros(F.min(col(spec.ts))).alias("_start"))
 
 
-def _split_by_key(df: DataFrame, spec: LogSpec, keyed: DataFrame, keys: list[str], ratio: float):
+def _split_by_key(df: DataFrame, spec: LogSpec, keyed: DataFrame, keys: list[str], ratio: float, hot=None):
     keyed = keyed.persist()  # counted, searched and filtered: one row per case
     n = keyed.count()
     k = int(math.ceil(ratio * n))
@@ -33,18 +33,18 @@ def _split_by_key(df: DataFrame, spec: LogSpec, keyed: DataFrame, keys: list[str
             cond = (c <= v) if cond is None else (c < v) | ((c == v) & cond)
         train_cases = keyed.where(cond)
     train_cases = train_cases.select(spec.case)
-    train = df.join(train_cases, on=spec.case, how="left_semi")
-    test = df.join(train_cases, on=spec.case, how="left_anti")
-    return train, test
+    from procmon.operators.segmented import case_join
 
+    return case_join(df, spec, train_cases, "left_semi", hot), case_join(df, spec, train_cases, "left_anti", hot)
 
-def temporal_split(df: DataFrame, spec: LogSpec, ratio: float = 0.8):
+
+def temporal_split(df: DataFrame, spec: LogSpec, ratio: float = 0.8, hot=None):
     """The first ``ceil(ratio * N)`` cases by ``(start, case)`` are train, the rest test.
 
     The cutoff case is found by distributed selection; the log is then split by
     a literal predicate and a semi/anti join, without a global sort."""
     keyed = case_starts(df, spec)
-    return _split_by_key(df, spec, keyed, ["_start", spec.case], ratio)
+    return _split_by_key(df, spec, keyed, ["_start", spec.case], ratio, hot)
 
 
 def random_split(df: DataFrame, spec: LogSpec, ratio: float = 0.8, seed: int = 22):

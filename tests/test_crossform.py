@@ -225,3 +225,21 @@ def test_segmented_open_cases_prefix_log_and_single_timestamp(spark):
     assert all(r["_bytb"] for r in h2.collect())
     cols = ["timesincelastevent", "event_nr", "case_length"]
     assert _rows(T.standard_features(same, EL2), ["order_key"], cols) == _rows(T.standard_features(same, EL2, hot=h2), ["order_key"], cols)
+
+
+def test_salted_case_joins_equal_plain(spark):
+    from procmon.operators import clean as P
+    from procmon.operators.segmented import hot_cases
+
+    df = el1(spark, SF_SMALL).withColumn("case_id", F.when(F.col("event_id") % 3 == 0, F.lit("HOT")).otherwise(F.col("case_id")))
+    hot = hot_cases(df, EL1, 50)
+    assert hot is not None
+    for fn in (
+        lambda h: P.filter_min_length(df, EL1, 2, hot=h),
+        lambda h: P.filter_last_activity(df, EL1, ["error"], keep=False, hot=h),
+        lambda h: P.filter_any_activity(df, EL1, ["purchase"], hot=h),
+    ):
+        assert sorted(r.event_id for r in fn(None).collect()) == sorted(r.event_id for r in fn(hot).collect())
+    a = [sorted(r.event_id for r in part.collect()) for part in D.temporal_split(df, EL1, 0.6)]
+    b = [sorted(r.event_id for r in part.collect()) for part in D.temporal_split(df, EL1, 0.6, hot=hot)]
+    assert a == b
