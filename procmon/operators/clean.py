@@ -176,13 +176,15 @@ def sort_log(df: DataFrame, spec: LogSpec) -> DataFrame:
     return df.orderBy(*spec.order())
 
 
-def last_matching(df: DataFrame, spec: LogSpec, cond: Column, outcomes, name: str = "last_match") -> DataFrame:
+def last_matching(df: DataFrame, spec: LogSpec, cond: Column, outcomes, name: str = "last_match", hot=None) -> DataFrame:
     """Per case, the activity of the last event matching ``cond``; cases whose value is
     not in ``outcomes`` (or that have no match) are removed."""
     a = col(spec.activity)
     per_case = df.groupBy(col(spec.case)).agg(F.max_by(a, F.when(cond, F.struct(col(spec.ts), col(spec.tiebreak)))).alias(name))
     per_case = per_case.where(F.col(name).isin(list(outcomes)))
-    return df.join(per_case, on=spec.case, how="inner")
+    from procmon.operators.segmented import case_join
+
+    return case_join(df, spec, per_case, "inner", hot)
 
 
 def one_vs_rest(df: DataFrame, name: str, outcomes, label: str = "label", pos: str = "deviant", neg: str = "regular") -> DataFrame:

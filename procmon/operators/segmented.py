@@ -269,18 +269,21 @@ def case_context(df: DataFrame, spec: LogSpec, hot: DataFrame | None, lag=(), le
 
 
 def case_join(df: DataFrame, spec: LogSpec, cases: DataFrame, how: str, hot: DataFrame | None) -> DataFrame:
-    """Semi / anti join of the events with a set of cases, salted for hot cases.
+    """Join of the events with a table keyed by case (semi, anti, inner or left), salted for
+    hot cases.
 
     Events of a hot case carry a salt (hash of the tiebreak modulo its number of
     segments) and that case's row on the case side is repeated once per salt, so
-    the hot case is spread over as many join partitions; other cases use salt 0."""
+    the hot case is spread over as many join partitions; other cases use salt 0.
+    Every event matches at most one (case, salt) row, so no row is duplicated."""
+    if how in ("left_semi", "left_anti"):
+        cases = cases.select(spec.case)
     if hot is None:
-        return df.join(cases.select(spec.case), on=spec.case, how=how)
+        return df.join(cases, on=spec.case, how=how)
     h = F.broadcast(hot.select(spec.case, "_nseg"))  # at most MAX_HOT_CASES rows
     left = df.join(h, on=spec.case, how="left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(col(spec.tiebreak), col(spec.ts)), F.col("_nseg")), F.lit(0)).cast("long")
-    )
-    right = cases.select(spec.case).join(h, on=spec.case, how="left").select(
-        spec.case, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_nseg") - 1, F.lit(0).cast("long")))).alias("_salt")
-    )
-    return left.join(right, on=[spec.case, "_salt"], how=how).drop("_salt", "_nseg")
+    ).drop("_nseg")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_nseg") - 1, F.lit(0).cast("long"))))
+    right = cases.join(h, on=spec.case, how="left").select(*[col(c) for c in cases.columns], salts.alias("_salt"))
+    return left.join(right, on=[spec.case, "_salt"], how=how).drop("_salt")

@@ -107,9 +107,11 @@ def read_sink_targets(targets: DataFrame, rs: RuleSet, undefined: int = -1) -> D
     return targets.withColumns(cols)
 
 
-def add_target(df: DataFrame, spec: LogSpec, targets: DataFrame, labels) -> DataFrame:
-    """Attach case labels to the events (equi-join on the case)."""
-    return df.join(targets.select(spec.case, *labels), on=spec.case, how="inner")
+def add_target(df: DataFrame, spec: LogSpec, targets: DataFrame, labels, hot=None) -> DataFrame:
+    """Attach case labels to the events (equi-join on the case; salted for ``hot`` cases)."""
+    from procmon.operators.segmented import case_join
+
+    return case_join(df, spec, targets.select(spec.case, *labels), "inner", hot)
 
 
 def defined_only(df: DataFrame, label: str) -> DataFrame:

@@ -243,3 +243,20 @@ def test_salted_case_joins_equal_plain(spark):
     a = [sorted(r.event_id for r in part.collect()) for part in D.temporal_split(df, EL1, 0.6)]
     b = [sorted(r.event_id for r in part.collect()) for part in D.temporal_split(df, EL1, 0.6, hot=hot)]
     assert a == b
+
+
+def test_salted_inner_joins_equal_plain(spark):
+    from procmon.operators import clean as P
+    from procmon.operators import targets as L
+    from procmon.operators.segmented import hot_cases
+    from procmon.plans.rulesets import EL1_RULES
+
+    df = el1(spark, SF_SMALL).withColumn("case_id", F.when(F.col("event_id") % 3 == 0, F.lit("HOT")).otherwise(F.col("case_id")))
+    hot = hot_cases(df, EL1, 50)
+    tg = L.build_targets(df, EL1, EL1_RULES)
+    key = lambda r: (r.event_id, r.x1, r.x2)
+    assert sorted(map(key, L.add_target(df, EL1, tg, ["x1", "x2"]).collect())) == sorted(map(key, L.add_target(df, EL1, tg, ["x1", "x2"], hot=hot).collect()))
+    cond = F.col("activity").isin("purchase", "signup", "error")
+    a = sorted((r.event_id, r.last_match) for r in P.last_matching(df, EL1, cond, ["purchase", "signup"]).collect())
+    b = sorted((r.event_id, r.last_match) for r in P.last_matching(df, EL1, cond, ["purchase", "signup"], hot=hot).collect())
+    assert a == b and len(a) > 0
