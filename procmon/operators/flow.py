@@ -139,6 +139,11 @@ def _bucketed(p: DataFrame, how: str) -> DataFrame:
 
 
 def prepare(log: DataFrame, spec: LogSpec, cfg: FlowConfig):
+    """Split, encode and bucket the prefixes of a log: ``(log, train_prefixes, test_prefixes)``."""
+    return prepare_with_hot(log, spec, cfg)[:3]
+
+
+def prepare_with_hot(log: DataFrame, spec: LogSpec, cfg: FlowConfig):
     """Split, encode (one window pass per split) and bucket the prefixes of a log.
     The log with its remaining times is persisted: the split, the targets and both
     encodings read it."""
@@ -152,7 +157,7 @@ def prepare(log: DataFrame, spec: LogSpec, cfg: FlowConfig):
         vocab, method = E.fit_vocab(train, spec.cat_cols), cfg.encoding
     train_p = _bucketed(E.encode(train, spec, vocab, method, cfg.min_len, cfg.max_len, keep=keep, hot=hot), cfg.bucket)
     test_p = _bucketed(E.encode(test, spec, vocab, method, cfg.min_len, cfg.max_len, keep=keep, hot=hot), cfg.bucket)
-    return log, train_p, test_p
+    return log, train_p, test_p, hot
 
 
 def predict_labels(train_p: DataFrame, test_p: DataFrame, targets: DataFrame, rs: RuleSet, exits: dict, cfg: FlowConfig, spec: LogSpec):
@@ -189,8 +194,8 @@ def predict_flow(log: DataFrame, spec: LogSpec, rs: RuleSet, formulas_of, cfg: F
     """flow-analysis prediction of the remaining time; returns the detail table.
 
     ``formulas_of(test_prefixes)`` gives ``(case_id, prefix_len, formula)``."""
-    log, train_p, test_p = prepare(log, spec, cfg)
-    targets = L.build_targets(log, spec, rs, hot=_hot(log, spec, cfg))
+    log, train_p, test_p, hot = prepare_with_hot(log, spec, cfg)
+    targets = L.build_targets(log, spec, rs, hot=hot)
     exits = {r["gateway"]: r["exits"] for r in L.gateway_exits(targets, rs.gateways).collect()}
     preds = predict_labels(train_p, test_p, targets, rs, exits, cfg, spec)
     terms = phantom_branches(term_table(test_p, preds, rs, exits, cfg.k0), cfg.k0)
