@@ -18,31 +18,25 @@ from procmon.spec import LogSpec, col
 def open_cases(df: DataFrame, spec: LogSpec, name: str = "open_cases") -> DataFrame:
     """O1: cases with ``start <= ts < end`` at each event (ties at ``ts`` included).
 
-    With a numeric tiebreak the per-timestamp deltas are placed just before every
-    event of their timestamp and summed together with the events in one global
-    running sum, so no join back on the timestamp is needed (a timestamp shared by
-    many events is split by the tiebreak).  Otherwise the running count is joined
-    back on the timestamp."""
+    The +1 / -1 deltas are summed per distinct timestamp and placed before every
+    event of their timestamp; one global running sum over the deltas and the
+    events then gives each event its count, with no join back on the timestamp.
+    Events of one timestamp are ordered by a hash of (case, tiebreak): their
+    order does not change the count, and the uniform hash lets a timestamp
+    shared by many events be split into even sub-ranges."""
     ts = col(spec.ts)
     bounds = df.groupBy(col(spec.case)).agg(F.min(ts).alias("_s"), F.max(ts).alias("_e"))
     edges = bounds.select(epoch_micros(F.col("_s")).alias("_k"), F.lit(1).alias("_d")).unionByName(
         bounds.select(epoch_micros(F.col("_e")).alias("_k"), F.lit(-1).alias("_d"))
     )
-    if dict(df.dtypes).get(spec.tiebreak) in ("bigint", "int", "smallint", "tinyint"):
-        lowest = df.agg(F.min(col(spec.tiebreak))).first()[0]
-        if lowest is None:
-            return df.withColumn(name, F.lit(None).cast("long"))
-        # one row per distinct timestamp, ordered before all events of that timestamp
-        per_ts = edges.groupBy("_k").agg(F.sum("_d").alias("_d")).withColumn("_t", F.lit(lowest - 1).cast("long"))
-        events = df.withColumns({"_k": epoch_micros(ts), "_d": F.lit(0).cast("long"), "_t": col(spec.tiebreak).cast("long"), "_ev": F.lit(True)})
-        both = events.unionByName(per_ts.withColumn("_d", F.col("_d").cast("long")), allowMissingColumns=True)
-        run = ordered_running_sum(both, ["_k", "_t"], "_d", name, inclusive=True)
-        return run.where(F.col("_ev")).drop("_k", "_d", "_t", "_ev")
-    deltas = edges.unionByName(df.select(epoch_micros(ts).alias("_k"), F.lit(0).alias("_d")))
-    # one row per distinct timestamp: a timestamp shared by many events is summed map-side
-    per_ts = deltas.groupBy("_k").agg(F.sum("_d").alias("_d"))
-    cum = ordered_running_sum(per_ts, ["_k"], "_d", name, inclusive=True).select("_k", name)
-    return df.withColumn("_k", epoch_micros(ts)).join(cum, on="_k", how="inner").drop("_k")
+    # one row per distinct timestamp, ordered before all events of that timestamp
+    first = -(2**63)
+    per_ts = edges.groupBy("_k").agg(F.sum("_d").cast("long").alias("_d")).withColumn("_t", F.lit(first).cast("long"))
+    order = F.shiftright(F.xxhash64(col(spec.case), col(spec.tiebreak)), 1)  # in [-2^62, 2^62): after the deltas
+    events = df.withColumns({"_k": epoch_micros(ts), "_d": F.lit(0).cast("long"), "_t": order, "_ev": F.lit(True)})
+    both = events.unionByName(per_ts, allowMissingColumns=True)
+    run = ordered_running_sum(both, ["_k", "_t"], "_d", name, inclusive=True)
+    return run.where(F.col("_ev")).drop("_k", "_d", "_t", "_ev")
 
 
 def open_cases_sequential(df: DataFrame, spec: LogSpec, name: str = "open_cases", hot=None) -> DataFrame:
