@@ -166,11 +166,16 @@ def activity_diagnostics(pred: DataFrame, mean_pred: DataFrame, targets: DataFra
     )
 
 
-def log_quality(df: DataFrame, spec: LogSpec, name: str, cutoffs=(5, 20), since_start: str = "timesincecasestart") -> DataFrame:
+def log_quality(df: DataFrame, spec: LogSpec, name: str, cutoffs=(5, 20), since_start: str = "timesincecasestart", hot=None) -> DataFrame:
     """Mean per-case share of unique timestamps, global share, and for each cutoff the cases
-    reaching it and those of them whose elapsed time is still 0."""
-    w = spec.window()
-    x = df.withColumn("_nr", F.row_number().over(w))
+    reaching it and those of them whose elapsed time is still 0.  ``hot`` cases
+    (``segmented.hot_cases``) are numbered segment by segment."""
+    if hot is not None:
+        from procmon.operators.segmented import case_context
+
+        x = case_context(df, spec, hot).withColumnRenamed("_pos", "_nr").drop("_len")
+    else:
+        x = df.withColumn("_nr", F.row_number().over(spec.window()))
     per_case = x.groupBy(col(spec.case)).agg(
         (F.count_distinct(col(spec.ts)) / F.count(F.lit(1))).alias("_utr"),
         *[F.max(F.when(F.col("_nr") == c, F.lit(1))).alias(f"_r{c}") for c in cutoffs],

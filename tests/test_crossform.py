@@ -260,3 +260,15 @@ def test_salted_inner_joins_equal_plain(spark):
     a = sorted((r.event_id, r.last_match) for r in P.last_matching(df, EL1, cond, ["purchase", "signup"]).collect())
     b = sorted((r.event_id, r.last_match) for r in P.last_matching(df, EL1, cond, ["purchase", "signup"], hot=hot).collect())
     assert a == b and len(a) > 0
+
+
+def test_log_quality_with_hot_cases(spark):
+    from procmon.operators import features as T
+    from procmon.operators import report as V
+    from procmon.operators.segmented import hot_cases
+
+    df = T.time_since_start(el2(spark, SF_SMALL), EL2)
+    hot = hot_cases(df, EL2, 4)
+    a = V.log_quality(df, EL2, "EL2").first().asDict()
+    b = V.log_quality(df, EL2, "EL2", hot=hot).first().asDict()
+    assert a == b
