@@ -44,3 +44,14 @@ def test_parquet_scan_prunes_columns(spark):
     p = plan(df)
     scan = [line for line in p.splitlines() if "FileScan parquet" in line and "events" in line][0]
     assert "props" not in scan and "value" not in scan
+
+
+def test_segmented_encoder_partitions_by_case_and_segment(spark):
+    from procmon.operators.segmented import encode_segmented
+
+    df = el1(spark, SF_SMALL)
+    spec = EL1.with_(dynamic_cat=("activity",), static_cat=())
+    vocab = E.Vocab({"activity": ("click", "error", "purchase", "signup", "view")})
+    p = plan(encode_segmented(df, spec, vocab, "combined", 2, 5, max_rows=3))
+    assert "hashpartitioning(case_id" in p and ", _seg" in p, p
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
