@@ -145,9 +145,11 @@ def length_quantile(df: DataFrame, spec: LogSpec, q: float = 0.9) -> int:
     return int(math.ceil(lo + (hi - lo) * (pos - math.floor(pos))))
 
 
-def restrict(df: DataFrame, spec: LogSpec, cases: DataFrame, anti: bool = False) -> DataFrame:
-    """Events of (or not of) the given cases."""
-    return df.join(cases.select(spec.case), on=spec.case, how="left_anti" if anti else "left_semi")
+def restrict(df: DataFrame, spec: LogSpec, cases: DataFrame, anti: bool = False, hot=None) -> DataFrame:
+    """Events of (or not of) the given cases (salted for ``hot`` cases)."""
+    from procmon.operators.segmented import case_join
+
+    return case_join(df, spec, cases, "left_anti" if anti else "left_semi", hot)
 
 
 def case_index(df: DataFrame, spec: LogSpec) -> DataFrame:
