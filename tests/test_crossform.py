@@ -272,3 +272,15 @@ def test_log_quality_with_hot_cases(spark):
     a = V.log_quality(df, EL2, "EL2").first().asDict()
     b = V.log_quality(df, EL2, "EL2", hot=hot).first().asDict()
     assert a == b
+
+
+def test_salted_restrict_equals_plain(spark):
+    from procmon.operators.segmented import hot_cases
+
+    df = el1(spark, SF_SMALL).withColumn("case_id", F.when(F.col("event_id") % 3 == 0, F.lit("HOT")).otherwise(F.col("case_id")))
+    hot = hot_cases(df, EL1, 50)
+    cases = df.where(F.col("activity") == "purchase").select("case_id").distinct()
+    for anti in (False, True):
+        a = sorted(r.event_id for r in D.restrict(df, EL1, cases, anti).collect())
+        b = sorted(r.event_id for r in D.restrict(df, EL1, cases, anti, hot=hot).collect())
+        assert a == b and len(a) > 0
