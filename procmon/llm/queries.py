@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procmon.llm import bpe, packing, tokenstore
-from procmon.llm.common import scratch, table
+from procmon.llm import bpe, iblt, langid, minhash, packing, pii, sharding, tokenstore, toxicity
+from procmon.llm.common import crc_bucket, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +24,42 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
 
 
+@_query
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms in every document."""
+    return pii.report(_documents(spark, sf_dir))
+
+
+@_query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, and how alike they are."""
+    return iblt.fingerprints(_documents(spark, sf_dir))
+
+
+@_query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a similarity of 0.85."""
+    return minhash.components(_documents(spark, sf_dir))
+
+
+@_query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = _documents(spark, sf_dir, "lang")
+    model = langid.train(langid.learned_from(docs))
+    held_out = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, toxicity.learned_from(table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @_query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text with the multilingual rank file."""
@@ -44,4 +80,9 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read(spark, folder, manifest)
 
 
-_ = F
+
+@_query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes."""
+    out = sharding.shard(_documents(spark, sf_dir), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
