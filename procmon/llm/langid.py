@@ -154,19 +154,20 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return Model(languages, cells, fill**HASHES)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row."""
-    id_type = docs.select(id_col).schema[0].dataType.simpleString()
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, lang_pred, score) of every row, and the columns in ``carry`` as ``carry_<name>``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: max_grams
+    rows = docs.select(F.col(id_col).alias("k"), *(F.col(c).alias(f"carry_{c}") for c in carry), F.col(text_col).alias("t"))
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in slices(batches, "t", 4 << 20):
             lang, score = own.predict(texts(b, "t").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["k", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
-    out = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"k {id_type}, lang_pred string, score double")
-    return out.withColumnRenamed("k", id_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", lang_pred string, score double"
+    return rows.mapInArrow(run, schema).withColumnRenamed("k", id_col)
 
 
 def learned_from(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procmon.llm import bpe, iblt, langid, minhash, packing, pii, sharding, tokenstore, toxicity
+from procmon.llm import ann, bpe, iblt, langid, minhash, packing, pii, sharding, tokenstore, toxicity
 from procmon.llm.common import crc_bucket, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+@_query
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each vector whose id is divisible by 20, among all rows."""
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 @_query
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the store of all documents' ids and read every document back from its files."""

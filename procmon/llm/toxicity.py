@@ -165,10 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted) of every row."""
-    id_type = docs.select(id_col).schema[0].dataType.simpleString()
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score, predicted) of every row, and the columns in ``carry`` as ``carry_<name>``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BASE_BYTES and TOXIC_BYTES
+    rows = docs.select(F.col(id_col).alias("k"), *(F.col(c).alias(f"carry_{c}") for c in carry), F.col(text_col).alias("t"))
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -177,10 +178,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             docs_ = texts(b, "t").to_pylist()
             f = own.features(docs_, pair) if pair else np.tile([0.0, 0, 0, 0, 1], (len(docs_), 1))
             p = own.probability(f)
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["k", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
-    out = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"k {id_type}, score double, predicted int")
-    return out.withColumnRenamed("k", id_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", score double, predicted int"
+    return rows.mapInArrow(run, schema).withColumnRenamed("k", id_col)
 
 
 def learned_from(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
