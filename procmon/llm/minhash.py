@@ -6,9 +6,9 @@
 2. The signature is cut into 32 bands of 8.  Classes that share a band value are
    candidates.  At a similarity of 0.85 a pair shares no band with a chance of
    (1 - 0.85^8)^32 = 4e-5, at 0.9 of 2e-8.
-3. First round: each class is compared with the first class of its buckets that
-   it meets most often.  Further rounds take the buckets that still hold classes
-   of different components, and compare those across components.
+3. First, each class is compared with the first class of its buckets that it
+   meets most often, which joins most copies.  Then the buckets that still hold
+   classes of different components are compared across components.
 4. A comparison reads the signatures batch after batch (32, 64, 128, 256 hashes).
    After each, it stops unless the posterior chance (uniform prior) that the
    similarity reaches 0.85 is at least ``MISS``.  Survivors are confirmed on the
@@ -16,11 +16,9 @@
 5. Confirmed links are joined into components; a component is named after its
    smallest document id.
 
-A round hands at most ``4 ** round`` pairs of a bucket's two components to the
-confirmation, the likeliest first, and rounds go on until no component pair has
-more; so a dense group costs a few links for each member, and no link between
-different components is lost.  Buckets of more than ``BLOCK`` classes are worked
-on in pairs of blocks, no task ever holds more than two blocks.
+A bucket gives at most a forest of links, and no link between different
+components is left out.  Buckets of more than ``BLOCK`` classes are worked on in
+pairs of blocks; no task ever holds more than two blocks.
 
 Words are maximal runs without ``\\x20 \\x09-\\x0D``, A-Z lower-cased.  With fewer
 than five words the whole sequence is the only shingle; null texts and texts
@@ -240,6 +238,12 @@ def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two full sets are at least PERCENT alike."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links on their full sets."""
 
@@ -247,8 +251,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                both = len(np.intersect1d(unpack(x), unpack(y), assume_unique=True))
-                keep.append(100 * both >= PERCENT * ((len(x) + len(y)) // 6 - both))
+                keep.append(linked(unpack(x), unpack(y)))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
@@ -276,11 +279,14 @@ def connect(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(members: DataFrame, most: int) -> DataFrame:
-    """Likely pairs (a, b, more) of different components in the buckets' members (key, band, c, size, comp, n, sig).
+def across(members: DataFrame) -> DataFrame:
+    """Links (a, b) between different components in the buckets' members (key, band, c, size, comp, n, sig, shingles).
 
     ``size`` is the bucket's number of classes; large buckets are dealt into
-    blocks, and each pair of blocks is a group of its own.
+    blocks, and each pair of blocks is a group of its own.  A pair that meets in
+    several bands is compared in the first of them.  A group confirms its likely
+    pairs itself, the likeliest of a class first, skips those that its links join
+    already, and so returns at most a forest.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("c"), blocks).cast("int")
@@ -290,31 +296,25 @@ def across(members: DataFrame, most: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("c", kind="stable")
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, HASHES)
-        c, comp, n, block = (pdf[x].to_numpy() for x in ("c", "comp", "n", "own"))
+        c, n, block = (pdf[x].to_numpy() for x in ("c", "n", "own"))
         band, mixed = int(pdf["band"].iloc[0]), pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+        sets = [unpack(x) for x in pdf["shingles"]]
+        comp = pd.factorize(pdf["comp"])[0]
         out = []
         for i in range(len(c) - 1):
             j = np.arange(i + 1, len(c))
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             j = j[(comp[j] != comp[i]) & (100 * small >= PERCENT * large) & ((block[j] != block[i]) | (not mixed))]
-            if len(j) == 0:
-                continue
             kept, equal = likely(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j])
-            if len(j := j[kept]) == 0:
-                continue
-            same = sig[j].view(np.uint64) == sig[i].view(np.uint64)
-            here = same.argmax(1) == band  # another bucket has the pairs that meet in an earlier band
-            for x, e in zip(j[here].tolist(), equal[here].tolist(), strict=True):
-                lo, hi = sorted((comp[i], comp[x]))
-                out.append((lo, hi, -e, c[i], c[x]))
-        found = pd.DataFrame(out, columns=["lo", "hi", "e", "a", "b"]).sort_values(["lo", "hi", "e", "a", "b"])
-        nth = found.groupby(["lo", "hi"]).cumcount()
-        found["more"] = nth == most - 1
-        last = found.groupby(["lo", "hi"])["a"].transform("size") == most
-        found["more"] &= ~last
-        return found[nth < most][["a", "b", "more"]].astype({"a": "int64", "b": "int64"})
-
-    return spread.select("key", "band", "c", "comp", "n", "sig", "own", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long, more boolean")
+            j = j[kept]
+            first = (sig[j].view(np.uint64) == sig[i].view(np.uint64)).argmax(1) == band if len(j) else np.zeros(0, bool)
+            for x in j[first][np.argsort(-equal[first], kind="stable")].tolist():
+                if comp[x] != comp[i] and linked(sets[i], sets[x]):
+                    comp[comp == comp[x]] = comp[i]
+                    out.append((c[i], c[x]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return spread.select("key", "band", "c", "comp", "n", "sig", "shingles", "own", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,21 +341,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = members.join(settled, ["key", "band"], "left_anti")
     comps = written(asked.join(connect(links).toDF("c", "label"), "c", "left").select("c", F.coalesce("label", "c").alias("comp")), "components")
 
-    most = 4
-    while True:
-        open_ = rest.join(comps, "c")
-        split = open_.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "band")
-        open_ = open_.join(split, ["key", "band"]).join(classes.select("c", "n", "sig"), "c")
-        pairs = written(across(open_.drop("lead"), most), "pairs")
-        more = pairs.where("more").limit(1).count()
-        links = written(confirm(pairs.select("a", "b"), sets), "links")
-        if links.limit(1).count():
-            of = links.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            joined = connect(of).toDF("comp", "label")
-            comps = written(comps.join(joined, "comp", "left").select("c", F.coalesce("label", "comp").alias("comp")), "components")
-        if not more:
-            break
-        most *= 4
+    open_ = rest.join(comps, "c")
+    split = open_.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "band")
+    open_ = open_.join(split, ["key", "band"]).join(classes.select("c", "n", "sig"), "c").join(sets, "c")
+    links = written(across(open_.drop("lead")), "links")
+    if links.limit(1).count():
+        of = links.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = connect(of).toDF("comp", "label")
+        comps = comps.join(joined, "comp", "left").select("c", F.coalesce("label", "comp").alias("comp"))
 
     named = classes.join(comps, "c", "left").select(*identity, "low", F.coalesce("comp", "c").alias("comp"))
     names = named.groupBy("comp").agg(F.min("low").alias("component_id"))
