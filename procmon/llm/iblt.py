@@ -35,7 +35,7 @@ RETRY_CELLS = (60, 240)
 BLOCK = 24  # digests of both texts that a block of a retry holds on average
 ROUNDS = 14
 KNOTS, MAX_BUCKETS = 64, 1 << 16
-BUCKET_ROWS = 500
+BUCKET_ROWS = 100
 
 
 def digests(text: Column) -> Column:
@@ -43,50 +43,40 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, PARAGRAPH), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def _at(key: str, third: int, cells: int) -> str:
-    """SQL: the cell of a digest in one third of a table; the size of the table is its seed."""
-    return f"({third * (cells // 3)} + pmod(shiftrightunsigned(xxhash64({key}, {cells}), {20 * third}), {cells // 3}))"
-
-
-def _check(key: str) -> str:
-    return f"xxhash64({key}, 'check')"
-
-
-def _hits(key: str, i: str, cells: int) -> str:
-    """SQL: whether a digest is in cell ``i``."""
+def _entry(key: str, cells: int) -> str:
+    """SQL: a digest with its cell in each third of the table and its check value; the table's size is the seed."""
     third = cells // 3
-    return f"{i} = (case when {i} < {third} then {_at(key, 0, cells)} when {i} < {2 * third} then {_at(key, 1, cells)} else {_at(key, 2, cells)} end)"
-
-
-def _xor(array: str, value: str) -> str:
-    return f"aggregate({array}, 0L, (acc, v) -> acc ^ {value})"
+    at = [f"{j * third} + pmod(shiftrightunsigned(xxhash64({key}, {cells}), {20 * j}), {third})" for j in range(3)]
+    return f"'x', {key}, 'a', {at[0]}, 'b', {at[1]}, 'd', {at[2]}, 'c', xxhash64({key}, 'check')"
 
 
 def table_sql(keys: str, cells: int) -> str:
     """SQL: the cells (n, x, c) of an array of digests."""
-    own = f"filter({keys}, k -> {_hits('k', 'i', cells)})"
-    cell = f"transform(array({own}), o -> named_struct('n', size(o), 'x', {_xor('o', 'v')}, 'c', {_xor('o', _check('v'))}))[0]"
-    return f"transform(sequence(0, {cells - 1}), i -> {cell})"
+    third = cells // 3
+    xor = "aggregate(o, 0L, (acc, v) -> acc ^ v.{})"
+    cell = f"named_struct('n', size(o), 'x', {xor.format('x')}, 'c', {xor.format('c')})"
+    parts = [f"transform(sequence({j * third}L, {(j + 1) * third - 1}L), i -> transform(array(filter(entries, e -> e.{f} = i)), o -> {cell})[0])" for j, f in enumerate("abd")]
+    return f"transform(array(transform({keys}, k -> named_struct({_entry('k', cells)}))), entries -> concat({', '.join(parts)}))[0]"
 
 
 def peel_sql(left: str, right: str, cells: int) -> str:
     """SQL: how many digests the difference of two tables holds; null if it can't be peeled."""
     start = f"zip_with({left}, {right}, (l, r) -> named_struct('n', l.n - r.n, 'x', l.x ^ r.x, 'c', l.c ^ r.c))"
-    single = f"(q, i) -> abs(q.n) = 1 and q.c = {_check('q.x')} and {_hits('q.x', 'i', cells)}"
-    pure = f"array_distinct(transform(filter(s.cells, {single}), q -> named_struct('n', q.n, 'x', q.x)))"
-    without = f"aggregate(filter(o, p -> {_hits('p.x', 'j', cells)}), q, (acc, p) -> named_struct('n', acc.n - p.n, 'x', acc.x ^ p.x, 'c', acc.c ^ {_check('p.x')}))"
-    after = f"if(size(o) = 0, s, named_struct('cells', transform(s.cells, (q, j) -> {without}), 'found', s.found + size(o)))"
-    step = f"transform(array({pure}), o -> {after})[0]"
-    state = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {start}, 'found', 0), (s, t) -> {step})"
+    single = "q -> abs(q.n) = 1 and q.c = xxhash64(q.x, 'check')"
+    entries = f"transform(filter(s.cells, {single}), q -> named_struct('n', q.n, {_entry('q.x', cells)}))"
+    without = "aggregate(filter(o, p -> p.a = j or p.b = j or p.d = j), q, (acc, p) -> named_struct('n', acc.n - p.n, 'x', acc.x ^ p.x, 'c', acc.c ^ p.c))"
+    after = f"named_struct('cells', if(size(o) = 0, s.cells, transform(s.cells, (q, j) -> {without})), 'found', s.found + size(o), 'done', size(o) = 0)"
+    step = f"if(s.done, s, transform(array(array_distinct({entries})), o -> {after})[0])"
+    state = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {start}, 'found', 0, 'done', false), (s, t) -> {step})"
     return f"transform(array({state}), e -> if(forall(e.cells, q -> q.n = 0 and q.x = 0 and q.c = 0), e.found, null))[0]"
 
 
 def _retry_sql(a: str, b: str, cells: int) -> str:
     """SQL: the same with the digests in blocks; null if a block can't be peeled."""
-    blocks = f"greatest(1, cast(ceil((size({a}) + size({b})) / {BLOCK}) as int))"
-    of = lambda keys: f"filter({keys}, k -> pmod(shiftrightunsigned(k, 7), {blocks}) = w)"
+    of = lambda keys: f"filter({keys}, k -> pmod(shiftrightunsigned(k, 7), blocks) = w)"
     one = peel_sql(table_sql(of(a), cells), table_sql(of(b), cells), cells)
-    return f"aggregate(transform(sequence(0, {blocks} - 1), w -> {one}), 0, (acc, v) -> acc + v)"
+    count = f"greatest(1, cast(ceil((size({a}) + size({b})) / {BLOCK}) as int))"
+    return f"transform(array({count}), blocks -> aggregate(transform(sequence(0, blocks - 1), w -> {one}), 0, (acc, v) -> acc + v))[0]"
 
 
 def likeness(a: str, table_a: str, b: str, table_b: str) -> Column:
