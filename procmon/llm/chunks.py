@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SEP = "\x00"
-MAX_CHUNKS = 1_000_000  # cached chunks per worker process; the cache starts anew beyond it
+MAX_CHUNKS = 700_000  # cached chunks per worker process; the cache starts anew beyond it
 _LATIN = {"byte": re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+"), "word": re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")}
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 

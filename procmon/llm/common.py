@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from procmon.session import checkpoint_dir, shuffle_partitions
 
-BATCH_BYTES = 8 << 20  # text bytes an operator handles at a time inside a task
+BATCH_BYTES = 4 << 20  # text bytes an operator handles at a time inside a task
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

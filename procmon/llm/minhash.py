@@ -139,7 +139,7 @@ def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of the batches with: shingles, rows that have any, where theirs begin, and two hashes of each set."""
-    for b in slices(batches, "t", 4 << 20):
+    for b in slices(batches, "t", 1 << 20):
         for i in range(0, b.num_rows, ROWS):
             part = b.slice(i, ROWS)
             values, owner = shingles(texts(part, "t"))
