@@ -259,7 +259,7 @@ def calibrate(val_pred: DataFrame, test_pred: DataFrame, label: str, exits: int,
             out = m.transform(test_v).withColumn(p, F.col("prediction"))
         out = out.drop("features", "rawPrediction", "probability", "prediction")
     total = sum((F.col(f"p_{label}_{c}") for c in range(exits)), F.lit(0.0))
-    return out.withColumns({f"p_{label}_{c}": F.when(total > 0, F.col(f"p_{label}_{c}") / total) for c in range(exits)})
+    return out.withColumns({f"p_{label}_{c}": F.when(total > 0, F.col(f"p_{label}_{c}") / total).when(total == 0, F.lit(1.0 / exits)) for c in range(exits)})
 
 
 def save_models(lm: LabelModels, path: str) -> None:

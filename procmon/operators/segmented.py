@@ -157,14 +157,15 @@ def encode_segmented(
         elif name.startswith("_pr_"):
             carry[f"_cr_{name[4:]}"] = F.lag(name, 1).over(wp)
     carry_tab = seg_tab.select(spec.case, "_seg", *[v.alias(k) for k, v in carry.items()])
-    x = x.join(carry_tab, on=[spec.case, "_seg"], how="inner")
+    x = _join_carry(x, spec, carry_tab)
     if "index" in parts and max_events:
         # values of the first events of the case, by their position in the case
         pos = F.col("_cn") + F.col("_rn")
         first = x.where(pos <= max_events).groupBy(spec.case).agg(
             *[F.max_by(col(c), F.when(pos == i + 1, pos)).alias(f"_i_{c}_{i}") for i in range(max_events) for c in (*dyn_num, *dyn_cat)]
         )
-        x = x.join(first, on=spec.case, how="left")
+        first = first.withColumnRenamed(spec.case, "_fcase")
+        x = x.join(first, col(spec.case).eqNullSafe(F.col("_fcase")), "left").drop("_fcase")
 
     # 3. combine
     nr = F.col("_cn") + F.col("_rn")
@@ -257,7 +258,7 @@ def case_context(df: DataFrame, spec: LogSpec, hot: DataFrame | None, lag=(), le
     carry.update({f"_cfs_{c}": F.first(f"_pf_{c}", ignorenulls=True).over(before) for c in first})
     carry.update({f"_max_{c}": F.max(f"_pmax_{c}").over(whole) for c in case_max})
     carry_tab = seg_tab.select(spec.case, "_seg", *[v.alias(k) for k, v in carry.items()])
-    x = x.join(carry_tab, on=[spec.case, "_seg"], how="inner")
+    x = _join_carry(x, spec, carry_tab)
     out = {"_pos": F.col("_cn") + F.col("_rn")}
     out.update({f"_lag_{c}": F.when(F.col("_rn") == 1, F.col(f"_cprev_{c}")).otherwise(F.col(f"_lg_{c}")) for c in lag})
     out.update({f"_lead_{c}": F.when(F.col("_rn") == F.col("_segn"), F.col(f"_cnext_{c}")).otherwise(F.col(f"_ld_{c}")) for c in lead})
@@ -268,6 +269,12 @@ def case_context(df: DataFrame, spec: LogSpec, hot: DataFrame | None, lag=(), le
     return x.drop("_seg", *helper)
 
 
+def _join_carry(x: DataFrame, spec: LogSpec, carry_tab: DataFrame) -> DataFrame:
+    """Attach each segment's carry-in to its events; the events without a case id form a case of their own."""
+    carry = carry_tab.withColumnRenamed(spec.case, "_ccase").withColumnRenamed("_seg", "_cseg")
+    return x.join(carry, col(spec.case).eqNullSafe(F.col("_ccase")) & (F.col("_seg") == F.col("_cseg")), "inner").drop("_ccase", "_cseg")
+
+
 def case_join(df: DataFrame, spec: LogSpec, cases: DataFrame, how: str, hot: DataFrame | None) -> DataFrame:
     """Join of the events with a table keyed by case (semi, anti, inner or left), salted for
     hot cases.

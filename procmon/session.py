@@ -37,7 +37,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Taken from ``spark.checkpoint.dir`` (the cluster's shared folder).  Only when
-    the session names none (tests on one machine) a scratch folder is created.
+    the session names none and runs on one machine (``local``, as in tests) a
+    scratch folder is created; on a cluster a missing setting is an error, since
+    executors can't read the driver's folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="procmon-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

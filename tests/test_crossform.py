@@ -195,6 +195,18 @@ def test_segmented_case_windows_equal_plain(spark):
     assert a == b and len(a) > 0
 
 
+def test_segmented_ffill_keeps_events_without_a_case(spark):
+    from procmon.operators import clean as P
+    from procmon.operators import segmented as S
+
+    spec = EL1N.with_(case="user_case")
+    df = el1(spark, SF_SMALL, nulls=True)
+    df = df.withColumn(spec.case, F.when(F.col("event_id") % 50 != 0, F.col(spec.case)))
+    ff = ["value_n", "segment_n"]
+    hot = S.hot_cases(df, spec, 2)
+    assert _rows(P.ffill(df, spec, ff), ["event_id"], ff) == _rows(P.ffill(df, spec, ff, hot=hot), ["event_id"], ff)
+
+
 def test_clean_log_with_hot_cases_equals_plain(spark):
     from procmon.operators import clean as P
 
