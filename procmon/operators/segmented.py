@@ -1,13 +1,14 @@
 """Prefix encoding for logs with very large cases (hot keys of the case window).
 
 A window ``partitionBy(case)`` puts every event of a case into one task.  When a
-case holds a large share of the log, it is cut into consecutive *segments*
-(equal-width ranges of its timestamps, or of its tiebreak when all its events
-share one timestamp), so each segment is its own window
-partition.  Every running value is then computed inside the segment and
-combined with a carry-in from the earlier segments of the case:
+case holds a large share of the log, it is cut into consecutive *segments* at
+quantiles of its own timestamps; a timestamp that holds a segment's worth of
+events is cut further at quantiles of the (numeric) tiebreak.  Each segment is
+its own window partition.  Every running value is then computed inside the
+segment and combined with a carry-in from the earlier segments of the case:
 
-* counts, sums, sums of squares, level counts: added;
+* counts, sums, level counts: added;
+* mean and sum of squared deviations: merged pairwise, without sums of squares;
 * minimum / maximum / presence: combined with least / greatest;
 * first non-null: the earliest segment's value wins; last non-null: the latest;
 * previous event (lag): the last row of the preceding segment;
@@ -15,8 +16,8 @@ combined with a carry-in from the earlier segments of the case:
 
 The carry-in comes from a table with one row per (case, segment) - small, and
 split the same way - joined back on (case, segment).  Cases below the threshold
-form a single segment, so the result equals ``encode`` exactly up to the
-rounding of the standard deviation, which here comes from sums of squares.
+form a single segment, so the result equals ``encode`` up to the last digits of
+sums, means and standard deviations of cases that are cut.
 """
 
 from __future__ import annotations
@@ -35,46 +36,101 @@ HOT_CASE_ROWS = 5_000_000
 MAX_HOT_CASES = 100_000
 
 
+# quantiles asked for per segment of the largest hot case: segments stay near the limit
+FINENESS = 4
+MAX_QUANTILES = 10_000
+_NUMERIC = ("bigint", "int", "smallint", "tinyint", "double", "float")
+
+
+def _cuts(rows: DataFrame, keys: list[str], value: str, steps: int, max_rows: int) -> DataFrame:
+    """``keys`` with ``_b``: about ``FINENESS`` quantiles of ``value`` per ``max_rows`` rows, without repeats.
+
+    All groups share ``steps`` quantiles; smaller groups keep one in each stride."""
+    share = [i / steps for i in range(1, steps)]
+    per_group = rows.groupBy(*keys).agg(F.percentile_approx(value, share, MAX_QUANTILES * FINENESS).alias("_q"), F.count(F.lit(1)).alias("_m"))
+    stride = F.greatest(F.lit(1), F.floor(F.lit(steps) / (FINENESS * F.ceil(F.col("_m") / max_rows)))).cast("int")
+    return per_group.select(*keys, F.array_distinct(F.filter("_q", lambda v, i: (i + 1) % stride == 0)).alias("_b"))
+
+
 def hot_cases(df: DataFrame, spec: LogSpec, max_rows: int = HOT_CASE_ROWS) -> DataFrame | None:
-    """``(case, _nseg, _lo, _span)`` for cases with more than ``max_rows`` events, or None."""
-    numeric_tb = dict(df.dtypes).get(spec.tiebreak) in ("bigint", "int", "smallint", "tinyint")
-    tb = col(spec.tiebreak) if numeric_tb else F.lit(0)
-    per_case = df.groupBy(col(spec.case).alias(spec.case)).agg(
-        F.count(F.lit(1)).alias("_n"),
-        epoch_micros(F.min(col(spec.ts))).alias("_lo"),
-        epoch_micros(F.max(col(spec.ts))).alias("_hi"),
-        F.min(tb).alias("_tlo"),
-        F.max(tb).alias("_thi"),
-    )
-    rows = bounded_collect(per_case.where(F.col("_n") > max_rows), MAX_HOT_CASES)
+    """``(case, _nseg, _bounds, _ties)`` for cases with more than ``max_rows`` events, or None.
+
+    Reads the log once to count; only if there are hot cases, their events are
+    read again for the cuts.  ``_bounds`` are cut timestamps in microseconds;
+    ``_ties`` maps a cut timestamp that alone exceeds ``max_rows`` to cuts of its
+    tiebreak.  Both grow with the case's events over ``max_rows``.
+    """
+    case = col(spec.case).alias(spec.case)
+    counts = df.groupBy(case).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    rows = bounded_collect(counts, MAX_HOT_CASES)
     if rows is None:
         raise ValueError(f"more than {MAX_HOT_CASES} cases above {max_rows} events")
     if not rows:
         return None
     spark = df.sparkSession
-    data = []
-    for r in rows:
-        nseg = -(-r["_n"] // max_rows)
-        if r["_hi"] > r["_lo"]:  # cut by time
-            data.append((r[spec.case], nseg, False, float(r["_lo"]), float(r["_hi"] - r["_lo"] + 1)))
-        else:  # every event at one timestamp: cut by the (numeric) tiebreak
-            data.append((r[spec.case], nseg if numeric_tb else 1, True, float(r["_tlo"]), float(r["_thi"] - r["_tlo"] + 1)))
-    return spark.createDataFrame(data, f"`{spec.case}` string, _nseg long, _bytb boolean, _lo double, _span double")
+    kind = df.select(case).schema[0].dataType.simpleString()
+    sizes = spark.createDataFrame([(r[spec.case], -(-r["_n"] // max_rows)) for r in rows], f"_c {kind}, _nseg long")
+    steps = min(MAX_QUANTILES, FINENESS * max(-(-r["_n"] // max_rows) for r in rows))
+    numeric = dict(df.dtypes).get(spec.tiebreak) in _NUMERIC
+    tie = col(spec.tiebreak).cast("double") if numeric else F.lit(0.0)
+    events = df.select(case.alias("_k"), epoch_micros(col(spec.ts)).alias("_t"), tie.alias("_tie"))
+    events = events.join(F.broadcast(sizes), F.col("_k").eqNullSafe(F.col("_c"))).drop("_k")
+    bounds = _cuts(events, ["_c"], "_t", steps, max_rows).withColumnRenamed("_b", "_bounds")
+    hot = sizes.join(bounds.withColumnRenamed("_c", "_k"), F.col("_c").eqNullSafe(F.col("_k")), "left").drop("_k")
+    schema = f"`{spec.case}` {kind}, _nseg long, _bounds array<bigint>, _ties map<bigint,array<double>>"
+    ties: dict = {}
+    if numeric:
+        heavy = events.groupBy("_c", "_t").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+        heavy = bounded_collect(heavy, MAX_HOT_CASES)
+        if heavy is None:
+            raise ValueError(f"more than {MAX_HOT_CASES} timestamps above {max_rows} events")
+        if heavy:
+            keys = spark.createDataFrame([(r["_c"], r["_t"]) for r in heavy], f"_hc {kind}, _ht long")
+            tied = events.join(F.broadcast(keys), F.col("_c").eqNullSafe(F.col("_hc")) & F.col("_t").eqNullSafe(F.col("_ht")))
+            for r in _cuts(tied, ["_c", "_t"], "_tie", steps, max_rows).collect():  # one row per heavy timestamp
+                if r["_t"] is not None and r["_b"]:
+                    ties.setdefault(r["_c"], {})[r["_t"]] = r["_b"]
+    # a heavy timestamp is a bound of its own, whatever the quantiles say
+    data = [(r["_c"], r["_nseg"], sorted({*(r["_bounds"] or []), *ties.get(r["_c"], {})}), ties.get(r["_c"], {})) for r in hot.collect()]
+    return spark.createDataFrame(data, schema)
 
 
 def with_segments(df: DataFrame, spec: LogSpec, hot: DataFrame | None) -> DataFrame:
-    """``_seg``: segment of each event (0 for cases that are not hot)."""
+    """``_seg``: segment of each event, in the order of the case (0 for cases that are not hot)."""
     if hot is None:
-        return df.withColumn("_seg", F.lit(0))
-    # the hot-case table has at most MAX_HOT_CASES rows
-    x = df.join(F.broadcast(hot), on=spec.case, how="left")
-    numeric_tb = dict(df.dtypes).get(spec.tiebreak) in ("bigint", "int", "smallint", "tinyint")
-    value = epoch_micros(col(spec.ts)).cast("double")
-    if numeric_tb:
-        value = F.when(F.col("_bytb"), col(spec.tiebreak).cast("double")).otherwise(value)
-    pos = F.floor((value - F.col("_lo")) * F.col("_nseg") / F.col("_span"))
-    seg = F.least(F.greatest(pos, F.lit(0)), F.col("_nseg") - 1)
-    return x.withColumn("_seg", F.coalesce(seg, F.lit(0)).cast("int")).drop("_nseg", "_bytb", "_lo", "_span")
+        return df.withColumn("_seg", F.lit(0).cast("long"))
+    # the hot-case table has at most MAX_HOT_CASES rows, and bounds in proportion to the events over the limit
+    h = F.broadcast(hot.withColumnRenamed(spec.case, "_hcase"))
+    x = df.join(h, col(spec.case).eqNullSafe(F.col("_hcase")), "left")
+    at = epoch_micros(col(spec.ts))
+    below = lambda cuts, v: F.coalesce(F.size(F.filter(cuts, lambda b: b < v)), F.lit(0))
+    # timestamps between two bounds share a segment; a bound itself is the next one
+    seg = (2 * below(F.col("_bounds"), at) + F.coalesce(F.array_contains("_bounds", at), F.lit(False)).cast("int")).cast("long") * MAX_QUANTILES * FINENESS
+    if dict(df.dtypes).get(spec.tiebreak) in _NUMERIC:
+        cuts = F.try_element_at(F.col("_ties"), at)
+        seg = seg + F.when(cuts.isNotNull(), below(cuts, col(spec.tiebreak).cast("double"))).otherwise(F.lit(0))
+    return x.withColumn("_seg", F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(seg).cast("long")).drop("_hcase", "_nseg", "_bounds", "_ties")
+
+
+def _merged(parts: Column) -> Column:
+    """(n, mean, m2) of several such parts, merged pairwise."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(parts, zero, _merge)
+
+
+def _merge(a: Column, b: Column) -> Column:
+    n, delta = a["n"] + b["n"], b["mean"] - a["mean"]
+    both = F.struct(
+        n.cast("long").alias("n"),
+        (a["mean"] + delta * b["n"] / n).alias("mean"),
+        (a["m2"] + b["m2"] + delta * delta * a["n"] * b["n"] / n).alias("m2"),
+    )
+    return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(both)
+
+
+def _moments(n: Column, mean: Column, var: Column) -> Column:
+    """(n, mean, m2) from a count, a mean and a population variance; null parts count as empty."""
+    return F.struct(n.cast("long").alias("n"), F.coalesce(mean, F.lit(0.0)).alias("mean"), F.coalesce(var * n, F.lit(0.0)).alias("m2"))
 
 
 def _num(c: Column) -> Column:
@@ -123,9 +179,9 @@ def encode_segmented(
     if agg_like:
         for c in dyn_num:
             v = col(c).cast("double")
-            local.update({f"_s_{c}": F.sum(v).over(wsr), f"_q_{c}": F.sum(v * v).over(wsr), f"_n_{c}": F.count(v).over(wsr),
+            local.update({f"_s_{c}": F.sum(v).over(wsr), f"_q_{c}": _moments(F.count(v).over(wsr), F.avg(v).over(wsr), F.var_pop(v).over(wsr)),
                           f"_mn_{c}": F.min(v).over(wsr), f"_mx_{c}": F.max(v).over(wsr)})
-            part_aggs += [F.sum(v).alias(f"_ps_{c}"), F.sum(v * v).alias(f"_pq_{c}"), F.count(v).alias(f"_pn_{c}"),
+            part_aggs += [F.sum(v).alias(f"_ps_{c}"), _moments(F.count(v), F.avg(v), F.var_pop(v)).alias(f"_pq_{c}"),
                           F.min(v).alias(f"_pmn_{c}"), F.max(v).alias(f"_pmx_{c}")]
         for c in dyn_cat:
             for lv in vocab[c]:
@@ -140,28 +196,30 @@ def encode_segmented(
 
     # 2. carry-in from the earlier segments of the case (one row per case and segment)
     seg_tab = x.groupBy(col(spec.case).alias(spec.case), "_seg").agg(*part_aggs)
-    wp = Window.partitionBy(spec.case).orderBy("_seg")
+    wp = Window.partitionBy(col(spec.case)).orderBy("_seg")
     before = wp.rowsBetween(Window.unboundedPreceding, -1)
-    carry = {"_cn": F.coalesce(F.sum("_pn").over(before), F.lit(0)), "_tot": F.sum("_pn").over(Window.partitionBy(spec.case))}
+    carry = {"_cn": F.coalesce(F.sum("_pn").over(before), F.lit(0)), "_tot": F.sum("_pn").over(Window.partitionBy(col(spec.case)))}
     for name in seg_tab.columns:
         if name.startswith("_pf_"):
-            carry[f"_cf_{name[4:]}"] = F.first(name, ignorenulls=True).over(before)
+            carry[f"_cf_{name[4:]}"] = F.first(col(name), ignorenulls=True).over(before)
         elif name.startswith("_pl_"):
-            carry[f"_cl_{name[4:]}"] = F.last(name, ignorenulls=True).over(before)
-        elif name.startswith(("_ps_", "_pq_", "_pn_", "_pc_")):
-            carry["_c" + name[2:]] = F.sum(name).over(before)
+            carry[f"_cl_{name[4:]}"] = F.last(col(name), ignorenulls=True).over(before)
+        elif name.startswith("_pq_"):  # at most one part per segment of the case
+            carry["_c" + name[2:]] = _merged(F.collect_list(col(name)).over(before))
+        elif name.startswith(("_ps_", "_pc_")):
+            carry["_c" + name[2:]] = F.sum(col(name)).over(before)
         elif name.startswith("_pmn_"):
-            carry[f"_cmn_{name[5:]}"] = F.min(name).over(before)
+            carry[f"_cmn_{name[5:]}"] = F.min(col(name)).over(before)
         elif name.startswith("_pmx_"):
-            carry[f"_cmx_{name[5:]}"] = F.max(name).over(before)
+            carry[f"_cmx_{name[5:]}"] = F.max(col(name)).over(before)
         elif name.startswith("_pr_"):
-            carry[f"_cr_{name[4:]}"] = F.lag(name, 1).over(wp)
-    carry_tab = seg_tab.select(spec.case, "_seg", *[v.alias(k) for k, v in carry.items()])
+            carry[f"_cr_{name[4:]}"] = F.lag(col(name), 1).over(wp)
+    carry_tab = seg_tab.select(col(spec.case), "_seg", *[v.alias(k) for k, v in carry.items()])
     x = _join_carry(x, spec, carry_tab)
     if "index" in parts and max_events:
         # values of the first events of the case, by their position in the case
         pos = F.col("_cn") + F.col("_rn")
-        first = x.where(pos <= max_events).groupBy(spec.case).agg(
+        first = x.where(pos <= max_events).groupBy(col(spec.case).alias(spec.case)).agg(
             *[F.max_by(col(c), F.when(pos == i + 1, pos)).alias(f"_i_{c}_{i}") for i in range(max_events) for c in (*dyn_num, *dyn_cat)]
         )
         first = first.withColumnRenamed(spec.case, "_fcase")
@@ -173,40 +231,39 @@ def encode_segmented(
     for p in parts:
         if p == "static":
             for c in st_num:
-                feats[f"static__{c}"] = _num(F.coalesce(F.col(f"_cf_{c}"), F.col(f"_f_{c}")))
+                feats[f"static__{c}"] = _num(F.coalesce(col(f"_cf_{c}"), col(f"_f_{c}")))
             for c in st_cat:
-                feats.update(one_hot(F.coalesce(F.col(f"_cf_{c}"), F.col(f"_f_{c}")), vocab[c], f"static__{c}"))
+                feats.update(one_hot(F.coalesce(col(f"_cf_{c}"), col(f"_f_{c}")), vocab[c], f"static__{c}"))
         elif p == "last":
             for c in dyn_num:
-                feats[f"last__{c}"] = _num(F.coalesce(F.col(f"_l_{c}"), F.col(f"_cl_{c}")))
+                feats[f"last__{c}"] = _num(F.coalesce(col(f"_l_{c}"), col(f"_cl_{c}")))
             for c in dyn_cat:
-                feats.update(one_hot(F.coalesce(F.col(f"_l_{c}"), F.col(f"_cl_{c}")), vocab[c], f"last__{c}"))
+                feats.update(one_hot(F.coalesce(col(f"_l_{c}"), col(f"_cl_{c}")), vocab[c], f"last__{c}"))
         elif p in ("agg", "bool"):
             for c in dyn_num:
-                s = F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) + F.coalesce(F.col(f"_cs_{c}"), F.lit(0.0))
-                q = F.coalesce(F.col(f"_q_{c}"), F.lit(0.0)) + F.coalesce(F.col(f"_cq_{c}"), F.lit(0.0))
-                n = F.col(f"_n_{c}") + F.coalesce(F.col(f"_cn_{c}"), F.lit(0))
-                var = (q - s * s / n) / (n - 1)
+                s = F.coalesce(col(f"_s_{c}"), F.lit(0.0)) + F.coalesce(col(f"_cs_{c}"), F.lit(0.0))
+                whole = _merge(col(f"_cq_{c}"), col(f"_q_{c}"))
+                n = whole["n"]
                 feats[f"{p}__mean_{c}"] = _num(F.when(n > 0, s / n))
-                feats[f"{p}__max_{c}"] = _num(F.greatest(F.col(f"_mx_{c}"), F.col(f"_cmx_{c}")))
-                feats[f"{p}__min_{c}"] = _num(F.least(F.col(f"_mn_{c}"), F.col(f"_cmn_{c}")))
+                feats[f"{p}__max_{c}"] = _num(F.greatest(col(f"_mx_{c}"), col(f"_cmx_{c}")))
+                feats[f"{p}__min_{c}"] = _num(F.least(col(f"_mn_{c}"), col(f"_cmn_{c}")))
                 feats[f"{p}__sum_{c}"] = _num(F.when(n > 0, s))
-                feats[f"{p}__std_{c}"] = _num(F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))))
+                feats[f"{p}__std_{c}"] = _num(F.when(n > 1, F.sqrt(whole["m2"] / (n - 1))))
             for c in dyn_cat:
                 for lv in vocab[c]:
-                    total = F.col(f"_c_{c}_{lv}") + F.coalesce(F.col(f"_cc_{c}_{lv}"), F.lit(0.0))
+                    total = col(f"_c_{c}_{lv}") + F.coalesce(col(f"_cc_{c}_{lv}"), F.lit(0.0))
                     feats[f"{p}__{c}_{lv}"] = F.least(total, F.lit(1.0)) if p == "bool" else total
         elif p == "index":
             for i in range(max_events):
                 for c in dyn_num:
-                    feats[f"index__{c}_{i}"] = _num(F.when(nr >= i + 1, F.col(f"_i_{c}_{i}")))
+                    feats[f"index__{c}_{i}"] = _num(F.when(nr >= i + 1, col(f"_i_{c}_{i}")))
                 for c in dyn_cat:
-                    feats.update(one_hot(F.when(nr >= i + 1, F.col(f"_i_{c}_{i}")), vocab[c], f"index__{c}_{i}"))
+                    feats.update(one_hot(F.when(nr >= i + 1, col(f"_i_{c}_{i}")), vocab[c], f"index__{c}_{i}"))
         elif p == "previous":
             for c in dyn_num:
-                feats[f"previous__{c}"] = _num(F.when(F.col("_rn") == 1, F.col(f"_cr_{c}")).otherwise(F.col(f"_p_{c}")))
+                feats[f"previous__{c}"] = _num(F.when(F.col("_rn") == 1, col(f"_cr_{c}")).otherwise(col(f"_p_{c}")))
             for c in dyn_cat:
-                prev = F.when(F.col("_rn") == 1, F.col(f"_cr_{c}")).otherwise(F.col(f"_p_{c}"))
+                prev = F.when(F.col("_rn") == 1, col(f"_cr_{c}")).otherwise(col(f"_p_{c}"))
                 feats.update(one_hot(prev, vocab[c], f"previous__{c}"))
     out = x.select(case.alias(spec.case), nr.cast("int").alias(key), F.col("_tot").alias("_len"), *[col(k).alias(k) for k in keep],
                    *[c.alias(n) for n, c in feats.items()])
@@ -248,22 +305,22 @@ def case_context(df: DataFrame, spec: LogSpec, hot: DataFrame | None, lag=(), le
         aggs.append(F.max(col(c)).alias(f"_pmax_{c}"))
     x = x.withColumns(local)
     seg_tab = x.groupBy(col(spec.case).alias(spec.case), "_seg").agg(*aggs)
-    wp = Window.partitionBy(spec.case).orderBy("_seg")
+    wp = Window.partitionBy(col(spec.case)).orderBy("_seg")
     before = wp.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(spec.case)
+    whole = Window.partitionBy(col(spec.case))
     carry = {"_cn": F.coalesce(F.sum("_pn").over(before), F.lit(0)), "_len": F.sum("_pn").over(whole), "_segn": F.col("_pn")}
-    carry.update({f"_cprev_{c}": F.lag(f"_plast_{c}").over(wp) for c in lag})
-    carry.update({f"_cnext_{c}": F.lead(f"_pfirst_{c}").over(wp) for c in lead})
-    carry.update({f"_cff_{c}": F.last(f"_pl_{c}", ignorenulls=True).over(before) for c in ffill})
-    carry.update({f"_cfs_{c}": F.first(f"_pf_{c}", ignorenulls=True).over(before) for c in first})
-    carry.update({f"_max_{c}": F.max(f"_pmax_{c}").over(whole) for c in case_max})
-    carry_tab = seg_tab.select(spec.case, "_seg", *[v.alias(k) for k, v in carry.items()])
+    carry.update({f"_cprev_{c}": F.lag(col(f"_plast_{c}")).over(wp) for c in lag})
+    carry.update({f"_cnext_{c}": F.lead(col(f"_pfirst_{c}")).over(wp) for c in lead})
+    carry.update({f"_cff_{c}": F.last(col(f"_pl_{c}"), ignorenulls=True).over(before) for c in ffill})
+    carry.update({f"_cfs_{c}": F.first(col(f"_pf_{c}"), ignorenulls=True).over(before) for c in first})
+    carry.update({f"_max_{c}": F.max(col(f"_pmax_{c}")).over(whole) for c in case_max})
+    carry_tab = seg_tab.select(col(spec.case), "_seg", *[v.alias(k) for k, v in carry.items()])
     x = _join_carry(x, spec, carry_tab)
     out = {"_pos": F.col("_cn") + F.col("_rn")}
-    out.update({f"_lag_{c}": F.when(F.col("_rn") == 1, F.col(f"_cprev_{c}")).otherwise(F.col(f"_lg_{c}")) for c in lag})
-    out.update({f"_lead_{c}": F.when(F.col("_rn") == F.col("_segn"), F.col(f"_cnext_{c}")).otherwise(F.col(f"_ld_{c}")) for c in lead})
-    out.update({f"_ffill_{c}": F.coalesce(F.col(f"_ff_{c}"), F.col(f"_cff_{c}")) for c in ffill})
-    out.update({f"_first_{c}": F.coalesce(F.col(f"_cfs_{c}"), F.col(f"_fs_{c}")) for c in first})
+    out.update({f"_lag_{c}": F.when(F.col("_rn") == 1, col(f"_cprev_{c}")).otherwise(col(f"_lg_{c}")) for c in lag})
+    out.update({f"_lead_{c}": F.when(F.col("_rn") == F.col("_segn"), col(f"_cnext_{c}")).otherwise(col(f"_ld_{c}")) for c in lead})
+    out.update({f"_ffill_{c}": F.coalesce(col(f"_ff_{c}"), col(f"_cff_{c}")) for c in ffill})
+    out.update({f"_first_{c}": F.coalesce(col(f"_cfs_{c}"), col(f"_fs_{c}")) for c in first})
     x = x.withColumns(out)
     helper = [c for c in x.columns if c.startswith(("_rn", "_lg_", "_ld_", "_ff_", "_fs_", "_cn", "_segn", "_cprev_", "_cnext_", "_cff_", "_cfs_"))]
     return x.drop("_seg", *helper)

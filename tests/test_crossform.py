@@ -207,6 +207,41 @@ def test_segmented_ffill_keeps_events_without_a_case(spark):
     assert _rows(P.ffill(df, spec, ff), ["event_id"], ff) == _rows(P.ffill(df, spec, ff, hot=hot), ["event_id"], ff)
 
 
+def test_segments_of_a_burst_stay_near_the_limit(spark):
+    from procmon.operators.segmented import hot_cases, with_segments
+    from procmon.spec import LogSpec
+
+    # 3 events spread over a year, 997 within one second, 500 of them in one microsecond; no case id
+    rows = [(None, "a", i, i * 10**13) for i in range(3)] + [(None, "a", i, 10**13 + 1 + max(0, i - 500) * 1000) for i in range(3, 1000)]
+    df = spark.createDataFrame(rows, "c string, a string, e long, us long").withColumn("t", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, us / 1e6)"))
+    spec = LogSpec(case="c", activity="a", ts="t", tiebreak="e")
+    x = with_segments(df, spec, hot_cases(df, spec, 100))
+    sizes = [r["count"] for r in x.groupBy("_seg").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 200
+    segs = [r["_seg"] for r in x.orderBy("t", "e").collect()]
+    assert segs == sorted(segs)
+
+
+def test_segmented_encoder_with_large_offsets_and_events_without_a_case(spark):
+    from procmon.operators.segmented import encode_segmented
+    from procmon.spec import LogSpec
+
+    spec = LogSpec(case="c.id", activity="a", ts="t", tiebreak="e", dynamic_cat=("a",), dynamic_num=("Cost.Code",))
+    rows = [(None if i % 3 == 0 else "x", "0.5" if i % 2 else "b c", i, 1e9 + i % 4 if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "`c.id` string, a string, e long, `Cost.Code` double").withColumn("t", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, cast(e as int))"))
+    vocab = E.fit_vocab(df, ("a",))
+    for method in ("combined", "agg", "last", "previous"):
+        plain, cut = (
+            {(r["c.id"], r.prefix_len): r.asDict() for r in out.collect()}
+            for out in (E.encode(df, spec, vocab, method, 1, 100), encode_segmented(df, spec, vocab, method, 1, 100, max_events=3, max_rows=4))
+        )
+        assert plain.keys() == cut.keys() and len(plain) == 58
+        for k, r in plain.items():
+            for name, v in r.items():
+                if isinstance(v, float):
+                    assert abs(v - cut[k][name]) <= 1e-9 * max(1.0, abs(v)), (method, k, name)
+
+
 def test_clean_log_with_hot_cases_equals_plain(spark):
     from procmon.operators import clean as P
 
@@ -234,7 +269,7 @@ def test_segmented_open_cases_prefix_log_and_single_timestamp(spark):
     # one case whose events all share a timestamp: cut by the tiebreak
     same = df.withColumn("ts", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")))
     h2 = hot_cases(same, EL2, 3)
-    assert all(r["_bytb"] for r in h2.collect())
+    assert all(r["_ties"] for r in h2.collect())
     cols = ["timesincelastevent", "event_nr", "case_length"]
     assert _rows(T.standard_features(same, EL2), ["order_key"], cols) == _rows(T.standard_features(same, EL2, hot=h2), ["order_key"], cols)
 
