@@ -22,7 +22,7 @@ from procmon.operators import models as M
 from procmon.operators import split as D
 from procmon.operators import targets as L
 from procmon.session import checkpoint_dir
-from procmon.spec import LogSpec
+from procmon.spec import LogSpec, col
 
 # Most distinct formulas compiled into one CASE expression.
 MAX_FORMULAS = 2_000
@@ -35,7 +35,7 @@ def term_names(rs: RuleSet, exits: dict, k0: int = 1) -> tuple[list[str], dict]:
     names = list(rs.activities)
     pmap, k = {}, k0
     for g in rs.gateways:
-        for c in range(exits.get(g, 0)):
+        for c in M.class_list(exits.get(g, 0)):
             pmap[(g, c)] = f"p{k}"
             names.append(f"p{k}")
             k += 1
@@ -94,7 +94,8 @@ def attach_actual(pred: DataFrame, actual: DataFrame, method: str, cls: str, id_
 class FlowConfig:
     ratio: float = 0.8
     min_len: int = 2
-    max_len: int = 5
+    max_len: int | None = None  # longest prefix; None: all prefixes of the log
+    max_events: int | None = None  # events with columns of their own in index encodings; None: the longest prefix
     bucket: str = "zero"  # zero | prefix
     encoding: str = "combined"
     model: str = "mean"  # mean (M13) | rf | gbt | xgb | dt | logit (class only)
@@ -138,6 +139,21 @@ def _bucketed(p: DataFrame, how: str) -> DataFrame:
     return E.bucket_zero(p) if how == "zero" else E.bucket_prefix(p)
 
 
+# Index encodings hold a set of columns per event position; beyond this a plan can't hold them.
+MAX_INDEX_EVENTS = 200
+
+
+def index_events(train: DataFrame, spec: LogSpec, cfg: FlowConfig) -> int:
+    """How many event positions an index encoding has: the longest prefix of the training log, unless ``cfg`` names it."""
+    known = cfg.max_events or cfg.max_len
+    if known is None:
+        longest = train.groupBy(col(spec.case)).count().agg(F.max("count")).first()[0] or 1
+        known = max(1, longest - 1)
+        if known > MAX_INDEX_EVENTS:
+            raise ValueError(f"an index encoding of {known} events: name max_events")
+    return known
+
+
 def prepare(log: DataFrame, spec: LogSpec, cfg: FlowConfig):
     """Split, encode and bucket the prefixes of a log: ``(log, train_prefixes, test_prefixes)``."""
     return prepare_with_hot(log, spec, cfg)[:3]
@@ -155,8 +171,10 @@ def prepare_with_hot(log: DataFrame, spec: LogSpec, cfg: FlowConfig):
         vocab, method = E.Vocab({}), "none"
     else:
         vocab, method = E.fit_vocab(train, spec.cat_cols), cfg.encoding
-    train_p = _bucketed(E.encode(train, spec, vocab, method, cfg.min_len, cfg.max_len, keep=keep, hot=hot), cfg.bucket)
-    test_p = _bucketed(E.encode(test, spec, vocab, method, cfg.min_len, cfg.max_len, keep=keep, hot=hot), cfg.bucket)
+    events = index_events(train, spec, cfg) if "index" in E.METHODS[method] else 0
+    train_p, test_p = (
+        _bucketed(E.encode(part, spec, vocab, method, cfg.min_len, cfg.max_len, max_events=events, keep=keep, hot=hot), cfg.bucket) for part in (train, test)
+    )
     return log, train_p, test_p, hot
 
 
@@ -166,12 +184,12 @@ def predict_labels(train_p: DataFrame, test_p: DataFrame, targets: DataFrame, rs
     tr = train_p.join(targets.select(spec.case, *labels), on=spec.case, how="inner")
     if cfg.model == "mean":
         mt = M.mean_predictor(tr, rs.activities, {g: exits[g] for g in rs.gateways}, by="bucket")
-        cols = [f"pred_{a}" for a in rs.activities] + [f"p_{g}_{c}" for g in rs.gateways for c in range(exits[g])]
+        cols = [f"pred_{a}" for a in rs.activities] + [f"p_{g}_{c}" for g in rs.gateways for c in M.class_list(exits[g])]
         mt = mt.select("bucket", *[F.col(a).alias(f"pred_{a}") for a in rs.activities], *cols[len(rs.activities):])
         # buckets unseen in training: mean / class ratio over the defined targets (Q8)
         fb = M.mean_predictor(targets.withColumn("bucket", F.lit(1)), rs.activities, {g: exits[g] for g in rs.gateways}).first()
         fill = {f"pred_{a}": fb[a] for a in rs.activities}
-        fill.update({f"p_{g}_{c}": fb[f"p_{g}_{c}"] for g in rs.gateways for c in range(exits[g])})
+        fill.update({f"p_{g}_{c}": fb[f"p_{g}_{c}"] for g in rs.gateways for c in M.class_list(exits[g])})
         pred = test_p.select(*ID, "bucket").withColumns(bucket_lookup(mt, "bucket", cols, fill))
         for a in rs.activities:
             pred = M.clip_negative(pred, f"pred_{a}")
@@ -190,13 +208,22 @@ def predict_labels(train_p: DataFrame, test_p: DataFrame, targets: DataFrame, rs
     return out
 
 
+def gateway_classes(targets: DataFrame, gateways) -> dict:
+    """The defined classes of each gateway in ascending order (one row per gateway)."""
+    gateways = list(gateways)
+    if not gateways:
+        return {}
+    row = targets.agg(*[F.sort_array(F.collect_set(F.col(g).cast("int"))).alias(g) for g in gateways]).first()
+    return {g: list(row[g] or []) for g in gateways}
+
+
 def predict_flow(log: DataFrame, spec: LogSpec, rs: RuleSet, formulas_of, cfg: FlowConfig) -> DataFrame:
     """flow-analysis prediction of the remaining time; returns the detail table.
 
     ``formulas_of(test_prefixes)`` gives ``(case_id, prefix_len, formula)``."""
     log, train_p, test_p, hot = prepare_with_hot(log, spec, cfg)
     targets = L.build_targets(log, spec, rs, hot=hot)
-    exits = {r["gateway"]: r["exits"] for r in L.gateway_exits(targets, rs.gateways).collect()}
+    exits = gateway_classes(targets, rs.gateways)
     preds = predict_labels(train_p, test_p, targets, rs, exits, cfg, spec)
     terms = phantom_branches(term_table(test_p, preds, rs, exits, cfg.k0), cfg.k0)
     pred = evaluate_formulas(terms, formulas_of(test_p))

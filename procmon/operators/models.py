@@ -16,8 +16,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REGRESSORS = ("rf", "gbt", "xgb", "dt")
-CLASSIFIERS = ("rf", "gbt", "xgb", "dt", "logit")
+from procmon.spec import col
+
+BOOSTED = ("gbt", "xgb", "gbm")
+REGRESSORS = ("rf", *BOOSTED, "dt")
+CLASSIFIERS = (*REGRESSORS, "logit")
 
 
 def model(name: str, mode: str, params: dict | None = None, seed: int = 22):
@@ -35,7 +38,7 @@ def model(name: str, mode: str, params: dict | None = None, seed: int = 22):
     if name == "rf":
         kw.update(numTrees=trees, maxDepth=depth, featureSubsetStrategy=str(p.get("max_features", "auto")))
         return (R.RandomForestRegressor if mode == "regr" else C.RandomForestClassifier)(**kw)
-    if name in ("gbt", "xgb"):
+    if name in BOOSTED:
         kw.update(
             maxIter=trees,
             maxDepth=depth,
@@ -45,6 +48,8 @@ def model(name: str, mode: str, params: dict | None = None, seed: int = 22):
         )
         if "colsample_bytree" in p:
             kw["featureSubsetStrategy"] = str(float(p["colsample_bytree"]))
+        elif "max_features" in p:
+            kw["featureSubsetStrategy"] = str(p["max_features"])
         return (R.GBTRegressor if mode == "regr" else C.GBTClassifier)(**kw)
     if name == "dt":
         kw.update(maxDepth=depth)
@@ -55,12 +60,17 @@ def model(name: str, mode: str, params: dict | None = None, seed: int = 22):
     raise ValueError(f"no model {name!r} for mode {mode!r}")
 
 
+def class_list(exits) -> list:
+    """The classes of a gateway: a list of them, or ``0 .. n-1`` for a number ``n``."""
+    return list(range(exits)) if isinstance(exits, int) else list(exits)
+
+
 # -- small fallbacks (pure aggregation) -------------------------------------------
 
 
 def mean_predictor(prefixes: DataFrame, regr_labels, class_labels: dict, by: str = "bucket") -> DataFrame:
     """Per ``by`` group, the mean of each regression label and the frequency of each
-    class of each gateway (``class_labels``: gateway -> number of exits).  Rows with an undefined
+    class of each gateway (``class_labels``: gateway -> its classes, or their number).  Rows with an undefined
     label do not count (Q8).  Classes never seen get probability 0 (M9)."""
     aggs: list[Column] = [F.count(F.lit(1)).alias("n_prefixes")]
     for a in regr_labels:
@@ -69,7 +79,7 @@ def mean_predictor(prefixes: DataFrame, regr_labels, class_labels: dict, by: str
     for g, exits in class_labels.items():
         n = F.count(F.col(g))
         aggs.append(n.alias(f"n_{g}"))
-        for c in range(exits):
+        for c in class_list(exits):
             aggs.append((F.count(F.when(F.col(g) == c, F.lit(1))) / F.when(n > 0, n)).alias(f"p_{g}_{c}"))
     return prefixes.groupBy(by).agg(*aggs)
 
@@ -82,11 +92,11 @@ def small_data_fallback(prefixes: DataFrame, label: str, min_cases: int = 30, by
     return out.withColumn("use_fallback", F.col("n") < min_cases)
 
 
-def single_class_fallback(prefixes: DataFrame, label: str, exits: int, by: str = "bucket") -> DataFrame:
+def single_class_fallback(prefixes: DataFrame, label: str, exits, by: str = "bucket") -> DataFrame:
     """M6 / Q18: groups whose labelled prefixes hold one class get that class with probability 1."""
     g = prefixes.where(F.col(label).isNotNull()).groupBy(by)
     one = g.agg(F.count_distinct(label).alias("n_classes"), F.min(label).alias("cls")).where(F.col("n_classes") == 1)
-    return one.select(by, *[(F.col("cls") == c).cast("double").alias(f"p_{label}_{c}") for c in range(exits)])
+    return one.select(by, *[(F.col("cls") == c).cast("double").alias(f"p_{label}_{c}") for c in class_list(exits)])
 
 
 def clip_negative(df: DataFrame, name: str) -> DataFrame:
@@ -95,12 +105,12 @@ def clip_negative(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.when(c < 0, F.lit(0.0)).otherwise(c.cast("double")))
 
 
-def pad_classes(df: DataFrame, label: str, exits: int, prob_col: str = "probability") -> DataFrame:
+def pad_classes(df: DataFrame, label: str, exits, prob_col: str = "probability") -> DataFrame:
     """M9: a probability vector over the classes seen in training -> ``p_{label}_{c}`` for every
     exit ``c`` (missing classes 0)."""
     arr = vector_to_array(F.col(prob_col))
     return df.withColumns(
-        {f"p_{label}_{c}": F.coalesce(F.try_element_at(arr, F.lit(c + 1)), F.lit(0.0)) for c in range(exits)}
+        {f"p_{label}_{c}": F.coalesce(F.try_element_at(arr, F.lit(c + 1)), F.lit(0.0)) for c in class_list(exits)}
     )
 
 
@@ -120,14 +130,20 @@ class BucketModel:
 class LabelModels:
     label: str
     mode: str
-    exits: int = 0
+    exits: list = field(default_factory=list)  # the classes
     buckets: dict = field(default_factory=dict)
     features: list = field(default_factory=list)
     fallback: float | list | None = None  # for buckets unseen in training (B4)
 
 
+def _opaque(df: DataFrame, features) -> DataFrame:
+    """The features again under plain names ``_f0``, ``_f1``, ...: MLlib can't read names with dots."""
+    return df.withColumns({f"_f{i}": col(f) for i, f in enumerate(features)})
+
+
 def _assembler(features) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    """Of the columns that ``_opaque`` adds."""
+    return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features", handleInvalid="keep")
 
 
 def fit_buckets(
@@ -138,12 +154,14 @@ def fit_buckets(
     name: str = "rf",
     params: dict | None = None,
     min_cases: int = 30,
-    exits: int = 0,
+    exits=0,
     by: str = "bucket",
     seed: int = 22,
 ) -> LabelModels:
     """M7 with M5/M6: one model per bucket on the prefixes whose ``label`` is defined."""
-    data = prefixes.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double")).persist()
+    exits, features = class_list(exits), list(features)
+    data = _opaque(prefixes.where(F.col(label).isNotNull()), features)
+    data = data.select(by, F.col(label).cast("double").alias("label"), *[f"_f{i}" for i in range(len(features))]).persist()
     out = LabelModels(label, mode, exits, features=list(features))
     try:
         stats = data.groupBy(by).agg(
@@ -151,28 +169,28 @@ def fit_buckets(
             F.avg("label").alias("mean"),
             F.count_distinct("label").alias("k"),
             F.min("label").alias("lo"),
-            *[F.count(F.when(F.col("label") == c, F.lit(1))).alias(f"c{c}") for c in range(exits)],
+            *[F.count(F.when(F.col("label") == c, F.lit(1))).alias(f"c{c}") for c in exits],
         ).collect()  # one row per bucket
         total = sum(r["n"] for r in stats)
         if mode == "regr":
             out.fallback = sum((r["mean"] or 0.0) * r["n"] for r in stats) / total if total else None
         else:
-            out.fallback = [sum(r[f"c{c}"] for r in stats) / total if total else 0.0 for c in range(exits)]
+            out.fallback = [sum(r[f"c{c}"] for r in stats) / total if total else 0.0 for c in exits]
         for r in stats:
             b = r[by]
             if mode == "class" and r["k"] < 2:
-                probs = [1.0 if c == int(r["lo"]) else 0.0 for c in range(exits)]
+                probs = [1.0 if c == int(r["lo"]) else 0.0 for c in exits]
                 out.buckets[b] = BucketModel("onehot", probs=probs)
             elif r["n"] < min_cases:
                 if mode == "regr":
                     out.buckets[b] = BucketModel("mean", value=r["mean"])
                 else:
-                    out.buckets[b] = BucketModel("mean", probs=[r[f"c{c}"] / r["n"] for c in range(exits)])
-            elif mode == "class" and name in ("gbt", "xgb") and exits > 2:
+                    out.buckets[b] = BucketModel("mean", probs=[r[f"c{c}"] / r["n"] for c in exits])
+            elif mode == "class" and name in BOOSTED and (len(exits) > 2 or max(exits) > 1):
                 # MLlib boosting is binary: one model per exit (one-vs-rest), normalised at prediction
                 sub = data.where(F.col(by) == b)
                 per_class = []
-                for c in range(exits):
+                for c in exits:
                     if r[f"c{c}"] == 0:
                         per_class.append(None)
                         continue
@@ -188,23 +206,24 @@ def fit_buckets(
     return out
 
 
-def _const_cols(mode: str, label: str, exits: int, value) -> dict:
+def _const_cols(mode: str, label: str, exits: list, value) -> dict:
     if mode == "regr":
         return {f"pred_{label}": F.lit(value).cast("double")}
-    return {f"p_{label}_{c}": F.lit(float(value[c])) for c in range(exits)}
+    return {f"p_{label}_{c}": F.lit(float(v)) for c, v in zip(exits, value)}
 
 
 def predict_buckets(prefixes: DataFrame, lm: LabelModels, id_cols=("case_id", "prefix_len"), by: str = "bucket") -> DataFrame:
     """M7 (predict) with B4: per bucket the model, the fallback mean / frequencies, or - for
     buckets unseen in training - the label's overall training mean / class ratio."""
+    prefixes = _opaque(prefixes, lm.features)
     parts = []
     known = list(lm.buckets)
     for b, bm in lm.buckets.items():
         sub = prefixes.where(F.col(by) == b)
         if bm.kind == "ovr":
-            scored = sub.select(*id_cols, *[c for c in lm.features])
+            scored = sub.select(*id_cols, *[f"_f{i}" for i in range(len(lm.features))])
             raw = []
-            for c, pm in enumerate(bm.per_class):
+            for c, pm in zip(lm.exits, bm.per_class):
                 if pm is None:
                     scored = scored.withColumn(f"_s{c}", F.lit(0.0))
                 else:
@@ -212,7 +231,7 @@ def predict_buckets(prefixes: DataFrame, lm: LabelModels, id_cols=("case_id", "p
                     scored = t.drop("features", "rawPrediction", "probability", "prediction")
                 raw.append(F.col(f"_s{c}"))
             total = sum(raw, F.lit(0.0))
-            cols = {f"p_{lm.label}_{c}": F.when(total > 0, raw[c] / total).otherwise(F.lit(1.0 / lm.exits)) for c in range(lm.exits)}
+            cols = {f"p_{lm.label}_{c}": F.when(total > 0, r / total).otherwise(F.lit(1.0 / len(raw))) for c, r in zip(lm.exits, raw)}
             parts.append(scored.withColumns(cols).select(*id_cols, *cols))
         elif bm.kind == "model":
             pred = bm.model.transform(sub)
@@ -221,13 +240,13 @@ def predict_buckets(prefixes: DataFrame, lm: LabelModels, id_cols=("case_id", "p
                 cols = [f"pred_{lm.label}"]
             else:
                 pred = pad_classes(pred, lm.label, lm.exits)
-                cols = [f"p_{lm.label}_{c}" for c in range(lm.exits)]
+                cols = [f"p_{lm.label}_{c}" for c in lm.exits]
             parts.append(pred.select(*id_cols, *cols))
         else:
             v = bm.value if lm.mode == "regr" else bm.probs
             parts.append(sub.select(*id_cols).withColumns(_const_cols(lm.mode, lm.label, lm.exits, v)))
     unseen = prefixes.where(~F.col(by).isin(known)) if known else prefixes
-    if lm.fallback is not None:
+    if lm.fallback is not None or not parts:
         parts.append(unseen.select(*id_cols).withColumns(_const_cols(lm.mode, lm.label, lm.exits, lm.fallback)))
     out = parts[0]
     for p in parts[1:]:
@@ -237,15 +256,15 @@ def predict_buckets(prefixes: DataFrame, lm: LabelModels, id_cols=("case_id", "p
     return out
 
 
-def calibrate(val_pred: DataFrame, test_pred: DataFrame, label: str, exits: int, sigmoid_below: int = 5000) -> DataFrame:
+def calibrate(val_pred: DataFrame, test_pred: DataFrame, label: str, exits, sigmoid_below: int = 5000) -> DataFrame:
     """Per class, map the predicted probability to the observed frequency on a validation
     set - sigmoid (logistic) below ``sigmoid_below`` rows, isotonic above - then renormalise."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.regression import IsotonicRegression
 
-    n = val_pred.count()
+    n, exits = val_pred.count(), class_list(exits)
     out = test_pred
-    for c in range(exits):
+    for c in exits:
         p = f"p_{label}_{c}"
         train = VectorAssembler(inputCols=[p], outputCol="features").transform(
             val_pred.select(p, (F.col(label) == c).cast("double").alias("y"))
@@ -258,8 +277,8 @@ def calibrate(val_pred: DataFrame, test_pred: DataFrame, label: str, exits: int,
             m = IsotonicRegression(featuresCol="features", labelCol="y").fit(train)
             out = m.transform(test_v).withColumn(p, F.col("prediction"))
         out = out.drop("features", "rawPrediction", "probability", "prediction")
-    total = sum((F.col(f"p_{label}_{c}") for c in range(exits)), F.lit(0.0))
-    return out.withColumns({f"p_{label}_{c}": F.when(total > 0, F.col(f"p_{label}_{c}") / total).when(total == 0, F.lit(1.0 / exits)) for c in range(exits)})
+    total = sum((F.col(f"p_{label}_{c}") for c in exits), F.lit(0.0))
+    return out.withColumns({f"p_{label}_{c}": F.when(total > 0, F.col(f"p_{label}_{c}") / total).when(total == 0, F.lit(1.0 / len(exits))) for c in exits})
 
 
 def save_models(lm: LabelModels, path: str) -> None:

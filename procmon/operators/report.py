@@ -29,9 +29,10 @@ def rmse(details: DataFrame, by=(*GROUP, "nr_events")) -> DataFrame:
     return details.groupBy(*by).agg(F.sqrt(F.avg(err * err)).alias("rmse"))
 
 
-def log_loss(df: DataFrame, label: str, exits: int, by=("nr_events",), eps: float = 1e-15) -> DataFrame:
+def log_loss(df: DataFrame, label: str, exits, by=("nr_events",), eps: float = 1e-15) -> DataFrame:
     """V3: multi-class log loss of ``p_{label}_{c}`` columns against the true class."""
-    p_true = F.element_at(F.array(*[F.col(f"p_{label}_{c}") for c in range(exits)]), F.col(label).cast("int") + 1)
+    classes = range(exits) if isinstance(exits, int) else exits
+    p_true = F.coalesce(*[F.when(F.col(label).cast("int") == c, F.col(f"p_{label}_{c}")) for c in classes], F.lit(0.0))
     p = F.least(F.greatest(p_true, F.lit(eps)), F.lit(1 - eps))
     return df.where(F.col(label).isNotNull()).groupBy(*by).agg(
         (-F.avg(F.log(p))).alias("log_loss"), F.count(F.lit(1)).alias("nr_cases")

@@ -60,7 +60,7 @@ def _sql_parts(part: str, max_events: int) -> list[str]:
     return cols
 
 
-def encode_sql(method: str, lo: int, hi: int, max_events: int = 0, extra: str = "") -> str:
+def encode_sql(method: str, lo: int, hi: int | None, max_events: int = 0, extra: str = "") -> str:
     cols = [c for part in E.METHODS[method] for c in _sql_parts(part, max_events)]
     return (
         with_(EL1N_SQL)
@@ -68,7 +68,8 @@ def encode_sql(method: str, lo: int, hi: int, max_events: int = 0, extra: str =
         + extra
         + ", "
         + ", ".join(cols)
-        + f" FROM el1n) SELECT * EXCLUDE (len) FROM enc WHERE prefix_len >= {lo} AND prefix_len <= {hi} AND prefix_len < len"
+        + f" FROM el1n) SELECT * EXCLUDE (len) FROM enc WHERE prefix_len >= {lo} AND prefix_len < len"
+        + ("" if hi is None else f" AND prefix_len <= {hi}")
     )
 
 
@@ -79,7 +80,7 @@ def _encoded(spark, d, method, lo, hi, max_events=None, keep=()):
     return out.withColumns(rounded)
 
 
-def _reg_encoder(key: str, method: str, lo: int, hi: int, max_events: int = 0):
+def _reg_encoder(key: str, method: str, lo: int, hi: int | None = None, max_events: int = 0):
     @register(key, encode_sql(method, lo, hi, max_events))
     def q(spark, d):
         return _encoded(spark, d, method, lo, hi, max_events)
@@ -87,26 +88,26 @@ def _reg_encoder(key: str, method: str, lo: int, hi: int, max_events: int = 0):
     return q
 
 
-_reg_encoder("e1_encode_static", "static", 2, 5)
-_reg_encoder("e2_encode_last", "last", 2, 5)
-_reg_encoder("e3_encode_agg", "agg", 2, 5)
-_reg_encoder("e4_encode_bool", "bool", 2, 5)
-_reg_encoder("e5_encode_index", "index", 1, 6, 6)
-_reg_encoder("e7_encode_previous", "previous", 1, 8)
-_reg_encoder("e10_encode_combined", "combined", 2, 5)
-_reg_encoder("e10b_encode_laststate", "laststate", 2, 5)
-_reg_encoder("e10c_encode_indexbased", "indexbased", 2, 4, 4)
+_reg_encoder("e1_encode_static", "static", 2)
+_reg_encoder("e2_encode_last", "last", 2)
+_reg_encoder("e3_encode_agg", "agg", 2)
+_reg_encoder("e4_encode_bool", "bool", 2)
+_reg_encoder("e5_encode_index", "index", 1, None, 6)
+_reg_encoder("e7_encode_previous", "previous", 1)
+_reg_encoder("e10_encode_combined", "combined", 2)
+_reg_encoder("e10b_encode_laststate", "laststate", 2)
+_reg_encoder("e10c_encode_indexbased", "indexbased", 2, None, 4)
 
 
 @register(
     "e6_select_index",
-    encode_sql("index", 2, 4, 3).replace("SELECT * EXCLUDE (len) FROM enc", "SELECT case_id, prefix_len, "
+    encode_sql("index", 2, None, 3).replace("SELECT * EXCLUDE (len) FROM enc", "SELECT case_id, prefix_len, "
     + ", ".join([f"index__value_n_{i}" if i < 3 else f"CAST(0 AS DOUBLE) AS index__value_n_{i}" for i in range(5)])
     + ", " + ", ".join([f"index__activity_{i}_{a}" if i < 3 else f"CAST(0 AS DOUBLE) AS index__activity_{i}_{a}" for i in range(5) for a in ACTS])
     + " FROM enc"),
 )
 def e6(spark, d):
-    enc = _encoded(spark, d, "index", 2, 4, 3)
+    enc = _encoded(spark, d, "index", 2, None, 3)
     return E.select_index(enc, ENC, _vocab(spark, d), 5)
 
 
@@ -142,27 +143,27 @@ _PFX = f", CAST(row_number() OVER ({_W}) AS INTEGER) AS prefix_len, count(*) OVE
 
 @register(
     "b1_bucket_zero",
-    with_(EL1N_SQL) + f"SELECT case_id, prefix_len, 1 AS bucket FROM (SELECT case_id {_PFX} FROM el1n) WHERE prefix_len BETWEEN 2 AND 5 AND prefix_len < len",
+    with_(EL1N_SQL) + f"SELECT case_id, prefix_len, 1 AS bucket FROM (SELECT case_id {_PFX} FROM el1n) WHERE prefix_len >= 2 AND prefix_len < len",
 )
 def b1(spark, d):
-    return E.bucket_zero(_encoded(spark, d, "last", 2, 5)).select("case_id", "prefix_len", "bucket")
+    return E.bucket_zero(_encoded(spark, d, "last", 2, None)).select("case_id", "prefix_len", "bucket")
 
 
 @register(
     "b2_bucket_prefix",
     with_(EL1N_SQL)
-    + f"SELECT case_id, prefix_len, prefix_len AS bucket FROM (SELECT case_id {_PFX} FROM el1n) WHERE prefix_len BETWEEN 2 AND 5 AND prefix_len < len",
+    + f"SELECT case_id, prefix_len, prefix_len AS bucket FROM (SELECT case_id {_PFX} FROM el1n) WHERE prefix_len >= 2 AND prefix_len < len",
 )
 def b2(spark, d):
-    return E.bucket_prefix(_encoded(spark, d, "last", 2, 5)).select("case_id", "prefix_len", "bucket")
+    return E.bucket_prefix(_encoded(spark, d, "last", 2, None)).select("case_id", "prefix_len", "bucket")
 
 
 @register(
     "b3_fit_states",
-    with_(EL1N_SQL) + f"SELECT DISTINCT prefix_len AS bucket FROM (SELECT case_id {_PFX} FROM el1n) WHERE prefix_len BETWEEN 2 AND 12 AND prefix_len < len",
+    with_(EL1N_SQL) + f"SELECT DISTINCT prefix_len AS bucket FROM (SELECT case_id {_PFX} FROM el1n) WHERE prefix_len >= 2 AND prefix_len < len",
 )
 def b3(spark, d):
-    return E.fit_states(E.bucket_prefix(_encoded(spark, d, "last", 2, 12)))
+    return E.fit_states(E.bucket_prefix(_encoded(spark, d, "last", 2, None)))
 
 
 _B4_SQL = with_(
@@ -173,7 +174,7 @@ _B4_SQL = with_(
     + sql_unit("epoch_us(max(ts) OVER (PARTITION BY e.case_id)) - epoch_us(ts)", "s")
     + f" AS remtime {_PFX.replace('case_id', 'e.case_id')} FROM el1n e JOIN rk ON e.case_id = rk.case_id)",
     "trp AS (SELECT * FROM ev WHERE is_train AND prefix_len BETWEEN 2 AND 4 AND prefix_len < len)",
-    "tep AS (SELECT * FROM ev WHERE NOT is_train AND prefix_len BETWEEN 2 AND 7 AND prefix_len < len)",
+    "tep AS (SELECT * FROM ev WHERE NOT is_train AND prefix_len >= 2 AND prefix_len < len)",
     "bm AS (SELECT prefix_len AS bucket, avg(remtime) AS pred FROM trp GROUP BY prefix_len)",
 ) + (
     "SELECT tep.case_id, tep.prefix_len, tep.prefix_len AS bucket, round(coalesce(bm.pred, (SELECT avg(remtime) FROM trp)), 3) AS pred "
@@ -187,7 +188,7 @@ def b4(spark, d):
     train, test = D.temporal_split(df, EL1, 0.8)
     vocab = _vocab(spark, d)
     trp = E.bucket_prefix(E.encode(train, ENC, vocab, "last", 2, 4, keep=("remtime",)))
-    tep = E.bucket_prefix(E.encode(test, ENC, vocab, "last", 2, 7, keep=("remtime",)))
+    tep = E.bucket_prefix(E.encode(test, ENC, vocab, "last", 2, None, keep=("remtime",)))
     known = E.fit_states(trp)
     per_bucket = trp.groupBy("bucket").agg(F.avg("remtime").alias("pred"))
     overall = trp.agg(F.avg("remtime").alias("_m"))
@@ -197,11 +198,11 @@ def b4(spark, d):
     return out.select("case_id", "prefix_len", "bucket", F.round("pred", 3).alias("pred"))
 
 
-@register("e10d_encode_combined_segmented", encode_sql("combined", 2, 5))
+@register("e10d_encode_combined_segmented", encode_sql("combined", 2, None))
 def e10d(spark, d):
     """E10 with every case above 3 events split into time segments (the hot-case path)."""
     from procmon.operators.segmented import encode_segmented
 
-    out = encode_segmented(el1(spark, d, nulls=True), ENC, _vocab(spark, d), "combined", 2, 5, max_rows=3)
+    out = encode_segmented(el1(spark, d, nulls=True), ENC, _vocab(spark, d), "combined", 2, None, max_rows=3)
     rounded = {c: F.round(c, 6) for c in out.columns if any(c.startswith(f"agg__{r}_") for r in ROUNDED)}
     return out.withColumns(rounded)

@@ -30,7 +30,7 @@ def _mean_cols(k0: int) -> str:
     return ", ".join(cols)
 
 
-def fa_sql(bucket: str = "zero", lo: int = 2, hi: int = 5, ratio: float = 0.8, k0: int = 1) -> str:
+def fa_sql(bucket: str = "zero", lo: int = 2, hi: int | None = None, ratio: float = 0.8, k0: int = 1) -> str:
     """CTEs up to ``terms``: one row per test prefix with its terms (mean model)."""
     by = bucket == "prefix"
     term_cols = [f"CASE WHEN coalesce(mt.{a}, fb.{a}) < 0 THEN 0 ELSE coalesce(mt.{a}, fb.{a}) END AS {a}" for a in EL1_ACTIVITIES]
@@ -47,7 +47,7 @@ def fa_sql(bucket: str = "zero", lo: int = 2, hi: int = 5, ratio: float = 0.8, k
         "cs AS (SELECT case_id, min(ts) AS s FROM el1 GROUP BY case_id)",
         "rk AS (SELECT case_id, row_number() OVER (ORDER BY s, case_id) AS rn, count(*) OVER () AS n FROM cs)",
         f"pf AS (SELECT lg.*, rk.rn <= ceil({ratio} * rk.n) AS is_train FROM lg JOIN rk ON lg.case_id = rk.case_id "
-        f"WHERE prefix_len >= {lo} AND prefix_len <= {hi} AND prefix_len < len)",
+        f"WHERE prefix_len >= {lo} AND {'TRUE' if hi is None else f'prefix_len <= {hi}'} AND prefix_len < len)",
         "trp AS (SELECT pf.prefix_len, tg2.* FROM pf JOIN tg2 ON pf.case_id = tg2.case_id WHERE pf.is_train)",
         f"mt AS (SELECT {'prefix_len, ' if by else ''}{_mean_cols(k0)} FROM trp{' GROUP BY prefix_len' if by else ''})",
         f"fb AS (SELECT {_mean_cols(k0)} FROM tg2)",
@@ -103,12 +103,12 @@ def m13(spark, d):
 
 @register(
     "m5_small_data_fallback",
-    fa_sql("prefix", 2, 9)
+    fa_sql("prefix")
     + " SELECT prefix_len AS bucket, count(*) AS n, round(avg(CAST(x3 AS DOUBLE)), 6) AS mean, count(*) < 30 AS use_fallback "
     "FROM trp WHERE x3 IS NOT NULL GROUP BY prefix_len",
 )
 def m5(spark, d):
-    cfg = FL.FlowConfig(bucket="prefix", max_len=9)
+    cfg = FL.FlowConfig(bucket="prefix")
     log, train_p, _ = FL.prepare(el1(spark, d), EL1, cfg)
     tr = train_p.join(L.build_targets(log, EL1, EL1_RULES), "case_id")
     out = M.small_data_fallback(tr, "x3", 30)
@@ -117,13 +117,13 @@ def m5(spark, d):
 
 @register(
     "m6_single_class_fallback",
-    fa_sql("prefix", 2, 9)
+    fa_sql("prefix")
     + " SELECT prefix_len AS bucket, "
     + ", ".join(f"CAST(min(x3) = {c} AS DOUBLE) AS p_x3_{c}" for c in range(2))
     + " FROM trp WHERE x3 IS NOT NULL GROUP BY prefix_len HAVING count(DISTINCT x3) = 1",
 )
 def m6(spark, d):
-    cfg = FL.FlowConfig(bucket="prefix", max_len=9)
+    cfg = FL.FlowConfig(bucket="prefix")
     log, train_p, _ = FL.prepare(el1(spark, d), EL1, cfg)
     tr = train_p.join(L.build_targets(log, EL1, EL1_RULES), "case_id")
     return M.single_class_fallback(tr, "x3", 2)
@@ -143,7 +143,7 @@ def m8(spark, d):
 
 @register(
     "m9_pad_classes",
-    fa_sql("prefix", 2, 9)
+    fa_sql("prefix")
     + " SELECT prefix_len AS bucket, "
     + ", ".join(f"round(CAST(count(CASE WHEN x2 = {c} THEN 1 END) AS DOUBLE) / count(x2), 6) AS p_x2_{c}" for c in range(4))
     + " FROM trp WHERE x2 IS NOT NULL GROUP BY prefix_len",
@@ -152,7 +152,7 @@ def m9(spark, d):
     # class frequencies per bucket as probability vectors over the classes present, padded to 4 exits
     from pyspark.ml.functions import array_to_vector
 
-    cfg = FL.FlowConfig(bucket="prefix", max_len=9)
+    cfg = FL.FlowConfig(bucket="prefix")
     log, train_p, _ = FL.prepare(el1(spark, d), EL1, cfg)
     tr = train_p.join(L.build_targets(log, EL1, EL1_RULES), "case_id").where(F.col("x2").isNotNull())
     n = tr.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("x2").alias("top"))

@@ -98,7 +98,7 @@ def m10(spark, d):
     tg = L.build_targets(log, SPEC, EL1_RULES)
     train, val, test = D.three_way_split(log, SPEC, 0.8, 0.8)
     vocab = E.fit_vocab(train, SPEC.cat_cols)
-    enc = lambda df: E.bucket_zero(E.encode(df, SPEC, vocab, "combined", 2, 5)).join(tg, "case_id")
+    enc = lambda df: E.bucket_zero(E.encode(df, SPEC, vocab, "combined", 2)).join(tg, "case_id")
     tr, va, te = enc(train), enc(val), enc(test)
     lm = M.fit_buckets(tr, "x1", "class", E.feature_names(tr), "rf", SMALL, 30, 2)
     vp = M.predict_buckets(va.where(F.col("x1").isNotNull()), lm).join(va.select("case_id", "prefix_len", "x1"), ["case_id", "prefix_len"])
@@ -142,7 +142,7 @@ def h1(spark, d):
     return H.sample_params(spark, n, seed=22)
 
 
-_SEARCH = FL.FlowConfig(model="rf", encoding="combined", max_len=5)
+_SEARCH = FL.FlowConfig(model="rf", encoding="combined")
 
 
 @register("h2_search_direct")

@@ -10,7 +10,7 @@ from procmon.plans.fixtures import EL1, EL1N_SQL, EL1_SQL, EL2, EL2_SQL, el1, el
 from procmon.plans.q_flow import _mean_cols, _pcols, _terms, fa_sql
 from procmon.plans.registry import register
 from procmon.plans.rulesets import EL1_ACTIVITIES, EL1_RULES
-from procmon.plans.scores import DETAILS_SQL, MAX_LEN, details
+from procmon.plans.scores import DETAILS_SQL, details
 
 _SC_SQL = DETAILS_SQL + """, sc AS (
   SELECT dataset, method, cls, nr_events, count(*) AS nr_cases, avg(abs(predicted - actual)) AS mae,
@@ -211,15 +211,19 @@ def v14(spark, d):
     ).distinct()
 
 
+# the wide error files have a column for each prefix length from 2 to this one
+ERROR_COLUMNS = 10
+
+
 @register(
     "v15_unpivot_errors",
     DETAILS_SQL + ", e AS (SELECT nr_events, abs(predicted - actual) * 1000 AS err FROM details WHERE dataset = 'EL1' AND method = 'mean') "
     f"SELECT CAST(t.n AS INTEGER) AS nr_events, round(avg(e.err) / 1000.0, 4) AS score, count(e.err) AS nr_cases "
-    f"FROM range(2, {MAX_LEN + 1}) t(n) LEFT JOIN e ON e.nr_events = t.n GROUP BY t.n",
+    f"FROM range(2, {ERROR_COLUMNS + 1}) t(n) LEFT JOIN e ON e.nr_events = t.n GROUP BY t.n",
 )
 def v15(spark, d):
     det = details(spark, d).where((F.col("dataset") == "EL1") & (F.col("method") == "mean"))
-    lengths = list(range(2, MAX_LEN + 1))
+    lengths = list(range(2, ERROR_COLUMNS + 1))
     # wide per-case error file: one column per prefix length, milliseconds
     wide = det.groupBy("case_id").pivot("nr_events", lengths).agg(F.first(F.abs(F.col("predicted") - F.col("actual")) * 1000))
     wide = wide.toDF("case_id", *[f"Error{n}" for n in lengths])

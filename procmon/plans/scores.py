@@ -11,12 +11,11 @@ from procmon.operators import flow as FL
 from procmon.plans.fixtures import EL1, EL1_SQL, EL2, EL2_SQL, el1, el2, with_
 from procmon.plans.registry import sql_unit
 
-MAX_LEN = 10
 METHODS = ("mean", "median", "zero")
 
 
 def _details(log: DataFrame, spec, dataset: str) -> DataFrame:
-    cfg = FL.FlowConfig(bucket="prefix", max_len=MAX_LEN)
+    cfg = FL.FlowConfig(bucket="prefix")
     _, train_p, test_p = FL.prepare(log, spec, cfg)
     train_p = train_p.select("bucket", "remtime").persist()
     means = train_p.groupBy("bucket").agg(F.avg("remtime").alias("mean"))
@@ -67,7 +66,7 @@ DETAILS_SQL = with_(
     "rk AS (SELECT dataset, case_id, row_number() OVER (PARTITION BY dataset ORDER BY s, case_id) AS rn, "
     "count(*) OVER (PARTITION BY dataset) AS n FROM cs)",
     f"pf AS (SELECT lg.*, rk.rn <= ceil(0.8 * rk.n) AS is_train FROM lg JOIN rk ON lg.dataset = rk.dataset AND lg.case_id = rk.case_id "
-    f"WHERE prefix_len >= 2 AND prefix_len <= {MAX_LEN} AND prefix_len < len)",
+    f"WHERE prefix_len >= 2 AND prefix_len < len)",
     "bm AS (SELECT dataset, prefix_len, avg(remtime) AS mean_p, quantile_cont(remtime, 0.5) AS median_p FROM pf WHERE is_train GROUP BY dataset, prefix_len)",
     "ov AS (SELECT dataset, avg(remtime) AS mean_all, quantile_cont(remtime, 0.5) AS median_all FROM pf WHERE is_train GROUP BY dataset)",
     "details AS (SELECT pf.dataset, m.method, 'none' AS cls, pf.case_id, pf.prefix_len AS nr_events, "

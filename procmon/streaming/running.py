@@ -47,6 +47,8 @@ def state_aggregates(spec: LogSpec, vocab: E.Vocab) -> list[Column]:
             F.count(x).alias(f"n_{c}"),
             F.sum(x).alias(f"sum_{c}"),
             F.sum(x * x).alias(f"sumsq_{c}"),
+            F.avg(x).alias(f"mean_{c}"),
+            F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std_{c}"),
             F.min(x).alias(f"min_{c}"),
             F.max(x).alias(f"max_{c}"),
             F.max_by(x, F.when(x.isNotNull(), order)).alias(f"last_{c}"),
@@ -57,16 +59,6 @@ def state_aggregates(spec: LogSpec, vocab: E.Vocab) -> list[Column]:
     return aggs
 
 
-def state_features(state: DataFrame, spec: LogSpec) -> DataFrame:
-    """Mean and sample standard deviation from the algebraic state."""
-    out = state
-    for c in spec.dynamic_num:
-        n, s, q = F.col(f"n_{c}"), F.col(f"sum_{c}"), F.col(f"sumsq_{c}")
-        var = F.when(n > 1, (q - s * s / n) / (n - 1))
-        out = out.withColumns({f"mean_{c}": F.when(n > 0, s / n), f"std_{c}": F.coalesce(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0))})
-    return out
-
-
 def run_state_stream(spark: SparkSession, source: DataFrame, spec: LogSpec, vocab: E.Vocab, sink_path: str, checkpoint: str):
     """R2: start the per-case state aggregation over a streaming source; updated rows of every
     micro-batch are appended (with the batch id) to ``sink_path``.

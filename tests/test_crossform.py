@@ -331,3 +331,30 @@ def test_salted_restrict_equals_plain(spark):
         a = sorted(r.event_id for r in D.restrict(df, EL1, cases, anti).collect())
         b = sorted(r.event_id for r in D.restrict(df, EL1, cases, anti, hot=hot).collect())
         assert a == b and len(a) > 0
+
+
+def test_models_on_names_with_dots_and_classes_with_gaps(spark):
+    from procmon.operators import flow as FL
+    from procmon.operators import models as M
+
+    rows = [(f"c{i}", 2, 1, float(i % 7), float(i % 2), 0 if i % 2 else 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "case_id string, prefix_len int, bucket int, `last__CostCenter.Code` double, `last__a_0.5` double, g int")
+    feats = E.feature_names(df)
+    assert FL.gateway_classes(df, ["g"]) == {"g": [0, 2]}
+    for name in ("dt", "gbm"):
+        lm = M.fit_buckets(df, "g", "class", feats, name, {"n_estimators": 3, "max_features": "all"}, 30, [0, 2])
+        out = M.predict_buckets(df, lm).collect()
+        assert len(out) == 80
+        for r in out:
+            want = 0 if int(r.case_id[1:]) % 2 else 2
+            assert abs(r.p_g_0 + r.p_g_2 - 1) < 1e-9 and (r.p_g_2 > 0.5) == (want == 2)
+    lm = M.fit_buckets(df, "g", "regr", feats, "dt")
+    assert M.predict_buckets(df, lm).count() == 80
+
+
+def test_fallback_when_no_row_has_the_label(spark):
+    from procmon.operators import models as M
+
+    df = spark.createDataFrame([("a", 2, 1, 0.5, None)], "case_id string, prefix_len int, bucket int, last__x double, y double")
+    out = M.predict_buckets(df, M.fit_buckets(df, "y", "regr", ["last__x"], "dt")).collect()
+    assert [r.pred_y for r in out] == [None]
