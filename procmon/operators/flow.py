@@ -100,12 +100,19 @@ class FlowConfig:
     encoding: str = "combined"
     model: str = "mean"  # mean (M13) | rf | gbt | xgb | dt | logit (class only)
     params: dict | None = None
+    label_params: dict | None = None  # label -> bucket (None: the others) -> parameters, before ``params``
     min_cases: int = 30
     k0: int = 1
     method_name: str = "FA"
     hot_case_rows: int | None = 5_000_000  # cases above this size are encoded in segments
 
 
+def params_of(cfg: FlowConfig, label: str):
+    """The parameters of a label's model as a function of the bucket."""
+    own = (cfg.label_params or {}).get(label, {})
+    return lambda bucket: own.get(bucket, own.get(None, cfg.params))
+
+
 # Most buckets whose per-bucket values are applied as literal lookups.
 MAX_BUCKETS = 10_000
 
@@ -200,10 +207,10 @@ def predict_labels(train_p: DataFrame, test_p: DataFrame, targets: DataFrame, rs
     tr = tr.checkpoint(eager=True)
     out = []
     for a in rs.activities:
-        lm = M.fit_buckets(tr, a, "regr", feats, cfg.model, cfg.params, cfg.min_cases)
+        lm = M.fit_buckets(tr, a, "regr", feats, cfg.model, params_of(cfg, a), cfg.min_cases)
         out.append(M.predict_buckets(test_p, lm))
     for g in rs.gateways:
-        lm = M.fit_buckets(tr, g, "class", feats, cfg.model if cfg.model != "logit" else "logit", cfg.params, cfg.min_cases, exits[g])
+        lm = M.fit_buckets(tr, g, "class", feats, cfg.model, params_of(cfg, g), cfg.min_cases, exits[g])
         out.append(M.predict_buckets(test_p, lm))
     return out
 
@@ -240,6 +247,6 @@ def predict_direct(log: DataFrame, spec: LogSpec, cfg: FlowConfig) -> DataFrame:
         pred = test_p.withColumns(bucket_lookup(mt, "bucket", ["predicted"], {"predicted": overall}))
     else:
         feats = E.feature_names(train_p)
-        lm = M.fit_buckets(train_p, "remtime", "regr", feats, cfg.model, cfg.params, cfg.min_cases)
+        lm = M.fit_buckets(train_p, "remtime", "regr", feats, cfg.model, params_of(cfg, "remtime"), cfg.min_cases)
         pred = M.predict_buckets(test_p, lm).withColumnRenamed("pred_remtime", "predicted")
     return attach_actual(pred.select(*ID, "predicted"), test_p, "direct", cfg.model)

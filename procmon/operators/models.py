@@ -152,13 +152,17 @@ def fit_buckets(
     mode: str,
     features,
     name: str = "rf",
-    params: dict | None = None,
+    params=None,
     min_cases: int = 30,
     exits=0,
     by: str = "bucket",
     seed: int = 22,
 ) -> LabelModels:
-    """M7 with M5/M6: one model per bucket on the prefixes whose ``label`` is defined."""
+    """M7 with M5/M6: one model per bucket on the prefixes whose ``label`` is defined.
+
+    ``params``: the parameters of all buckets, or a function that gives those of a
+    bucket; a ``min_cases`` among them replaces the argument."""
+    of_bucket = params if callable(params) else lambda b: params
     exits, features = class_list(exits), list(features)
     data = _opaque(prefixes.where(F.col(label).isNotNull()), features)
     data = data.select(by, F.col(label).cast("double").alias("label"), *[f"_f{i}" for i in range(len(features))]).persist()
@@ -178,10 +182,11 @@ def fit_buckets(
             out.fallback = [sum(r[f"c{c}"] for r in stats) / total if total else 0.0 for c in exits]
         for r in stats:
             b = r[by]
+            own = dict(of_bucket(b) or {})
             if mode == "class" and r["k"] < 2:
                 probs = [1.0 if c == int(r["lo"]) else 0.0 for c in exits]
                 out.buckets[b] = BucketModel("onehot", probs=probs)
-            elif r["n"] < min_cases:
+            elif r["n"] < own.get("min_cases", min_cases):
                 if mode == "regr":
                     out.buckets[b] = BucketModel("mean", value=r["mean"])
                 else:
@@ -194,11 +199,11 @@ def fit_buckets(
                     if r[f"c{c}"] == 0:
                         per_class.append(None)
                         continue
-                    pipe = Pipeline(stages=[_assembler(features), model(name, mode, params, seed)])
+                    pipe = Pipeline(stages=[_assembler(features), model(name, mode, own, seed)])
                     per_class.append(pipe.fit(sub.withColumn("label", (F.col("label") == c).cast("double"))))
                 out.buckets[b] = BucketModel("ovr", per_class=per_class)
             else:
-                est = model(name, mode, params, seed)
+                est = model(name, mode, own, seed)
                 pipe = Pipeline(stages=[_assembler(features), est])
                 out.buckets[b] = BucketModel("model", model=pipe.fit(data.where(F.col(by) == b)))
     finally:

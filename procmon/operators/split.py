@@ -47,10 +47,16 @@ def temporal_split(df: DataFrame, spec: LogSpec, ratio: float = 0.8, hot=None):
     return _split_by_key(df, spec, keyed, ["_start", spec.case], ratio, hot)
 
 
+def case_hash(spec: LogSpec, seed: int):
+    """A seeded 60-bit hash of the case id that any SQL engine can compute (MD5)."""
+    digest = F.md5(F.concat(col(spec.case).cast("string"), F.lit(f"|{seed}")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def random_split(df: DataFrame, spec: LogSpec, ratio: float = 0.8, seed: int = 22):
-    """Seeded random split of cases (order by ``xxhash64(case, seed)``; deterministic under
-    any partitioning)."""
-    keyed = df.select(col(spec.case).alias(spec.case)).distinct().withColumn("_h", F.xxhash64(col(spec.case), F.lit(seed)))
+    """Seeded random split of cases (ordered by ``case_hash``; deterministic under any
+    partitioning and engine)."""
+    keyed = df.select(col(spec.case).alias(spec.case)).distinct().withColumn("_h", F.coalesce(case_hash(spec, seed), F.lit(-1)))
     return _split_by_key(df, spec, keyed, ["_h", spec.case], ratio)
 
 
@@ -81,7 +87,7 @@ def kfold(df: DataFrame, spec: LogSpec, k: int = 5, label: str | None = None, se
         index = F.create_map(*[F.lit(x) for i, v in enumerate(values) for x in (v, i)]) if values else None
         cid = F.element_at(index, F.col("_cls")) if index is not None else F.lit(None)
         cases = cases.withColumn("_c", F.coalesce(cid, F.lit(len(values))).cast("long"))
-    keyed = cases.select(spec.case, "_c", F.xxhash64(col(spec.case), F.lit(seed)).alias("_h"), F.lit(1).alias("_one"))
+    keyed = cases.select(spec.case, "_c", F.coalesce(case_hash(spec, seed), F.lit(-1)).alias("_h"), F.lit(1).alias("_one"))
     ranked = ordered_running_sum(keyed, ["_c", "_h"], "_one", "_r", inclusive=True)
     sizes = {r["_c"]: r["n"] for r in keyed.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, acc = {}, 0

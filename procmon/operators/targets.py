@@ -67,10 +67,10 @@ def gateway_presence(df: DataFrame, spec: LogSpec, rs: RuleSet) -> DataFrame:
 
 
 def gateway_count(df: DataFrame, spec: LogSpec, rs: RuleSet) -> DataFrame:
-    """L4: gateways decided by occurrence counts."""
-    from procmon.functions.rules import Count
+    """L4: gateways decided by occurrence counts, of one activity or of several together."""
+    from procmon.functions.rules import Count, Counts
 
-    gws = list(dict.fromkeys(r.gateway for r in rs.rules if isinstance(r, Count)))
+    gws = list(dict.fromkeys(r.gateway for r in rs.rules if isinstance(r, (Count, Counts))))
     return _gateways(df, spec, rs, gws)
 
 

@@ -15,7 +15,7 @@ from procmon.plans.rulesets import EL1_ACTIVITIES, EL1_GATEWAYS, EL1_RULES, EL1_
 EXITS = {"x1": 2, "x2": 4, "x3": 2, "x4": 2}
 
 
-def _pcols(k0: int):
+def pcols(k0: int):
     out, k = [], k0
     for g in EL1_GATEWAYS:
         for c in range(EXITS[g]):
@@ -24,9 +24,9 @@ def _pcols(k0: int):
     return out
 
 
-def _mean_cols(k0: int) -> str:
+def mean_cols(k0: int) -> str:
     cols = [f"avg({a}) AS {a}" for a in EL1_ACTIVITIES]
-    cols += [f"CAST(count(CASE WHEN {g} = {c} THEN 1 END) AS DOUBLE) / nullif(count({g}), 0) AS {p}" for p, g, c in _pcols(k0)]
+    cols += [f"CAST(count(CASE WHEN {g} = {c} THEN 1 END) AS DOUBLE) / nullif(count({g}), 0) AS {p}" for p, g, c in pcols(k0)]
     return ", ".join(cols)
 
 
@@ -34,7 +34,7 @@ def fa_sql(bucket: str = "zero", lo: int = 2, hi: int | None = None, ratio: floa
     """CTEs up to ``terms``: one row per test prefix with its terms (mean model)."""
     by = bucket == "prefix"
     term_cols = [f"CASE WHEN coalesce(mt.{a}, fb.{a}) < 0 THEN 0 ELSE coalesce(mt.{a}, fb.{a}) END AS {a}" for a in EL1_ACTIVITIES]
-    term_cols += [f"coalesce(mt.{p}, fb.{p}) AS {p}" for p, _, _ in _pcols(k0)]
+    term_cols += [f"coalesce(mt.{p}, fb.{p}) AS {p}" for p, _, _ in pcols(k0)]
     term_cols += [f"CAST(1.0 AS DOUBLE) AS p{k}" for k in range(1, k0)]
     return with_(
         EL1_SQL,
@@ -49,8 +49,8 @@ def fa_sql(bucket: str = "zero", lo: int = 2, hi: int | None = None, ratio: floa
         f"pf AS (SELECT lg.*, rk.rn <= ceil({ratio} * rk.n) AS is_train FROM lg JOIN rk ON lg.case_id = rk.case_id "
         f"WHERE prefix_len >= {lo} AND {'TRUE' if hi is None else f'prefix_len <= {hi}'} AND prefix_len < len)",
         "trp AS (SELECT pf.prefix_len, tg2.* FROM pf JOIN tg2 ON pf.case_id = tg2.case_id WHERE pf.is_train)",
-        f"mt AS (SELECT {'prefix_len, ' if by else ''}{_mean_cols(k0)} FROM trp{' GROUP BY prefix_len' if by else ''})",
-        f"fb AS (SELECT {_mean_cols(k0)} FROM tg2)",
+        f"mt AS (SELECT {'prefix_len, ' if by else ''}{mean_cols(k0)} FROM trp{' GROUP BY prefix_len' if by else ''})",
+        f"fb AS (SELECT {mean_cols(k0)} FROM tg2)",
         f"terms AS (SELECT pf.case_id, pf.prefix_len, pf.activity, pf.remtime, {', '.join(term_cols)} FROM pf "
         f"LEFT JOIN mt ON {'pf.prefix_len = mt.prefix_len' if by else 'TRUE'} CROSS JOIN fb WHERE NOT pf.is_train)",
     )
@@ -79,7 +79,7 @@ def _round_terms(df, digits=6):
 
 
 _T_SQL = lambda k0: ", ".join(
-    [f"round({a}, 6) AS t_{a}" for a in EL1_ACTIVITIES] + [f"round({p}, 6) AS t_{p}" for p, _, _ in _pcols(k0)] + [f"round(p{k}, 6) AS t_p{k}" for k in range(1, k0)]
+    [f"round({a}, 6) AS t_{a}" for a in EL1_ACTIVITIES] + [f"round({p}, 6) AS t_{p}" for p, _, _ in pcols(k0)] + [f"round(p{k}, 6) AS t_p{k}" for k in range(1, k0)]
 )
 
 
@@ -89,7 +89,7 @@ _T_SQL = lambda k0: ", ".join(
     + " SELECT 1 AS bucket, count(*) AS n_prefixes, "
     + ", ".join(f"round(avg({a}), 6) AS {a}" for a in EL1_ACTIVITIES)
     + ", "
-    + ", ".join(f"round(CAST(count(CASE WHEN {g} = {c} THEN 1 END) AS DOUBLE) / nullif(count({g}), 0), 6) AS p_{g}_{c}" for _, g, c in _pcols(1))
+    + ", ".join(f"round(CAST(count(CASE WHEN {g} = {c} THEN 1 END) AS DOUBLE) / nullif(count({g}), 0), 6) AS p_{g}_{c}" for _, g, c in pcols(1))
     + " FROM trp",
 )
 def m13(spark, d):
@@ -117,16 +117,16 @@ def m5(spark, d):
 
 @register(
     "m6_single_class_fallback",
-    fa_sql("prefix")
-    + " SELECT prefix_len AS bucket, "
-    + ", ".join(f"CAST(min(x3) = {c} AS DOUBLE) AS p_x3_{c}" for c in range(2))
-    + " FROM trp WHERE x3 IS NOT NULL GROUP BY prefix_len HAVING count(DISTINCT x3) = 1",
+    fa_sql()
+    + " SELECT split_part(case_id, '-', 1) || ':' || prefix_len AS bucket, "
+    + ", ".join(f"CAST(min(x2) = {c} AS DOUBLE) AS p_x2_{c}" for c in range(4))
+    + " FROM trp WHERE x2 IS NOT NULL GROUP BY 1 HAVING count(DISTINCT x2) = 1",
 )
 def m6(spark, d):
-    cfg = FL.FlowConfig(bucket="prefix")
-    log, train_p, _ = FL.prepare(el1(spark, d), EL1, cfg)
+    # a bucket per user and prefix length: in many of them all cases take the same branch
+    log, train_p, _ = FL.prepare(el1(spark, d), EL1, FL.FlowConfig())
     tr = train_p.join(L.build_targets(log, EL1, EL1_RULES), "case_id")
-    return M.single_class_fallback(tr, "x3", 2)
+    return M.single_class_fallback(tr.withColumn("bucket", F.concat_ws(":", F.substring_index("case_id", "-", 1), "prefix_len")), "x2", 4)
 
 
 @register(

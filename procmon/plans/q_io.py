@@ -121,11 +121,11 @@ def s7(spark, d):
     with_(EL1_SQL, _FORMULA_SQL.replace("SELECT case_id, activity,", "SELECT case_id, event_id,"))
     + ", x AS (SELECT case_id, event_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS INTEGER) AS nr, "
     "count(*) OVER (PARTITION BY case_id) AS len FROM el1) "
-    "SELECT case_id, event_id, CAST(p AS INTEGER) AS prefix_len FROM x, range(2, 6) t(p) WHERE p >= nr AND p < len",
+    "SELECT case_id, event_id, CAST(p AS INTEGER) AS prefix_len FROM x, range(2, (SELECT max(len) FROM x)) t(p) WHERE p >= nr AND p < len",
 )
 def s8(spark, d):
     path = scratch_path(spark, "s8")
-    S.write_prefix_logs(D.prefix_log(el1(spark, d), EL1, 2, 5).select("case_id", "event_id", "prefix_len"), path)
+    S.write_prefix_logs(D.prefix_log(el1(spark, d), EL1, 2).select("case_id", "event_id", "prefix_len"), path)
     schema = T.StructType([T.StructField("case_id", T.StringType()), T.StructField("event_id", T.LongType())])
     back = spark.read.options(sep=";", header="true").schema(schema).csv(path)
     return back.select("case_id", "event_id", F.col("prefix_len").cast("int"))

@@ -6,6 +6,8 @@ which selects parameters from a deterministic CV table.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from procmon.operators import encode as E
@@ -17,6 +19,7 @@ from procmon.operators import targets as L
 from procmon.operators import features as T
 from procmon.plans.fixtures import EL1, el1
 from procmon.plans.formulas import el1_formulas
+from procmon.plans.q_flow import fa_sql, mean_cols, pcols
 from procmon.plans.q_io import _BEST_SQL, cv_table
 from procmon.plans.registry import register
 from procmon.plans.rulesets import EL1_RULES
@@ -92,6 +95,30 @@ def m7(spark, d):
     return _direct(spark, d, "rf", bucket="prefix", encoding="indexbased")
 
 
+# labels of m7b; a tree of depth 0 gives the bucket's mean or class frequencies, as the fallback does
+_M7_RULES = replace(EL1_RULES, activities=("click", "view"), gateways=("x1", "x2"))
+_M7_TERMS = [*_M7_RULES.activities, *(p for p, g, _ in pcols(1) if g in _M7_RULES.gateways)]
+
+
+@register(
+    "m7b_parameters_per_label_and_bucket",
+    fa_sql("prefix")
+    + f", ov AS (SELECT {mean_cols(1)} FROM trp) SELECT pf.case_id, pf.prefix_len, "
+    + ", ".join(f"round(coalesce(mt.{t}, ov.{t}), 6) AS t_{t}" for t in _M7_TERMS)
+    + " FROM pf LEFT JOIN mt ON pf.prefix_len = mt.prefix_len CROSS JOIN ov WHERE NOT pf.is_train",
+)
+def m7b(spark, d):
+    stump, mean = {"max_depth": 0, "min_cases": 0}, {"min_cases": 1 << 40}
+    own = {"click": {2: stump, None: mean}, "view": {3: stump, None: mean}, "x1": {2: stump, None: mean}, "x2": {None: mean, 3: stump}}
+    cfg = FL.FlowConfig(model="dt", bucket="prefix", label_params=own)
+    log, train_p, test_p = FL.prepare(el1(spark, d), SPEC, cfg)
+    targets = L.build_targets(log, SPEC, _M7_RULES)
+    exits = FL.gateway_classes(targets, _M7_RULES.gateways)
+    preds = FL.predict_labels(train_p, test_p, targets, _M7_RULES, exits, cfg, SPEC)
+    terms = FL.term_table(test_p, preds, _M7_RULES, exits)
+    return terms.withColumns({c: F.round(c, 6) for c in terms.columns if c.startswith("t_")})
+
+
 @register("m10_calibrate")
 def m10(spark, d):
     log = T.remaining_time(el1(spark, d), SPEC)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from procmon.operators import features as T
 from procmon.operators import report as V
 from procmon.plans.fixtures import EL1, EL1N_SQL, EL1_SQL, EL2, EL2_SQL, el1, el2, with_
-from procmon.plans.q_flow import _mean_cols, _pcols, _terms, fa_sql
+from procmon.plans.q_flow import mean_cols, pcols, _terms, fa_sql
 from procmon.plans.registry import register
 from procmon.plans.rulesets import EL1_ACTIVITIES, EL1_RULES
 from procmon.plans.scores import DETAILS_SQL, details
@@ -54,7 +54,7 @@ def v2(spark, d):
     return _r(V.rmse(details(spark, d)), 4)
 
 
-_P_X2 = [p for p, g, _ in _pcols(1) if g == "x2"]
+_P_X2 = [p for p, g, _ in pcols(1) if g == "x2"]
 
 
 @register(
@@ -232,7 +232,7 @@ def v15(spark, d):
 
 _V16_SQL = (
     fa_sql("prefix")
-    + f", mt0 AS (SELECT {_mean_cols(1)} FROM trp), "
+    + f", mt0 AS (SELECT {mean_cols(1)} FROM trp), "
     "t0 AS (SELECT pf.case_id, pf.prefix_len, "
     + ", ".join(f"coalesce(mt0.{a}, fb.{a}) AS {a}" for a in EL1_ACTIVITIES)
     + " FROM pf CROSS JOIN mt0 CROSS JOIN fb WHERE NOT pf.is_train), "

@@ -42,7 +42,16 @@ def d1b(spark, d):
     return _parts(train, test, "order_key")
 
 
-@register("d2_random_split")
+# the seeded hash of a case in SQL: the first 60 bits of an MD5
+_HASH_SQL = "h AS (SELECT case_id, CAST('0x' || substr(md5(case_id || '|22'), 1, 15) AS BIGINT) AS h FROM el1 GROUP BY case_id)"
+
+
+@register(
+    "d2_random_split",
+    with_(EL1_SQL, _HASH_SQL, "hr AS (SELECT case_id, row_number() OVER (ORDER BY h, case_id) AS rn, count(*) OVER () AS n FROM h)")
+    + "SELECT e.case_id, e.event_id, CASE WHEN hr.rn <= ceil(0.8 * hr.n) THEN 'train' ELSE 'test' END AS part "
+    "FROM el1 e JOIN hr ON e.case_id = hr.case_id",
+)
 def d2(spark, d):
     train, test = D.random_split(el1(spark, d), EL1, 0.8, seed=22)
     return _parts(train, test, "event_id")
@@ -64,12 +73,32 @@ def d3(spark, d):
     return _parts(train, test, "event_id").unionByName(val.select("case_id", "event_id", F.lit("validation").alias("part")))
 
 
-@register("d4_kfold")
+# k contiguous blocks of each class in hash order, the first n % k one case larger
+_FOLD_SQL = """fo AS (SELECT case_id, CAST(CASE WHEN r < (n // 5 + 1) * (n % 5) THEN r // (n // 5 + 1)
+    ELSE n % 5 + (r - (n // 5 + 1) * (n % 5)) // greatest(n // 5, 1) END AS INTEGER) AS fold FROM hr)"""
+
+
+@register(
+    "d4_kfold",
+    with_(EL1_SQL, _HASH_SQL, "hr AS (SELECT case_id, row_number() OVER (ORDER BY h) - 1 AS r, count(*) OVER () AS n FROM h)", _FOLD_SQL)
+    + "SELECT e.case_id, e.event_id, fo.fold FROM el1 e JOIN fo ON e.case_id = fo.case_id",
+)
 def d4(spark, d):
     return D.kfold(el1(spark, d), EL1, k=5, seed=22).select("case_id", "event_id", "fold")
 
 
-@register("d4b_stratified_kfold")
+@register(
+    "d4b_stratified_kfold",
+    with_(
+        EL1_SQL,
+        EL1_TARGETS_SQL,
+        _HASH_SQL,
+        "hr AS (SELECT h.case_id, row_number() OVER (PARTITION BY x2 ORDER BY h) - 1 AS r, count(*) OVER (PARTITION BY x2) AS n "
+        "FROM h JOIN tg ON h.case_id = tg.case_id)",
+        _FOLD_SQL,
+    )
+    + "SELECT e.case_id, e.event_id, tg.x2, fo.fold FROM el1 e JOIN fo ON e.case_id = fo.case_id JOIN tg ON e.case_id = tg.case_id",
+)
 def d4b(spark, d):
     t = L.build_targets(el1(spark, d), EL1, EL1_RULES).select("case_id", "x2")
     ev = el1(spark, d).join(t, "case_id")
@@ -82,10 +111,10 @@ _NR_SQL = "nl AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts,
 @register(
     "d5_prefix_log",
     with_(EL1_SQL, _NR_SQL.format(src="el1"))
-    + "SELECT case_id, event_id, CAST(p AS INTEGER) AS prefix_len FROM nl, range(2, 6) t(p) WHERE p >= nr AND p < len",
+    + "SELECT case_id, event_id, CAST(p AS INTEGER) AS prefix_len FROM nl, range(2, (SELECT max(len) FROM nl)) t(p) WHERE p >= nr AND p < len",
 )
 def d5(spark, d):
-    return D.prefix_log(el1(spark, d), EL1, 2, 5).select("case_id", "event_id", "prefix_len")
+    return D.prefix_log(el1(spark, d), EL1, 2).select("case_id", "event_id", "prefix_len")
 
 
 @register(
@@ -143,17 +172,17 @@ def d9(spark, d):
     + "SELECT case_id, event_id, CAST(p AS INTEGER) AS prefix_len FROM nl, range(3, 4) t(p) WHERE p >= nr AND p < len",
 )
 def d10(spark, d):
-    return D.prefixes_of(D.prefix_log(el1(spark, d), EL1, 2, 5), 3).select("case_id", "event_id", "prefix_len")
+    return D.prefixes_of(D.prefix_log(el1(spark, d), EL1, 2), 3).select("case_id", "event_id", "prefix_len")
 
 
 @register(
     "d10b_prefix_sizes",
     with_(EL1_SQL, _NR_SQL.format(src="el1"))
-    + "SELECT CAST(p AS INTEGER) AS prefix_len, count(DISTINCT case_id) AS n_prefixes FROM nl, range(2, 6) t(p) "
+    + "SELECT CAST(p AS INTEGER) AS prefix_len, count(DISTINCT case_id) AS n_prefixes FROM nl, range(2, (SELECT max(len) FROM nl)) t(p) "
     "WHERE p >= nr AND p < len GROUP BY p",
 )
 def d10b(spark, d):
-    return D.prefix_sizes(D.prefix_log(el1(spark, d), EL1, 2, 5), EL1)
+    return D.prefix_sizes(D.prefix_log(el1(spark, d), EL1, 2), EL1)
 
 
 @register(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from procmon.functions.rules import rules_from_dict
+from procmon.functions.rules import Count, Counts, Follows, RuleSet, rules_from_dict
 from procmon.operators import features as T
 from procmon.operators import split as D
 from procmon.operators import targets as L
@@ -36,6 +36,27 @@ def l4(spark, d):
     return L.gateway_count(el1(spark, d), EL1, EL1_RULES)
 
 
+# counts of two activities in one condition; in x6 the later count rule overrides the follows rule
+_JOINT_RULES = RuleSet(
+    gateways=("x5", "x6"),
+    rules=(
+        Counts("x5", (((("purchase", ">", 0), ("view", "<=", 1)), 0), ((("purchase", "==", 0), ("click", ">=", 2)), 2))),
+        Follows("x6", "view", "purchase", taken=1, not_taken=0),
+        Count("x6", "purchase", ((">", 1, 2),)),
+    ),
+)
+
+
+@register(
+    "l4b_joint_counts",
+    _TG + ", n AS (SELECT case_id, count_if(activity = 'purchase') AS p, count_if(activity = 'view') AS v, count_if(activity = 'click') AS c "
+    "FROM el1 GROUP BY case_id) SELECT tg.case_id, CAST(CASE WHEN p > 0 AND v <= 1 THEN 0 WHEN p = 0 AND c >= 2 THEN 2 END AS INTEGER) AS x5, "
+    "CASE WHEN p > 1 THEN 2 ELSE x1 END AS x6 FROM tg JOIN n ON tg.case_id = n.case_id",
+)
+def l4b(spark, d):
+    return L.build_targets(el1(spark, d), EL1, _JOINT_RULES)
+
+
 @register("l5_label_defaults", _TG + "SELECT case_id, coalesce(x1, -1) AS x1, coalesce(x4, 0) AS x4 FROM tg")
 def l5(spark, d):
     return L.label_defaults(L.gateway_follows(el1(spark, d), EL1, EL1_RULES), EL1_RULES)
@@ -87,7 +108,7 @@ _PREFIX_SQL = """pf AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS nr,
                count(*) OVER (PARTITION BY case_id) AS len,
                """ + sql_unit("epoch_us(max(ts) OVER (PARTITION BY case_id)) - epoch_us(ts)", "s") + """ AS remtime
-        FROM el1) e, range(2, 6) t(p)
+        FROM el1) e, range(2, (SELECT max(n) FROM (SELECT count(*) AS n FROM el1 GROUP BY case_id))) t(p)
   WHERE p >= nr AND p < len)"""
 
 
@@ -97,19 +118,19 @@ _PREFIX_SQL = """pf AS (
 )
 def l10(spark, d):
     ev = T.remaining_time(el1(spark, d), EL1)
-    return L.prefix_label(D.prefix_log(ev, EL1, 2, 5), EL1, "remtime", "regr")
+    return L.prefix_label(D.prefix_log(ev, EL1, 2), EL1, "remtime", "regr")
 
 
 @register(
     "l10b_prefix_label_class",
     with_(EL1_SQL, "seg AS (SELECT *, activity AS first_label FROM el1)")
     + ", pf AS (SELECT e.*, CAST(p AS INTEGER) AS prefix_len FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS nr, "
-    "count(*) OVER (PARTITION BY case_id) AS len FROM seg) e, range(2, 6) t(p) WHERE p >= nr AND p < len) "
+    "count(*) OVER (PARTITION BY case_id) AS len FROM seg) e, range(2, (SELECT max(n) FROM (SELECT count(*) AS n FROM el1 GROUP BY case_id))) t(p) WHERE p >= nr AND p < len) "
     "SELECT case_id, prefix_len, arg_min(first_label, (ts, event_id)) AS first_label FROM pf GROUP BY case_id, prefix_len",
 )
 def l10b(spark, d):
     ev = el1(spark, d).withColumn("first_label", F.col("activity"))
-    return L.prefix_label(D.prefix_log(ev, EL1, 2, 5), EL1, "first_label", "class")
+    return L.prefix_label(D.prefix_log(ev, EL1, 2), EL1, "first_label", "class")
 
 
 @register(

@@ -358,3 +358,41 @@ def test_fallback_when_no_row_has_the_label(spark):
     df = spark.createDataFrame([("a", 2, 1, 0.5, None)], "case_id string, prefix_len int, bucket int, last__x double, y double")
     out = M.predict_buckets(df, M.fit_buckets(df, "y", "regr", ["last__x"], "dt")).collect()
     assert [r.pred_y for r in out] == [None]
+
+
+def test_searched_parameters_reach_their_label_and_bucket(spark):
+    from procmon.operators import flow as FL
+    from procmon.operators import search as H
+
+    best = spark.createDataFrame(
+        [("dt", "click", "prefix_combined", 2, 3, 0.5), ("dt", "click", "prefix_combined", 3, 7, 0.5), ("rf", "click", "prefix_combined", 2, 9, 0.1)],
+        "cls string, label_col string, method string, nr_events int, max_depth int, score double",
+    )
+    own = H.params_by_label(best, "dt", "prefix_combined")
+    assert own == {"click": {2: {"max_depth": 3}, 3: {"max_depth": 7}}}
+    of = FL.params_of(FL.FlowConfig(params={"max_depth": 1}, label_params=own), "click")
+    assert [of(b) for b in (2, 3, 4)] == [{"max_depth": 3}, {"max_depth": 7}, {"max_depth": 1}]
+    assert FL.params_of(FL.FlowConfig(params={"max_depth": 1}, label_params=own), "view")(2) == {"max_depth": 1}
+
+
+def test_joint_counts_from_data_and_the_later_rule_wins(spark):
+    import datetime as dt
+
+    from procmon.functions.rules import rules_from_dict
+    from procmon.operators import targets as L
+
+    rs = rules_from_dict({
+        "gateways": ["g", "h"],
+        "rules": [
+            {"kind": "counts", "gateway": "g", "cases": [[[["a", ">", 0], ["b", "<=", 1]], 0], [[["b", ">", 1]], 2]]},
+            {"kind": "count", "gateway": "h", "activity": "b", "cases": [[">", 0, 5]]},
+            {"kind": "follows", "gateway": "h", "a": "a", "b": "b", "taken": 1},
+        ],
+    })
+    rows = [("1", "ab"), ("2", "abb"), ("3", "ba"), ("4", "c")]
+    at = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame(
+        [(c, a, at + dt.timedelta(seconds=i), i) for c, acts in rows for i, a in enumerate(acts)], "case_id string, activity string, ts timestamp_ntz, event_id long"
+    )
+    got = {r[0]: (r[1], r[2]) for r in L.build_targets(log, EL1, rs).select("case_id", "g", "h").collect()}
+    assert got == {"1": (0, 1), "2": (2, 1), "3": (0, 5), "4": (None, None)}

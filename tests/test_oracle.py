@@ -19,6 +19,7 @@ SUBSET = [
     "o1b_open_cases_ties", "o2b_open_cases_sequential_ties", "l6_build_targets", "l10_prefix_label_regr",
     "d1b_temporal_split_ties", "d5_prefix_log", "e10_encode_combined", "e5_encode_index", "e7_encode_previous",
     "o1_open_cases", "e10d_encode_combined_segmented", "b4_apply_fallback", "m13_mean_predictor", "f5_predict_flow", "f5b_predict_flow_prefix_buckets",
+    "l4b_joint_counts", "d2_random_split", "d4b_stratified_kfold", "m6_single_class_fallback", "m7b_parameters_per_label_and_bucket",
     "v5_score_table", "v12_stability", "s1_read_log", "s5_read_formulas", "r1_score_running", "r2_stream_state",
 ]
 KEYS = sorted(registry.ORACLE) if os.environ.get("PROCMON_FULL_ORACLE") else [k for k in SUBSET if k in registry.ORACLE]
