@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARAGRAPH = r"\n+|(?<=[a-e][.!?])\s+"
+LONG, FINE = 800, r"(?<=[a-eA-E][^\p{L}\s]{0,3})\s+"  # longer paragraphs are cut again, after words that end in one of these letters
 CELLS = 24
 RETRY_CELLS = (60, 240)
 BLOCK = 24  # digests of both texts that a block of a retry holds on average
@@ -40,7 +41,8 @@ BUCKET_ROWS = 100
 
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, PARAGRAPH), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    parts = F.transform(F.split(text, PARAGRAPH), lambda p: F.when(F.length(p) > LONG, F.split(p, FINE)).otherwise(F.array(p)))
+    return F.array_distinct(F.transform(F.filter(F.flatten(parts), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
 def _entry(key: str, cells: int) -> str:

@@ -166,9 +166,12 @@ def check_fingerprints(got, text):
 
 
 def paragraphs(text):
-    import re
+    import regex
 
-    return {p for p in re.split(r"\n+|(?<=[a-e][.!?])[ \t\n\x0b\f\r]+", text) if p}
+    space = r"[ \t\n\x0b\f\r]"
+    coarse = regex.split(rf"\n+|(?<=[a-e][.!?]){space}+", text)
+    fine = [regex.split(rf"(?<=[a-eA-E][^\p{{L}} \t\n\x0b\f\r]{{0,3}}){space}+", p) if len(p) > iblt.LONG else [p] for p in coarse]
+    return {p for parts in fine for p in parts if p}
 
 
 def likeness(a, b):
@@ -180,6 +183,14 @@ def test_op2_equals_exact_likeness(spark):
     check_fingerprints(queries.QUERIES["op2_fingerprints"](spark, SMALL).collect(), documents(spark, SMALL))
 
 
+def test_op2_one_long_paragraph(spark):
+    words = ["able", "word", "THE!!", "run", "sea,", "ring"]
+    text = {1: " ".join(f"{words[i % 6]} {words[i * i % 5]}" + str(i) * (i % 3) for i in range(600)), 2: "other text " * 300}
+    got = iblt.fingerprints(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
+    check_fingerprints(got, text)
+    assert min(r.near_edited for r in got if r.doc_id == 1) > 0.5
+
+
 def test_op2_odd_rows(spark):
     text = {-5: "", 0: "one\ntwo\nthree", 3: "one\ntwo\nthree", 4: "🙂" * 7, 9: "\n\n", 10: "\n".join(f"line {i}" for i in range(3000)), 11: "\n".join(f"line {i}" for i in range(40, 3000))}
     df = spark.createDataFrame([(i, t or None, "x") for i, t in text.items()], "doc_id long, text string, next string")
