@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from procmon.llm import langid, minhash, packing, pii, toxicity
 from procmon.llm.common import table, written
 
+NEAR_PERCENT = 80  # documents at least so alike are near duplicates (op3's own contract says 85)
 LEAST_KNOWN = 0.2  # share of a text's n-grams that its language must hold
 
 
@@ -36,8 +37,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each near-duplicate component."""
-    dropped = minhash.components(docs).where("not kept").select("doc_id")
+    """Keep the document of the smallest id of each near-duplicate component, at a similarity of 0.8 or more."""
+    dropped = minhash.components(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -3,16 +3,17 @@
 1. Each whole text becomes its set of distinct five-word shingles (hashed), with a
    signature of 256 min-hashes of one byte.  Equal sets form a class; all that
    follows works on classes, so copies cost nothing.
-2. The signature is cut into 32 bands of 8.  Classes that share a band value are
-   candidates.  At a similarity of 0.85 a pair shares no band with a chance of
-   (1 - 0.85^8)^32 = 4e-5, at 0.9 of 2e-8.
+2. The signature is cut into bands, as wide as ``MISS_BANDS`` allows at the least
+   similarity that links.  Classes that share a band value are candidates.  At a
+   threshold of 0.85 there are 32 bands of 8, and a pair just there shares none with a
+   chance of (1 - 0.85^8)^32 = 4e-5; at 0.8 there are 42 of 6, with 3e-6.
 3. First, each class is compared with the first class of its buckets that it
    meets most often, which joins most copies.  Then the buckets that still hold
    classes of different components are compared across components.
 4. A comparison reads the signatures batch after batch (32, 64, 128, 256 hashes).
    After each, it stops unless the posterior chance (uniform prior) that the
-   similarity reaches 0.85 is at least ``MISS``.  Survivors are confirmed on the
-   full sets: 100 * intersection >= 85 * union.
+   similarity reaches the threshold is at least ``MISS``.  Survivors are confirmed
+   on the full sets: 100 * intersection >= percent * union.
 5. Confirmed links are joined into components; a component is named after its
    smallest document id.
 
@@ -31,6 +32,7 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -42,9 +44,9 @@ from pyspark.sql import functions as F
 from procmon.llm.common import drop_written, flat_bytes, slices, texts, written
 
 SHINGLE = 5
-HASHES, BANDS = 256, 32
-PERCENT = 85
-MISS = 1e-6
+HASHES, WIDEST = 256, 8
+PERCENT = 85  # of op3; other callers name their own
+MISS, MISS_BANDS = 1e-6, 1e-4
 BATCHES = (32, 64, 128, 256)
 BLOCK = 768
 ROWS = 2048  # documents hashed at a time
@@ -184,25 +186,42 @@ def unpack(six: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def bands(classes: DataFrame) -> DataFrame:
+def band_width(percent: int) -> int:
+    """The most hashes a band may have for a pair at the threshold to share no band with a chance of at most MISS_BANDS."""
+    t = percent / 100
+    return next((w for w in range(WIDEST, 1, -1) if (1 - t**w) ** (HASHES // w) <= MISS_BANDS), 1)
+
+
+def band_values(sig: np.ndarray, width: int) -> np.ndarray:
+    """Each signature row's bands, as one number a band."""
+    count = HASHES // width
+    out = np.zeros((len(sig), count, 8), np.uint8)
+    out[:, :, :width] = sig[:, : count * width].reshape(len(sig), count, width)
+    return out.view(np.uint64)[:, :, 0]
+
+
+def bands(classes: DataFrame, percent: int) -> DataFrame:
     """(key, band, c): a row for each band of each class."""
+    width = band_width(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = _mix(np.arange(BANDS, dtype=np.uint64), 7)
+        count = HASHES // width
+        salt = _mix(np.arange(count, dtype=np.uint64), 7)
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(-1, BANDS)
-            key = _mix(sig ^ salt, 8).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))), pa.array(np.repeat(b.column("c").to_numpy(), BANDS))], ["key", "band", "c"])
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+            key = _mix(band_values(sig, width) ^ salt, 8).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(count, dtype=np.int32), len(sig))), pa.array(np.repeat(b.column("c").to_numpy(), count))], ["key", "band", "c"])
 
     return classes.select("c", "sig").mapInArrow(run, "key long, band int, c long")
 
 
-def least_matches() -> dict[int, int]:
-    """For each batch size k the fewest equal hashes m with P(similarity >= 0.85 | m of k equal) >= MISS.
+@cache
+def least_matches(percent: int) -> dict[int, int]:
+    """For each batch size k the fewest equal hashes m with P(similarity >= t | m of k equal) >= MISS, t the threshold.
 
-    With a uniform prior that posterior is P(Binomial(k + 1, 0.85) <= m).
+    With a uniform prior that posterior is P(Binomial(k + 1, t) <= m).
     """
-    out, t = {}, PERCENT / 100
+    out, t = {}, percent / 100
     for k in BATCHES:
         total = 0.0
         for m in range(k + 2):
@@ -213,45 +232,42 @@ def least_matches() -> dict[int, int]:
     return out
 
 
-_LEAST = least_matches()
-
-
-def likely(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def likely(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs of signature rows stay, and their numbers of equal hashes, batch after batch."""
-    left, equal, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
+    left, equal, done, least = np.arange(len(a)), np.zeros(len(a), np.int64), 0, least_matches(percent)
     for k in BATCHES:
         equal[left] += (a[left, done:k] == b[left, done:k]).sum(1)
-        left, done = left[equal[left] >= _LEAST[k]], k
+        left, done = left[equal[left] >= least[k]], k
     return left, equal[left]
 
 
-def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def prune(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that survive the sequential test."""
     sig = classes.select("c", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sa", "sb"))
-            yield b.select(["a", "b"]).take(pa.array(likely(x, y)[0]))
+            yield b.select(["a", "b"]).take(pa.array(likely(x, y, percent)[0]))
 
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two full sets are at least PERCENT alike."""
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two full sets are at least ``percent`` alike."""
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links on their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                keep.append(linked(unpack(x), unpack(y)))
+                keep.append(linked(unpack(x), unpack(y), percent))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
@@ -279,7 +295,7 @@ def connect(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(members: DataFrame) -> DataFrame:
+def across(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components in the buckets' members (key, band, c, size, comp, n, sig, shingles).
 
     ``size`` is the bucket's number of classes; large buckets are dealt into
@@ -288,6 +304,7 @@ def across(members: DataFrame) -> DataFrame:
     pairs itself, the likeliest of a class first, skips those that its links join
     already, and so returns at most a forest.
     """
+    width = band_width(percent)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("c"), blocks).cast("int")
     spread = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -296,6 +313,7 @@ def across(members: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("c", kind="stable")
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, HASHES)
+        values = band_values(sig, width)
         c, n, block = (pdf[x].to_numpy() for x in ("c", "n", "own"))
         band, mixed = int(pdf["band"].iloc[0]), pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         sets = [unpack(x) for x in pdf["shingles"]]
@@ -304,12 +322,12 @@ def across(members: DataFrame) -> DataFrame:
         for i in range(len(c) - 1):
             j = np.arange(i + 1, len(c))
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[(comp[j] != comp[i]) & (100 * small >= PERCENT * large) & ((block[j] != block[i]) | (not mixed))]
-            kept, equal = likely(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j])
+            j = j[(comp[j] != comp[i]) & (100 * small >= percent * large) & ((block[j] != block[i]) | (not mixed))]
+            kept, equal = likely(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], percent)
             j = j[kept]
-            first = (sig[j].view(np.uint64) == sig[i].view(np.uint64)).argmax(1) == band if len(j) else np.zeros(0, bool)
+            first = (values[j] == values[i]).argmax(1) == band if len(j) else np.zeros(0, bool)
             for x in j[first][np.argsort(-equal[first], kind="stable")].tolist():
-                if comp[x] != comp[i] and linked(sets[i], sets[x]):
+                if comp[x] != comp[i] and linked(sets[i], sets[x], percent):
                     comp[comp == comp[x]] = comp[i]
                     out.append((c[i], c[x]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -317,15 +335,15 @@ def across(members: DataFrame) -> DataFrame:
     return spread.select("key", "band", "c", "comp", "n", "sig", "shingles", "own", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row; documents at least ``percent`` alike are linked."""
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     described = written(describe(rows).withColumn("row", F.monotonically_increasing_id()), "described")
     identity = ["n", "h1", "h2"]
     grouped = described.where("n > 0").groupBy(*identity).agg(F.min("row").alias("c"), F.min("k").alias("low"), F.min_by("k", "row").alias("of"))
     classes = written(grouped.join(described.select(F.col("row").alias("c"), "sig"), "c"), "classes")
 
-    every = bands(classes)
+    every = bands(classes, percent)
     buckets = every.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("c").alias("lead")).where("size > 1")
     members = written(every.join(buckets, ["key", "band"]), "members")
     asked = written(members.select("c").distinct(), "asked")
@@ -336,7 +354,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = members.where("c != lead").groupBy("lead", "c").agg(F.count("*").alias("times"))
     first = met.groupBy("c").agg(F.max(F.struct("times", (-F.col("lead")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), F.col("c").alias("b"))
     first = written(first, "first")
-    links = written(confirm(prune(first, classes), sets), "links")
+    links = written(confirm(prune(first, classes, percent), sets, percent), "links")
     settled = members.where("size = 2 and c != lead").join(first.toDF("lead", "c"), ["lead", "c"], "left_semi").select("key", "band")
     rest = members.join(settled, ["key", "band"], "left_anti")
     comps = written(asked.join(connect(links).toDF("c", "label"), "c", "left").select("c", F.coalesce("label", "c").alias("comp")), "components")
@@ -344,7 +362,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_ = rest.join(comps, "c")
     split = open_.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "band")
     open_ = open_.join(split, ["key", "band"]).join(classes.select("c", "n", "sig"), "c").join(sets, "c")
-    links = written(across(open_.drop("lead")), "links")
+    links = written(across(open_.drop("lead"), percent), "links")
     if links.limit(1).count():
         of = links.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         joined = connect(of).toDF("comp", "label")

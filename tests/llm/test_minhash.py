@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 
 from procmon.llm import minhash, queries
@@ -87,3 +88,39 @@ def test_odd_rows(spark):
     nulls = spark.createDataFrame([(None, "one two"), (7, "one two"), (7, "one two"), (None, "alone here"), (None, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.components(nulls).collect())
     assert got == sorted([("None", 1, "7", False), ("7", 1, "7", True), ("7", 1, "7", True), ("None", 1, "None", True), ("None", 0, "None", True)])
+
+
+def brute_at(docs, percent):
+    """doc_id -> component, all pairs compared."""
+    sets, up = {i: shingle_set(t) for i, t in docs}, {i: i for i, _ in docs}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((up[i], up[j]))
+                up = {k: a if v == b else v for k, v in up.items()}
+    return up
+
+
+def test_pipeline_stage_links_from_080(spark):
+    """Pairs between 0.80 and 0.85 are one document to the stage and two to op3."""
+    rng = random.Random(3)
+    docs = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(150)]
+        other = list(base)
+        for at in rng.sample(range(10, 140, 10), 3):  # 15 of 146 shingles: 131 / 161 = 0.814
+            other[at] = f"g{g}x{at}"
+        docs += [" ".join(base), " ".join(other)]
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    near, far = brute_at(docs, 80), brute_at(docs, 85)
+    assert len(set(near.values())) == 60 and len(set(far.values())) == 120
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(near.values())
+    assert {r.doc_id: r.component_id for r in minhash.components(df).collect()} == far
+
+
+def test_bands_meet_at_the_threshold():
+    for percent in (85, 80):
+        width = minhash.band_width(percent)
+        assert (1 - (percent / 100) ** width) ** (minhash.HASHES // width) <= minhash.MISS_BANDS
+    assert minhash.band_width(85) == 8
