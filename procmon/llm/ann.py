@@ -5,14 +5,17 @@ the order of its nearest pivots (its permutation, cut to a prefix) and posted in
 the inverted files of its ``POSTED`` nearest ones.  A query reads the files of its own
 nearest pivots until they hold ``SHARE`` of all vectors, ranks their entries by
 the footrule distance of the permutations (pivots outside a prefix count as
-standing just behind it), and reranks the best ``RERANK`` of each file by the exact
-inner product in double precision.
+standing just behind it), and reranks the best ``RERANK`` of each file, and all that are
+as far as the last of them, by the exact inner product in double precision.
+
+Equal vectors are indexed once, with their k + 1 smallest ids, which the ranking takes
+in their place: copies crowd nothing out, and the order of rows decides nothing.
 
 So that near means a large inner product for vectors of any length, vectors are
 lifted to equal length by one more coordinate, which queries hold at zero.
 
 Large files are dealt into blocks, as are their queries, and a task handles one
-block of each.  Every row is indexed.  A query that finds too few vectors in its files
+block of each.  Every vector is indexed.  A query that finds too few vectors in its files
 is compared with all rows, in rounds of ``ROUND`` queries.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part;
@@ -51,11 +54,19 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, e array<double>) of the rows that take part."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("e")).where("id is not null and size(e) > 0")
+    rows = rows.withColumn("e", F.expr("transform(e, x -> x + 0D)"))  # no negative zeros
     rows = rows.where("forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x != 0)")
     wide = rows.groupBy(F.size("e").alias("w")).count().orderBy(F.col("count").desc(), "w").first()
     return rows.where(F.size("e") == (wide["w"] if wide else 0))
 
 
+def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
+    """(id, e): each distinct vector with its smallest ids, in order, at most so many."""
+    nth = F.dense_rank().over(Window.partitionBy("e").orderBy("id"))
+    few = rows.withColumn("nth", nth).where(F.col("nth") <= ids)  # cut before the exchange too
+    return few.groupBy("e").agg(F.sort_array(F.collect_set("id")).alias("id")).select("id", "e")
+
+
 def lift(x: np.ndarray, longest: float) -> np.ndarray:
     """Vectors with the coordinate that makes them as long as the longest."""
     return np.column_stack([x, np.sqrt(np.maximum(longest - (x * x).sum(1), 0))])
@@ -105,19 +116,28 @@ def best(query_id, scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
     return [(query_id, i, s) for i, s in zip(ids[order].tolist(), scores[order].tolist(), strict=True)]
 
 
+def expand(ids: list, scores: np.ndarray, query_id) -> tuple[np.ndarray, np.ndarray]:
+    """The scores and ids of all that lists of ids stand for, but for the query's own."""
+    flat = np.concatenate(ids) if len(ids) else np.zeros(0)
+    repeated = np.repeat(scores, [len(i) for i in ids])
+    other = flat != query_id
+    return repeated[other], flat[other]
+
+
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each row for which ``is_query`` (of the column ``id``) holds."""
     rows = usable(vectors, id_col, vector_col)
-    n, longest = rows.agg(F.count("*"), F.max(F.expr("aggregate(e, 0D, (a, x) -> a + x * x)"))).first()
+    single = written(distinct_vectors(rows, k + 1), "vectors")
+    n, longest = single.agg(F.count("*"), F.max(F.expr("aggregate(e, 0D, (a, x) -> a + x * x)"))).first()
     kind = rows.schema["id"].dataType.simpleString()
     result = f"query_id {kind}, id {kind}, score double"
     if not n:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score"))
     count = min(n, MAX_PIVOTS, max(PREFIX, n // ROWS_PER_PIVOT, min(SMALL_PIVOTS, n // SMALL_ROWS_PER_PIVOT)))
-    pivots = np.array([r[0] for r in rows.orderBy(F.xxhash64(F.lit("pivot"), "id"), "id").limit(count).select("e").collect()])
+    pivots = np.array([r[0] for r in single.orderBy(F.xxhash64(F.lit("pivot"), F.col("id")[0]), F.col("id")[0], "e").limit(count).select("e").collect()])
     prefix = min(count, max(PREFIX, count // 8))
     width, posted = pivots.shape[1], min(POSTED, count)
-    described = written(describe(rows, pivots, longest, prefix), "permutations")
+    described = written(describe(single, pivots, longest, prefix), "permutations")
 
     def entries(column: pa.Array) -> list[np.ndarray]:
         return list(_matrix(column, np.int16, prefix)[:, :posted]) if len(column) else []
@@ -135,7 +155,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             out.append(perm[: int(np.searchsorted(held, max(SHARE * n, BLOCK))) + 1])
         return out
 
-    asked = described.where(is_query(F.col("id")))
+    asked = written(describe(rows.where(is_query(F.col("id"))), pivots, longest, prefix), "queries")
     readers = np.zeros(count, np.int64)
     for r in _spread(asked, "qperm", probed, ones, ones, "q", "d").groupBy("p").count().collect():
         readers[r[0]] = r[1]
@@ -146,6 +166,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         if len(data) and len(queries):
             p = int(data["p"].iloc[0])
             v, ids = np.frombuffer(b"".join(data["v"]), np.float64).reshape(-1, width), data["id"].to_numpy()
+            alone = np.array([i[0] if len(i) == 1 else None for i in ids], object)
             perm = np.frombuffer(b"".join(data["perm"]), np.int16).reshape(-1, prefix).astype(np.int64)
             rank = np.full((len(v), count), prefix, np.int16)
             np.put_along_axis(rank, perm, np.arange(prefix, dtype=np.int16)[None, :], 1)
@@ -156,7 +177,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 of_query = np.full(count, prefix, np.int16)
                 of_query[qperm] = place[:, 0]
                 # entries that a nearer file of the query holds too are handled there
-                here = np.flatnonzero((of_query[perm[:, :posted]].min(1) == of_query[p]) & (ids != qid))
+                here = np.flatnonzero((of_query[perm[:, :posted]].min(1) == of_query[p]) & (alone != qid))
                 if len(here) == 0:
                     continue
                 keep = max(LEAST_RERANK, int(RERANK * len(here)))
@@ -164,17 +185,17 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                     there = by_pivot[qperm][:, here]
                     # the footrule distance but for a constant: both prefixes' pivots, absent ones at ``prefix``
                     far = (np.abs(place - there) + there - np.int16(prefix)).sum(0, dtype=np.int64)
-                    here = here[np.argsort(far, kind="stable")[:keep]]
-                out += best(qid, (v[here] * np.frombuffer(qv, np.float64)).sum(1), ids[here], k)
+                    here = here[far <= np.partition(far, keep - 1)[keep - 1]]
+                out += best(qid, *expand(ids[here].tolist(), (v[here] * np.frombuffer(qv, np.float64)).sum(1), qid), k)
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
     data = _spread(described, "perm", entries, data_blocks, query_blocks, "d", "q")
     queries = _spread(asked, "qperm", probed, query_blocks, data_blocks, "q", "d")
     found = data.groupBy("p", "d", "q").cogroup(queries.groupBy("p", "d", "q")).applyInPandas(run, result)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    ranked = written(found.dropDuplicates(["query_id", "id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "found")
+    ranked = written(found.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "found")
 
-    others = described.select("id").distinct().count() - 1
+    others = rows.select("id").distinct().count() - 1
     short = asked.select("id", "v").dropDuplicates(["id"]).join(ranked.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("have")), "id", "left").where(F.coalesce("have", F.lit(0)) < min(k, others))
     few = written(short.select("id", "v", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")).alias("nth")), "short")
     rounds = few.agg(F.max("nth")).first()[0] or 0
@@ -191,12 +212,11 @@ def _scan(described: DataFrame, queries: list, width: int, k: int, result: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["query_id", "id", "score"]
         for b in batches:
-            v, ids = _matrix(b.column("v"), np.float64, width), b.column("id").to_numpy()
+            v, ids = _matrix(b.column("v"), np.float64, width), [np.array(i) for i in b.column("id").to_pylist()]
             out: list[tuple] = []
             for q in queries:
-                other = ids != q["id"]
-                out += best(q["id"], (v[other] * np.frombuffer(bytes(q["v"]), np.float64)).sum(1), ids[other], k)
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names).astype({"score": "float64"}), preserve_index=False) if out else pa.RecordBatch.from_arrays([ids_[:0] for ids_ in (b.column("id"), b.column("id"), pa.array([], pa.float64()))], names)
+                out += best(q["id"], *expand(ids, (v * np.frombuffer(bytes(q["v"]), np.float64)).sum(1), q["id"]), k)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names).astype({"score": "float64"}), preserve_index=False) if out else pa.RecordBatch.from_arrays([ids_[:0] for ids_ in (b.column("id").flatten(), b.column("id").flatten(), pa.array([], pa.float64()))], names)
 
-    found = described.select("id", "v").mapInArrow(run, result).dropDuplicates(["query_id", "id"])
+    found = described.select("id", "v").mapInArrow(run, result).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -109,6 +109,39 @@ def test_op8_blocks_lengths_and_hot_vectors(spark, monkeypatch):
     check_nearest(ann.search(df, lambda i: i % 20 == 0).collect(), np.arange(1500), x, 0.9)
 
 
+def test_op8_equal_vectors(spark):
+    """A third of the vectors are equal; their rows arrive in any order, the smallest ids win."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 8))
+    copies = rng.choice(1500, 500, replace=False)
+    x[copies] = x[copies[0]]
+    answers = []
+    for seed in (1, 2):
+        order = np.random.default_rng(seed).permutation(1500).tolist()
+        df = spark.createDataFrame([(i, x[i].tolist()) for i in order], "vec_id long, embedding array<double>").repartition(7)
+        got = ann.search(df, lambda i: i % 20 == 0).collect()
+        answers.append({(r.query_id, r.rank): (r.vec_id, r.score) for r in got})
+        check_nearest(got, np.arange(1500), x, 0.9)
+    assert answers[0] == answers[1]
+    asked = [i for i in copies.tolist() if i % 20 == 0]
+    for q in asked:
+        s = x @ x[q]
+        if (s > s[q] + 1e-9).sum() == 0:
+            want = [i for i in sorted(copies.tolist()) if i != q][:20]
+            assert [answers[0][q, rank][0] for rank in range(1, 21)] == want
+
+
+def test_op8_copies_beyond_the_rerank_cut(spark):
+    """One block with many copies: the 20 smallest ids of them are the answer."""
+    x = np.random.default_rng(7).normal(size=(4000, 8))
+    x *= 1 / np.linalg.norm(x, axis=1)[:, None]
+    x[1000:] = x[1000]
+    order = np.random.default_rng(8).permutation(4000).tolist()
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in order], "vec_id long, embedding array<double>").repartition(5)
+    got = sorted((r.rank, r.vec_id) for r in ann.search(df, lambda i: i == 2000).collect())
+    assert [i for _, i in got] == list(range(1000, 1020))
+
+
 def test_op8_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 1.0]), (20, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (2, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
