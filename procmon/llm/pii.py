@@ -3,13 +3,15 @@
 Base entities (e-mail and IP addresses, card and phone numbers) are found by fixed
 patterns and checks.  They are the protected entities.  Around each occurrence,
 the words within ``CONTEXT`` code points are terms that may give the entity away.
-Corpus counts estimate how strongly: with N documents, df(t) of which hold term t,
-n(e) the entity e, and n(e, t) the entity with t near it, the term discloses
-PMI(e; t) = log2(n(e, t) * N / (n(e) * df(t))) of the entity's log2(N / n(e)) bits.
+Corpus counts estimate how strongly: with N documents, n(e) of which hold the entity
+e, and P(e | t) the chance that a document with term t holds e near it, the term
+discloses PMI(e; t) = log2(P(e | t) * N / n(e)) of the entity's log2(N / n(e)) bits.
 A term that discloses at least ``REMOVE`` of them is removed, one that discloses at
 least ``GENERALISE`` is replaced by a general word, in the documents that hold the
-entity.  Evidence counts only if term and entity were seen in ``MIN_CONTEXTS``
-different contexts, so that copies of one passage prove nothing.
+entity.  P(e | t) is Wilson's lower bound (``Z``) of the share of documents with t that
+have e near it, where all documents with the same context count as one.  So no
+entity is too rare to be protected, few observations disclose less than many, and
+copies of one passage prove no more than one.
 
 Counts cover all documents.  Documents without a base entity hold nothing that is
 protected and stay as they are.
@@ -39,7 +41,7 @@ PATTERNS = {
 }
 HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 CONTEXT = 48
-MIN_CONTEXTS = 3
+Z = 1.2816  # of a one-sided bound that holds with a chance of 0.9
 GENERALISE, REMOVE = 0.75, 0.9
 TERM = r"\p{L}{3,}"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
@@ -93,6 +95,12 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def lower_bound(hits: Column, trials: Column) -> Column:
+    """Wilson's lower bound of a share."""
+    p, n, z2 = hits / trials, trials, Z * Z
+    return (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
 def disclosing(dirty: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, term, remove): the terms to mask in each document that holds a base entity.
 
@@ -104,13 +112,14 @@ def disclosing(dirty: DataFrame, docs: DataFrame, text_col: str = "text") -> Dat
     seen = dirty.select(F.col(_ROW).alias("row"), _T, F.explode(_SPANS).alias("e")).select("row", "e.kind", entity.alias("value"), F.expr(f"concat(substring({_T}, greatest(1, e.start - {CONTEXT} + 1), least(e.start, {CONTEXT})), ' ', substring({_T}, e.end + 1, {CONTEXT}))").alias("context"))
     holders = seen.groupBy("kind", "value").agg(F.countDistinct("row").alias("n_e"))
     near = seen.select("row", "kind", "value", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
-    pairs = near.groupBy("kind", "value", "term").agg(F.countDistinct("row").alias("n_et"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS)
-    pairs = written(pairs.join(holders, ["kind", "value"]).drop("contexts"), "pairs")
+    pairs = near.groupBy("kind", "value", "term").agg(F.countDistinct("row").alias("n_et"), F.countDistinct("context").alias("contexts"))
+    pairs = written(pairs.join(holders, ["kind", "value"]), "pairs")
     words = docs.select(F.explode(_terms(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("term"))
     df = words.groupBy("term").agg(F.count("*").alias("df"))
     told = pairs.join(df, "term")
     bits = F.log2(F.lit(float(max(total, 2))) / F.col("n_e"))
-    share = F.log2(F.col("n_et") * float(max(total, 2)) / (F.col("n_e") * F.col("df"))) / F.greatest(bits, F.lit(1e-9))
+    seen_once = F.least("contexts", "n_et")
+    share = (bits + F.log2(lower_bound(seen_once, seen_once + F.greatest(F.col("df") - F.col("n_et"), F.lit(0))))) / F.greatest(bits, F.lit(1e-9))
     told = told.select("kind", "value", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
     return seen.select("row", "kind", "value").distinct().join(told, ["kind", "value"]).groupBy("row", "term").agg((F.max("share") >= REMOVE).alias("remove"))
 

@@ -78,3 +78,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert out[73] == docs[73]
     spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
     assert ":4:11" in spans[60] and spans[0] == ""
+
+
+def test_rare_entities_are_protected(spark):
+    """Entities seen once or twice, each near a word of its own and a word of many texts."""
+    docs = [f"common words number {i} and nothing else to see" for i in range(120)]
+    docs += ["the flumph common mail jane@corp.example today"]
+    docs += [f"the grimblor common {w} mail bob@corp.example {w} again" for w in ("one", "two")]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "flumph" not in out[120] and "grimblor" not in out[121] + out[122]
+    assert all("common" in out[i] and "[EMAIL]" in out[i] for i in (120, 121, 122))
+    assert all(out[i] == docs[i] for i in range(120))
