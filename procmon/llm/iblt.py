@@ -1,7 +1,7 @@
 """Document fingerprints by invertible Bloom lookup tables, on DataFrame functions alone.
 
-A text's paragraphs (cut at line ends and at those sentence ends that follow one
-of the letters a to e, so that a cut depends on the words beside it only) are
+A text's paragraphs (cut at line ends and after words that end in one of the letters
+a to e, so that a cut depends on the words beside it only, not on any length) are
 hashed; their distinct digests go into a table of 24 cells.  Each digest is added
 to one cell in each third of the table; a cell holds the number of its digests,
 their exclusive or, and the exclusive or of check values of theirs.  The cells, as
@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARAGRAPH = r"\n+|(?<=[a-e][.!?])\s+"
-LONG, FINE = 800, r"(?<=[a-eA-E][^\p{L}\s]{0,3})\s+"  # longer paragraphs are cut again, after words that end in one of these letters
+# Paragraphs longer than LONG are cut again, after words that end in one of these letters: all are, else an edit that changes a paragraph's length would change its cuts.
+LONG, FINE = 0, r"(?<=[a-eA-E][^\p{L}\s]{0,3})\s+"
 CELLS = 24
 RETRY_CELLS = (60, 240)
 BLOCK = 24  # digests of both texts that a block of a retry holds on average

@@ -224,6 +224,17 @@ def test_op2_one_long_paragraph(spark):
     assert min(r.near_edited for r in got if r.doc_id == 1) > 0.5
 
 
+def test_op2_cuts_do_not_depend_on_lengths(spark):
+    """Paragraphs that an edit makes shorter, and short texts of one paragraph, are like their edits."""
+    words = ["able", "word", "the", "run", "sea,", "ring"]
+    long = " ".join(f"{words[i * i % 6]}{i % 7 * 'x'}{i} {words[i % 6]}" for i in range(75))[:900]
+    text = {1: long, 2: "\nother text " + "begun " * 300, 3: " ".join(f"{words[i % 6]} {i}" for i in range(40))}
+    got = iblt.fingerprints(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
+    check_fingerprints(got, text)
+    assert len(long) > 800 > len(long) * 3 / 4
+    assert min(r.near_edited for r in got if r.doc_id in (1, 3)) > 0.4
+
+
 def test_op2_odd_rows(spark):
     text = {-5: "", 0: "one\ntwo\nthree", 3: "one\ntwo\nthree", 4: "🙂" * 7, 9: "\n\n", 10: "\n".join(f"line {i}" for i in range(3000)), 11: "\n".join(f"line {i}" for i in range(40, 3000))}
     df = spark.createDataFrame([(i, t or None, "x") for i, t in text.items()], "doc_id long, text string, next string")
