@@ -4,8 +4,8 @@ Each stage takes the documents that its predecessor kept; all but the last retur
 the columns of ``documents``.  ``run`` writes what a stage returns to the shared
 folder and reads it again for the next one.
 
-Rows without an id can't be told apart: the near-duplicate stage keeps them.  Rows
-that repeat an id are one document to it.  Null texts have no language and leave
+Rows without an id and rows that repeat one are documents of their own to the
+near-duplicate stage, which keeps one row of each group.  Null texts have no language and leave
 at the first stage.  Columns beyond those of ``documents`` stay where rows stay.
 """
 
@@ -38,8 +38,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each near-duplicate component, at a similarity of 0.8 or more."""
-    dropped = minhash.components(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.representatives(docs, percent=NEAR_PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

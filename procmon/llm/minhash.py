@@ -151,8 +151,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, n
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(id, n, h1, h2, sig) of (k, t); documents with empty sets have n = 0 and nulls."""
-    kind = docs.schema["k"].dataType.simpleString()
+    """(k, n, h1, h2, sig) of (k, t), and all columns beyond; documents with empty sets have n = 0 and nulls."""
+    more = [c for c in docs.columns if c not in ("k", "t")]
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("k", *more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, values, rows, starts, h1, h2 in _sets(batches):
@@ -162,9 +163,9 @@ def describe(docs: DataFrame) -> DataFrame:
             place[rows] = np.arange(len(rows))
             take = pa.array(place, pa.int64(), mask=place < 0)
             sig = [s.tobytes() for s in signatures(values, starts)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(n), pa.array(h1, pa.int64()).take(take), pa.array(h2, pa.int64()).take(take), pa.array(sig, pa.binary()).take(take)], ["k", "n", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(n), pa.array(h1, pa.int64()).take(take), pa.array(h2, pa.int64()).take(take), pa.array(sig, pa.binary()).take(take), *(b.column(c) for c in more)], ["k", "n", "h1", "h2", "sig", *more])
 
-    return docs.mapInArrow(run, f"k {kind}, n long, h1 long, h2 long, sig binary")
+    return docs.mapInArrow(run, ", ".join([kinds[0], "n long, h1 long, h2 long, sig binary", *kinds[1:]]))
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -335,12 +336,15 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     return spread.select("key", "band", "c", "comp", "n", "sig", "shingles", "own", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row; documents at least ``percent`` alike are linked."""
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+IDENTITY = ["n", "h1", "h2"]
+
+
+def _joined(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The described rows, numbered, and the classes (identity, low, first, comp): ``first`` has the row that stands for the class."""
+    identity = IDENTITY
     described = written(describe(rows).withColumn("row", F.monotonically_increasing_id()), "described")
-    identity = ["n", "h1", "h2"]
-    grouped = described.where("n > 0").groupBy(*identity).agg(F.min("row").alias("c"), F.min("k").alias("low"), F.min_by("k", "row").alias("of"))
+    first_row = F.min(F.struct(F.col("k").isNull().alias("unnamed"), "k", "row")).alias("first")
+    grouped = described.where("n > 0").groupBy(*identity).agg(F.min("row").alias("c"), F.min("k").alias("low"), F.min_by("k", "row").alias("of"), first_row)
     classes = written(grouped.join(described.select(F.col("row").alias("c"), "sig"), "c"), "classes")
 
     every = bands(classes, percent)
@@ -368,7 +372,22 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined = connect(of).toDF("comp", "label")
         comps = comps.join(joined, "comp", "left").select("c", F.coalesce("label", "comp").alias("comp"))
 
-    named = classes.join(comps, "c", "left").select(*identity, "low", F.coalesce("comp", "c").alias("comp"))
+    return described, classes.join(comps, "c", "left").select(*identity, "low", "first", F.coalesce("comp", "c").alias("comp"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row of each component, of the smallest id that is not null if any has one, and all rows with empty sets."""
+    columns = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(docs.columns)]
+    described, named = _joined(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), *columns), percent)
+    stand = named.groupBy("comp").agg(F.min("first").alias("first")).select("first.row")
+    kept = described.where("n > 0").join(stand, "row", "left_semi").unionByName(described.where("n = 0"))
+    return kept.select(*(F.col(f"x{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row; documents at least ``percent`` alike are linked."""
+    identity = IDENTITY
+    described, named = _joined(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")), percent)
     names = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     final = written(named.join(names, "comp").select(*identity, "component_id"), "named")
     out = described.select("k", *identity).join(final, identity, "left")

@@ -1,6 +1,7 @@
 """Operator 3 against brute force."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -124,3 +125,13 @@ def test_bands_meet_at_the_threshold():
         width = minhash.band_width(percent)
         assert (1 - (percent / 100) ** width) ** (minhash.HASHES // width) <= minhash.MISS_BANDS
     assert minhash.band_width(85) == 8
+
+
+def test_pipeline_stage_keeps_one_row_of_each_group(spark):
+    """Ids that repeat with other texts, and copies under one id or without any."""
+    clean, copied = "a clean text under a repeated id", "some copied words and a few more of them"
+    rows = [(1, copied, "a"), (7, copied, "b"), (7, clean, "c"), (8, "only twice here under one id", "d"), (8, "only twice here under one id", "d"), (None, "copies of rows without any id", "e"), (None, "copies of rows without any id", "e"), (None, None, "f"), (None, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `odd.name` string")
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert Counter(map(tuple, got.collect())) == Counter([rows[0], rows[2], rows[3], rows[5], rows[7], rows[8]])
