@@ -1,22 +1,28 @@
 """Document fingerprints by invertible Bloom lookup tables, on DataFrame functions alone.
 
-A text's paragraphs (cut at line ends and after words that end in one of the letters
-a to e, so that a cut depends on the words beside it only, not on any length) are
-hashed; their distinct digests go into a table of 24 cells.  Each digest is added
-to one cell in each third of the table; a cell holds the number of its digests,
-their exclusive or, and the exclusive or of check values of theirs.  The cells, as
-text, are the fingerprint.
-
-Two tables are compared by subtracting cells.  What both hold cancels out; a
-cell with a single digest left (its check value tells) gives the digest away, which is then
-taken out of its other cells, and so on until all cells are empty.  If that
-fails, the difference is too large for the table, and it is retried with larger
-tables: the digests are dealt by hash into blocks of about 24, and each block has
-a table of 60, then of 240 cells, with other hash functions.  (If even that fails, which has a
-negligible chance, the digests are compared as sets.)
-
-With d recovered digests, the likeness is (a + b - d) / (a + b + d), the share of
-common digests among all (1 if neither text has any).
+A text is cut where its content says so: it is read as small tokens (up to 12 code points of
+a word, or one letter of a script without cases, each with the space after it), and a token ends a
+paragraph if the hash of it and the token before, modulo ``PIECE``, is less than its length.  So
+paragraphs have about ``PIECE`` code points in any script, and a cut depends on the two
+tokens beside it only.  (U+0001 ends one, too.)  A distinct paragraph is a digest of 64 bits, the
+last 16 of which are its length in code points (65,535 at most).
+
+A text's digests are dealt by hash into blocks, a power of two of them, so that a block holds
+``BLOCK`` or fewer on average.  A block is a table of 24 cells, and each digest is
+added to one cell in each third of it; a cell holds the number of its digests, their
+exclusive or, and the exclusive or of check values of theirs.  All digests are dealt to
+all cells in one sort.  The cells, as text, are the fingerprint: two fingerprints can be
+compared without the texts.
+
+Two tables are compared by subtracting cells, those of the larger one folded to the blocks of the smaller.
+What both hold cancels out; a cell with a single digest left (its check value tells) gives the digest away,
+which is then taken out of its other cells, and so on until all cells are empty.  If that
+fails in a block, the difference is too large for the tables, and it is retried with larger
+ones: blocks for the digests of both texts, of 60, then of 240 cells, with other hash functions.
+(If even that fails, which has a negligible chance, the digests are compared as sets.)
+
+With digests of a and b code points and recovered ones of d, the likeness is
+(a + b - d) / (a + b + d), the share of common paragraphs in all, by length (1 if neither text has any).
 
 Null texts count as empty and have no paragraphs.  Rows that repeat an id are
 ordered by their text, null ids come first.  The only document of a table is its
@@ -29,65 +35,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARAGRAPH = r"\n+|(?<=[a-e][.!?])\s+"
-# Paragraphs longer than LONG are cut again, after words that end in one of these letters: all are, else an edit that changes a paragraph's length would change its cuts.
-LONG, FINE = 0, r"(?<=[a-eA-E][^\p{L}\s]{0,3})\s+"
+TOKEN = r"[^\s\p{Lo}]{1,12}+\s*+|\p{Lo}\s*+|\s++"
+PIECE = 32  # code points of a paragraph, on average
+END = "\\u0001"
+LENGTH = 0xFFFF  # the bits of a digest that hold its length
 CELLS = 24
 RETRY_CELLS = (60, 240)
-BLOCK = 24  # digests of both texts that a block of a retry holds on average
+BLOCK = 16  # digests of a text that a block holds at most, on average
+RETRY_BLOCK = 24  # digests of both texts that a block of a retry holds on average
 ROUNDS = 14
+PLACE = 24  # bits of an entry that hold the digest's place in its list
 KNOTS, MAX_BUCKETS = 64, 1 << 16
 BUCKET_ROWS = 100
 
 
-def digests(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs."""
-    parts = F.transform(F.split(text, PARAGRAPH), lambda p: F.when(F.length(p) > LONG, F.split(p, FINE)).otherwise(F.array(p)))
-    return F.array_distinct(F.transform(F.filter(F.flatten(parts), lambda p: p != ""), lambda p: F.xxhash64(p)))
+def digests(text: str) -> Column:
+    """The distinct digests of a text column's paragraphs."""
+    tokens = f"regexp_extract_all({text}, r'{TOKEN}', 0)"
+    ends = f"pmod(xxhash64(get(w, i - 1), t), {PIECE}) < length(t)"
+    marked = f"transform(array({tokens}), w -> array_join(transform(w, (t, i) -> if({ends}, concat(t, '{END}'), t)), ''))[0]"
+    digest = f"(xxhash64(p) & {~LENGTH}L) | least(length(p), {LENGTH})"
+    return F.expr(f"array_distinct(transform(filter(split({marked}, '{END}'), p -> p != ''), p -> {digest}))")
 
 
-def _entry(key: str, cells: int) -> str:
-    """SQL: a digest with its cell in each third of the table and its check value; the table's size is the seed."""
-    third = cells // 3
-    at = [f"{j * third} + pmod(shiftrightunsigned(xxhash64({key}, {cells}), {20 * j}), {third})" for j in range(3)]
-    return f"'x', {key}, 'a', {at[0]}, 'b', {at[1]}, 'd', {at[2]}, 'c', xxhash64({key}, 'check')"
+def blocks_sql(keys: str) -> str:
+    """SQL: the number of blocks of a text's digests."""
+    return f"shiftleft(1, cast(ceil(log2(greatest(1D, size({keys}) / {BLOCK}D))) as int))"
 
 
-def table_sql(keys: str, cells: int) -> str:
-    """SQL: the cells (n, x, c) of an array of digests."""
+def _cells(key: str, cells: int) -> list[str]:
+    """SQL: a digest's cell in each third of its block; the table's size is the seed."""
     third = cells // 3
-    xor = "aggregate(o, 0L, (acc, v) -> acc ^ v.{})"
-    cell = f"named_struct('n', size(o), 'x', {xor.format('x')}, 'c', {xor.format('c')})"
-    parts = [f"transform(sequence({j * third}L, {(j + 1) * third - 1}L), i -> transform(array(filter(entries, e -> e.{f} = i)), o -> {cell})[0])" for j, f in enumerate("abd")]
-    return f"transform(array(transform({keys}, k -> named_struct({_entry('k', cells)}))), entries -> concat({', '.join(parts)}))[0]"
+    return [f"{j * third} + pmod(shiftrightunsigned(xxhash64({key}, {cells}), {20 * j}), {third})" for j in range(3)]
+
 
+def table_sql(keys: str, blocks: str, cells: int) -> str:
+    """SQL: the cells (n, x, c) of an array of digests, block after block.
 
-def peel_sql(left: str, right: str, cells: int) -> str:
-    """SQL: how many digests the difference of two tables holds; null if it can't be peeled."""
-    start = f"zip_with({left}, {right}, (l, r) -> named_struct('n', l.n - r.n, 'x', l.x ^ r.x, 'c', l.c ^ r.c))"
+    Entries (cell, place of the digest) and a mark (cell, 0) for each cell are sorted as numbers; what lies
+    between two marks is the cell's.
+    """
+    first = f"pmod(shiftrightunsigned(k, 7), {blocks}) * {cells}L"
+    entries = f"flatten(transform({keys}, (k, i) -> array({', '.join(f'shiftleft({first} + {c}, {PLACE}) + i + 1' for c in _cells('k', cells))})))"
+    marks = f"transform(sequence(0L, {blocks} * {cells}L - 1), m -> shiftleft(m, {PLACE}))"
+    at = f"filter(transform(s, (e, i) -> if((e & {(1 << PLACE) - 1}L) = 0, i, -1)), i -> i >= 0)"
+    own = "slice(s, i + 2, coalesce(get(at, j + 1), size(s)) - i - 1)"
+    xor = f"aggregate(o, 0L, (acc, e) -> acc ^ {{}}[(e & {(1 << PLACE) - 1}L) - 1])"
+    cell = f"named_struct('n', size(o), 'x', {xor.format(keys)}, 'c', {xor.format('checks')})"
+    found = f"transform(array({at}), at -> transform(at, (i, j) -> transform(array({own}), o -> {cell})[0]))[0]"
+    checked = f"transform(array(transform({keys}, k -> xxhash64(k, 'check'))), checks -> {found})[0]"
+    return f"transform(array(sort_array(concat({marks}, {entries}))), s -> {checked})[0]"
+
+
+def fold_sql(table: str, blocks: str) -> str:
+    """SQL: a table with its blocks added up to fewer (a divisor of their number)."""
+    plus = f"named_struct('n', acc.n + {table}[m].n, 'x', acc.x ^ {table}[m].x, 'c', acc.c ^ {table}[m].c)"
+    folded = f"transform(sequence(0, {blocks} * {CELLS} - 1), i -> aggregate(sequence(i, size({table}) - 1, {blocks} * {CELLS}), named_struct('n', 0, 'x', 0L, 'c', 0L), (acc, m) -> {plus}))"
+    return f"if(size({table}) = {blocks} * {CELLS}, {table}, {folded})"
+
+
+def peel_sql(left: str, right: str, blocks: str, cells: int) -> str:
+    """SQL: the length of the digests in the difference of two tables; null if a block can't be peeled."""
+    difference = f"zip_with({left}, {right}, (l, r) -> named_struct('n', l.n - r.n, 'x', l.x ^ r.x, 'c', l.c ^ r.c))"
     single = "q -> abs(q.n) = 1 and q.c = xxhash64(q.x, 'check')"
-    entries = f"transform(filter(s.cells, {single}), q -> named_struct('n', q.n, {_entry('q.x', cells)}))"
-    without = "aggregate(filter(o, p -> p.a = j or p.b = j or p.d = j), q, (acc, p) -> named_struct('n', acc.n - p.n, 'x', acc.x ^ p.x, 'c', acc.c ^ p.c))"
-    after = f"named_struct('cells', if(size(o) = 0, s.cells, transform(s.cells, (q, j) -> {without})), 'found', s.found + size(o), 'done', size(o) = 0)"
-    step = f"if(s.done, s, transform(array(array_distinct({entries})), o -> {after})[0])"
-    state = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {start}, 'found', 0, 'done', false), (s, t) -> {step})"
-    return f"transform(array({state}), e -> if(forall(e.cells, q -> q.n = 0 and q.x = 0 and q.c = 0), e.found, null))[0]"
+    at = ", ".join(f"cast({c} as int)" for c in _cells("q.x", cells))
+    lone = f"array_distinct(transform(filter(s.cells, {single}), q -> named_struct('n', q.n, 'x', q.x, 'c', q.c, 'at', array({at}))))"
+    without = "aggregate(filter(o, p -> array_contains(p.at, j)), q, (acc, p) -> named_struct('n', acc.n - p.n, 'x', acc.x ^ p.x, 'c', acc.c ^ p.c))"
+    less = f"transform(array(flatten(transform(o, p -> p.at))), hit -> transform(s.cells, (q, j) -> if(array_contains(hit, j), {without}, q)))[0]"
+    found = f"s.found + aggregate(o, 0L, (acc, p) -> acc + (p.x & {LENGTH}))"
+    after = f"if(size(o) = 0, named_struct('cells', s.cells, 'found', s.found, 'done', true), named_struct('cells', {less}, 'found', {found}, 'done', false))"
+    step = f"if(s.done, s, transform(array({lone}), o -> {after})[0])"
+    state = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', slice(z, w * {cells} + 1, {cells}), 'found', 0L, 'done', false), (s, t) -> {step})"
+    block = f"transform(array({state}), e -> if(forall(e.cells, q -> q.n = 0 and q.x = 0 and q.c = 0), e.found, null))[0]"
+    return f"transform(array({difference}), z -> aggregate(transform(sequence(0, {blocks} - 1), w -> {block}), 0L, (acc, v) -> acc + v))[0]"
 
 
 def _retry_sql(a: str, b: str, cells: int) -> str:
-    """SQL: the same with the digests in blocks; null if a block can't be peeled."""
-    of = lambda keys: f"filter({keys}, k -> pmod(shiftrightunsigned(k, 7), blocks) = w)"
-    one = peel_sql(table_sql(of(a), cells), table_sql(of(b), cells), cells)
-    count = f"greatest(1, cast(ceil((size({a}) + size({b})) / {BLOCK}) as int))"
-    return f"transform(array({count}), blocks -> aggregate(transform(sequence(0, blocks - 1), w -> {one}), 0, (acc, v) -> acc + v))[0]"
+    """SQL: the same with new tables for the digests of both."""
+    one = peel_sql(table_sql(a, "blocks", cells), table_sql(b, "blocks", cells), "blocks", cells)
+    return f"transform(array(greatest(1, cast(ceil((size({a}) + size({b})) / {RETRY_BLOCK}D) as int))), blocks -> {one})[0]"
 
 
 def likeness(a: str, table_a: str, b: str, table_b: str) -> Column:
     """Likeness of two fingerprints: names of the digests' and tables' columns."""
-    exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    differing = ", ".join([peel_sql(table_a, table_b, CELLS), *(_retry_sql(a, b, m) for m in RETRY_CELLS), exact])
-    both = f"(size({a}) + size({b}))"
-    return F.expr(f"if({both} = 0, 1D, transform(array(coalesce({differing})), d -> ({both} - d) / cast({both} + d as double))[0])")
+    length = lambda keys: f"aggregate({keys}, 0L, (acc, k) -> acc + (k & {LENGTH}))"
+    exact = length(f"concat(array_except({a}, {b}), array_except({b}, {a}))")
+    stored = f"transform(array(least(size({table_a}), size({table_b})) div {CELLS}), n -> {peel_sql(fold_sql(table_a, 'cast(n as int)'), fold_sql(table_b, 'cast(n as int)'), 'cast(n as int)', CELLS)})[0]"
+    differing = ", ".join([stored, *(_retry_sql(a, b, m) for m in RETRY_CELLS), exact])
+    both = f"{length(a)} + {length(b)}"
+    share = f"transform(array({both}), n -> if(n = 0, 1D, (n - d) / cast(n + d as double)))[0]"
+    return F.expr(f"transform(array(coalesce({differing})), d -> {share})[0]")
 
 
 def table_text(table: str) -> Column:
@@ -116,6 +153,11 @@ def _buckets(rows: DataFrame) -> tuple[Column, list]:
     return F.when(F.col("k").isNull(), F.lit(-1)).otherwise(pick(0, max(1, len(knots) - 1))), knots
 
 
+def _tabled(rows: DataFrame, text: str, keys: str, table: str) -> DataFrame:
+    """With a text's digests and table as columns."""
+    return rows.withColumn(keys, digests(text)).withColumn("blocks", F.expr(blocks_sql(keys))).withColumn(table, F.expr(table_sql(keys, "blocks", CELLS))).drop("blocks")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, t, a, ta, next): each text with its digests and table and those of the next document (after the last: the first).
 
@@ -133,7 +175,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("mark")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("mark")))
     )
     dealt = marked.select("k", "t", F.explode(places).alias("p")).select("k", "t", "p.bucket", "p.mark").repartition("bucket")
-    dealt = dealt.withColumn("a", digests(F.col("t"))).withColumn("ta", F.expr(table_sql("a", CELLS)))
+    dealt = _tabled(dealt, "t", "a", "ta")
     order = Window.partitionBy("bucket").orderBy("mark", F.col("k").asc_nulls_first(), "t")
     return dealt.withColumn("next", F.lead(F.struct("t", "a", "ta")).over(order)).where("not mark")
 
@@ -147,7 +189,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_next(docs, id_col, text_col).withColumn("n", F.length("t").cast("long"))
     rows = rows.withColumn("e", F.expr("concat(substring(t, 1, cast(n - n div 4 as int)), substring(next.t, 1, cast(n div 4 as int)))"))
     rows = rows.select("k", "n", "a", "ta", "e", F.col("next.a").alias("b"), F.col("next.ta").alias("tb"))
-    rows = rows.withColumn("ea", digests(F.col("e"))).withColumn("te", F.expr(table_sql("ea", CELLS)))
+    rows = _tabled(rows, "e", "ea", "te")
     return rows.select(
         F.col("k").alias(id_col),
         F.col("n").alias("n_chars"),

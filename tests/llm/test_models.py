@@ -199,17 +199,29 @@ def check_fingerprints(got, text):
 
 
 def paragraphs(text):
+    """The distinct paragraphs by an independent reading of the rule: a token's hash with the one before, modulo 32, against its length."""
     import regex
-
-    space = r"[ \t\n\x0b\f\r]"
-    coarse = regex.split(rf"\n+|(?<=[a-e][.!?]){space}+", text)
-    fine = [regex.split(rf"(?<=[a-eA-E][^\p{{L}} \t\n\x0b\f\r]{{0,3}}){space}+", p) if len(p) > iblt.LONG else [p] for p in coarse]
-    return {p for parts in fine for p in parts if p}
+    import xxhash
+
+    own, space = set(), " \t\n\x0b\f\r"
+    piece, before, at = "", None, 0
+    token = regex.compile(rf"[^{space}\p{{Lo}}]{{1,12}}[{space}]*|\p{{Lo}}[{space}]*|[{space}]+")
+    while at < len(text):
+        t = token.match(text, at).group()
+        at += len(t)
+        seed = 42 if before is None else xxhash.xxh64_intdigest(before, 42)
+        piece += t
+        if xxhash.xxh64_intdigest(t, seed) % 32 < len(t):  # 2^64 and 2^63 are multiples of 32, so the sign does not matter
+            own.add(piece)
+            piece = ""
+        before = t
+    return own | {piece} - {""}
 
 
 def likeness(a, b):
     a, b = paragraphs(a), paragraphs(b)
-    return len(a & b) / len(a | b) if a | b else 1.0
+    length = lambda pieces: sum(map(len, pieces))
+    return 1.0 if not a | b else length(a & b) / length(a | b)
 
 
 def test_op2_equals_exact_likeness(spark):
@@ -224,6 +236,41 @@ def test_op2_one_long_paragraph(spark):
     assert min(r.near_edited for r in got if r.doc_id == 1) > 0.5
 
 
+SCRIPTS = {
+    "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "zh": "".join(map(chr, range(0x4E00, 0x4F00))), "ar": "".join(map(chr, range(0x627, 0x64B))),
+    "en": "fghijklmnopqrstuvwxyz", "th": "".join(map(chr, range(0xE01, 0xE2F))), "hi": "".join(map(chr, range(0x905, 0x94D))), "ko": "".join(map(chr, range(0xAC00, 0xAD00))),
+}
+
+
+def test_op2_cuts_any_script(spark):
+    """Three quarters of a text are unchanged, so a text of 1,000 code points or more is like its edit, whatever its letters."""
+    rng = np.random.default_rng(6)
+    text = {}
+    for letters in SCRIPTS.values():
+        for size in (1000, 1500, 4000, 30_000):
+            spaced = letters if letters in (SCRIPTS["zh"], SCRIPTS["th"]) else letters + " " * (len(letters) // 5)
+            text[len(text)] = "".join(rng.choice(list(spaced), size))
+    text[len(text)] = "Zx9" * 20_000  # without a space
+    got = iblt.fingerprints(spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(8)).collect()
+    check_fingerprints(got, text)
+    assert min(r.near_edited for r in got[:-1]) >= 0.45 and np.mean([r.near_edited >= 0.5 for r in got]) > 0.9
+
+
+def stored(fingerprint):
+    return [tuple(int(v, 16) for v in cell.split(":")) for cell in fingerprint.split(",")]
+
+
+def test_op2_fingerprints_compare_without_texts(spark):
+    """The difference of two returned fingerprints holds the digests of the edit alone."""
+    a = " ".join(f"word{i * i % 977}" for i in range(900))
+    got = {r.doc_id: r for r in iblt.fingerprints(spark.createDataFrame([(1, a), (2, "other " + a[:-40])], "doc_id long, text string")).collect()}
+    left, right = stored(got[1].fingerprint), stored(got[2].fingerprint)
+    assert len(left) == len(right) and len(left) % 24 == 0
+    differing = sum(x != y for x, y in zip(left, right, strict=True))
+    changed = len(paragraphs(a) ^ paragraphs("other " + a[:-40]))
+    assert 0 < differing <= 3 * changed < len(left) / 4
+
+
 def test_op2_cuts_do_not_depend_on_lengths(spark):
     """Paragraphs that an edit makes shorter, and short texts of one paragraph, are like their edits."""
     words = ["able", "word", "the", "run", "sea,", "ring"]
