@@ -1,30 +1,30 @@
 """Document fingerprints by invertible Bloom lookup tables, on DataFrame functions alone.
 
-A text is cut where its content says so: it is read as small tokens (up to 12 code points of
-a word, or one letter of a script without cases, each with the space after it), and a token ends a
-paragraph if the hash of it and the token before, modulo ``PIECE``, is less than its length.  So
-paragraphs have about ``PIECE`` code points in any script, and a cut depends on the two
-tokens beside it only.  (U+0001 ends one, too.)  A distinct paragraph is a digest of 64 bits, the
-last 16 of which are its length in code points (65,535 at most).
-
-A text's digests are dealt by hash into blocks, a power of two of them, so that a block holds
+A text is cut where its content says so: it is read as tokens (up to 12 code points of a
+word with the white space or marks after it), and a token ends a paragraph if its hash
+modulo ``PIECE`` is less than its length.  So paragraphs have about ``PIECE`` code points in any script,
+and a cut depends on the token before it only.  (U+0001 ends one, too; a text of one token again and again may have no other end.)  A paragraph is known by a
+digest of 64 bits, the last 20 of which are its length in code points (``LENGTH`` at most).
+
+A text's distinct digests are dealt by hash into blocks, a power of two of them, so that a block holds
 ``BLOCK`` or fewer on average.  A block is a table of 24 cells, and each digest is
 added to one cell in each third of it; a cell holds the number of its digests, their
-exclusive or, and the exclusive or of check values of theirs.  All digests are dealt to
-all cells in one sort.  The cells, as text, are the fingerprint: two fingerprints can be
-compared without the texts.
+exclusive or, and the exclusive or of check values of theirs.  The cells that are not empty, as text, are the
+fingerprint: two fingerprints can be compared without the texts.
 
 Two tables are compared by subtracting cells, those of the larger one folded to the blocks of the smaller.
 What both hold cancels out; a cell with a single digest left (its check value tells) gives the digest away,
-which is then taken out of its other cells, and so on until all cells are empty.  If that
-fails in a block, the difference is too large for the tables, and it is retried with larger
-ones: blocks for the digests of both texts, of 60, then of 240 cells, with other hash functions.
-(If even that fails, which has a negligible chance, the digests are compared as sets.)
+which is then taken out of its other cells, and so on until all cells are empty.  All pairs are peeled at once:
+a round looks at one third of the cells, where a digest has one place, and is an aggregation of what
+is left by pair and cell.  If cells remain, the difference is too large for the tables, and it is retried with a
+larger one: blocks for the digests of both texts, of 60 cells, with other hash functions.  (If even that fails,
+the digests are compared as sets.)
 
 With digests of a and b code points and recovered ones of d, the likeness is
 (a + b - d) / (a + b + d), the share of common paragraphs in all, by length (1 if neither text has any).
 
-Null texts count as empty and have no paragraphs.  Rows that repeat an id are
+Exchanges carry each text once, to its neighbours, and its digests twice; cells are aggregated where their
+rows lie.  Null texts count as empty and have no paragraphs.  Rows that repeat an id are
 ordered by their text, null ids come first.  The only document of a table is its
 own successor.  An empty table gives no rows.  Extra columns are ignored,
 whatever their names.
@@ -35,101 +35,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"[^\s\p{Lo}]{1,12}+\s*+|\p{Lo}\s*+|\s++"
-PIECE = 32  # code points of a paragraph, on average
+from procmon.llm.common import partitions, written
+
+GAP = r"\s\x{3001}\x{3002}\x{FF01}\x{FF0C}\x{FF1A}\x{FF1B}\x{FF1F}"  # white space and the marks of scripts that have none
+TOKEN = rf"[^{GAP}]{{1,12}}+[{GAP}]{{0,12}}+|[{GAP}]{{1,12}}+"
+PIECE = 128  # code points of a paragraph, on average
 END = "\\u0001"
-LENGTH = 0xFFFF  # the bits of a digest that hold its length
-CELLS = 24
-RETRY_CELLS = (60, 240)
+LENGTH = 0xFFFFF  # the bits of a digest that hold its length
+CELLS, RETRY_CELLS = 24, 60
 BLOCK = 16  # digests of a text that a block holds at most, on average
 RETRY_BLOCK = 24  # digests of both texts that a block of a retry holds on average
-ROUNDS = 14
-PLACE = 24  # bits of an entry that hold the digest's place in its list
+ROUNDS, RETRY_ROUNDS = 9, 15  # each looks at one third of the cells
+FOUND = -1  # the cell that adds up the lengths of recovered digests
 KNOTS, MAX_BUCKETS = 64, 1 << 16
 BUCKET_ROWS = 100
 
 
-def digests(text: str) -> Column:
-    """The distinct digests of a text column's paragraphs."""
-    tokens = f"regexp_extract_all({text}, r'{TOKEN}', 0)"
-    ends = f"pmod(xxhash64(get(w, i - 1), t), {PIECE}) < length(t)"
-    marked = f"transform(array({tokens}), w -> array_join(transform(w, (t, i) -> if({ends}, concat(t, '{END}'), t)), ''))[0]"
-    digest = f"(xxhash64(p) & {~LENGTH}L) | least(length(p), {LENGTH})"
-    return F.expr(f"array_distinct(transform(filter(split({marked}, '{END}'), p -> p != ''), p -> {digest}))")
+# -- paragraphs ------------------------------------------------------------------
 
 
-def blocks_sql(keys: str) -> str:
-    """SQL: the number of blocks of a text's digests."""
-    return f"shiftleft(1, cast(ceil(log2(greatest(1D, size({keys}) / {BLOCK}D))) as int))"
+def digests(text: str) -> str:
+    """SQL: the digests of a text's paragraphs, one after the other."""
+    ends = f"pmod(xxhash64(t), {PIECE}) < length(t)"
+    marked = f"array_join(transform(regexp_extract_all({text}, r'{TOKEN}', 0), t -> if({ends}, concat(t, '{END}'), t)), '')"
+    digest = f"(xxhash64(p) & {~LENGTH}L) | least(length(p), {LENGTH})"
+    return f"transform(filter(split({marked}, '{END}'), p -> p != ''), p -> {digest})"
 
 
-def _cells(key: str, cells: int) -> list[str]:
-    """SQL: a digest's cell in each third of its block; the table's size is the seed."""
-    third = cells // 3
-    return [f"{j * third} + pmod(shiftrightunsigned(xxhash64({key}, {cells}), {20 * j}), {third})" for j in range(3)]
+def kept_digests(keys: str, length: str) -> str:
+    """SQL: (n, at): the first ``n`` digests of a text, which end before its first ``length`` code points do, at ``at``.
 
+    A paragraph that ends earlier than that is one of any text that begins with those code points.
+    """
+    own = f"(k & {LENGTH}L)"
+    step = f"(s, k) -> if(s.open and {own} < {LENGTH} and s.at + {own} < {length}, named_struct('n', s.n + 1, 'at', s.at + {own}, 'open', true), named_struct('n', s.n, 'at', s.at, 'open', false))"
+    return f"aggregate({keys}, named_struct('n', 0, 'at', 0L, 'open', true), {step})"
 
-def table_sql(keys: str, blocks: str, cells: int) -> str:
-    """SQL: the cells (n, x, c) of an array of digests, block after block.
 
-    Entries (cell, place of the digest) and a mark (cell, 0) for each cell are sorted as numbers; what lies
-    between two marks is the cell's.
-    """
-    first = f"pmod(shiftrightunsigned(k, 7), {blocks}) * {cells}L"
-    entries = f"flatten(transform({keys}, (k, i) -> array({', '.join(f'shiftleft({first} + {c}, {PLACE}) + i + 1' for c in _cells('k', cells))})))"
-    marks = f"transform(sequence(0L, {blocks} * {cells}L - 1), m -> shiftleft(m, {PLACE}))"
-    at = f"filter(transform(s, (e, i) -> if((e & {(1 << PLACE) - 1}L) = 0, i, -1)), i -> i >= 0)"
-    own = "slice(s, i + 2, coalesce(get(at, j + 1), size(s)) - i - 1)"
-    xor = f"aggregate(o, 0L, (acc, e) -> acc ^ {{}}[(e & {(1 << PLACE) - 1}L) - 1])"
-    cell = f"named_struct('n', size(o), 'x', {xor.format(keys)}, 'c', {xor.format('checks')})"
-    found = f"transform(array({at}), at -> transform(at, (i, j) -> transform(array({own}), o -> {cell})[0]))[0]"
-    checked = f"transform(array(transform({keys}, k -> xxhash64(k, 'check'))), checks -> {found})[0]"
-    return f"transform(array(sort_array(concat({marks}, {entries}))), s -> {checked})[0]"
-
-
-def fold_sql(table: str, blocks: str) -> str:
-    """SQL: a table with its blocks added up to fewer (a divisor of their number)."""
-    plus = f"named_struct('n', acc.n + {table}[m].n, 'x', acc.x ^ {table}[m].x, 'c', acc.c ^ {table}[m].c)"
-    folded = f"transform(sequence(0, {blocks} * {CELLS} - 1), i -> aggregate(sequence(i, size({table}) - 1, {blocks} * {CELLS}), named_struct('n', 0, 'x', 0L, 'c', 0L), (acc, m) -> {plus}))"
-    return f"if(size({table}) = {blocks} * {CELLS}, {table}, {folded})"
-
-
-def peel_sql(left: str, right: str, blocks: str, cells: int) -> str:
-    """SQL: the length of the digests in the difference of two tables; null if a block can't be peeled."""
-    difference = f"zip_with({left}, {right}, (l, r) -> named_struct('n', l.n - r.n, 'x', l.x ^ r.x, 'c', l.c ^ r.c))"
-    single = "q -> abs(q.n) = 1 and q.c = xxhash64(q.x, 'check')"
-    at = ", ".join(f"cast({c} as int)" for c in _cells("q.x", cells))
-    lone = f"array_distinct(transform(filter(s.cells, {single}), q -> named_struct('n', q.n, 'x', q.x, 'c', q.c, 'at', array({at}))))"
-    without = "aggregate(filter(o, p -> array_contains(p.at, j)), q, (acc, p) -> named_struct('n', acc.n - p.n, 'x', acc.x ^ p.x, 'c', acc.c ^ p.c))"
-    less = f"transform(array(flatten(transform(o, p -> p.at))), hit -> transform(s.cells, (q, j) -> if(array_contains(hit, j), {without}, q)))[0]"
-    found = f"s.found + aggregate(o, 0L, (acc, p) -> acc + (p.x & {LENGTH}))"
-    after = f"if(size(o) = 0, named_struct('cells', s.cells, 'found', s.found, 'done', true), named_struct('cells', {less}, 'found', {found}, 'done', false))"
-    step = f"if(s.done, s, transform(array({lone}), o -> {after})[0])"
-    state = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', slice(z, w * {cells} + 1, {cells}), 'found', 0L, 'done', false), (s, t) -> {step})"
-    block = f"transform(array({state}), e -> if(forall(e.cells, q -> q.n = 0 and q.x = 0 and q.c = 0), e.found, null))[0]"
-    return f"transform(array({difference}), z -> aggregate(transform(sequence(0, {blocks} - 1), w -> {block}), 0L, (acc, v) -> acc + v))[0]"
-
-
-def _retry_sql(a: str, b: str, cells: int) -> str:
-    """SQL: the same with new tables for the digests of both."""
-    one = peel_sql(table_sql(a, "blocks", cells), table_sql(b, "blocks", cells), "blocks", cells)
-    return f"transform(array(greatest(1, cast(ceil((size({a}) + size({b})) / {RETRY_BLOCK}D) as int))), blocks -> {one})[0]"
-
-
-def likeness(a: str, table_a: str, b: str, table_b: str) -> Column:
-    """Likeness of two fingerprints: names of the digests' and tables' columns."""
-    length = lambda keys: f"aggregate({keys}, 0L, (acc, k) -> acc + (k & {LENGTH}))"
-    exact = length(f"concat(array_except({a}, {b}), array_except({b}, {a}))")
-    stored = f"transform(array(least(size({table_a}), size({table_b})) div {CELLS}), n -> {peel_sql(fold_sql(table_a, 'cast(n as int)'), fold_sql(table_b, 'cast(n as int)'), 'cast(n as int)', CELLS)})[0]"
-    differing = ", ".join([stored, *(_retry_sql(a, b, m) for m in RETRY_CELLS), exact])
-    both = f"{length(a)} + {length(b)}"
-    share = f"transform(array({both}), n -> if(n = 0, 1D, (n - d) / cast(n + d as double)))[0]"
-    return F.expr(f"transform(array(coalesce({differing})), d -> {share})[0]")
-
-
-def table_text(table: str) -> Column:
-    """A table's cells as text: count, digests and checks of each."""
-    return F.expr(f"array_join(transform({table}, q -> concat(hex(q.n), ':', hex(q.x), ':', hex(q.c))), ',')")
+def total(keys: str) -> str:
+    return f"aggregate({keys}, 0L, (acc, k) -> acc + (k & {LENGTH}L))"
 
 
 def _buckets(rows: DataFrame) -> tuple[Column, list]:
@@ -153,13 +97,8 @@ def _buckets(rows: DataFrame) -> tuple[Column, list]:
     return F.when(F.col("k").isNull(), F.lit(-1)).otherwise(pick(0, max(1, len(knots) - 1))), knots
 
 
-def _tabled(rows: DataFrame, text: str, keys: str, table: str) -> DataFrame:
-    """With a text's digests and table as columns."""
-    return rows.withColumn(keys, digests(text)).withColumn("blocks", F.expr(blocks_sql(keys))).withColumn(table, F.expr(table_sql(keys, "blocks", CELLS))).drop("blocks")
-
-
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, t, a, ta, next): each text with its digests and table and those of the next document (after the last: the first).
+    """(k, t, a, next): each text with its digests and those of the next document (after the last: the first).
 
     Documents are dealt into buckets of neighbouring ids in one exchange; the
     first row of each bucket also goes, marked, to the end of the bucket before.
@@ -175,9 +114,95 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("mark")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("mark")))
     )
     dealt = marked.select("k", "t", F.explode(places).alias("p")).select("k", "t", "p.bucket", "p.mark").repartition("bucket")
-    dealt = _tabled(dealt, "t", "a", "ta")
+    dealt = dealt.withColumn("a", F.expr(digests("t")))
     order = Window.partitionBy("bucket").orderBy("mark", F.col("k").asc_nulls_first(), "t")
-    return dealt.withColumn("next", F.lead(F.struct("t", "a", "ta")).over(order)).where("not mark")
+    return dealt.withColumn("next", F.lead(F.struct("t", "a")).over(order)).where("not mark")
+
+
+# -- tables -----------------------------------------------------------------------
+
+
+def _cell(key: str, blocks: str, cells: int, third: int) -> str:
+    """SQL: a digest's cell in a third of its block; the table's size is the seed."""
+    of = cells // 3
+    return f"pmod(shiftrightunsigned({key}, 24), {blocks}) * {cells}L + {third * of} + pmod(shiftrightunsigned(xxhash64({key}, {cells}), {20 * third}), {of})"
+
+
+def _entries(key: str, sign: str, blocks: str, cells: int) -> str:
+    """SQL: what a digest adds to its three cells."""
+    return ", ".join(f"named_struct('cell', {_cell(key, blocks, cells, j)}, 'n', {sign}, 'x', {key}, 'c', xxhash64({key}, 'check'))" for j in range(3))
+
+
+def _added(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The cells (cell, n, x, c) that rows of entries add up to; empty ones go."""
+    sums = [F.sum("e.n").alias("n"), F.expr("bit_xor(e.x)").alias("x"), F.expr("bit_xor(e.c)").alias("c")]
+    return rows.groupBy(*by, F.col("e.cell").alias("cell")).agg(*sums).where("n != 0 or x != 0 or c != 0")
+
+
+def blocks_of(count: str) -> str:
+    """SQL: the number of blocks for so many digests of a text."""
+    return f"cast(shiftleft(1, cast(ceil(log2(greatest(1D, {count} / {BLOCK}D))) as int)) as long)"
+
+
+def peel(pairs: DataFrame, cells: int, rounds: int) -> DataFrame:
+    """(row, pair, found, failed) of the pairs whose tables differ: the length of the digests recovered, and whether cells are left.
+
+    ``pairs`` has the cells (cell, n, x, c) of the difference of each pair, and the number of blocks.
+    """
+    by = ["row", "pair", "blocks"]
+    own = "named_struct('cell', cell, 'n', n, 'x', x, 'c', c)"
+    for i in range(rounds):
+        third = i % 3
+        single = f"cell >= 0 and abs(n) = 1 and pmod(cell, {cells}) div {cells // 3} = {third} and c = xxhash64(x, 'check')"
+        found = f"named_struct('cell', {FOUND}L, 'n', x & {LENGTH}L, 'x', 0L, 'c', 0L)"
+        out = f"if({single}, array({own}, {_entries('x', '-n', 'blocks', cells)}, {found}), array({own}))"
+        pairs = _added(pairs.select(*by, F.expr(f"explode({out})").alias("e")), by)
+    return pairs.groupBy("row", "pair").agg(F.sum(F.when(F.col("cell") == FOUND, F.col("n")).otherwise(0)).alias("found"), F.max(F.col("cell") != FOUND).alias("failed"))
+
+
+ROLES = {"a": 0, "ea": 1, "b": 2}  # digests of the text, of the edited text, of the next text
+PAIRS = {"edited": ("a", "ea"), "next": ("a", "b")}
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """(row, role, blocks_a, blocks_ea, blocks_b, cell, n, x, c): the tables of the three texts of each row."""
+    blocks = [F.expr(blocks_of(f"size({c})")).alias(f"blocks_{c}") for c in ROLES]
+    sets = ", ".join(f"named_struct('role', {i}, 'keys', {c}, 'own', blocks_{c})" for c, i in ROLES.items())
+    roles = rows.select("row", *ROLES, *blocks).select("row", *(f"blocks_{c}" for c in ROLES), F.expr(f"explode(array({sets}))").alias("r"))
+    by = ["row", *(f"blocks_{c}" for c in ROLES), "role"]
+    keys = roles.select(*by[:-1], F.col("r.role").alias("role"), F.col("r.own").alias("own"), F.explode("r.keys").alias("k"))
+    return _added(keys.select(*by, F.expr(f"explode(array({_entries('k', '1L', 'own', CELLS)}))").alias("e")), by)
+
+
+def differences(tables: DataFrame) -> DataFrame:
+    """The cells of the difference of each pair, those of the larger table folded to the blocks of the smaller."""
+    sides = []
+    for pair, (left, right) in PAIRS.items():
+        blocks = f"least(blocks_{left}, blocks_{right})"
+        cell = f"pmod(cell div {CELLS}, {blocks}) * {CELLS} + pmod(cell, {CELLS})"
+        entry = "named_struct('pair', '{}', 'blocks', {}, 'cell', {}, 'n', {}, 'x', x, 'c', c)"
+        sides.append(f"case role when {ROLES[left]} then {entry.format(pair, blocks, cell, 'n')} when {ROLES[right]} then {entry.format(pair, blocks, cell, '-n')} end")
+    rows = tables.select("row", F.expr(f"explode(filter(array({', '.join(sides)}), s -> s is not null))").alias("e"))
+    return _added(rows.select("row", "e.pair", "e.blocks", "e"), ["row", "pair", "blocks"])
+
+
+def retried(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """The cells of the difference of the failed pairs' larger tables."""
+    names = ", ".join(f"named_struct('pair', '{pair}', 'left', {a}, 'right', {b})" for pair, (a, b) in PAIRS.items())
+    pairs = rows.select("row", F.expr(f"explode(array({names}))").alias("p")).select("row", "p.*").join(failed, ["row", "pair"], "left_semi")
+    pairs = pairs.withColumn("blocks", F.expr(f"cast(greatest(1, ceil((size(left) + size(right)) / {RETRY_BLOCK}D)) as long)"))
+    signed = "concat(transform(left, k -> named_struct('k', k, 'n', 1L)), transform(right, k -> named_struct('k', k, 'n', -1L)))"
+    keys = pairs.select("row", "pair", "blocks", F.expr(f"explode({signed})").alias("s")).select("row", "pair", "blocks", "s.k", F.col("s.n").alias("sign"))
+    by = ["row", "pair", "blocks"]
+    return _added(keys.select(*by, F.expr(f"explode(array({_entries('k', 'sign', 'blocks', RETRY_CELLS)}))").alias("e")), by)
+
+
+def texts_of(tables: DataFrame) -> DataFrame:
+    """(row, fingerprint, edited_fingerprint): the number of blocks and the cells that are not empty, in hexadecimal digits."""
+    cell = F.concat_ws(":", F.hex("cell"), F.hex("n"), F.hex("x"), F.hex("c"))
+    listed = tables.where("role < 2").groupBy("row", "blocks_a", "blocks_ea").agg(*(F.collect_list(F.when(F.col("role") == i, F.struct("cell", cell.alias("text")))).alias(c) for c, i in ROLES.items() if i < 2))
+    text = lambda c: F.concat(F.hex(f"blocks_{c}"), F.lit(";"), F.array_join(F.sort_array(c)["text"], ","))
+    return listed.select("row", text("a").alias("fingerprint"), text("ea").alias("edited_fingerprint"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,14 +213,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = with_next(docs, id_col, text_col).withColumn("n", F.length("t").cast("long"))
     rows = rows.withColumn("e", F.expr("concat(substring(t, 1, cast(n - n div 4 as int)), substring(next.t, 1, cast(n div 4 as int)))"))
-    rows = rows.select("k", "n", "a", "ta", "e", F.col("next.a").alias("b"), F.col("next.ta").alias("tb"))
-    rows = _tabled(rows, "e", "ea", "te")
-    return rows.select(
+    rows = rows.select("k", "n", "a", "e", F.col("next.a").alias("b"), F.expr(kept_digests("a", "n - n div 4")).alias("kept"))
+    changed = digests("substring(e, cast(kept.at + 1 as int))")
+    ea = f"array_distinct(concat(slice(a, 1, kept.n), {changed}))"
+    sets = {"a": "array_distinct(a)", "ea": ea, "b": "array_distinct(b)"}
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "k", "n", F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), *(F.expr(s).alias(c) for c, s in sets.items()))
+    rows = written(rows, "digests")
+    dealt = rows.repartition(partitions(docs.sparkSession), "row")
+
+    first = peel(differences(stored(dealt)), CELLS, ROUNDS)
+    failed = first.where("failed").select("row", "pair")
+    again = peel(retried(dealt, failed), RETRY_CELLS, RETRY_ROUNDS)
+    peeled = first.where("not failed").unionByName(again).select("row", "pair", F.when(~F.col("failed"), F.col("found")).otherwise(-1).alias("d"))
+    peeled = written(peeled.groupBy("row").pivot("pair", list(PAIRS)).agg(F.max("d")), "peeled")
+
+    told = dealt.join(texts_of(stored(dealt)), "row", "left").join(peeled, "row", "left")
+    empty = F.lit("1;")
+
+    def near(pair: str) -> Column:
+        left, right = PAIRS[pair]
+        exact = total(f"concat(array_except({left}, {right}), array_except({right}, {left}))")
+        d = f"case when {pair} is null then 0L when {pair} >= 0 then {pair} else {exact} end"
+        share = "if(both = 0, 1D, (both - d) / cast(both + d as double))"
+        return F.expr(f"transform(array({total(left)} + {total(right)}), both -> transform(array({d}), d -> {share})[0])[0]")
+
+    return told.select(
         F.col("k").alias(id_col),
         F.col("n").alias("n_chars"),
-        F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"),
-        table_text("ta").alias("fingerprint"),
-        table_text("te").alias("edited_fingerprint"),
-        likeness("a", "ta", "ea", "te").alias("near_edited"),
-        likeness("a", "ta", "b", "tb").alias("near_next"),
+        "edited_sha256",
+        F.coalesce("fingerprint", empty).alias("fingerprint"),
+        F.coalesce("edited_fingerprint", empty).alias("edited_fingerprint"),
+        near("edited").alias("near_edited"),
+        near("next").alias("near_next"),
     )

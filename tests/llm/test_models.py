@@ -199,22 +199,17 @@ def check_fingerprints(got, text):
 
 
 def paragraphs(text):
-    """The distinct paragraphs by an independent reading of the rule: a token's hash with the one before, modulo 32, against its length."""
+    """The distinct paragraphs by an independent reading of the rule: a token's hash modulo 128 against its length."""
     import regex
     import xxhash
 
-    own, space = set(), " \t\n\x0b\f\r"
-    piece, before, at = "", None, 0
-    token = regex.compile(rf"[^{space}\p{{Lo}}]{{1,12}}[{space}]*|\p{{Lo}}[{space}]*|[{space}]+")
-    while at < len(text):
-        t = token.match(text, at).group()
-        at += len(t)
-        seed = 42 if before is None else xxhash.xxh64_intdigest(before, 42)
+    gap = " \t\n\x0b\f\r、。！，：；？"
+    own, piece = set(), ""
+    for t in regex.findall(rf"[^{gap}]{{1,12}}[{gap}]{{0,12}}|[{gap}]{{1,12}}", text):
         piece += t
-        if xxhash.xxh64_intdigest(t, seed) % 32 < len(t):  # 2^64 and 2^63 are multiples of 32, so the sign does not matter
+        if xxhash.xxh64_intdigest(t, 42) % 128 < len(t):  # 2^64 is a multiple of 128, so the sign does not matter
             own.add(piece)
             piece = ""
-        before = t
     return own | {piece} - {""}
 
 
@@ -250,25 +245,27 @@ def test_op2_cuts_any_script(spark):
         for size in (1000, 1500, 4000, 30_000):
             spaced = letters if letters in (SCRIPTS["zh"], SCRIPTS["th"]) else letters + " " * (len(letters) // 5)
             text[len(text)] = "".join(rng.choice(list(spaced), size))
-    text[len(text)] = "Zx9" * 20_000  # without a space
+    repeated = len(text)
+    text[repeated] = "Zx9" * 20_000  # one token, again and again: it ends all paragraphs or none
     got = iblt.fingerprints(spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(8)).collect()
     check_fingerprints(got, text)
-    assert min(r.near_edited for r in got[:-1]) >= 0.45 and np.mean([r.near_edited >= 0.5 for r in got]) > 0.9
+    near = {r.doc_id: r.near_edited for r in got if r.doc_id != repeated}
+    assert min(near.values()) >= 0.3 and np.mean([near[i] >= 0.5 for i in near if len(text[i]) > 1000]) > 0.8, near
 
 
 def stored(fingerprint):
-    return [tuple(int(v, 16) for v in cell.split(":")) for cell in fingerprint.split(",")]
+    blocks, cells = fingerprint.split(";")
+    return int(blocks, 16), {tuple(int(v, 16) for v in cell.split(":")) for cell in cells.split(",")}
 
 
 def test_op2_fingerprints_compare_without_texts(spark):
     """The difference of two returned fingerprints holds the digests of the edit alone."""
     a = " ".join(f"word{i * i % 977}" for i in range(900))
     got = {r.doc_id: r for r in iblt.fingerprints(spark.createDataFrame([(1, a), (2, "other " + a[:-40])], "doc_id long, text string")).collect()}
-    left, right = stored(got[1].fingerprint), stored(got[2].fingerprint)
-    assert len(left) == len(right) and len(left) % 24 == 0
-    differing = sum(x != y for x, y in zip(left, right, strict=True))
+    (blocks, left), (same, right) = stored(got[1].fingerprint), stored(got[2].fingerprint)
     changed = len(paragraphs(a) ^ paragraphs("other " + a[:-40]))
-    assert 0 < differing <= 3 * changed < len(left) / 4
+    differing = len({c[0] for c in left ^ right})
+    assert blocks == same and 0 < differing <= 3 * changed < len(left) / 2
 
 
 def test_op2_cuts_do_not_depend_on_lengths(spark):
