@@ -32,7 +32,6 @@ def documents(spark):
 @pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_chunks_equal_whole_texts(name, kind):
     whole = Tokenizer.from_file(P.path(name))
-    whole.encode_special_tokens = True
     own = ChunkEncoder(P.path(name), kind)
     rng = random.Random(7)
     alphabet = ["a", "B", "é", "ß", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "1", "23", " ", "́", "日", "-", "!", "|", "(", ")", "the", " ", "<|endoftext|>", "\x00", "\r"]
@@ -101,7 +100,6 @@ def check_packing(pieces, ids):
 
 def test_op7_packs_every_id(spark):
     whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     ids = {i: [*whole.encode(t, add_special_tokens=False).ids, 2] for i, t in documents(spark)}
     sequences = check_packing(queries.QUERIES["op7_packing"](spark, SF).collect(), ids)
     assert sequences <= 1.02 * sum(map(len, ids.values())) / 4096 + 1
@@ -110,7 +108,6 @@ def test_op7_packs_every_id(spark):
 def test_op7_odd_texts_and_payload(spark):
     path = P.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(ODD)}
     got = packing.pack(rows(spark, ODD), path, 2, with_ids=True, block_windows=2).collect()
     check_packing(got, ids)
@@ -130,7 +127,6 @@ def test_differencing_beats_first_come():
 
 def store_rows(docs):
     whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     out, at = [], 0
     for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1])):
         ids = [*whole.encode(t, add_special_tokens=False).ids, 0]
@@ -164,3 +160,20 @@ def test_perfect_hash_is_minimal():
     h = tokenstore.PerfectHash.build(keys)
     assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
     assert (h.slots(keys + np.uint64(1 << 50)) == -1).mean() > 0.999
+
+
+STRANGE = [*"aZéß .,;:!?|)]}\"\n\t'-09", "\u0130", "\u0958", "\u09dc", "\ufb2a", "\ufb1d", "\u0301", "\u0307", "\u093c", "\u05c1", "\u0915", "\u05e9", "\u00a0", "\u3000", "\u200d", "中", "🙂", "\u1100", "\u1161", "I", "EV", "the ", "<|endoftext|>", "<|startoftext|>", "<|", "|>"]
+
+
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_chunks_equal_the_plain_call(name, kind):
+    """Random strings of characters that normalisation changes, marks and special tokens, against an unmodified tokenizer."""
+    rng = random.Random(11)
+    own, whole = ChunkEncoder(P.path(name), kind), Tokenizer.from_file(P.path(name))
+    for _ in range(20):
+        strings = ["".join(rng.choices(STRANGE, k=rng.randint(1, 12))) for _ in range(2500)]
+        ids, off = own.encode(pa.array(strings))
+        want = [e.ids for e in whole.encode_batch(strings, add_special_tokens=False)]
+        got = [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)]
+        wrong = [(t, w, g) for t, w, g in zip(strings, want, got, strict=True) if w != g]
+        assert not wrong, (len(wrong), wrong[:3])
