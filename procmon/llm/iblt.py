@@ -23,7 +23,7 @@ the digests are compared as sets.)
 With digests of a and b code points and recovered ones of d, the likeness is
 (a + b - d) / (a + b + d), the share of common paragraphs in all, by length (1 if neither text has any).
 
-Exchanges carry each text once, to its neighbours, and its digests twice; cells are aggregated where their
+Exchanges carry each text once, to its neighbours, and its digests three times; cells are aggregated where their
 rows lie.  Null texts count as empty and have no paragraphs.  Rows that repeat an id are
 ordered by their text, null ids come first.  The only document of a table is its
 own successor.  An empty table gives no rows.  Extra columns are ignored,
@@ -221,7 +221,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = written(rows, "digests")
     dealt = rows.repartition(partitions(docs.sparkSession), "row")
 
-    first = peel(differences(stored(dealt)), CELLS, ROUNDS)
+    first = written(peel(differences(stored(dealt)), CELLS, ROUNDS), "peeled-once")
     failed = first.where("failed").select("row", "pair")
     again = peel(retried(dealt, failed), RETRY_CELLS, RETRY_ROUNDS)
     peeled = first.where("not failed").unionByName(again).select("row", "pair", F.when(~F.col("failed"), F.col("found")).otherwise(-1).alias("d"))

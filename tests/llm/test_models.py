@@ -269,10 +269,10 @@ def test_op2_fingerprints_compare_without_texts(spark):
 
 
 def test_op2_cuts_do_not_depend_on_lengths(spark):
-    """Paragraphs that an edit makes shorter, and short texts of one paragraph, are like their edits."""
+    """Lines that an edit makes shorter, and texts of one line, are like their edits."""
     words = ["able", "word", "the", "run", "sea,", "ring"]
     long = " ".join(f"{words[i * i % 6]}{i % 7 * 'x'}{i} {words[i % 6]}" for i in range(75))[:900]
-    text = {1: long, 2: "\nother text " + "begun " * 300, 3: " ".join(f"{words[i % 6]} {i}" for i in range(40))}
+    text = {1: long, 2: "\nother text " + "begun " * 300, 3: " ".join(f"{words[i % 6]} {i}" for i in range(400))}
     got = iblt.fingerprints(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
     check_fingerprints(got, text)
     assert len(long) > 800 > len(long) * 3 / 4
