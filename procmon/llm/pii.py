@@ -7,8 +7,8 @@ Corpus counts estimate how strongly: with N documents, n(e) of which hold the en
 e, and P(e | t) the chance that a document with term t holds e near it, the term
 discloses PMI(e; t) = log2(P(e | t) * N / n(e)) of the entity's log2(N / n(e)) bits.
 A term that discloses at least ``REMOVE`` of them is removed, one that discloses at
-least ``GENERALISE`` is replaced by a general word, in the documents that hold the
-entity.  P(e | t) is Wilson's lower bound (``Z``) of the share of documents with t that
+least ``GENERALISE`` is replaced by its class (number, code, name or word), in the documents that hold the
+entity.  Terms are runs of at least three letters and digits, so account and order numbers count.  P(e | t) is Wilson's lower bound (``Z``) of the share of documents with t that
 have e near it, where all documents with the same context count as one.  So no
 entity is too rare to be protected, few observations disclose less than many, and
 copies of one passage prove no more than one.
@@ -43,7 +43,9 @@ HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x2
 CONTEXT = 48
 Z = 1.2816  # of a one-sided bound that holds with a chance of 0.9
 GENERALISE, REMOVE = 0.75, 0.9
-TERM = r"\p{L}{3,}"
+TERM = r"[\p{L}\p{N}]{3,}"
+# Classes that a generalised term is replaced by, the first whose shape fits.
+CLASSES = {"NUMBER": r"^\\p{N}+$", "CODE": r"\\p{N}", "NAME": r"^\\p{Lu}", "WORD": ""}
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 _T, _SPANS, _ROW = "__text", "__spans", "__row"
 
@@ -121,12 +123,17 @@ def disclosing(dirty: DataFrame, docs: DataFrame, text_col: str = "text") -> Dat
     seen_once = F.least("contexts", "n_et")
     share = (bits + F.log2(lower_bound(seen_once, seen_once + F.greatest(F.col("df") - F.col("n_et"), F.lit(0))))) / F.greatest(bits, F.lit(1e-9))
     told = told.select("kind", "value", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
-    return seen.select("row", "kind", "value").distinct().join(told, ["kind", "value"]).groupBy("row", "term").agg((F.max("share") >= REMOVE).alias("remove"))
+    told = written(told, "told")
+    # a document's own terms and entities, of those that disclose or are disclosed at all, meet inside the document
+    own = dirty.select(F.col(_ROW).alias("row"), F.explode(_terms(F.col(_T))).alias("term")).join(told.select("term").distinct(), "term", "left_semi")
+    held = seen.select("row", "kind", "value").distinct().join(told.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
+    met = own.join(held, "row").join(told, ["kind", "value", "term"])
+    return met.groupBy("row", "term").agg((F.max("share") >= REMOVE).alias("remove"))
 
 
 def _term_spans(terms: str, kind: int) -> str:
     """SQL: the spans of a list of terms in the text, outside base spans."""
-    pattern = f"concat(r'(?iu)(?<!\\p{{L}})(?:', array_join(array_sort({terms}), '|'), r')(?!\\p{{L}})')"
+    pattern = f"concat(r'(?iu)(?<![\\p{{L}}\\p{{N}}])(?:', array_join(array_sort({terms}), '|'), r')(?![\\p{{L}}\\p{{N}}])')"
     found = _spans(_T, "pat", str(kind)).replace("pat", "y")
     outside = f"filter(transform(array({pattern}), y -> {found})[0], m -> not exists({_SPANS}, b -> b.start < m.end and m.start < b.end))"
     return f"if(size({terms}) = 0, cast(array() as {SPAN}), {outside})"
@@ -167,11 +174,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with base entities and generalised terms replaced by markers and removed terms taken out; all columns stay."""
+    """The documents with base entities replaced by their kinds, generalised terms by their classes (``CLASSES``) and removed terms taken out; all columns stay."""
     clean, dirty = find(docs, text_col)
-    marks = ", ".join(f"'{m}'" for m in (*(f"[{k.upper()}]" for k in KINDS), "[TERM]", ""))
+    marks = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
+    general = " ".join(f"when m.value rlike '{shape}' then '[{name}]'" for name, shape in CLASSES.items())
+    mark = f"case when m.kind < {len(KINDS)} then array({marks})[m.kind] when m.kind > {len(KINDS)} then '' {general} end"
     ordered = f"array_sort({_SPANS}, (a, b) -> case when a.start != b.start then a.start - b.start else b.end - a.end end)"
-    step = f"(s, m) -> if(m.start < s.at, named_struct('at', greatest(s.at, m.end), 'out', s.out), named_struct('at', m.end, 'out', concat(s.out, substring({_T}, s.at + 1, m.start - s.at), array({marks})[m.kind])))"
+    step = f"(s, m) -> if(m.start < s.at, named_struct('at', greatest(s.at, m.end), 'out', s.out), named_struct('at', m.end, 'out', concat(s.out, substring({_T}, s.at + 1, m.start - s.at), {mark})))"
     built = f"transform(array(aggregate({ordered}, named_struct('at', 0, 'out', ''), {step})), e -> concat(e.out, substring({_T}, e.at + 1)))[0]"
     fixed = dirty.withColumn(text_col, F.expr(built)).select(*(F.col(f"`{c}`") for c in docs.columns))
     return clean.unionByName(fixed)
