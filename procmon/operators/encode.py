@@ -190,6 +190,14 @@ def feature_columns(spec: LogSpec, vocab: Vocab, method: str, max_events: int =
     return out
 
 
+def index_positions(method: str, max_events: int | None, max_len: int | None) -> int:
+    """The event positions of an index encoding; an error if neither argument names them."""
+    known = max_events or max_len or 0
+    if "index" in METHODS[method] and not known:
+        raise ValueError("an index encoding needs max_events (flow.index_events counts them) or max_len")
+    return known
+
+
 def encode(
     df: DataFrame,
     spec: LogSpec,
@@ -215,8 +223,7 @@ def encode(
 
         return encode_segmented(df, spec, vocab, method, min_len, max_len, max_events, keep, key, strict, hot=hot)
     w = spec.window()
-    if max_events is None:
-        max_events = max_len or 0
+    max_events = index_positions(method, max_events, max_len)
     feats = feature_columns(spec, vocab, method, max_events)
     nr = F.row_number().over(w)
     length = F.count(F.lit(1)).over(Window.partitionBy(col(spec.case)))

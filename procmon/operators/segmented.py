@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from procmon.functions import bounded_collect
 from procmon.functions.time import epoch_micros
-from procmon.operators.encode import METHODS, Vocab, one_hot
+from procmon.operators.encode import index_positions, METHODS, Vocab, one_hot
 from procmon.spec import LogSpec, col
 
 # cases above this many events are split into segments
@@ -153,8 +153,7 @@ def encode_segmented(
 ) -> DataFrame:
     """Same rows and columns as ``encode.encode``, with hot cases split into segments."""
     parts = METHODS[method]
-    if max_events is None:
-        max_events = max_len or 0
+    max_events = index_positions(method, max_events, max_len)
     if hot is None:
         hot = hot_cases(df, spec, max_rows)
     # read by the segment windows and by the per-segment table: computed once

@@ -177,6 +177,13 @@ def h2(spark, d):
     return H.search_direct(el1(spark, d), SPEC, _SEARCH, H.sample_params(spark, 2, 22))
 
 
+@register("h2b_search_trials_index")
+def h2b(spark, d):
+    """16 parameter sets of trees on the index encoding of all positions, as a durable table of trials."""
+    cfg = FL.FlowConfig(model="dt", encoding="indexbased")
+    return H.search_trials(el1(spark, d), SPEC, cfg, H.sample_params(spark, 16, 22), scratch_path(spark, "trials"))
+
+
 @register("h3_search_labels")
 def h3(spark, d):
     return H.search_labels(el1(spark, d), SPEC, EL1_RULES, _SEARCH, H.sample_params(spark, 1, 22))

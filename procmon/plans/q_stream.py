@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from procmon.operators import bundle as B
 from procmon.operators import encode as E
+from procmon.operators import flow as FL
 from procmon.operators import features as T
 from procmon.operators import split as D
 from procmon.plans.fixtures import EL1, EL1U, EL1_SQL, el1, with_
 from procmon.plans.registry import register, sql_unit
 from procmon.session import scratch_path
 from procmon.sources import io as S
+from procmon.streaming import cases as C
 from procmon.streaming import running as R
 
 ACTS = ("click", "error", "purchase", "signup", "view")
@@ -93,3 +96,90 @@ def r2(spark, d):
 def r2b(spark, d):
     """Mean and standard deviation of the streamed state."""
     return _streamed(spark, d).select("user_case", "n_events", F.round("mean_value", 9).alias("mean_value"), F.round("std_value", 9).alias("std_value"))
+
+
+def _split(spark, d):
+    return D.temporal_split(T.remaining_time(el1(spark, d), EL1), EL1, 0.8)
+
+
+@register("r1b_score_saved_bundle", _R1_SQL)
+def r1b(spark, d):
+    """R1 by a bundle of mean models that was saved and loaded again."""
+    train, test = _split(spark, d)
+    path = scratch_path(spark, "r1b")
+    B.save(B.fit(train, EL1, FL.FlowConfig(model="mean", bucket="prefix")), path)
+    events, running = scratch_path(spark, "r1b-events"), [f.name for f in EL1.to_struct().fields]
+    S.write_running(test.select(*running), events)
+    return B.score_cases(B.load(spark, path), S.read_running(spark, events, EL1))
+
+
+TREES = EL1.with_(dynamic_cat=("activity",))
+_CASES_SQL = with_(EL1_SQL, "cs AS (SELECT case_id, min(ts) AS s, count(*) AS len FROM el1 GROUP BY case_id)", "rk AS (SELECT *, row_number() OVER (ORDER BY s, case_id) AS rn, count(*) OVER () AS n FROM cs)")
+
+
+@register("r1c_loaded_bundle_predicts_as_fitted", _CASES_SQL + "SELECT case_id, CAST(len AS INTEGER) AS nr_events, true AS same FROM rk WHERE rn > ceil(0.8 * n)")
+def r1c(spark, d):
+    """Predictions of trees per prefix length before and after saving."""
+    train, test = _split(spark, d)
+    path = scratch_path(spark, "r1c")
+    own = B.fit(train, TREES, FL.FlowConfig(model="dt", bucket="prefix", params={"max_depth": 4}))
+    B.save(own, path)
+    test = test.persist()
+    fitted = B.score_cases(own, test).withColumnRenamed("predicted", "before")
+    both = B.score_cases(B.load(spark, path), test).join(fitted, ["case_id", "nr_events"])
+    return both.select("case_id", "nr_events", F.col("predicted").eqNullSafe(F.col("before")).alias("same"))
+
+
+IDLE = 86_400_000  # a day without an event ends a case
+
+
+def _cases(spark, d, idle: int, delay: str, bundle=None, vocab=E.Vocab({"activity": ACTS})):
+    """The case table after all slices; each arrives as JSON files, and the query starts again from its checkpoint for it."""
+    src, sink, ckpt = (scratch_path(spark, f"cases-{name}") for name in ("src", "sink", "ckpt"))
+    for part in _case_slices(spark, d):
+        part.write.mode("append").option("timestampNTZFormat", S.TS_FORMAT).json(src)
+        source = S.read_running(spark, src, TREES, stream=True)
+        C.run_cases(source, TREES, vocab, sink, ckpt, idle, delay, bundle).awaitTermination()
+    C.compact(spark, sink, TREES)
+    return C.current(spark, sink, TREES)
+
+
+def _case_slices(spark, d):
+    """The events in four slices of their time span, of which the second arrives after the third."""
+    ev = el1(spark, d).select(*[f.name for f in TREES.to_struct().fields])
+    quarter = F.expr("unix_micros(cast(ts as timestamp)) div 1000000 div 691200")  # eight days
+    first = ev.agg(F.min(quarter)).first()[0] or 0
+    nth = F.least(quarter - first, F.lit(3))
+    return [ev.where(nth == i) for i in (0, 2, 1, 3)]
+
+
+_SLICED = "sl AS (SELECT *, least(epoch_us(ts) // 1000000 // 691200 - (SELECT min(epoch_us(ts) // 1000000 // 691200) FROM el1), 3) AS nth FROM el1)"
+
+
+@register(
+    "r2c_expiring_cases",
+    with_(EL1_SQL, _SLICED, "kept AS (SELECT * FROM sl WHERE nth <> 1)", "final AS (SELECT epoch_ms(max(ts)) AS w FROM kept)")
+    + "SELECT case_id, CASE WHEN epoch_ms(max(ts)) + 86400000 < (SELECT w FROM final) THEN 'expired' ELSE 'open' END AS status, count(*) AS n_events, "
+    "arg_min(activity, (ts, event_id)) AS first_activity, arg_max(activity, (ts, event_id)) AS last_activity, min(ts) AS start_ts, max(ts) AS last_ts, "
+    "round(sum(value), 6) AS sum_value, round(avg(value), 6) AS mean_value, round(coalesce(stddev_samp(value), 0.0), 6) AS std_value, arg_max(value, (ts, event_id)) AS last_value, "
+    + ", ".join(f"count(CASE WHEN activity = '{a}' THEN 1 END) AS count_activity_{a}" for a in ACTS)
+    + " FROM kept GROUP BY case_id",
+)
+def r2c(spark, d):
+    """Cases on a stream: a slice that comes late is dropped, finished cases expire."""
+    rounded = {c: F.round(c, 6) for c in ("sum_value", "mean_value", "std_value")}
+    names = ["case_id", "status", "n_events", "first_activity", "last_activity", "start_ts", "last_ts", *rounded, "last_value", *(f"count_activity_{a}" for a in ACTS)]
+    return _cases(spark, d, IDLE, "0 seconds").withColumns(rounded).select(*names)
+
+
+@register("r2d_stream_scores_equal_batch", _CASES_SQL + "SELECT case_id, len AS n_events, true AS same FROM rk")
+def r2d(spark, d):
+    """Predictions that a loaded bundle gives to the stream's cases, against those of the batch."""
+    log = T.remaining_time(el1(spark, d), EL1)
+    path = scratch_path(spark, "r2d")
+    B.save(B.fit(log, TREES, FL.FlowConfig(model="dt", params={"max_depth": 4})), path)
+    bundle = B.load(spark, path)
+    cases = _cases(spark, d, 1 << 40, "400 days", bundle, bundle.vocab)
+    batch = B.score_cases(bundle, log).select("case_id", F.col("predicted").alias("batch"))
+    same = F.coalesce(F.abs(F.col("predicted") - F.col("batch")) <= 0.001, F.lit(False))
+    return cases.join(batch, "case_id").select("case_id", "n_events", same.alias("same"))

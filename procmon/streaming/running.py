@@ -23,7 +23,7 @@ def score_running(events: DataFrame, spec: LogSpec, vocab: E.Vocab, method: str,
     """One row per running case with its remaining-time prediction (rounded to 3 digits,
     never negative).  ``predict(prefixes) -> (case_id, prefix_len, predicted)``; cases in a
     bucket without a model get no score (NULL)."""
-    enc = E.encode(events, spec, vocab, method, 1, None, max_events=max_len or 0, strict=False)
+    enc = E.encode(events, spec, vocab, method, 1, None, max_events=max_len, strict=False)
     last = enc.where(F.col("prefix_len") == F.col("_case_len")).drop("_case_len")
     last = E.bucket_zero(last) if bucket == "zero" else E.bucket_prefix(last)
     pred = predict(last)
