@@ -11,11 +11,11 @@ Safe places:
   punctuation mark (the whitespace rules never pull such a character into the
   run before it), and between a letter and one of ``. , ; : ! ? | ) ] } "``.
 * ``word`` files (white space dropped, lower case, NFC): at spaces and
-  newlines that stand before no combining mark, and between a Latin-1 letter and one of the same
-  marks; lower case and NFC leave such a letter a single letter, which many others do not stay.
+  newlines, and between a Latin-1 letter and one of the same marks; lower case and
+  NFC leave such a letter a single letter, which many others do not stay.
 
-Texts that hold ``<|``, with which special tokens begin, are encoded whole, so special tokens
-are those of the library's plain call.
+Texts that hold ``<|``, with which special tokens begin, or (``word``) a combining mark after a space
+are encoded whole, so special tokens are those of the library's plain call.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ class ChunkEncoder:
         if self.kind == "byte":
             arr = pc.replace_substring_regex(arr, r"([ \n])([\p{L}\p{N}[:punct:]])", SEP + r"\1\2")
         else:
-            arr = pc.replace_substring_regex(arr, r"[ \n]+([^\p{M} \n])", SEP + r"\1")
+            arr = pc.replace_substring_regex(arr, r"[ \n]+", SEP)
         letter = r"\p{L}" if self.kind == "byte" else "[A-Za-zÀ-ÖØ-öø-ÿ]"
         arr = pc.replace_substring_regex(arr, rf'({letter})([.,;:!?|)\]}}"])', r"\1" + SEP + r"\2")
         return pc.split_pattern(arr, SEP)
@@ -115,6 +115,8 @@ class ChunkEncoder:
         if len(self.slot) > MAX_CHUNKS:
             self._reset()
         odd = pc.or_(pc.match_substring(arr, SEP), pc.match_substring(arr, "<|"))
+        if self.kind == "word":
+            odd = pc.or_(odd, pc.match_substring_regex(arr, r"[ \n]\p{M}"))
         if pc.any(odd).as_py():
             return self._encode_odd(arr, odd.to_numpy(zero_copy_only=False))
         lists = self._split(arr)
@@ -132,7 +134,7 @@ class ChunkEncoder:
         return ids, marks[np.concatenate([[0], np.cumsum(per_text)])]
 
     def _encode_odd(self, arr: pa.StringArray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts that hold the separator or a special token are encoded whole."""
+        """Texts that hold the separator or have no safe cuts are encoded whole."""
         plain = pc.if_else(pa.array(odd), "", arr)
         ids, off = self.encode(plain)
         parts = [np.array(self.whole(arr[i].as_py()), np.uint32) if o else ids[off[i] : off[i + 1]] for i, o in enumerate(odd)]
