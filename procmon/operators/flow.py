@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procmon.functions import bounded_collect
-from procmon.functions.formula import compile_formula, term_column
+from procmon.functions.formula import POSTFIX, FormulaError, compile_formula, evaluate_postfix, identifiers, parse, postfix, term_column
 from procmon.functions.rules import RuleSet
 from procmon.operators import encode as E
 from procmon.operators import features as T
@@ -62,11 +62,11 @@ def phantom_branches(terms: DataFrame, k0: int) -> DataFrame:
 def evaluate_formulas(terms: DataFrame, formulas: DataFrame, id_cols=ID, name: str = "predicted") -> DataFrame:
     """evaluate each prefix's formula on its terms.
 
-    The distinct formulas (few: one per model state) are compiled once to Spark
-    expressions and dispatched with one CASE; their number is checked first."""
+    Few distinct formulas (one per model state) are compiled once to Spark expressions and
+    dispatched with one CASE; their number is checked first.  More are evaluated as data, with the same results."""
     distinct = bounded_collect(formulas.select("formula").distinct(), MAX_FORMULAS)
     if distinct is None:
-        raise ValueError(f"more than {MAX_FORMULAS} distinct formulas; they are compiled into one plan")
+        return evaluate_formula_table(terms, formulas, id_cols, name)
     texts = [r[0] for r in distinct if r[0] is not None]
     known = [c[2:] for c in terms.columns if c.startswith("t_")]
     expr = None
@@ -77,6 +77,35 @@ def evaluate_formulas(terms: DataFrame, formulas: DataFrame, id_cols=ID, name: s
     return joined.withColumn(name, expr if expr is not None else F.lit(None).cast("double"))
 
 
+def postfix_table(formulas: DataFrame, known) -> DataFrame:
+    """(formula, tokens) of the distinct formulas; a formula with other terms than ``known`` is an error."""
+    known = set(known)
+
+    def parsed(parts):
+        for part in parts:
+            rows = []
+            for text in part["formula"]:
+                node = parse(text)
+                if missing := identifiers(node) - known:
+                    raise FormulaError(f"unknown terms {sorted(missing)} in {text!r}")
+                rows.append([{"op": op, "value": value, "name": term} for op, value, term in postfix(node)])
+            yield part.assign(tokens=rows)
+
+    return formulas.select("formula").where("formula is not null").distinct().mapInPandas(parsed, f"formula string, tokens {POSTFIX}")
+
+
+def evaluate_formula_table(terms: DataFrame, formulas: DataFrame, id_cols=ID, name: str = "predicted") -> DataFrame:
+    """F3 for any number of distinct formulas: each is parsed once, into postfix tokens, which every row evaluates on its terms.
+
+    Rows of few formulas meet their tokens in a join on the text, which AQE splits where a formula is frequent."""
+    known = [c[2:] for c in terms.columns if c.startswith("t_")]
+    values = F.map_from_arrays(F.array(*[F.lit(k) for k in known]), F.array(*[F.col(term_column(k)).cast("double") for k in known])) if known else F.expr("cast(map() as map<string,double>)")
+    joined = terms.join(formulas.select(*id_cols, "formula"), on=list(id_cols), how="inner").withColumn("_terms", values)
+    tokens = postfix_table(formulas, known).withColumnRenamed("tokens", "_tokens")
+    out = joined.join(tokens, "formula", "left").withColumn(name, evaluate_postfix("_tokens", "_terms"))
+    return out.select(*joined.columns[:-1], name)
+
+
 def attach_actual(pred: DataFrame, actual: DataFrame, method: str, cls: str, id_cols=ID) -> DataFrame:
     """clip negative predictions, join the actual remaining time, detail-table schema."""
     out = M.clip_negative(pred, "predicted").join(actual.select(*id_cols, F.col("remtime").alias("actual")), list(id_cols))

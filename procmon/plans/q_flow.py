@@ -193,6 +193,14 @@ def f3(spark, d):
     return out.select("case_id", "prefix_len", F.round("predicted", 3).alias("predicted"))
 
 
+@register("f3d_evaluate_formulas_as_data", fa_sql() + _PRED_SQL + " SELECT case_id, prefix_len, round(predicted, 3) AS predicted FROM ev2")
+def f3d(spark, d):
+    """The formulas as postfix tokens instead of compiled expressions."""
+    test_p, terms = _terms(spark, d)
+    out = FL.evaluate_formula_table(terms, el1_formulas(test_p))
+    return out.select("case_id", "prefix_len", F.round("predicted", 3).alias("predicted"))
+
+
 @register("f4_attach_actual", fa_sql() + _PRED_SQL + " " + _DETAIL_SQL.format(method="FA"))
 def f4(spark, d):
     test_p, terms = _terms(spark, d)
