@@ -17,6 +17,7 @@ from procmon.functions import bounded_collect
 from procmon.functions.formula import POSTFIX, FormulaError, compile_formula, evaluate_postfix, identifiers, parse, postfix, term_column
 from procmon.functions.rules import RuleSet
 from procmon.operators import encode as E
+from procmon.operators import ensemble as EN
 from procmon.operators import features as T
 from procmon.operators import models as M
 from procmon.operators import split as D
@@ -45,10 +46,16 @@ def term_names(rs: RuleSet, exits: dict, k0: int = 1) -> tuple[list[str], dict]:
 def term_table(prefixes: DataFrame, preds: list[DataFrame], rs: RuleSet, exits: dict, k0: int = 1, id_cols=ID) -> DataFrame:
     """one row per prefix, a ``t_<activity>`` column per cycle time and ``t_p{k}`` per exit.
     ``preds`` hold ``pred_<activity>`` / ``p_<gateway>_<c>`` columns keyed by ``id_cols``."""
-    _, pmap = term_names(rs, exits, k0)
     out = prefixes.select(*id_cols)
     for p in preds:
         out = out.join(p, on=list(id_cols), how="left")
+    return term_columns(out, rs, exits, k0, id_cols)
+
+
+def term_columns(scored: DataFrame, rs: RuleSet, exits: dict, k0: int = 1, id_cols=ID) -> DataFrame:
+    """F1 without joins: the term table of one frame that holds the predictions of all labels."""
+    _, pmap = term_names(rs, exits, k0)
+    out = scored
     ren = {term_column(a): F.col(f"pred_{a}") for a in rs.activities if f"pred_{a}" in out.columns}
     ren.update({term_column(name): F.col(f"p_{g}_{c}") for (g, c), name in pmap.items() if f"p_{g}_{c}" in out.columns})
     return out.select(*id_cols, *[v.alias(k) for k, v in ren.items()])
@@ -215,7 +222,7 @@ def prepare_with_hot(log: DataFrame, spec: LogSpec, cfg: FlowConfig):
 
 
 def predict_labels(train_p: DataFrame, test_p: DataFrame, targets: DataFrame, rs: RuleSet, exits: dict, cfg: FlowConfig, spec: LogSpec):
-    """Per-label predictions for the test prefixes (``pred_<activity>``, ``p_<gateway>_<c>``)."""
+    """Predictions for the test prefixes (``pred_<activity>``, ``p_<gateway>_<c>``): a list of one frame with those of all labels."""
     labels = [*rs.activities, *rs.gateways]
     tr = train_p.join(targets.select(spec.case, *labels), on=spec.case, how="inner")
     if cfg.model == "mean":
@@ -230,18 +237,19 @@ def predict_labels(train_p: DataFrame, test_p: DataFrame, targets: DataFrame, rs
         for a in rs.activities:
             pred = M.clip_negative(pred, f"pred_{a}")
         return [pred.drop("bucket")]
-    feats = E.feature_names(train_p)
-    # one model per label and bucket reads this table: checkpoint it to the shared folder
-    checkpoint_dir(tr.sparkSession)
-    tr = tr.checkpoint(eager=True)
-    out = []
-    for a in rs.activities:
-        lm = M.fit_buckets(tr, a, "regr", feats, cfg.model, params_of(cfg, a), cfg.min_cases)
-        out.append(M.predict_buckets(test_p, lm))
-    for g in rs.gateways:
-        lm = M.fit_buckets(tr, g, "class", feats, cfg.model, params_of(cfg, g), cfg.min_cases, exits[g])
-        out.append(M.predict_buckets(test_p, lm))
-    return out
+    return [EN.score(test_p, fit_labels(checkpointed(tr), rs, exits, cfg, E.feature_names(train_p)))]
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """Rows that the model of every label and bucket reads, in the shared folder."""
+    checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint(eager=True)
+
+
+def fit_labels(rows: DataFrame, rs: RuleSet, exits: dict, cfg: FlowConfig, feats) -> list:
+    """M7: the models of every cycle time and gateway on one table of encoded training prefixes with all labels."""
+    out = [M.fit_buckets(rows, a, "regr", feats, cfg.model, params_of(cfg, a), cfg.min_cases) for a in rs.activities]
+    return out + [M.fit_buckets(rows, g, "class", feats, cfg.model, params_of(cfg, g), cfg.min_cases, exits[g]) for g in rs.gateways]
 
 
 def gateway_classes(targets: DataFrame, gateways) -> dict:
@@ -261,7 +269,7 @@ def predict_flow(log: DataFrame, spec: LogSpec, rs: RuleSet, formulas_of, cfg: F
     targets = L.build_targets(log, spec, rs, hot=hot)
     exits = gateway_classes(targets, rs.gateways)
     preds = predict_labels(train_p, test_p, targets, rs, exits, cfg, spec)
-    terms = phantom_branches(term_table(test_p, preds, rs, exits, cfg.k0), cfg.k0)
+    terms = phantom_branches(term_columns(preds[0], rs, exits, cfg.k0), cfg.k0)
     pred = evaluate_formulas(terms, formulas_of(test_p))
     return attach_actual(pred, test_p, cfg.method_name, cfg.model)
 
@@ -277,5 +285,5 @@ def predict_direct(log: DataFrame, spec: LogSpec, cfg: FlowConfig) -> DataFrame:
     else:
         feats = E.feature_names(train_p)
         lm = M.fit_buckets(train_p, "remtime", "regr", feats, cfg.model, params_of(cfg, "remtime"), cfg.min_cases)
-        pred = M.predict_buckets(test_p, lm).withColumnRenamed("pred_remtime", "predicted")
+        pred = EN.score(test_p, [lm]).withColumnRenamed("pred_remtime", "predicted")
     return attach_actual(pred.select(*ID, "predicted"), test_p, "direct", cfg.model)

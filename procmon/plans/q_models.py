@@ -11,6 +11,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from procmon.operators import encode as E
+from procmon.operators import ensemble as EN
 from procmon.operators import flow as FL
 from procmon.operators import models as M
 from procmon.operators import search as H
@@ -119,6 +120,29 @@ def m7b(spark, d):
     return terms.withColumns({c: F.round(c, 6) for c in terms.columns if c.startswith("t_")})
 
 
+@register(
+    "m7c_one_pass_differences",
+    fa_sql("prefix") + " SELECT prefix_len AS bucket, count(*) AS n_prefixes, CAST(0 AS BIGINT) AS n_different FROM pf WHERE NOT is_train GROUP BY ALL",
+)
+def m7c(spark, d):
+    """Per bucket, the test prefixes and those that the one-pass scores of all labels and MLlib's own predictions differ on."""
+    cfg = FL.FlowConfig(model="rf", bucket="prefix", params={"n_estimators": 5, "max_depth": 4})
+    log, train_p, test_p = FL.prepare(el1(spark, d), SPEC, cfg)
+    targets = L.build_targets(log, SPEC, _M7_RULES)
+    exits = FL.gateway_classes(targets, _M7_RULES.gateways)
+    rows = FL.checkpointed(train_p.join(targets.select("case_id", *_M7_RULES.activities, *_M7_RULES.gateways), "case_id"))
+    test = FL.checkpointed(test_p)
+    models = FL.fit_labels(rows, _M7_RULES, exits, cfg, E.feature_names(train_p))
+    both = EN.score(test, models, keep=("bucket",))
+    names = [c for c in both.columns if c not in (*FL.ID, "bucket")]
+    for lm in models:
+        own = M.predict_buckets(test, lm)
+        both = both.join(own.toDF(*[f"own_{c}" if c in names else c for c in own.columns]), list(FL.ID), "left")
+    far = lambda c: ~(F.abs(F.col(c) - F.col(f"own_{c}")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(f"own_{c}")))
+    different = F.greatest(*[F.coalesce(far(c), F.col(c).isNotNull() | F.col(f"own_{c}").isNotNull()).cast("int") for c in names])
+    return both.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_prefixes"), F.sum(different).alias("n_different"))
+
+
 @register("m10_calibrate")
 def m10(spark, d):
     log = T.remaining_time(el1(spark, d), SPEC)
