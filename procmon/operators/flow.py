@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from procmon.functions import bounded_collect
 from procmon.functions.formula import POSTFIX, FormulaError, compile_formula, evaluate_postfix, identifiers, parse, postfix, term_column
 from procmon.functions.rules import RuleSet
+from procmon.operators import calibration as K
 from procmon.operators import encode as E
 from procmon.operators import ensemble as EN
 from procmon.operators import features as T
@@ -28,6 +29,7 @@ from procmon.spec import LogSpec, col
 # Most distinct formulas compiled into one CASE expression.
 MAX_FORMULAS = 2_000
 ID = ("case_id", "prefix_len")
+CASE_START = "_case_start"  # of targets, where models are calibrated
 
 
 def term_names(rs: RuleSet, exits: dict, k0: int = 1) -> tuple[list[str], dict]:
@@ -140,6 +142,7 @@ class FlowConfig:
     min_cases: int = 30
     k0: int = 1
     method_name: str = "FA"
+    calibrate: float | None = None  # share of a gateway's training cases that its model is fitted on; the later ones calibrate it
     hot_case_rows: int | None = 5_000_000  # cases above this size are encoded in segments
 
 
@@ -224,6 +227,7 @@ def prepare_with_hot(log: DataFrame, spec: LogSpec, cfg: FlowConfig):
 def predict_labels(train_p: DataFrame, test_p: DataFrame, targets: DataFrame, rs: RuleSet, exits: dict, cfg: FlowConfig, spec: LogSpec):
     """Predictions for the test prefixes (``pred_<activity>``, ``p_<gateway>_<c>``): a list of one frame with those of all labels."""
     labels = [*rs.activities, *rs.gateways]
+    labels += [CASE_START] if cfg.calibrate is not None else []
     tr = train_p.join(targets.select(spec.case, *labels), on=spec.case, how="inner")
     if cfg.model == "mean":
         mt = M.mean_predictor(tr, rs.activities, {g: exits[g] for g in rs.gateways}, by="bucket")
@@ -237,7 +241,35 @@ def predict_labels(train_p: DataFrame, test_p: DataFrame, targets: DataFrame, rs
         for a in rs.activities:
             pred = M.clip_negative(pred, f"pred_{a}")
         return [pred.drop("bucket")]
-    return [EN.score(test_p, fit_labels(checkpointed(tr), rs, exits, cfg, E.feature_names(train_p)))]
+    feats = E.feature_names(train_p)
+    if cfg.calibrate is not None:
+        return [_calibrated(tr, test_p, targets, rs, exits, cfg, spec, feats)]
+    return [EN.score(test_p, fit_labels(checkpointed(tr), rs, exits, cfg, feats))]
+
+
+def _calibrated(tr: DataFrame, test_p: DataFrame, targets: DataFrame, rs: RuleSet, exits: dict, cfg: FlowConfig, spec: LogSpec, feats) -> DataFrame:
+    """F5 with M10: of the training cases on which a gateway is defined, the first ``cfg.calibrate`` (by start) fit its
+    model and the prefixes of the others its calibration, per bucket and exit; cycle times use all training cases.
+
+    The validation prefixes of all gateways are scored in one pass, and so are the test prefixes."""
+    tr = checkpointed(tr.withColumn("_row", F.monotonically_increasing_id()))
+    starts = tr.select(col(spec.case).alias(spec.case), CASE_START, *rs.gateways).dropDuplicates([spec.case]).persist()
+    fits = {g: D.first_part(starts.where(F.col(g).isNotNull()), [CASE_START, spec.case], cfg.calibrate) for g in rs.gateways}
+    starts.unpersist()
+    models = [M.fit_buckets(tr, a, "regr", feats, cfg.model, params_of(cfg, a), cfg.min_cases) for a in rs.activities]
+    gateways = [M.fit_buckets(tr.where(fits[g]), g, "class", feats, cfg.model, params_of(cfg, g), cfg.min_cases, exits[g]) for g in rs.gateways]
+    columns = {f"p_{g}_{c}": (g, c) for g in rs.gateways for c in M.class_list(exits[g])}
+    if not columns:
+        return EN.score(test_p, models)
+    scored = EN.score(tr, gateways, ("_row",), keep=("bucket", spec.case, CASE_START, *rs.gateways))
+    point = [
+        F.when(F.col(g).isNotNull() & ~fits[g], F.struct(F.lit(g).alias("label"), F.lit(int(c)).alias("class"), F.col(n).alias("x"), (F.col(g) == c).cast("int").alias("y")))
+        for n, (g, c) in columns.items()
+    ]
+    points = scored.select("bucket", F.explode(F.array(*point)).alias("p")).where("p is not null").select("bucket", "p.*")
+    calibration = K.fit(points, ("label", "bucket", "class"))
+    out = K.apply(EN.score(test_p, models + gateways, keep=("bucket",)), calibration, columns)
+    return K.normalise(out, [[n for n, (h, _) in columns.items() if h == g] for g in rs.gateways]).drop("bucket")
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
@@ -267,6 +299,8 @@ def predict_flow(log: DataFrame, spec: LogSpec, rs: RuleSet, formulas_of, cfg: F
     ``formulas_of(test_prefixes)`` gives ``(case_id, prefix_len, formula)``."""
     log, train_p, test_p, hot = prepare_with_hot(log, spec, cfg)
     targets = L.build_targets(log, spec, rs, hot=hot)
+    if cfg.calibrate is not None:
+        targets = targets.join(D.case_starts(log, spec).withColumnRenamed("_start", CASE_START), spec.case)
     exits = gateway_classes(targets, rs.gateways)
     preds = predict_labels(train_p, test_p, targets, rs, exits, cfg, spec)
     terms = phantom_branches(term_columns(preds[0], rs, exits, cfg.k0), cfg.k0)

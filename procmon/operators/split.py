@@ -17,22 +17,23 @@ def case_starts(df: DataFrame, spec: LogSpec) -> DataFrame:
     return df.groupBy(col(spec.case).alias(spec.case)).agg(epoch_micros(F.min(col(spec.ts))).alias("_start"))
 
 
-def _split_by_key(df: DataFrame, spec: LogSpec, keyed: DataFrame, keys: list[str], ratio: float, hot=None):
-    keyed = keyed.persist()  # counted, searched and filtered: one row per case
+def first_part(keyed: DataFrame, keys: list[str], ratio: float):
+    """A condition on ``keys`` that the first ``ceil(ratio * N)`` rows of ``keyed`` meet, in the order of ``keys``."""
     n = keyed.count()
     k = int(math.ceil(ratio * n))
-    if k <= 0:
-        train_cases = keyed.limit(0)
-    elif k >= n:
-        train_cases = keyed
-    else:
-        cut = kth_smallest(keyed, keys, k, n=n)
-        cond = None
-        for i in range(len(keys) - 1, -1, -1):
-            c, v = F.col(keys[i]), F.lit(cut[i])
-            cond = (c <= v) if cond is None else (c < v) | ((c == v) & cond)
-        train_cases = keyed.where(cond)
-    train_cases = train_cases.select(spec.case)
+    if k <= 0 or k >= n:
+        return F.lit(k > 0)
+    cut = kth_smallest(keyed, keys, k, n=n)
+    cond = None
+    for i in range(len(keys) - 1, -1, -1):
+        c, v = F.col(keys[i]), F.lit(cut[i])
+        cond = (c <= v) if cond is None else (c < v) | ((c == v) & cond)
+    return cond
+
+
+def _split_by_key(df: DataFrame, spec: LogSpec, keyed: DataFrame, keys: list[str], ratio: float, hot=None):
+    keyed = keyed.persist()  # counted, searched and filtered: one row per case
+    train_cases = keyed.where(first_part(keyed, keys, ratio)).select(spec.case)
     from procmon.operators.segmented import case_join
 
     return case_join(df, spec, train_cases, "left_semi", hot), case_join(df, spec, train_cases, "left_anti", hot)

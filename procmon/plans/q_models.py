@@ -10,6 +10,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from procmon.operators import calibration as K
 from procmon.operators import encode as E
 from procmon.operators import ensemble as EN
 from procmon.operators import flow as FL
@@ -18,7 +19,7 @@ from procmon.operators import search as H
 from procmon.operators import split as D
 from procmon.operators import targets as L
 from procmon.operators import features as T
-from procmon.plans.fixtures import EL1, el1
+from procmon.plans.fixtures import EL1, EL1_SQL, el1, with_
 from procmon.plans.formulas import el1_formulas
 from procmon.plans.q_flow import fa_sql, mean_cols, pcols
 from procmon.plans.q_io import _BEST_SQL, cv_table
@@ -157,6 +158,29 @@ def m10(spark, d):
     return M.calibrate(vp, tp, "x1", 2)
 
 
+_ISO_POINTS = """pts AS (SELECT activity, CAST(hour(ts) * 60 + minute(ts) AS DOUBLE) AS x, CASE WHEN value >= 40 THEN 1 ELSE 0 END AS y FROM el1 WHERE value IS NOT NULL),
+g AS (SELECT activity, CAST(floor(x / 10) AS DOUBLE) AS x, count(*) AS w, CAST(sum(y) AS BIGINT) AS s FROM pts GROUP BY ALL),
+c AS (SELECT activity, x, sum(w) OVER o AS sw, sum(s) OVER o AS ss, w, s FROM g WINDOW o AS (PARTITION BY activity ORDER BY x))"""
+
+
+@register(
+    "m10b_isotonic",
+    with_(EL1_SQL, _ISO_POINTS)
+    + """, lowest AS (SELECT i.activity, i.x AS x, j.x AS xj, min(CAST(k.ss - j.ss + j.s AS DOUBLE) / CAST(k.sw - j.sw + j.w AS DOUBLE)) AS m
+FROM c i JOIN c j ON i.activity = j.activity AND j.x <= i.x JOIN c k ON i.activity = k.activity AND k.x >= i.x GROUP BY ALL)
+SELECT activity, x, round(max(m), 9) AS fitted FROM lowest GROUP BY ALL""",
+)
+def m10b(spark, d):
+    """Per activity, the isotonic regression of "the value is at least 40" on the time of day, at every time that occurs;
+    the SQL is the max-min formula over all pairs of times.  Ranges of 100 blocks, so that blocks are pooled across cuts."""
+    minute = F.hour("ts") * 60 + F.minute("ts")
+    points = el1(spark, d).where("value is not null").select("activity", F.floor(minute / 10).cast("double").alias("x"), (F.col("value") >= 40).cast("int").alias("y"))
+    blocks = K.isotonic(points, ["activity"], chunk=100).select("activity", "lo", "hi", "value")
+    times = points.select("activity", "x").distinct()
+    inside = times.join(blocks, "activity").where(F.col("x").between(F.col("lo"), F.col("hi")))
+    return inside.select("activity", "x", F.round("value", 9).alias("fitted"))
+
+
 @register("m11_save_load")
 def m11(spark, d):
     cfg = FL.FlowConfig(model="rf", params=SMALL)
@@ -181,6 +205,28 @@ def f5c(spark, d):
     return FL.predict_flow(el1(spark, d), SPEC, EL1_RULES, el1_formulas, cfg)
 
 
+@register(
+    "f5d_predict_flow_calibrated",
+    fa_sql("zero") + " SELECT case_id, prefix_len AS nr_events, true AS sums_to_one FROM pf WHERE NOT is_train",
+)
+def f5d(spark, d):
+    """Calibrated flow analysis (sigmoid or isotonic per gateway, bucket and exit): a row per test prefix, the exits of
+    every gateway with probabilities in 0 to 1 that sum to 1."""
+    cfg = FL.FlowConfig(model="rf", params={"n_estimators": 5, "max_depth": 4}, calibrate=0.8)
+    log, train_p, test_p, hot = FL.prepare_with_hot(el1(spark, d), SPEC, cfg)
+    starts = D.case_starts(log, SPEC).withColumnRenamed("_start", FL.CASE_START)
+    targets = L.build_targets(log, SPEC, EL1_RULES, hot=hot).join(starts, "case_id")
+    exits = FL.gateway_classes(targets, EL1_RULES.gateways)
+    (scored,) = FL.predict_labels(train_p, test_p, targets, EL1_RULES, exits, cfg, SPEC)
+    good = F.lit(True)
+    for g in EL1_RULES.gateways:
+        parts = [F.col(f"p_{g}_{c}") for c in M.class_list(exits[g])]
+        for p in parts:
+            good = good & p.between(0, 1)
+        good = good & (F.abs(sum(parts, F.lit(0.0)) - 1) < 1e-9)
+    return scored.select("case_id", F.col("prefix_len").alias("nr_events"), F.coalesce(good, F.lit(False)).alias("sums_to_one"))
+
+
 @register("f6b_predict_direct_gbt_prefix_index")
 def f6b(spark, d):
     return _direct(spark, d, "gbt", bucket="prefix", encoding="indexbased")
