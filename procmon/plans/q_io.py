@@ -15,6 +15,7 @@ from procmon.plans.rulesets import EL1_RULES, EL1_TARGETS_SQL
 from procmon.plans.scores import DETAILS_SQL, details
 from procmon.session import scratch_path
 from procmon.sources import io as S
+from procmon.sources import results as RES
 from procmon.spec import LogSpec
 
 _EL1_COLS = "case_id, activity, ts, event_id, k, segment, nation, value, acctbal"
@@ -116,6 +117,23 @@ def s7(spark, d):
     return back.select("dataset", "method", "cls", "case_id", F.col("nr_events").cast("int"), "predicted", "actual")
 
 
+@register("s7b_result_table", DETAILS_SQL + " SELECT dataset, method, cls, case_id, nr_events, predicted, actual, dataset || '/' || method AS run FROM details")
+def s7b(spark, d):
+    """Details as committed runs, one for each dataset and method, among a writer that died, a retry and a second attempt."""
+    rows, path = details(spark, d).withColumn("nr_events", F.col("nr_events").cast("int")), scratch_path(spark, "s7b")
+    rows.write.parquet(f"{path}/all")
+    rows = spark.read.parquet(f"{path}/all").select("dataset", "method", "cls", "case_id", "nr_events", "predicted", "actual")
+    table = f"{path}/table"
+    for g in rows.select("dataset", "method").distinct().collect():  # datasets x methods
+        part, run = rows.where((F.col("dataset") == g["dataset"]) & (F.col("method") == g["method"])), f"{g['dataset']}/{g['method']}"
+        RES.stage(part, table, ["method"])
+        attempt = RES.stage(part, table)
+        RES.write(part, table, run, partition_by=["dataset", "method"])
+        RES.commit(spark, table, run, attempt)
+        RES.write(part, table, run)
+    return RES.read(spark, table, "run")
+
+
 @register(
     "s8_write_prefix_logs",
     with_(EL1_SQL, _FORMULA_SQL.replace("SELECT case_id, activity,", "SELECT case_id, event_id,"))
