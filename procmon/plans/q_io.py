@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from procmon.operators import prefixes as P
 from procmon.operators import split as D
 from procmon.operators import targets as L
 from procmon.operators import report as V
 from procmon.plans.fixtures import EL1, EL1_SQL, EL2, EL2_SQL, el1, el2, with_
 from procmon.plans.formulas import EL1_FORMULAS
-from procmon.plans.registry import register
+from procmon.plans.registry import ORACLE, register
 from procmon.plans.rulesets import EL1_RULES, EL1_TARGETS_SQL
 from procmon.plans.scores import DETAILS_SQL, details
 from procmon.session import scratch_path
@@ -149,6 +150,15 @@ def s8(spark, d):
     return back.select("case_id", "event_id", F.col("prefix_len").cast("int"))
 
 
+@register("s8b_write_prefix_ranges", ORACLE["s8_write_prefix_logs"])
+def s8b(spark, d):
+    path = scratch_path(spark, "s8b")
+    S.write_prefix_logs(P.expand(P.ranges(el1(spark, d), EL1, 2)).select("case_id", "event_id", "prefix_len"), path)
+    schema = T.StructType([T.StructField("case_id", T.StringType()), T.StructField("event_id", T.LongType())])
+    back = spark.read.options(sep=";", header="true").schema(schema).csv(path)
+    return back.select("case_id", "event_id", F.col("prefix_len").cast("int"))
+
+
 @register("s9_read_running", with_(EL1_SQL) + f"SELECT {_EL1_COLS} FROM el1 WHERE activity <> 'purchase'")
 def s9(spark, d):
     path = scratch_path(spark, "s9")

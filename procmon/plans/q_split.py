@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from procmon.operators import prefixes as P
 from procmon.operators import split as D
 from procmon.operators import targets as L
 from procmon.plans.fixtures import EL1, EL1_SQL, EL2, EL2_SQL, el1, el2, with_
-from procmon.plans.registry import register
+from procmon.plans.registry import ORACLE, register
 from procmon.plans.rulesets import EL1_RULES, EL1_TARGETS_SQL
 
 _RANK_SQL = """cs AS (SELECT case_id, min(ts) AS s FROM {src} GROUP BY case_id),
@@ -185,6 +186,16 @@ def d10b(spark, d):
     return D.prefix_sizes(D.prefix_log(el1(spark, d), EL1, 2), EL1)
 
 
+@register("d6b_partial_traces_ranges", ORACLE["d6_partial_traces"])
+def d6b(spark, d):
+    return P.expand(P.partial_traces(el1(spark, d), EL1, 0.8, 2, 20)).select("case_id", "event_id", "prefix_len")
+
+
+@register("d10c_prefix_sizes_ranges", ORACLE["d10b_prefix_sizes"])
+def d10c(spark, d):
+    return P.sizes(P.ranges(el1(spark, d), EL1, 2), EL1)
+
+
 @register(
     "d11_length_histogram",
     with_(EL1_SQL, "cl AS (SELECT case_id, count(*) AS case_length FROM el1 GROUP BY case_id)")

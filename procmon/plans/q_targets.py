@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from procmon.functions.rules import Count, Counts, Follows, RuleSet, rules_from_dict
 from procmon.operators import features as T
+from procmon.operators import prefixes as P
 from procmon.operators import split as D
 from procmon.operators import targets as L
 from procmon.plans.fixtures import EL1, EL1_SQL, el1, with_
@@ -121,6 +122,11 @@ def l10(spark, d):
     return L.prefix_label(D.prefix_log(ev, EL1, 2), EL1, "remtime", "regr")
 
 
+@register("l10c_prefix_label_ranges", with_(EL1_SQL, _PREFIX_SQL) + "SELECT case_id, prefix_len, min(remtime) AS remtime FROM pf GROUP BY case_id, prefix_len")
+def l10c(spark, d):
+    return P.labels(P.ranges(T.remaining_time(el1(spark, d), EL1), EL1, 2), EL1, "remtime", "regr")
+
+
 @register(
     "l10b_prefix_label_class",
     with_(EL1_SQL, "seg AS (SELECT *, activity AS first_label FROM el1)")
