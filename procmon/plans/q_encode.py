@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from procmon.operators import encode as E
 from procmon.operators import features as T
+from procmon.operators import sparse as S
 from procmon.operators import split as D
-from procmon.plans.fixtures import EL1, EL1N_SQL, el1, with_
+from procmon.plans.fixtures import EL1, EL1N, EL1N_SQL, el1, with_
 from procmon.plans.registry import register, sql_unit
 
 # roles used by the encoder queries (small fixed vocabularies)
@@ -206,3 +207,100 @@ def e10d(spark, d):
     out = encode_segmented(el1(spark, d, nulls=True), ENC, _vocab(spark, d), "combined", 2, None, max_rows=3)
     rounded = {c: F.round(c, 6) for c in out.columns if any(c.startswith(f"agg__{r}_") for r in ROUNDED)}
     return out.withColumns(rounded)
+
+
+# -- sparse encodings: every level of `k` and `nation`, every position ---------------
+
+_X = f"x AS (SELECT *, CAST(row_number() OVER ({_W}) AS INTEGER) AS pos, count(*) OVER (PARTITION BY case_id) AS len FROM el1n)"
+_UPTO = "x p JOIN x e ON p.case_id = e.case_id AND e.pos <= p.pos"
+
+
+def _sparse_sql(part: str) -> list[str]:
+    """Selects of (case_id, prefix_len, feature, value, len), one for each column of an encoder."""
+    head = "SELECT case_id, pos AS prefix_len, "
+    own = {"static": ("first_value", EL1N.static_cat, EL1N.static_num), "last": ("last_value", EL1N.dynamic_cat, EL1N.dynamic_num)}
+    out = []
+    if part in own:
+        fn, cat, num = own[part]
+        out += [head + f"'{part}__{c}=' || {fn}({c} IGNORE NULLS) OVER {_WR} AS feature, 1.0 AS value, len FROM x" for c in cat]
+        out += [head + f"'{part}__{c}' AS feature, {fn}({c} IGNORE NULLS) OVER {_WR} AS value, len FROM x" for c in num]
+    elif part == "agg":
+        for c in EL1N.dynamic_cat:
+            out.append(f"SELECT p.case_id, p.pos, '{part}__{c}=' || e.{c}, count(*), p.len FROM {_UPTO} WHERE e.{c} IS NOT NULL GROUP BY ALL")
+        for c in EL1N.dynamic_num:
+            for fn, name in (("avg", "mean"), ("max", "max"), ("min", "min"), ("sum", "sum"), ("stddev_samp", "std")):
+                out.append(head + f"'{part}__{name}_{c}' AS feature, {fn}({c}) OVER {_WR} AS value, len FROM x")
+    elif part == "index":
+        at = f"'[' || (e.pos - 1) || ']"
+        out += [f"SELECT p.case_id, p.pos, '{part}__{c}' || {at}=' || e.{c}, 1.0, p.len FROM {_UPTO}" for c in EL1N.dynamic_cat]
+        out += [f"SELECT p.case_id, p.pos, '{part}__{c}' || {at}', e.{c}, p.len FROM {_UPTO}" for c in EL1N.dynamic_num]
+    return out
+
+
+def sparse_sql(method: str, lo: int, where: str = "true", ctes=()) -> str:
+    """The encoding in long form: entries other than 0 of the prefixes of ``lo`` or more events."""
+    rows = " UNION ALL ".join(f"({q})" for part in E.METHODS[method] for q in _sparse_sql(part))
+    store = f"store(case_id, prefix_len, feature, value, len) AS ({rows})"
+    return (
+        with_(EL1N_SQL, _X, store, *ctes)
+        + "SELECT case_id, prefix_len, feature, round(CAST(value AS DOUBLE), 6) AS value FROM store "
+        + f"WHERE prefix_len >= {lo} AND prefix_len < len AND feature IS NOT NULL AND round(CAST(value AS DOUBLE), 6) <> 0 AND {where}"
+    )
+
+
+def _long(entries):
+    return entries.select("case_id", "prefix_len", "feature", F.round("value", 6).alias("value")).where("value <> 0")
+
+
+def _split_ctes(lo: int) -> tuple[str, ...]:
+    return (
+        "cs AS (SELECT case_id, min(ts) AS s FROM el1n GROUP BY case_id)",
+        "rk AS (SELECT case_id, row_number() OVER (ORDER BY s, case_id) AS rn, count(*) OVER () AS n FROM cs)",
+        "early AS (SELECT case_id FROM rk WHERE rn <= ceil(0.8 * n))",
+        f"known AS (SELECT DISTINCT feature FROM store WHERE prefix_len >= {lo} AND prefix_len < len AND value <> 0 AND case_id IN (SELECT case_id FROM early))",
+    )
+
+
+_TEST = "case_id NOT IN (SELECT case_id FROM early) AND feature IN (SELECT feature FROM known)"
+
+
+@register("e5b_index_all_positions", sparse_sql("index", 1))
+def e5b(spark, d):
+    """E5 with the features of every event position and every level of `k`."""
+    return _long(S.expand(S.spans(el1(spark, d, nulls=True), EL1N, "index")))
+
+
+@register(
+    "e6b_select_index_to_quantile",
+    sparse_sql(
+        "index",
+        1,
+        "CAST(regexp_extract(feature, '\\[([0-9]+)\\]', 1) AS INTEGER) < (SELECT q FROM top)",
+        ("top AS (SELECT ceil(quantile_cont(n, 0.9)) AS q FROM (SELECT count(*) AS n FROM el1n GROUP BY case_id))",),
+    ),
+)
+def e6b(spark, d):
+    """The positions below the 0.9-quantile of case lengths."""
+    df = el1(spark, d, nulls=True)
+    return _long(S.expand(S.below(S.spans(df, EL1N, "index"), D.length_quantile(df, EL1N, 0.9))))
+
+
+@register("e8b_frozen_vocabulary", sparse_sql("laststate", 2, _TEST, _split_ctes(2)))
+def e8b(spark, d):
+    """Features of the test cases by the vocabulary of the training cases, without a row for each event and level."""
+    train, test = D.temporal_split(el1(spark, d, nulls=True), EL1N, 0.8)
+    vocab = S.fit_features(S.spans(train, EL1N, "laststate", 2))
+    return _long(S.expand(S.coded(S.spans(test, EL1N, "laststate", 2), vocab)))
+
+
+@register("e10e_sparse_combined", sparse_sql("combined", 2))
+def e10e(spark, d):
+    return _long(S.expand(S.spans(el1(spark, d, nulls=True), EL1N, "combined", 2)))
+
+
+@register("e10f_sparse_vectors", sparse_sql("indexbased", 2, _TEST, _split_ctes(2)))
+def e10f(spark, d):
+    """The entries of the test cases' vectors over the training vocabulary."""
+    train, test = D.temporal_split(el1(spark, d, nulls=True), EL1N, 0.8)
+    vocab = S.fit_features(S.spans(train, EL1N, "indexbased", 2))
+    return _long(S.entries(S.prefixes(test, EL1N, 2), S.spans(test, EL1N, "indexbased", 2), vocab, EL1N))

@@ -16,10 +16,11 @@ from procmon.operators import ensemble as EN
 from procmon.operators import flow as FL
 from procmon.operators import models as M
 from procmon.operators import search as H
+from procmon.operators import sparse as S
 from procmon.operators import split as D
 from procmon.operators import targets as L
 from procmon.operators import features as T
-from procmon.plans.fixtures import EL1, EL1_SQL, el1, with_
+from procmon.plans.fixtures import EL1, EL1N, EL1_SQL, el1, with_
 from procmon.plans.formulas import el1_formulas
 from procmon.plans.q_flow import fa_sql, mean_cols, pcols
 from procmon.plans.q_io import _BEST_SQL, cv_table
@@ -61,6 +62,20 @@ def m1b(spark, d):
     return _class_pred(spark, d, "x2", 4, "rf")
 
 
+@register("m1c_random_forest_sparse")
+def m1c(spark, d):
+    """M1 on sparse vectors: every event position, every level of `k` and `nation`."""
+    log = T.remaining_time(el1(spark, d, nulls=True), EL1N)
+    parts = D.temporal_split(log, EL1N, 0.8)
+    stores = [S.spans(x, EL1N, "indexbased", 2) for x in parts]
+    vocab = S.fit_features(stores[0])
+    train, test = (
+        E.bucket_zero(S.vectors(S.prefixes(x, EL1N, 2, keep=("remtime",)), store, vocab, EL1N)) for x, store in zip(parts, stores)
+    )
+    fitted = M.fit_buckets(train, "remtime", "regr", E.feature_names(train), "rf", SMALL)
+    return M.predict_buckets(test, fitted)
+
+
 @register("m2_gradient_boosting")
 def m2(spark, d):
     return _direct(spark, d, "gbt")
