@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from procmon.functions import bounded_collect
 from procmon.functions.time import in_unit, micros_between
+from procmon.session import scratch_path
 from procmon.spec import LogSpec, col
 
 # Largest vocabulary that is shipped to the executors as a literal set.
@@ -92,7 +93,7 @@ def ffill(df: DataFrame, spec: LogSpec, cols, hot=None) -> DataFrame:
 
         cols = list(cols)
         x = case_context(df, spec, hot, ffill=cols)
-        return x.withColumns({c: F.col(f"_ffill_{c}") for c in cols}).drop("_pos", "_len", *[f"_ffill_{c}" for c in cols])
+        return x.withColumns({c: col(f"_ffill_{c}") for c in cols}).drop("_pos", "_len", *[f"_ffill_{c}" for c in cols])
     w = spec.running()
     return df.withColumns({c: F.last(col(c), ignorenulls=True).over(w) for c in cols})
 
@@ -123,14 +124,20 @@ def _replace_outside(df: DataFrame, name: str, kept: DataFrame, other: str) -> D
     return out.withColumn(name, F.when(F.col("_kept"), col(name).cast("string")).otherwise(F.lit(other))).drop("_lvl", "_kept")
 
 
+def _written_counts(df: DataFrame, cols) -> DataFrame:
+    """``level_counts`` as a table in the shared folder: counted once, with no cache to release."""
+    path = scratch_path(df.sparkSession, "levels")
+    level_counts(df, cols).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def rare_to_other(df: DataFrame, cols, min_count: int = 10, other: str = "other") -> DataFrame:
     """Levels with fewer than ``min_count`` events become ``other``.  The input is read
-    twice (counts, then replacement), so it is persisted."""
+    twice: its ``cols`` for the counts, a written table, then whole."""
     cols = list(cols)
     if not cols:
         return df
-    df = df.persist()
-    counts = level_counts(df, cols).where(F.col("count") >= min_count).cache()
+    counts = _written_counts(df, cols).where(F.col("count") >= min_count)
     for c in cols:
         df = _replace_outside(df, c, counts.where(F.col("column") == c).select("level"), other)
     return df
@@ -138,16 +145,13 @@ def rare_to_other(df: DataFrame, cols, min_count: int = 10, other: str = "other"
 
 def topk_to_other(df: DataFrame, cols, k: int = 10, other: str = "other") -> DataFrame:
     """Keep the ``k`` most frequent levels (ties by level ascending), the rest -> ``other``."""
-    from pyspark.sql import Window
-
     cols = list(cols)
     if not cols:
         return df
-    df = df.persist()  # read twice: counts, then replacement
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("level").asc_nulls_last())
-    top = level_counts(df, cols).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).cache()
+    counts = _written_counts(df, cols)
     for c in cols:
-        df = _replace_outside(df, c, top.where(F.col("column") == c).select("level"), other)
+        top = counts.where(F.col("column") == c).orderBy(F.col("count").desc(), F.col("level").asc_nulls_last()).limit(k)
+        df = _replace_outside(df, c, top.select("level"), other)
     return df
 
 

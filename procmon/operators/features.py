@@ -2,7 +2,8 @@
 
 All window features of a log use the one case window of its spec, so that a
 chain of them costs a single hash exchange on the case column followed by one
-sort on ``(case, ts, tiebreak)``.
+sort on ``(case, ts, tiebreak)``.  With ``hot`` (``segmented.hot_cases``) large cases
+are windowed segment by segment, with the same result.
 """
 
 from __future__ import annotations
@@ -14,14 +15,29 @@ from procmon.functions.time import in_unit, micros_between
 from procmon.spec import LogSpec, col
 
 
-def time_since_last(df: DataFrame, spec: LogSpec, unit: str = "m", name: str = "timesincelastevent") -> DataFrame:
+def _context(df: DataFrame, spec: LogSpec, hot: DataFrame, **values) -> DataFrame:
+    """The case's values joined from the states of its segments (``segmented.case_context``)."""
+    from procmon.operators.segmented import case_context
+
+    return case_context(df, spec, hot, **values)
+
+
+def time_since_last(df: DataFrame, spec: LogSpec, unit: str = "m", name: str = "timesincelastevent", hot=None) -> DataFrame:
     """Time since the previous event of the case; 0 on the first event."""
+    if hot is not None:
+        prev = f"_lag_{spec.ts}"
+        x = _context(df, spec, hot, lag=(spec.ts,))
+        return x.withColumn(name, in_unit(F.coalesce(micros_between(col(prev), col(spec.ts)), F.lit(0)), unit)).drop("_pos", "_len", prev)
     prev = F.lag(col(spec.ts)).over(spec.window())
     return df.withColumn(name, in_unit(F.coalesce(micros_between(prev, col(spec.ts)), F.lit(0)), unit))
 
 
-def time_since_start(df: DataFrame, spec: LogSpec, unit: str = "m", name: str = "timesincecasestart") -> DataFrame:
+def time_since_start(df: DataFrame, spec: LogSpec, unit: str = "m", name: str = "timesincecasestart", hot=None) -> DataFrame:
     """Time since the first event of the case."""
+    if hot is not None:
+        start = f"_first_{spec.ts}"
+        x = _context(df, spec, hot, first=(spec.ts,))
+        return x.withColumn(name, in_unit(micros_between(col(start), col(spec.ts)), unit)).drop("_pos", "_len", start)
     start = F.min(col(spec.ts)).over(spec.whole_case())
     return df.withColumn(name, in_unit(micros_between(start, col(spec.ts)), unit))
 
@@ -30,26 +46,28 @@ def remaining_time(df: DataFrame, spec: LogSpec, unit: str = "s", name: str = "r
     """Time from the event to the last event of its case (seconds by default).
     ``hot`` (``segmented.hot_cases``): the case end comes from per-segment maxima."""
     if hot is not None:
-        from procmon.operators.segmented import case_context
-
-        x = case_context(df, spec, hot, case_max=(spec.ts,))
-        return x.withColumn(name, in_unit(micros_between(col(spec.ts), F.col(f"_max_{spec.ts}")), unit)).drop("_pos", "_len", f"_max_{spec.ts}")
+        x = _context(df, spec, hot, case_max=(spec.ts,))
+        return x.withColumn(name, in_unit(micros_between(col(spec.ts), col(f"_max_{spec.ts}")), unit)).drop("_pos", "_len", f"_max_{spec.ts}")
     end = F.max(col(spec.ts)).over(spec.whole_case())
     return df.withColumn(name, in_unit(micros_between(col(spec.ts), end), unit))
 
 
-def duration(df: DataFrame, spec: LogSpec, unit: str = "m") -> DataFrame:
+def duration(df: DataFrame, spec: LogSpec, unit: str = "m", hot=None) -> DataFrame:
     """T4: minutes since the previous event, named ``duration``."""
-    return time_since_last(df, spec, unit, name="duration")
+    return time_since_last(df, spec, unit, name="duration", hot=hot)
 
 
-def event_nr(df: DataFrame, spec: LogSpec, name: str = "event_nr") -> DataFrame:
+def event_nr(df: DataFrame, spec: LogSpec, name: str = "event_nr", hot=None) -> DataFrame:
     """T5: 1-based position of the event in its case."""
+    if hot is not None:
+        return _context(df, spec, hot).withColumn(name, F.col("_pos").cast("int")).drop("_pos", "_len")
     return df.withColumn(name, F.row_number().over(spec.window()))
 
 
-def case_length(df: DataFrame, spec: LogSpec, name: str = "case_length") -> DataFrame:
+def case_length(df: DataFrame, spec: LogSpec, name: str = "case_length", hot=None) -> DataFrame:
     """Number of events of the case."""
+    if hot is not None:
+        return _context(df, spec, hot).withColumn(name, F.col("_len")).drop("_pos", "_len")
     return df.withColumn(name, F.count(F.lit(1)).over(spec.whole_case()))
 
 
@@ -80,9 +98,9 @@ def standard_features(df: DataFrame, spec: LogSpec, unit: str = "m", hot=None) -
         x = case_context(df, spec, hot, lag=(spec.ts,), first=(spec.ts,), case_max=(spec.ts,))
         x = x.withColumns(
             {
-                "timesincelastevent": in_unit(F.coalesce(micros_between(F.col(f"_lag_{spec.ts}"), ts), F.lit(0)), unit),
-                "timesincecasestart": in_unit(micros_between(F.col(f"_first_{spec.ts}"), ts), unit),
-                "remtime": in_unit(micros_between(ts, F.col(f"_max_{spec.ts}")), "s"),
+                "timesincelastevent": in_unit(F.coalesce(micros_between(col(f"_lag_{spec.ts}"), ts), F.lit(0)), unit),
+                "timesincecasestart": in_unit(micros_between(col(f"_first_{spec.ts}"), ts), unit),
+                "remtime": in_unit(micros_between(ts, col(f"_max_{spec.ts}")), "s"),
                 "event_nr": F.col("_pos").cast("int"),
                 "case_length": F.col("_len"),
             }

@@ -50,8 +50,8 @@ def open_cases_sequential(df: DataFrame, spec: LogSpec, name: str = "open_cases"
         from procmon.operators.segmented import case_context
 
         df = case_context(df, spec, hot, lag=(spec.ts,), first=(spec.ts,), case_max=(spec.ts,))
-        start, end = F.col(f"_first_{spec.ts}"), F.col(f"_max_{spec.ts}")
-        first, prev = F.col("_pos") == 1, F.col(f"_lag_{spec.ts}")
+        start, end = col(f"_first_{spec.ts}"), col(f"_max_{spec.ts}")
+        first, prev = F.col("_pos") == 1, col(f"_lag_{spec.ts}")
     else:
         w, wc = spec.window(), spec.whole_case()
         start, end = F.min(ts).over(wc), F.max(ts).over(wc)

@@ -98,8 +98,8 @@ def case_duration_days(df: DataFrame, spec: LogSpec, dataset: str) -> DataFrame:
 
 def normalised_mae(agg: DataFrame, durations: DataFrame) -> DataFrame:
     """Weighted MAE and its sd divided by the dataset's mean case duration, then mean and
-    sd per method.  ``durations`` has one row per dataset (a bounded broadcast)."""
-    x = agg.join(F.broadcast(durations), "dataset")
+    sd per method.  ``durations`` has one row per dataset."""
+    x = agg.join(durations, "dataset")
     x = x.withColumns({"norm_mae": F.col("weighted_mae_days") / F.col("case_duration_days"), "norm_std": F.col("std_days") / F.col("case_duration_days")})
     return x.groupBy("method").agg(
         F.avg("norm_mae").alias("mean_norm_mae"), F.stddev_samp("norm_mae").alias("std_norm_mae"), F.avg("norm_std").alias("mean_norm_std")
@@ -123,22 +123,21 @@ def strip_suffix(c: Column) -> Column:
 
 def label_methods(scores: DataFrame, lookup: DataFrame) -> DataFrame:
     """Readable method names from file-name tokens through a lookup table
-    ``(lm2, ltoken, label)``; ``lm2 = '*'`` matches any ``method2`` (a handful of rows:
-    a bounded broadcast, joined on the token)."""
+    ``(lm2, ltoken, label)``; ``lm2 = '*'`` matches any ``method2``, joined on the token."""
     cond = (F.col("ltoken") == F.col("token")) & ((F.col("lm2") == F.col("method2")) | (F.col("lm2") == "*"))
-    x = scores.join(F.broadcast(lookup), cond, how="left")
+    x = scores.join(lookup, cond, how="left")
     return x.withColumn("method_label", F.coalesce(F.col("label"), F.col("token"))).drop("label", "lm2", "ltoken")
 
 
-def unpivot_errors(wide: DataFrame, prefix: str, lengths, ms: bool = True) -> DataFrame:
+def unpivot_errors(wide: DataFrame, prefix: str, lengths, ms: bool = True, by=()) -> DataFrame:
     """Per-length error columns ``{prefix}{n}`` of a wide table -> score rows: mean error
-    ignoring nulls (ms -> s) and the number of non-negative errors."""
+    ignoring nulls (ms -> s) and the number of non-negative errors, for each length and ``by`` group."""
     names = [f"{prefix}{n}" for n in lengths]
     long = wide.select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("nr_events"), F.col(c).alias("err")) for n, c in zip(lengths, names)])).alias("x")
-    ).select("x.nr_events", "x.err")
+        *by, F.explode(F.array(*[F.struct(F.lit(n).alias("nr_events"), F.col(c).alias("err")) for n, c in zip(lengths, names)])).alias("x")
+    ).select(*by, "x.nr_events", "x.err")
     scale = 1000.0 if ms else 1.0
-    return long.groupBy("nr_events").agg(
+    return long.groupBy(*by, "nr_events").agg(
         (F.avg("err") / scale).alias("score"), F.count(F.when(F.col("err") >= 0, F.lit(1))).alias("nr_cases")
     )
 

@@ -54,21 +54,25 @@ def case_hash(spec: LogSpec, seed: int):
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def random_split(df: DataFrame, spec: LogSpec, ratio: float = 0.8, seed: int = 22):
+def random_split(df: DataFrame, spec: LogSpec, ratio: float = 0.8, seed: int = 22, hot=None):
     """Seeded random split of cases (ordered by ``case_hash``; deterministic under any
     partitioning and engine)."""
     keyed = df.select(col(spec.case).alias(spec.case)).distinct().withColumn("_h", F.coalesce(case_hash(spec, seed), F.lit(-1)))
-    return _split_by_key(df, spec, keyed, ["_h", spec.case], ratio)
+    return _split_by_key(df, spec, keyed, ["_h", spec.case], ratio, hot)
 
 
-def three_way_split(df: DataFrame, spec: LogSpec, r1: float = 0.8, r2: float = 0.8):
+def three_way_split(df: DataFrame, spec: LogSpec, r1: float = 0.8, r2: float = 0.8, hot=None):
     """D3: train+validation / test by ``r1``, then train / validation by ``r2`` (both temporal)."""
-    train_val, test = temporal_split(df, spec, r1)
-    train, val = temporal_split(train_val, spec, r2)
+    train_val, test = temporal_split(df, spec, r1, hot)
+    train, val = temporal_split(train_val, spec, r2, hot)
     return train, val, test
 
 
-def kfold(df: DataFrame, spec: LogSpec, k: int = 5, label: str | None = None, seed: int = 22) -> DataFrame:
+# strata of a stratified k-fold are told apart by a hash below this; two classes that share one are cut as one
+STRATA = 1 << 50
+
+
+def kfold(df: DataFrame, spec: LogSpec, k: int = 5, label: str | None = None, seed: int = 22, hot=None) -> DataFrame:
     """Fold number per event, assigned per case (shuffled k-fold, or stratified by the
     case's ``label``).
 
@@ -76,31 +80,25 @@ def kfold(df: DataFrame, spec: LogSpec, k: int = 5, label: str | None = None, se
     cut into ``k`` contiguous blocks of sizes ``n // k`` or ``n // k + 1``, the
     first ``n % k`` blocks being the larger ones.  The rank of a case comes from
     a global running count (functions/prefix.py), so no class is ranked by a
-    single task.  Fold ``i``'s test part is ``fold == i``."""
+    single task, and any number of classes stays out of the driver.  Fold ``i``'s
+    test part is ``fold == i``; ``hot`` cases are salted."""
     from procmon.functions.prefix import ordered_running_sum
+    from procmon.operators.segmented import case_join
 
+    case = col(spec.case).alias(spec.case)
     if label is None:
-        cases = df.select(col(spec.case).alias(spec.case)).distinct().withColumn("_c", F.lit(0).cast("long"))
+        cases = df.select(case).distinct().withColumn("_c", F.lit(0).cast("long"))
     else:
-        cases = df.groupBy(col(spec.case).alias(spec.case)).agg(F.first(col(label), ignorenulls=True).cast("string").alias("_cls"))
-        # a label has a handful of classes
-        values = sorted(r[0] for r in cases.select("_cls").distinct().collect() if r[0] is not None)
-        index = F.create_map(*[F.lit(x) for i, v in enumerate(values) for x in (v, i)]) if values else None
-        cid = F.element_at(index, F.col("_cls")) if index is not None else F.lit(None)
-        cases = cases.withColumn("_c", F.coalesce(cid, F.lit(len(values))).cast("long"))
+        cases = df.groupBy(case).agg(F.first(col(label), ignorenulls=True).cast("string").alias("_cls"))
+        cases = cases.withColumn("_c", F.pmod(F.xxhash64("_cls"), F.lit(STRATA)))
     keyed = cases.select(spec.case, "_c", F.coalesce(case_hash(spec, seed), F.lit(-1)).alias("_h"), F.lit(1).alias("_one"))
     ranked = ordered_running_sum(keyed, ["_c", "_h"], "_one", "_r", inclusive=True)
-    sizes = {r["_c"]: r["n"] for r in keyed.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, acc = {}, 0
-    for c in sorted(sizes):
-        before[c], acc = acc, acc + sizes[c]
-    lit_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    n = F.element_at(lit_map(sizes), F.col("_c"))
-    r = F.col("_r") - F.element_at(lit_map(before), F.col("_c")) - 1  # 0-based rank inside the class
+    strata = ranked.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_start"))  # a row a class
+    ranked = ranked.join(strata, "_c")
+    n, r = F.col("_n"), F.col("_r") - F.col("_start")  # 0-based rank inside the class
     q, m = F.floor(n / k), n % k
     fold = F.when(r < (q + 1) * m, F.floor(r / (q + 1))).otherwise(m + F.floor((r - (q + 1) * m) / q))
-    folds = ranked.select(spec.case, fold.cast("int").alias("fold"))
-    return df.join(folds, on=spec.case, how="inner")
+    return case_join(df, spec, ranked.select(spec.case, fold.cast("int").alias("fold")), "inner", hot)
 
 
 def prefix_log(df: DataFrame, spec: LogSpec, min_len: int = 1, max_len: int | None = None, key: str = "prefix_len", hot=None) -> DataFrame:
@@ -120,10 +118,10 @@ def prefix_log(df: DataFrame, spec: LogSpec, min_len: int = 1, max_len: int | No
     return out.withColumn("case_length", F.col(key)).drop("_nr", "_len")
 
 
-def partial_traces(df: DataFrame, spec: LogSpec, ratio: float = 0.8, min_len: int = 2, max_len: int = 20) -> DataFrame:
+def partial_traces(df: DataFrame, spec: LogSpec, ratio: float = 0.8, min_len: int = 2, max_len: int = 20, hot=None) -> DataFrame:
     """Prefixes of the test cases of a temporal split."""
-    _, test = temporal_split(df, spec, ratio)
-    return prefix_log(test, spec, min_len, max_len)
+    _, test = temporal_split(df, spec, ratio, hot)
+    return prefix_log(test, spec, min_len, max_len, hot=hot)
 
 
 def length_quantile(df: DataFrame, spec: LogSpec, q: float = 0.9) -> int:

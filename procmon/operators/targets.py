@@ -23,8 +23,8 @@ def _event_context(df: DataFrame, spec: LogSpec, hot=None) -> DataFrame:
         return x.select(
             col(spec.case).alias(spec.case),
             col(spec.activity).alias("_act"),
-            micros_between(F.col(f"_lag_{spec.ts}"), col(spec.ts)).alias("_dt"),
-            F.col(f"_lead_{spec.activity}").alias("_next"),
+            micros_between(col(f"_lag_{spec.ts}"), col(spec.ts)).alias("_dt"),
+            col(f"_lead_{spec.activity}").alias("_next"),
             F.col("_pos").cast("int").alias("_nr"),
         )
     w = spec.window()
@@ -37,41 +37,41 @@ def _event_context(df: DataFrame, spec: LogSpec, hot=None) -> DataFrame:
     )
 
 
-def cycle_times(df: DataFrame, spec: LogSpec, activities) -> DataFrame:
+def cycle_times(df: DataFrame, spec: LogSpec, activities, hot=None) -> DataFrame:
     """L1: per case, the mean cycle time (seconds) of each activity; NULL if it never occurs
-    after another event."""
-    ev = _event_context(df, spec)
+    after another event.  ``hot`` (``segmented.hot_cases``): large cases segment by segment, here and in L2-L4."""
+    ev = _event_context(df, spec, hot)
     return ev.groupBy(spec.case).agg(*[cycle_time_col(a, F.col("_act"), F.col("_dt")).alias(a) for a in activities])
 
 
-def _gateways(df: DataFrame, spec: LogSpec, rs: RuleSet, gateways) -> DataFrame:
-    ev = _event_context(df, spec)
+def _gateways(df: DataFrame, spec: LogSpec, rs: RuleSet, gateways, hot=None) -> DataFrame:
+    ev = _event_context(df, spec, hot)
     a, n, nr = F.col("_act"), F.col("_next"), F.col("_nr")
     return ev.groupBy(spec.case).agg(*[gateway_col(rs, g, a, n, nr).alias(g) for g in gateways])
 
 
-def gateway_follows(df: DataFrame, spec: LogSpec, rs: RuleSet) -> DataFrame:
+def gateway_follows(df: DataFrame, spec: LogSpec, rs: RuleSet, hot=None) -> DataFrame:
     """L2: gateways decided by directly-follows rules (last match wins)."""
     from procmon.functions.rules import Follows
 
     gws = list(dict.fromkeys(r.gateway for r in rs.rules if isinstance(r, Follows)))
-    return _gateways(df, spec, rs, gws)
+    return _gateways(df, spec, rs, gws, hot)
 
 
-def gateway_presence(df: DataFrame, spec: LogSpec, rs: RuleSet) -> DataFrame:
+def gateway_presence(df: DataFrame, spec: LogSpec, rs: RuleSet, hot=None) -> DataFrame:
     """L3: gateways decided by presence/absence of activities."""
     from procmon.functions.rules import Present
 
     gws = list(dict.fromkeys(r.gateway for r in rs.rules if isinstance(r, Present)))
-    return _gateways(df, spec, rs, gws)
+    return _gateways(df, spec, rs, gws, hot)
 
 
-def gateway_count(df: DataFrame, spec: LogSpec, rs: RuleSet) -> DataFrame:
+def gateway_count(df: DataFrame, spec: LogSpec, rs: RuleSet, hot=None) -> DataFrame:
     """L4: gateways decided by occurrence counts, of one activity or of several together."""
     from procmon.functions.rules import Count, Counts
 
     gws = list(dict.fromkeys(r.gateway for r in rs.rules if isinstance(r, (Count, Counts))))
-    return _gateways(df, spec, rs, gws)
+    return _gateways(df, spec, rs, gws, hot)
 
 
 def label_defaults(targets: DataFrame, rs: RuleSet, undefined: int = -1) -> DataFrame:
@@ -158,8 +158,9 @@ def median_case_duration(df: DataFrame, spec: LogSpec) -> float:
     return exact_quantile(case_durations(df, spec), "duration", 0.5)
 
 
-def assign_label(df: DataFrame, spec: LogSpec, threshold: float, label: str = "label") -> DataFrame:
-    """``"true"`` for cases lasting at least ``threshold`` seconds, else ``"false"``."""
-    d = case_durations(df, spec, "_dur")
-    out = df.join(d, on=spec.case, how="inner")
+def assign_label(df: DataFrame, spec: LogSpec, threshold: float, label: str = "label", hot=None) -> DataFrame:
+    """``"true"`` for cases lasting at least ``threshold`` seconds, else ``"false"`` (salted for ``hot`` cases)."""
+    from procmon.operators.segmented import case_join
+
+    out = case_join(df, spec, case_durations(df, spec, "_dur"), "inner", hot)
     return out.withColumn(label, F.when(F.col("_dur") < threshold, F.lit("false")).otherwise(F.lit("true"))).drop("_dur")

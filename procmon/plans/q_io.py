@@ -63,13 +63,13 @@ _FCASE = "CASE activity " + " ".join(f"WHEN '{a}' THEN '{f}'" for a, f in EL1_FO
 
 @register(
     "s5_read_formulas",
-    with_(EL1_SQL, _FORMULA_SQL) + f"SELECT case_id, prefix_len, {_FCASE} AS formula FROM pf WHERE prefix_len BETWEEN 2 AND 5 AND prefix_len < len",
+    with_(EL1_SQL, _FORMULA_SQL) + f"SELECT case_id, prefix_len, {_FCASE} AS formula FROM pf WHERE prefix_len >= 2 AND prefix_len < len",
 )
 def s5(spark, d):
     from procmon.operators import encode as E
     from procmon.plans.formulas import el1_formulas
 
-    pref = E.encode(el1(spark, d), EL1, E.Vocab({}), "none", 2, 5, keep=("activity",))
+    pref = E.encode(el1(spark, d), EL1, E.Vocab({}), "none", 2, None, keep=("activity",))
     path = scratch_path(spark, "s5")
     S.write_formulas(el1_formulas(pref), path)
     return S.read_formulas(spark, f"{path}/*/*.csv")
@@ -159,10 +159,10 @@ def s8b(spark, d):
     return back.select("case_id", "event_id", F.col("prefix_len").cast("int"))
 
 
-@register("s9_read_running", with_(EL1_SQL) + f"SELECT {_EL1_COLS} FROM el1 WHERE activity <> 'purchase'")
+@register("s9_read_running", with_(EL1_SQL) + f"SELECT {_EL1_COLS} FROM el1")
 def s9(spark, d):
     path = scratch_path(spark, "s9")
-    S.write_running(el1(spark, d).where(F.col("activity") != "purchase").select(*[f.name for f in EL1.to_struct().fields]), path)
+    S.write_running(el1(spark, d).select(*[f.name for f in EL1.to_struct().fields]), path)
     return S.read_running(spark, path, EL1)
 
 

@@ -170,11 +170,10 @@ def v12(spark, d):
 @register(
     "v13_strip_suffix",
     DETAILS_SQL + ", ids AS (SELECT DISTINCT CASE WHEN nr_events > 2 THEN case_id || '_' || nr_events ELSE case_id END AS prefix_id "
-    "FROM details WHERE dataset = 'EL1') SELECT prefix_id, regexp_replace(prefix_id, '_\\d+$', '') AS case_id FROM ids",
+    "FROM details) SELECT prefix_id, regexp_replace(prefix_id, '_\\d+$', '') AS case_id FROM ids",
 )
 def v13(spark, d):
-    det = details(spark, d).where(F.col("dataset") == "EL1")
-    ids = det.select(
+    ids = details(spark, d).select(
         F.when(F.col("nr_events") > 2, F.concat_ws("_", "case_id", F.col("nr_events").cast("string"))).otherwise(F.col("case_id")).alias("prefix_id")
     ).distinct()
     return ids.select("prefix_id", V.strip_suffix(F.col("prefix_id")).alias("case_id"))
@@ -211,23 +210,21 @@ def v14(spark, d):
     ).distinct()
 
 
-# the wide error files have a column for each prefix length from 2 to this one
-ERROR_COLUMNS = 10
-
-
 @register(
     "v15_unpivot_errors",
-    DETAILS_SQL + ", e AS (SELECT nr_events, abs(predicted - actual) * 1000 AS err FROM details WHERE dataset = 'EL1' AND method = 'mean') "
-    f"SELECT CAST(t.n AS INTEGER) AS nr_events, round(avg(e.err) / 1000.0, 4) AS score, count(e.err) AS nr_cases "
-    f"FROM range(2, {ERROR_COLUMNS + 1}) t(n) LEFT JOIN e ON e.nr_events = t.n GROUP BY t.n",
+    DETAILS_SQL + ", e AS (SELECT dataset, method, nr_events, abs(predicted - actual) * 1000 AS err FROM details), "
+    "g AS (SELECT DISTINCT dataset, method FROM e), t AS (SELECT unnest(range(2, (SELECT max(nr_events) + 1 FROM e))) AS n) "
+    "SELECT g.dataset, g.method, CAST(t.n AS INTEGER) AS nr_events, round(avg(e.err) / 1000.0, 4) AS score, count(e.err) AS nr_cases "
+    "FROM g CROSS JOIN t LEFT JOIN e ON e.dataset = g.dataset AND e.method = g.method AND e.nr_events = t.n GROUP BY ALL",
 )
 def v15(spark, d):
-    det = details(spark, d).where((F.col("dataset") == "EL1") & (F.col("method") == "mean"))
-    lengths = list(range(2, ERROR_COLUMNS + 1))
-    # wide per-case error file: one column per prefix length, milliseconds
-    wide = det.groupBy("case_id").pivot("nr_events", lengths).agg(F.first(F.abs(F.col("predicted") - F.col("actual")) * 1000))
-    wide = wide.toDF("case_id", *[f"Error{n}" for n in lengths])
-    return _r(V.unpivot_errors(wide, "Error", lengths), 4)
+    det, by = details(spark, d), ["dataset", "method"]
+    top = det.agg(F.max("nr_events")).first()[0]
+    lengths = list(range(2, (top or 1) + 1))
+    # wide per-case error file: a column for each prefix length of the table, milliseconds
+    wide = det.groupBy(*by, "case_id").pivot("nr_events", lengths).agg(F.first(F.abs(F.col("predicted") - F.col("actual")) * 1000))
+    wide = wide.toDF(*by, "case_id", *[f"Error{n}" for n in lengths])
+    return _r(V.unpivot_errors(wide, "Error", lengths, by=by), 4)
 
 
 _V16_SQL = (

@@ -49,7 +49,7 @@ def r1(spark, d):
     means = trp.groupBy("bucket").agg(F.avg("remtime").alias("predicted"))
 
     def predict(prefixes):
-        return prefixes.join(F.broadcast(means), "bucket", "left").select("case_id", "prefix_len", "predicted")
+        return prefixes.join(means, "bucket", "left").select("case_id", "prefix_len", "predicted")
 
     return R.score_running(running, EL1, E.Vocab({}), "none", predict)
 

@@ -25,9 +25,8 @@ def _details(log: DataFrame, spec, dataset: str) -> DataFrame:
         "m": whole.agg(F.avg("remtime")).first()[0],
         "md": grouped_median(whole, "bucket", "remtime", "median").first()["median"],
     }
-    # one row per bucket (prefix length): bounded
     per_bucket = means.join(medians, "bucket")
-    x = test_p.join(F.broadcast(per_bucket), "bucket", "left")
+    x = test_p.join(per_bucket, "bucket", "left")
     x = x.withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS])))
     pred = (
         F.when(F.col("method") == "mean", F.coalesce("mean", F.lit(overall["m"])))

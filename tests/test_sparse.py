@@ -102,7 +102,8 @@ def test_mllib_models_take_the_vectors(events):
     data = S.vectors(S.prefixes(log, SPEC, keep=("y",)), S.spans(log, SPEC, "indexbased"), vocab, SPEC).withColumn("bucket", F.lit(1))
     assert E.feature_names(data) == [S.VECTOR]
     fitted = M.fit_buckets(data, "y", "regr", E.feature_names(data), "dt", {"max_depth": 3})
-    assert M.predict_buckets(data, fitted).where("pred_y is null").count() == 0
+    scored = M.predict_buckets(data, fitted, id_cols=("case id", "prefix_len"))
+    assert scored.where("pred_y is null").count() == 0
 
 
 def test_broadcast_and_shuffled_vocabulary_agree(events, monkeypatch):
