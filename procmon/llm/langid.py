@@ -5,7 +5,8 @@ about ``per_language`` documents of each language, picked by a hash of the id;
 whole texts).  An n-gram belongs to every language in which it is at least
 ``ratio`` times as frequent as in the language where it is most frequent.  All
 languages share one Bloom filter whose cells hold a bit for each language: the
-bitwise and of an n-gram's cells gives all languages that hold it.
+bitwise and of an n-gram's cells gives all languages that hold it.  Beyond 64
+languages the filter has a further slice, with cells of its own, for each 64.
 
 Prediction counts, for each language, the n-grams of the whole text whose mask
 has the language's bit, takes off the hits that the filter's false-positive rate
@@ -15,6 +16,7 @@ score is the share of the text's n-grams that the language holds.
 A text is lower-cased, and each run of other characters than letters becomes one
 space; n-grams take in the spaces at word ends.  Texts that are null or hold no
 letter give ``und`` with score 0, as does every text if nothing was learned.
+Texts in a script that no language has get the first language with score 0.
 Null labels and null ids are not learned from.  Repeated rows give repeated
 results; extra columns are ignored, whatever their names.
 """
@@ -26,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,7 @@ CELLS_PER_GRAM = 16
 PER_LANGUAGE = 4000
 MAX_GRAMS = 400_000
 UND = "und"
+SLICE = 64  # languages whose bits share a cell
 
 _LETTER: list[np.ndarray] = []
 
@@ -80,15 +84,27 @@ def grams(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    cells: np.ndarray  # one bit of a cell for each language
+    cells: np.ndarray  # one bit of a cell for each of the first 64 languages
     false_positive: np.ndarray
+    further: tuple[np.ndarray, ...] = ()  # the same for each 64 languages beyond
 
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """The languages that hold each n-gram, as bits."""
-        at = places(hashes, len(self.cells))
-        out = self.cells[at[0]]
+    def masks(self, hashes: np.ndarray, part: int = 0) -> np.ndarray:
+        """The languages of a slice that hold each n-gram, as bits."""
+        cells = self.further[part - 1] if part else self.cells
+        at = places(hashes, len(cells))
+        out = cells[at[0]]
         for a in at[1:]:
-            out = out & self.cells[a]
+            out = out & cells[a]
+        return out
+
+    def hits(self, hashes: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+        """For each document and language, the n-grams that the filter says the language holds."""
+        out = np.zeros((docs, len(self.languages)))
+        for part in range(1 + len(self.further)):
+            mask = self.masks(hashes, part)
+            kind = mask.dtype.type
+            for i in range(part * SLICE, min(len(self.languages), (part + 1) * SLICE)):
+                out[:, i] = np.bincount(owner, weights=(mask >> kind(i % SLICE)) & kind(1), minlength=docs)
         return out
 
     def predict(self, docs: list[str]) -> tuple[list[str], np.ndarray]:
@@ -97,8 +113,7 @@ class Model:
         if not self.languages or not has.any():
             return lang, score
         total = np.bincount(owner, minlength=len(docs))
-        mask = self.masks(hashes)
-        hits = np.stack([np.bincount(owner, weights=(mask >> mask.dtype.type(i)) & mask.dtype.type(1), minlength=len(docs)) for i in range(len(self.languages))], 1)
+        hits = self.hits(hashes, owner, len(docs))
         fp = self.false_positive
         true = np.clip((hits - total[:, None] * fp) / (1 - fp), 0, None)
         best = true.argmax(1)
@@ -124,8 +139,6 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros(1, np.uint8), np.zeros(0))
-    if len(languages) > 64:
-        raise ValueError("a cell holds the bits of at most 64 languages")
     number = F.element_at(F.create_map(*(x for i, n in enumerate(languages) for x in (F.lit(n), F.lit(i)))), F.col("lang"))
     rate = F.element_at(F.create_map(*(x for n in languages for x in (F.lit(n), F.lit(per_language / counts[n])))), F.col("lang"))
     picked = rows.where(F.pmod(F.xxhash64(F.lit("langid"), "k"), F.lit(1_000_000)) < rate * 1_000_000)
@@ -139,19 +152,30 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i), pa.int32()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     found = picked.select("t", number.cast("int").alias("lang")).mapInArrow(count, "lang int, gram long, n long").groupBy("gram").agg(*(F.sum(F.when(F.col("lang") == i, F.col("n"))).alias(f"n{i}") for i in range(len(languages))), F.sum("n").alias("n"))
-    pdf = found.where("n >= 2").orderBy(F.col("n").desc(), "gram").limit(max_grams).toPandas()
-    n = pdf[[f"n{i}" for i in range(len(languages))]].fillna(0).to_numpy(float)
-    share = n / np.maximum(n.sum(0), 1)
-    holds = (share >= ratio * share.max(1, keepdims=True)) & (n > 0)
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
-    mask = np.zeros(len(pdf), kind)
-    for i in range(len(languages)):
-        mask |= (holds[:, i].astype(kind)) << kind(i)
-    cells = np.zeros(1 << max(10, int(CELLS_PER_GRAM * max(1, len(pdf)) - 1).bit_length()), kind)
-    for at in places(pdf["gram"].to_numpy(np.int64).view(np.uint64), len(cells)):
-        np.bitwise_or.at(cells, at, mask)
-    fill = np.array([((cells >> kind(i)) & kind(1)).mean() for i in range(len(languages))])
-    return Model(languages, cells, fill**HASHES)
+    most = found.where("n >= 2").orderBy(F.col("n").desc(), "gram").limit(max_grams)
+    # only the languages that have an n-gram come with it: the rows stay short however many languages there are
+    own = F.filter(F.array(*(F.struct(F.lit(i).alias("lang"), F.col(f"n{i}").alias("n")) for i in range(len(languages)))), lambda x: x["n"].isNotNull())
+    rows = most.select("gram", own.alias("own")).select("gram", "own.lang", "own.n").toArrow().combine_chunks()
+    gram = np.array(rows["gram"].to_numpy(), np.int64).view(np.uint64)
+    lang, n = (pa.chunked_array([pc.list_flatten(c) for c in rows[name].chunks], t).to_numpy() for name, t in (("lang", pa.int32()), ("n", pa.int64())))
+    of = np.repeat(np.arange(len(gram)), pc.list_value_length(rows["lang"]).to_numpy())
+    share = n / np.maximum(np.bincount(lang, weights=n, minlength=len(languages)), 1)[lang]
+    top = np.zeros(len(gram))
+    np.maximum.at(top, of, share)
+    holds = share >= ratio * top[of]
+    size = 1 << max(10, int(CELLS_PER_GRAM * max(1, len(gram)) - 1).bit_length())
+    parts, fill = [], []
+    for first in range(0, len(languages), SLICE):
+        bits = min(SLICE, len(languages) - first)
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= bits)
+        mask, cells = np.zeros(len(gram), kind), np.zeros(size, kind)
+        for i in range(bits):
+            mask[of[holds & (lang == first + i)]] |= kind(1) << kind(i)
+        for at in places(gram, size):
+            np.bitwise_or.at(cells, at, mask)
+        parts.append(cells)
+        fill += [((cells >> kind(i)) & kind(1)).mean() for i in range(bits)]
+    return Model(languages, parts[0], np.array(fill) ** HASHES, tuple(parts[1:]))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

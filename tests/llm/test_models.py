@@ -52,6 +52,47 @@ def test_bloom_masks_hold_every_language():
     assert ((found & mask) == mask).all() and (found == mask).mean() > 0.99
 
 
+def test_op4_two_hundred_languages(spark):
+    rng = np.random.default_rng(4)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 4000)]
+    words = [["".join(rng.choice(alphabet, 4)) for _ in range(12)] for _ in range(200)]
+    say = lambda i, k: " ".join(words[i][j] for j in (np.arange(9) + k) % 12)
+    rows = [(200 * k + i, say(i, k), "", f"x{i:03d}") for k in range(12) for i in range(200)]
+    model = langid.train(spark.createDataFrame(rows, DOCS))
+    assert len(model.languages) == 200 and len(model.further) == 3
+    new = spark.createDataFrame([(i, say(i, 7), "", None) for i in range(200)], DOCS)
+    assert all(r.lang_pred == f"x{r.doc_id:03d}" and r.score > 0.9 for r in langid.predict(new, model).collect())
+
+
+def test_op4_predicts_as_counting_sets_does(spark):
+    """Brute force: exact sets of n-grams in the place of the filter."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r.text]
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r.lang is not None:
+            counts[r.lang].update(langid.grams([r.text])[0].tolist())
+    total = Counter()
+    for c in counts.values():
+        total.update(c)
+    size = {i: sum(n for g, n in c.items() if total[g] >= 2) for i, c in counts.items()}
+    share = {i: {g: n / size[i] for g, n in c.items() if total[g] >= 2} for i, c in counts.items()}
+    top = Counter()
+    for s in share.values():
+        for g, x in s.items():
+            top[g] = max(top[g], x)
+    holds = {i: {g for g, x in s.items() if x >= 0.2 * top[g]} for i, s in share.items()}
+    model = langid.train(docs, per_language=10**9)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    for r in rows:
+        own, _, has = langid.grams([r.text])
+        if not has[0]:
+            continue
+        want = {i: sum(g in h for g in own.tolist()) / max(1, len(own)) for i, h in holds.items()}
+        best = max(want.values())
+        assert abs(got[r.doc_id][1] - best) < 0.02 and want[got[r.doc_id][0]] > best - 0.02
+
+
 def test_op5_held_out(spark):
     toxic = dict(map(tuple, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").collect()))
     got = queries.QUERIES["op5_toxicity"](spark, SF).collect()
