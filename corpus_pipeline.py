@@ -47,8 +47,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' ids into sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    """Pack the documents' ids into sequences; ``ids`` holds a piece's ids as little-endian unsigned 32-bit integers."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=True)
 
 
 STAGES = [("language_id", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", pack)]
