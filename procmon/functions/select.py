@@ -1,7 +1,7 @@
 """Exact order statistics without a global sort.
 
-``kth_smallest`` narrows a key range with sampled pivots and one counting pass
-per round (each round cuts the range by about the number of pivots); only the
+``kth_smallest`` narrows a key range with two sampled pivots about the wanted rank and one
+counting pass per round (each round cuts the range by about the root of the sample); only the
 final range, at most ``small`` rows, is collected.  Keys may repeat.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,7 +30,7 @@ def kth_smallest(
     df: DataFrame, keys: list[str], k: int, small: int = 100_000, n_pivots: int = 128, seed: int = 17, n: int | None = None
 ) -> tuple:
     """The ``k``-th smallest (1-based) key tuple of ``df`` in lexicographic order of ``keys``.
-    ``n`` (the number of non-null keys, when known) saves a counting pass."""
+    ``n`` (the number of non-null keys, when known) saves a counting pass; a round samples about ``400 * n_pivots`` rows."""
     notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
     if n is not None and n <= small:
         vals = sorted(tuple(r) for r in df.select(*keys).where(notnull).collect())
@@ -39,7 +39,7 @@ def kth_smallest(
     lo = hi = None  # exclusive bounds of the candidate range
     below = 0  # rows <= lo
     try:
-        for _ in range(200):
+        for attempt in range(200):
             cand = base
             if lo is not None:
                 cand = cand.where(~_cmp(keys, lo, strict=False))
@@ -52,11 +52,10 @@ def kth_smallest(
                 vals = sorted(tuple(r) for r in cand.collect())
                 return vals[k - below - 1]
             frac = min(1.0, 20.0 * n_pivots * 20 / n)
-            sample = sorted(set(tuple(r) for r in cand.sample(False, frac, seed).collect()))
+            sample = sorted(tuple(r) for r in cand.sample(False, frac, seed + attempt).collect())
             if not sample:
                 continue
-            step = max(1, len(sample) // n_pivots)
-            pivots = sorted(set(sample[step - 1 :: step]))
+            pivots = _around(sample, (k - below) / n)
             aggs = []
             for p in pivots:
                 aggs.append(F.sum(F.when(_cmp(keys, p, strict=False), 1).otherwise(0)).alias(f"le{len(aggs)}"))
@@ -79,20 +78,38 @@ def kth_smallest(
         base.unpersist()
 
 
+def _around(sample: list[tuple], share: float) -> list[tuple]:
+    """One or two pivots of a sorted sample that enclose the row at ``share`` but for a deviation of four sigma."""
+    m = len(sample)
+    margin = 2 * math.sqrt(m) + 1
+    at = [math.floor(share * m - margin), math.ceil(share * m + margin)]
+    return sorted({sample[i] for i in at if 0 <= i < m}) or [sample[m // 2]]
+
+
 def exact_quantile(df: DataFrame, name: str, q: float) -> float:
     """Quantile with linear interpolation between order statistics (``quantile_cont``)."""
-    n = df.where(F.col(name).isNotNull()).count()
-    if n == 0:
-        return None
-    pos = q * (n - 1)
-    lo_i, hi_i = math.floor(pos), math.ceil(pos)
-    lo = kth_smallest(df, [name], lo_i + 1)[0]
-    hi = lo if hi_i == lo_i else kth_smallest(df, [name], hi_i + 1)[0]
-    return lo + (hi - lo) * (pos - lo_i)
+    values = df.select(name).where(F.col(name).isNotNull()).persist()
+    try:
+        n = values.count()
+        if n == 0:
+            return None
+        pos = q * (n - 1)
+        lo_i, hi_i = math.floor(pos), math.ceil(pos)
+        lo = kth_smallest(values, [name], lo_i + 1, n=n)[0]
+        if hi_i == lo_i:
+            return lo
+        x = F.col(name)
+        after = values.agg(F.count(F.when(x <= F.lit(lo), F.lit(1))).alias("n"), F.min(F.when(x > F.lit(lo), x)).alias("x")).first()
+        hi = lo if after["n"] > hi_i else after["x"]
+        return lo + (hi - lo) * (pos - lo_i)
+    finally:
+        values.unpersist()
 
 
 # Largest group whose values one task may hold for an exact percentile.
-MAX_GROUP_VALUES = 1_000_000
+MAX_GROUP_VALUES = 100_000
+# A rank of ``percentile_approx`` is off by at most the group's size over this.
+ACCURACY = 10_000
 
 
 def grouped_median(df: DataFrame, by: str, name: str, out: str = "median") -> DataFrame:
@@ -100,15 +117,45 @@ def grouped_median(df: DataFrame, by: str, name: str, out: str = "median") -> Da
 
     Groups up to ``MAX_GROUP_VALUES`` rows use Spark's exact ``percentile`` (it
     holds a group's values in one task, so their number is checked first);
-    larger groups use distributed selection.  The number of groups must be
-    small (it is looped over only for the large ones)."""
+    the medians of larger groups come from two passes over all of them.  The number of groups must be
+    small (a row for each of the large ones is collected)."""
     counts = df.where(F.col(name).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    big = [r[by] for r in counts.where(F.col("_n") > MAX_GROUP_VALUES).select(by).collect()]
-    small = df.where(~F.col(by).isin(big)) if big else df
+    big = {r[by]: r["_n"] for r in counts.where(F.col("_n") > MAX_GROUP_VALUES).collect()}
+    small = df.where(~F.col(by).isin(list(big))) if big else df
     # each of these groups has at most MAX_GROUP_VALUES values (checked above)
     res = small.groupBy(by).agg(F.percentile(F.col(name), 0.5).alias(out))
     if big:
         spark = df.sparkSession
-        rows = [(b, exact_quantile(df.where(F.col(by) == b), name, 0.5)) for b in big]
+        rows = _large_medians(df.where(F.col(by).isin(list(big)) & F.col(name).isNotNull()).select(by, name), by, name, big)
         res = res.unionByName(spark.createDataFrame(rows, res.schema))
     return res
+
+
+def _large_medians(df: DataFrame, by: str, name: str, sizes: dict) -> list[tuple]:
+    """(group, median) of groups of known sizes.
+
+    An approximate quantile on either side encloses each median, within a share of some 1/1,000 of its group; the second pass
+    counts the values below and each value inside, among which the middle ranks are found."""
+    x, margin = F.col(name), 3 / ACCURACY
+    near = df.groupBy(by).agg(F.percentile_approx(x, [0.5 - margin, 0.5 + margin], ACCURACY).alias("q")).collect()  # a row per group
+    kind = df.schema[name].dataType.simpleString()
+    schema = f"_g {df.schema[by].dataType.simpleString()}, _lo {kind}, _hi {kind}, _n long"
+    bounds = df.sparkSession.createDataFrame([(r[by], r["q"][0], r["q"][1], sizes[r[by]]) for r in near], schema)
+    inside = df.join(F.broadcast(bounds), F.col(by) == F.col("_g")).where(x <= F.col("_hi"))
+    counted = inside.groupBy("_g", "_n", F.when(x >= F.col("_lo"), x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # the values below come first, as null
+    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy(F.col("_v").asc_nulls_first()))
+    ranked = counted.withColumn("_upto", upto)
+    first, second = F.floor((F.col("_n") - 1) / 2) + 1, F.ceil((F.col("_n") - 1) / 2) + 1
+    reached = lambda k: F.min(F.when((F.col("_upto") >= k) & F.col("_v").isNotNull(), F.col("_v")))
+    enclosed = F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_upto"))), F.lit(0)) < F.min(first)
+    found = ranked.groupBy("_g").agg(reached(first).alias("a"), reached(second).alias("b"), enclosed.alias("ok")).collect()  # a row per group
+    at = {r["_g"]: r for r in found}
+    out = []
+    for g in sizes:
+        r = at.get(g)
+        if r is None or not r["ok"] or r["a"] is None or r["b"] is None:  # not enclosed: beyond the error of the approximation
+            out.append((g, exact_quantile(df.where(F.col(by) == g), name, 0.5)))
+        else:
+            out.append((g, float(r["a"] + (r["b"] - r["a"]) * ((sizes[g] - 1) / 2 % 1))))
+    return out

@@ -88,10 +88,15 @@ def mean_rank(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("method").agg(F.avg("rank").alias("mean_rank"), F.stddev_samp("rank").alias("std_rank"))
 
 
+def _total(micros: str) -> Column:
+    """The sum of a column of microseconds, exact and without the limit of a long (100,000 cases of three years pass it)."""
+    return F.sum(F.col(micros).cast("decimal(19,0)")).cast("double")
+
+
 def case_duration_days(df: DataFrame, spec: LogSpec, dataset: str) -> DataFrame:
     """Mean case duration of a log in days (input of V11)."""
     d = df.groupBy(col(spec.case)).agg(micros_between(F.min(col(spec.ts)), F.max(col(spec.ts))).alias("_us"))
-    return d.agg((F.sum("_us").cast("double") / F.count(F.lit(1)) / F.lit(DAY * 1e6)).alias("case_duration_days")).withColumn(
+    return d.agg((_total("_us") / F.count(F.lit(1)) / F.lit(DAY * 1e6)).alias("case_duration_days")).withColumn(
         "dataset", F.lit(dataset)
     )
 
@@ -204,7 +209,7 @@ def log_statistics(df: DataFrame, spec: LogSpec, name: str) -> DataFrame:
         F.sum("n").alias("nr_events"),
         (F.sum("n") / F.count(F.lit(1))).alias("mean_events_per_case"),
         F.max("n").alias("max_events_per_case"),
-        (F.sum("us").cast("double") / F.count(F.lit(1)) / F.lit(DAY * 1e6)).alias("mean_case_duration_days"),
+        (_total("us") / F.count(F.lit(1)) / F.lit(DAY * 1e6)).alias("mean_case_duration_days"),
     )
     n_acts = df.agg(F.count_distinct(col(spec.activity))).first()[0]
     return stats.withColumn("nr_activities", F.lit(n_acts).cast("long")).select(
