@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from procmon.functions import bounded_collect
 from procmon.functions.time import epoch_micros
 from procmon.operators.encode import index_positions, METHODS, Vocab, one_hot
+from procmon.session import checkpoint_dir
 from procmon.spec import LogSpec, col
 
 # cases above this many events are split into segments
 HOT_CASE_ROWS = 5_000_000
-# at most this many hot cases are handled (each holds more than HOT_CASE_ROWS events)
+# up to this many hot cases are a local table, and broadcast; more are joined by shuffles
 MAX_HOT_CASES = 100_000
 
-
 # quantiles asked for per segment of the largest hot case: segments stay near the limit
 FINENESS = 4
 MAX_QUANTILES = 10_000
@@ -58,49 +58,64 @@ def hot_cases(df: DataFrame, spec: LogSpec, max_rows: int = HOT_CASE_ROWS) -> Da
     Reads the log once to count; only if there are hot cases, their events are
     read again for the cuts.  ``_bounds`` are cut timestamps in microseconds;
     ``_ties`` maps a cut timestamp that alone exceeds ``max_rows`` to cuts of its
-    tiebreak.  Both grow with the case's events over ``max_rows``.
+    tiebreak.  Both grow with the case's events over ``max_rows``.  Up to ``MAX_HOT_CASES``
+    cases are a local table that joins by broadcast; more stay in the shared folder and join by shuffles.
     """
-    case = col(spec.case).alias(spec.case)
-    counts = df.groupBy(case).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
-    rows = bounded_collect(counts, MAX_HOT_CASES)
-    if rows is None:
-        raise ValueError(f"more than {MAX_HOT_CASES} cases above {max_rows} events")
-    if not rows:
+    kind = df.select(col(spec.case)).schema[0].dataType.simpleString()
+    sizes = df.groupBy(col(spec.case).alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    sizes = sizes.select("_c", F.ceil(F.col("_n") / max_rows).cast("long").alias("_nseg")).persist()
+    try:
+        most = sizes.agg(F.max("_nseg")).first()[0]
+        if most is None:
+            return None
+        steps = min(MAX_QUANTILES, FINENESS * most)
+        numeric = dict(df.dtypes).get(spec.tiebreak) in _NUMERIC
+        tie = col(spec.tiebreak).cast("double") if numeric else F.lit(0.0)
+        events = df.select(col(spec.case).alias("_k"), epoch_micros(col(spec.ts)).alias("_t"), tie.alias("_tie"))
+        events = events.join(_hinted(sizes), F.col("_k").eqNullSafe(F.col("_c"))).drop("_k")
+        bounds = _cuts(events, ["_c"], "_t", steps, max_rows).withColumnRenamed("_b", "_bounds")
+        hot = sizes.join(bounds.withColumnRenamed("_c", "_k"), F.col("_c").eqNullSafe(F.col("_k")), "left").drop("_k")
+        none = F.expr("cast(map() as map<bigint,array<double>>)")
+        ties = _tie_cuts(events, steps, max_rows) if numeric else None
+        if ties is None:
+            hot = hot.withColumn("_ties", none)
+        else:
+            hot = hot.join(ties.withColumnRenamed("_c", "_k"), F.col("_c").eqNullSafe(F.col("_k")), "left").withColumn("_ties", F.coalesce("_ties", none))
+        # a heavy timestamp is a bound of its own, whatever the quantiles say
+        all_bounds = F.concat(F.coalesce("_bounds", F.array().cast("array<bigint>")), F.map_keys("_ties"))
+        hot = hot.select(F.col("_c").alias(spec.case), "_nseg", F.array_sort(F.array_distinct(all_bounds)).alias("_bounds"), "_ties")
+        rows = bounded_collect(hot, MAX_HOT_CASES)
+        if rows is None:
+            checkpoint_dir(df.sparkSession)
+            return hot.checkpoint(eager=True)
+        return df.sparkSession.createDataFrame(rows, f"`{spec.case}` {kind}, _nseg long, _bounds array<bigint>, _ties map<bigint,array<double>>")
+    finally:
+        sizes.unpersist()
+
+
+def _tie_cuts(events: DataFrame, steps: int, max_rows: int) -> DataFrame | None:
+    """``(_c, _ties)``: cuts of the tiebreak in each timestamp of a case that alone holds more than ``max_rows`` events (None: there is none)."""
+    heavy = events.groupBy("_c", "_t").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > max_rows) & F.col("_t").isNotNull())
+    heavy = heavy.select(F.col("_c").alias("_hc"), F.col("_t").alias("_ht")).persist()
+    if heavy.isEmpty():
+        heavy.unpersist()
         return None
-    spark = df.sparkSession
-    kind = df.select(case).schema[0].dataType.simpleString()
-    sizes = spark.createDataFrame([(r[spec.case], -(-r["_n"] // max_rows)) for r in rows], f"_c {kind}, _nseg long")
-    steps = min(MAX_QUANTILES, FINENESS * max(-(-r["_n"] // max_rows) for r in rows))
-    numeric = dict(df.dtypes).get(spec.tiebreak) in _NUMERIC
-    tie = col(spec.tiebreak).cast("double") if numeric else F.lit(0.0)
-    events = df.select(case.alias("_k"), epoch_micros(col(spec.ts)).alias("_t"), tie.alias("_tie"))
-    events = events.join(F.broadcast(sizes), F.col("_k").eqNullSafe(F.col("_c"))).drop("_k")
-    bounds = _cuts(events, ["_c"], "_t", steps, max_rows).withColumnRenamed("_b", "_bounds")
-    hot = sizes.join(bounds.withColumnRenamed("_c", "_k"), F.col("_c").eqNullSafe(F.col("_k")), "left").drop("_k")
-    schema = f"`{spec.case}` {kind}, _nseg long, _bounds array<bigint>, _ties map<bigint,array<double>>"
-    ties: dict = {}
-    if numeric:
-        heavy = events.groupBy("_c", "_t").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
-        heavy = bounded_collect(heavy, MAX_HOT_CASES)
-        if heavy is None:
-            raise ValueError(f"more than {MAX_HOT_CASES} timestamps above {max_rows} events")
-        if heavy:
-            keys = spark.createDataFrame([(r["_c"], r["_t"]) for r in heavy], f"_hc {kind}, _ht long")
-            tied = events.join(F.broadcast(keys), F.col("_c").eqNullSafe(F.col("_hc")) & F.col("_t").eqNullSafe(F.col("_ht")))
-            for r in _cuts(tied, ["_c", "_t"], "_tie", steps, max_rows).collect():  # one row per heavy timestamp
-                if r["_t"] is not None and r["_b"]:
-                    ties.setdefault(r["_c"], {})[r["_t"]] = r["_b"]
-    # a heavy timestamp is a bound of its own, whatever the quantiles say
-    data = [(r["_c"], r["_nseg"], sorted({*(r["_bounds"] or []), *ties.get(r["_c"], {})}), ties.get(r["_c"], {})) for r in hot.collect()]
-    return spark.createDataFrame(data, schema)
+    tied = events.join(_hinted(heavy), F.col("_c").eqNullSafe(F.col("_hc")) & (F.col("_t") == F.col("_ht")))
+    cuts = _cuts(tied, ["_c", "_t"], "_tie", steps, max_rows).where(F.size("_b") > 0)
+    return cuts.groupBy("_c").agg(F.map_from_entries(F.collect_list(F.struct("_t", "_b"))).alias("_ties"))
+
+
+def _hinted(table: DataFrame) -> DataFrame:
+    """A table of hot cases or timestamps, broadcast if it has at most ``MAX_HOT_CASES`` rows."""
+    return F.broadcast(table) if table.limit(MAX_HOT_CASES + 1).count() <= MAX_HOT_CASES else table
 
 
 def with_segments(df: DataFrame, spec: LogSpec, hot: DataFrame | None) -> DataFrame:
     """``_seg``: segment of each event, in the order of the case (0 for cases that are not hot)."""
     if hot is None:
         return df.withColumn("_seg", F.lit(0).cast("long"))
-    # the hot-case table has at most MAX_HOT_CASES rows, and bounds in proportion to the events over the limit
-    h = F.broadcast(hot.withColumnRenamed(spec.case, "_hcase"))
+    # the hot-case table has bounds in proportion to the events over the limit
+    h = _hinted(hot.withColumnRenamed(spec.case, "_hcase"))
     x = df.join(h, col(spec.case).eqNullSafe(F.col("_hcase")), "left")
     at = epoch_micros(col(spec.ts))
     below = lambda cuts, v: F.coalesce(F.size(F.filter(cuts, lambda b: b < v)), F.lit(0))
@@ -343,7 +358,7 @@ def case_join(df: DataFrame, spec: LogSpec, cases: DataFrame, how: str, hot: Dat
         cases = cases.select(spec.case)
     if hot is None:
         return df.join(cases, on=spec.case, how=how)
-    h = F.broadcast(hot.select(spec.case, "_nseg"))  # at most MAX_HOT_CASES rows
+    h = _hinted(hot.select(spec.case, "_nseg"))
     left = df.join(h, on=spec.case, how="left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(col(spec.tiebreak), col(spec.ts)), F.col("_nseg")), F.lit(0)).cast("long")
     ).drop("_nseg")
