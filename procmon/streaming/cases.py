@@ -1,6 +1,7 @@
 """Running cases on a stream with timers: state per case, expiry, scores, an idempotent sink.
 
-``case_states`` keeps one state per running case and updates it with every micro-batch.  A
+``case_states`` keeps one state per running case and updates it with every micro-batch; events go to Python, and
+states come back, as one JSON text each, so that a small group costs little more than its events.  A
 case whose last event is ``idle`` older than the watermark is finished: its timer fires, its last state is
 given out as ``expired``, and the state store forgets it, so the store holds running
 cases only.  Events older than the watermark are late and dropped.
@@ -29,6 +30,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from procmon.operators import bundle as B
 from procmon.operators import encode as E
+from procmon.functions.time import epoch_micros
 from procmon.spec import LogSpec, col
 
 EVENT_TIME = "_event_time"
@@ -49,6 +51,11 @@ def state_schema(spec: LogSpec, vocab: E.Vocab) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in dict(out).items()])
 
 
+def _number(v):
+    """A number of an event, which JSON holds as text if it is not finite."""
+    return None if v is None else float(v)
+
+
 def _null(v) -> bool:
     return v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v)
 
@@ -112,8 +119,10 @@ def case_states(source: DataFrame, spec: LogSpec, vocab: E.Vocab, idle: int, del
     ``idle`` is the time in milliseconds after which a case without events is finished; events more
     than ``delay`` (an interval such as ``"2 hours"``) behind the newest one are late.
     """
-    columns = list(dict.fromkeys([spec.case, spec.activity, spec.ts, spec.tiebreak, *spec.cat_cols, *spec.num_cols]))
     schema = state_schema(spec, vocab)
+    texts, numbers = dict.fromkeys([spec.activity, *spec.cat_cols]), dict.fromkeys(spec.num_cols)
+    event = {c: col(c).cast("string") for c in texts} | {c: col(c).cast("double") for c in numbers}
+    at = F.struct(F.coalesce(epoch_micros(col(spec.ts)), F.lit(-(1 << 63))).alias("us"), col(spec.tiebreak).cast("long").alias("tie"))
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -122,15 +131,20 @@ def case_states(source: DataFrame, spec: LogSpec, vocab: E.Vocab, idle: int, del
         else:
             s, status = (json.loads(state.get[0]) if state.exists else new_state()), "open"
             for part in parts:
-                micros = part[spec.ts].to_numpy().astype("datetime64[us]").astype("int64").tolist()
-                for event, at in zip(part.to_dict("records"), micros, strict=True):
-                    add_event(s, event, [at, int(event[spec.tiebreak])], spec, vocab)
+                for text in part["e"]:
+                    e = json.loads(text)
+                    add_event(s, {c: e["v"].get(c) for c in texts} | {c: _number(e["v"].get(c)) for c in numbers}, [e["at"]["us"], e["at"]["tie"]], spec, vocab)
             state.update((json.dumps(s),))
             state.setTimeoutTimestamp(max(s["last"][0][0] // 1000 + idle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([state_row(s, key[0], status, spec, vocab)], columns=schema.names)
+        row = {k: None if _null(v) else v for k, v in state_row(s, key[0], status, spec, vocab).items()}
+        yield pd.DataFrame({"row": [json.dumps(row, default=str)]})
 
-    timed = source.select(*(col(c).alias(c) for c in columns), col(spec.ts).cast("timestamp").alias(EVENT_TIME)).withWatermark(EVENT_TIME, delay)
-    return timed.groupBy(col(spec.case)).applyInPandasWithState(update, schema, "s string", "update", GroupStateTimeout.EventTimeTimeout)
+    packed = F.to_json(F.struct(at.alias("at"), F.struct(*(c.alias(n) for n, c in event.items())).alias("v")))
+    timed = source.select(col(spec.case).cast("string").alias("k"), packed.alias("e"), col(spec.ts).cast("timestamp").alias(EVENT_TIME)).withWatermark(EVENT_TIME, delay)
+    rows = timed.groupBy("k").applyInPandasWithState(update, "row string", "s string", "update", GroupStateTimeout.EventTimeTimeout)
+    # times are read by a cast, which takes all six digits of a second
+    wire = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType) for f in schema])
+    return rows.select(F.from_json("row", wire).alias("r")).select(*(F.col("r")[f.name].cast(f.dataType).alias(f.name) for f in schema))
 
 
 def state_features(states: DataFrame, spec: LogSpec, vocab: E.Vocab, method: str) -> DataFrame:
@@ -211,10 +225,12 @@ def run_cases(source: DataFrame, spec: LogSpec, vocab: E.Vocab, path: str, check
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         if bundle is not None:
-            batch = batch.persist()
+            batch = kept = batch.persist()
             scores = B.score_prefixes(bundle, state_features(batch.where("status = 'open'"), spec, vocab, bundle.method))
             batch = batch.join(scores.select(F.col("case_id").alias(spec.case), "predicted"), spec.case, "left")
         upsert(batch, batch_id, path)
+        if bundle is not None:
+            kept.unpersist()
 
     stream = case_states(source, spec, vocab, idle, delay).writeStream.outputMode("update").foreachBatch(sink)
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
