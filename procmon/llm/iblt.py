@@ -23,8 +23,8 @@ the digests are compared as sets.)
 With digests of a and b code points and recovered ones of d, the likeness is
 (a + b - d) / (a + b + d), the share of common paragraphs in all, by length (1 if neither text has any).
 
-Exchanges carry each text once, to its neighbours, and its digests three times; cells are aggregated where their
-rows lie.  Null texts count as empty and have no paragraphs.  Rows that repeat an id are
+Exchanges carry each text once, to its neighbours, and its digests to the first tables, to the fingerprints and, where a
+pair failed, to the larger tables; cells are aggregated where their rows lie.  Null texts count as empty and have no paragraphs.  Rows that repeat an id are
 ordered by their text, null ids come first.  The only document of a table is its
 own successor.  An empty table gives no rows.  Extra columns are ignored,
 whatever their names.
@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procmon.llm.common import partitions, written
+from procmon.llm.common import drop_written, partitions, written
 
 GAP = r"\s\x{3001}\x{3002}\x{FF01}\x{FF0C}\x{FF1A}\x{FF1B}\x{FF1F}"  # white space and the marks of scripts that have none
 TOKEN = rf"[^{GAP}]{{1,12}}+[{GAP}]{{0,12}}+|[{GAP}]{{1,12}}+"
@@ -164,12 +164,12 @@ ROLES = {"a": 0, "ea": 1, "b": 2}  # digests of the text, of the edited text, of
 PAIRS = {"edited": ("a", "ea"), "next": ("a", "b")}
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """(row, role, blocks_a, blocks_ea, blocks_b, cell, n, x, c): the tables of the three texts of each row."""
-    blocks = [F.expr(blocks_of(f"size({c})")).alias(f"blocks_{c}") for c in ROLES]
-    sets = ", ".join(f"named_struct('role', {i}, 'keys', {c}, 'own', blocks_{c})" for c, i in ROLES.items())
-    roles = rows.select("row", *ROLES, *blocks).select("row", *(f"blocks_{c}" for c in ROLES), F.expr(f"explode(array({sets}))").alias("r"))
-    by = ["row", *(f"blocks_{c}" for c in ROLES), "role"]
+def stored(rows: DataFrame, of: tuple = tuple(ROLES)) -> DataFrame:
+    """(row, role, blocks_a, blocks_ea, blocks_b, cell, n, x, c): the tables of the three texts of each row, or of some of them."""
+    blocks = [F.expr(blocks_of(f"size({c})")).alias(f"blocks_{c}") for c in of]
+    sets = ", ".join(f"named_struct('role', {ROLES[c]}, 'keys', {c}, 'own', blocks_{c})" for c in of)
+    roles = rows.select("row", *of, *blocks).select("row", *(f"blocks_{c}" for c in of), F.expr(f"explode(array({sets}))").alias("r"))
+    by = ["row", *(f"blocks_{c}" for c in of), "role"]
     keys = roles.select(*by[:-1], F.col("r.role").alias("role"), F.col("r.own").alias("own"), F.explode("r.keys").alias("k"))
     return _added(keys.select(*by, F.expr(f"explode(array({_entries('k', '1L', 'own', CELLS)}))").alias("e")), by)
 
@@ -186,10 +186,37 @@ def differences(tables: DataFrame) -> DataFrame:
     return _added(rows.select("row", "e.pair", "e.blocks", "e"), ["row", "pair", "blocks"])
 
 
-def retried(rows: DataFrame, failed: DataFrame) -> DataFrame:
+def _found(peeled: DataFrame) -> DataFrame:
+    """(row, edited, next): the length of the digests that each pair's peeling recovered, -1 if it failed, null if the tables were equal."""
+    d = F.when(F.col("failed"), -1).otherwise(F.col("found"))
+    return peeled.groupBy("row").agg(*(F.max(F.when(F.col("pair") == p, d)).alias(p) for p in PAIRS))
+
+
+def _by_row(peeled: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(row, edited, next, a, ea, b): the digests only of rows of which a pair failed, so that a retry reads no others."""
+    failed = " or ".join(f"{p} = -1" for p in PAIRS)
+    keys = [F.expr(f"if({failed}, {c}, null)").alias(c) for c in ROLES]
+    return _found(peeled).join(dealt, "row").select("row", *PAIRS, *keys)
+
+
+def _again(peeled: DataFrame, parts: int) -> DataFrame:
+    """(row, edited, next) of the failed pairs, by larger tables; the digests of those that fail again are compared as sets."""
+    names = ", ".join(f"named_struct('pair', '{pair}', 'failed', {pair} = -1, 'left', {a}, 'right', {b})" for pair, (a, b) in PAIRS.items())
+    failed = peeled.where(" or ".join(f"{p} = -1" for p in PAIRS)).repartition(parts, "row")
+    pairs = failed.select("row", F.expr(f"explode(array({names}))").alias("p")).where("p.failed").select("row", "p.pair", "p.left", "p.right")
+    found = written(peel(retried(pairs), RETRY_CELLS, RETRY_ROUNDS), "peeled-again")
+    left = found.where("failed").select("row", "pair")
+    if not left.isEmpty():
+        exact = F.expr(total("concat(array_except(left, right), array_except(right, left))")).alias("found")
+        sets = pairs.join(left, ["row", "pair"], "left_semi").select("row", "pair", exact, F.lit(False).alias("failed"))
+        found = found.where("not failed").unionByName(sets)
+    # tables that turn out equal leave no cells
+    same = pairs.select("row", "pair", F.lit(0).cast("long").alias("found"), F.lit(False).alias("failed"))
+    return _found(found.unionByName(same))
+
+
+def retried(pairs: DataFrame) -> DataFrame:
     """The cells of the difference of the failed pairs' larger tables."""
-    names = ", ".join(f"named_struct('pair', '{pair}', 'left', {a}, 'right', {b})" for pair, (a, b) in PAIRS.items())
-    pairs = rows.select("row", F.expr(f"explode(array({names}))").alias("p")).select("row", "p.*").join(failed, ["row", "pair"], "left_semi")
     pairs = pairs.withColumn("blocks", F.expr(f"cast(greatest(1, ceil((size(left) + size(right)) / {RETRY_BLOCK}D)) as long)"))
     signed = "concat(transform(left, k -> named_struct('k', k, 'n', 1L)), transform(right, k -> named_struct('k', k, 'n', -1L)))"
     keys = pairs.select("row", "pair", "blocks", F.expr(f"explode({signed})").alias("s")).select("row", "pair", "blocks", "s.k", F.col("s.n").alias("sign"))
@@ -218,24 +245,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ea = f"array_distinct(concat(slice(a, 1, kept.n), {changed}))"
     sets = {"a": "array_distinct(a)", "ea": ea, "b": "array_distinct(b)"}
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "k", "n", F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), *(F.expr(s).alias(c) for c, s in sets.items()))
-    rows = written(rows, "digests")
-    dealt = rows.repartition(partitions(docs.sparkSession), "row")
-
-    first = written(peel(differences(stored(dealt)), CELLS, ROUNDS), "peeled-once")
-    failed = first.where("failed").select("row", "pair")
-    again = peel(retried(dealt, failed), RETRY_CELLS, RETRY_ROUNDS)
-    peeled = first.where("not failed").unionByName(again).select("row", "pair", F.when(~F.col("failed"), F.col("found")).otherwise(-1).alias("d"))
-    peeled = written(peeled.groupBy("row").pivot("pair", list(PAIRS)).agg(F.max("d")), "peeled")
-
-    told = dealt.join(texts_of(stored(dealt)), "row", "left").join(peeled, "row", "left")
+    sums = [F.expr(total(c)).alias(f"sum_{c}") for c in ROLES]
+    rows = written(rows.select("*", *sums), "digests")
+    parts = partitions(docs.sparkSession)
+    dealt = rows.select("row", *ROLES).repartition(parts, "row")
+
+    first = written(_by_row(peel(differences(stored(dealt)), CELLS, ROUNDS), dealt), "peeled-once")
+    peeled = first.select("row", *PAIRS).unionByName(_again(first, parts)).groupBy("row").agg(*(F.max(p).alias(p) for p in PAIRS))
+    peeled = written(peeled, "peeled")
+    drop_written(first)  # with the digests of the failed pairs
+
+    own = rows.select("row", "k", "n", "edited_sha256", *(f"sum_{c}" for c in ROLES)).repartition(parts, "row")
+    told = own.join(texts_of(stored(dealt, ("a", "ea"))), "row", "left").join(peeled, "row", "left")
     empty = F.lit("1;")
 
     def near(pair: str) -> Column:
         left, right = PAIRS[pair]
-        exact = total(f"concat(array_except({left}, {right}), array_except({right}, {left}))")
-        d = f"case when {pair} is null then 0L when {pair} >= 0 then {pair} else {exact} end"
-        share = "if(both = 0, 1D, (both - d) / cast(both + d as double))"
-        return F.expr(f"transform(array({total(left)} + {total(right)}), both -> transform(array({d}), d -> {share})[0])[0]")
+        both, d = F.col(f"sum_{left}") + F.col(f"sum_{right}"), F.coalesce(pair, F.lit(0).cast("long"))
+        return F.when(both == 0, 1.0).otherwise((both - d) / (both + d).cast("double"))
 
     return told.select(
         F.col("k").alias(id_col),
