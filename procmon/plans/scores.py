@@ -16,6 +16,7 @@ METHODS = ("mean", "median", "zero")
 
 def _details(log: DataFrame, spec, dataset: str) -> DataFrame:
     cfg = FL.FlowConfig(bucket="prefix")
+    log = log.select(spec.case, spec.activity, spec.ts, spec.tiebreak)  # the log is kept in memory: no other column is read
     _, train_p, test_p = FL.prepare(log, spec, cfg)
     train_p = train_p.select("bucket", "remtime").persist()
     means = train_p.groupBy("bucket").agg(F.avg("remtime").alias("mean"))

@@ -44,6 +44,16 @@ def test_medians_of_large_groups(spark, monkeypatch):
     assert got == {g: statistics.median(vs) for g, vs in groups.items()}
 
 
+def test_scores_keep_no_unread_columns(spark, monkeypatch):
+    from procmon.plans import scores
+
+    logs, prepare = [], FL.prepare
+    monkeypatch.setattr(FL, "prepare", lambda log, *a: logs.append(log.columns) or prepare(log, *a))
+    log = el1(spark, SF_SMALL)
+    assert scores._details(log, EL1, "EL1").count() > 0
+    assert logs == [["case_id", "activity", "ts", "event_id"]]  # the log is kept in memory
+
+
 def test_quantile_by_few_pivots(spark, monkeypatch):
     calls = []
     kth = Q.kth_smallest
