@@ -180,3 +180,19 @@ def test_constant_buckets_are_one_pass(spark, prefixes):
     overall = statistics.mean(float(i % 7) for i in range(400) if i % 5 < 4)
     rows = got.collect()
     assert len(rows) == 400 and all(abs(r.pred_y - means.get(int(r.case_id) % 5, overall)) < 1e-9 for r in rows)
+
+
+def test_large_forests_grow_in_small_groups(spark, prefixes, monkeypatch):
+    """Groups change neither the trees nor their bags: without random features, forests grown node by node are equal."""
+    params = {"n_estimators": 5, "max_depth": 3, "max_features": "all"}
+    rows = prefixes.where("bucket = 1")  # 80 rows
+    fits = []
+    for least, mb in ((80 * 5, 0), (80 * 5 - 1, 4), (80 * 5 - 1, 0)):
+        monkeypatch.setattr(M, "LARGE_FOREST", least)
+        monkeypatch.setattr(M, "GROUP_MB", mb)
+        fits.append(M.fit_buckets(rows, "y", "regr", FEATURES, "rf", params))
+    forests = [lm.buckets[1].model.stages[-1] for lm in fits]
+    assert [f.getMaxMemoryInMB() for f in forests] == [256, 4, 0]
+    assert len({f.totalNumNodes for f in forests}) == 1 and {f.getNumTrees for f in forests} == {5}
+    want, *others = (sorted(M.predict_buckets(rows, lm).collect()) for lm in fits)
+    assert all(x == want for x in others) and len(want) == 80
