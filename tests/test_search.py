@@ -12,6 +12,7 @@ from procmon.operators import models as M
 from procmon.operators import search as H
 from procmon.plans import q_models
 from procmon.plans.fixtures import EL1
+from procmon.plans.rulesets import EL1_RULES
 
 SPEC = EL1.with_(dynamic_cat=("activity",))
 FEATS = ["f__a", "f__b", "f__c"]
@@ -66,11 +67,11 @@ def _sets(spark):
     return spark.createDataFrame([(i, n, 0.05, 0.9, d, 0.8, 1) for i, (n, d) in enumerate([(3, 2), (8, 4), (8, 4), (5, 3)])], f"sample int, {', '.join(f'{p} {t}' for p, t in zip(H.PARAMS, ('int', 'double', 'double', 'int', 'double', 'int')))}")
 
 
-@pytest.mark.parametrize("search", [H.search_direct])
+@pytest.mark.parametrize("search", [H.search_direct, H.search_labels])
 def test_sets_that_share_a_forest_have_all_rows(spark, log, search, monkeypatch):
     """The rows, names and types are those of one fit for each set."""
     cfg, sets = FL.FlowConfig(model="rf", min_cases=5), _sets(spark)
-    call = lambda: search(log, SPEC, cfg, sets)
+    call = (lambda: search(log, SPEC, EL1_RULES, cfg, sets)) if search is H.search_labels else (lambda: search(log, SPEC, cfg, sets))
     fits, fit = [], M.fit_buckets
     monkeypatch.setattr(M, "fit_buckets", lambda *a, **k: fits.append((a[1], (a[5] if not callable(a[5]) else a[5](1))["n_estimators"])) or fit(*a, **k))
     shared = call().persist()
@@ -87,7 +88,7 @@ def test_sets_that_share_a_forest_have_all_rows(spark, log, search, monkeypatch)
     assert all(v == pytest.approx(want[k], rel=1e-6) for k, v in got.items())
 
 
-@pytest.mark.parametrize("name", ["h2"])
+@pytest.mark.parametrize("name", ["h2", "h3"])
 def test_searches_try_as_many_sets_as_the_reference(spark, monkeypatch, name):
     tried = []
     for f in ("search_direct", "search_labels", "search_joint"):
