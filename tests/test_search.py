@@ -12,6 +12,7 @@ from procmon.operators import models as M
 from procmon.operators import search as H
 from procmon.plans import q_models
 from procmon.plans.fixtures import EL1
+from procmon.plans.formulas import el1_formulas
 from procmon.plans.rulesets import EL1_RULES
 
 SPEC = EL1.with_(dynamic_cat=("activity",))
@@ -67,7 +68,7 @@ def _sets(spark):
     return spark.createDataFrame([(i, n, 0.05, 0.9, d, 0.8, 1) for i, (n, d) in enumerate([(3, 2), (8, 4), (8, 4), (5, 3)])], f"sample int, {', '.join(f'{p} {t}' for p, t in zip(H.PARAMS, ('int', 'double', 'double', 'int', 'double', 'int')))}")
 
 
-@pytest.mark.parametrize("search", [H.search_direct, H.search_labels])
+@pytest.mark.parametrize("search", [H.search_direct, H.search_labels, lambda log, spec, cfg, sets: H.search_joint(log, spec, EL1_RULES, el1_formulas, cfg, sets)])
 def test_sets_that_share_a_forest_have_all_rows(spark, log, search, monkeypatch):
     """The rows, names and types are those of one fit for each set."""
     cfg, sets = FL.FlowConfig(model="rf", min_cases=5), _sets(spark)
@@ -88,7 +89,7 @@ def test_sets_that_share_a_forest_have_all_rows(spark, log, search, monkeypatch)
     assert all(v == pytest.approx(want[k], rel=1e-6) for k, v in got.items())
 
 
-@pytest.mark.parametrize("name", ["h2", "h3"])
+@pytest.mark.parametrize("name", ["h2", "h3", "h4"])
 def test_searches_try_as_many_sets_as_the_reference(spark, monkeypatch, name):
     tried = []
     for f in ("search_direct", "search_labels", "search_joint"):
