@@ -1,10 +1,12 @@
 """Running cases on a stream with timers: state per case, expiry, scores, an idempotent sink.
 
 ``case_states`` keeps one state per running case and updates it with every micro-batch; events go to Python, and
-states come back, as one JSON text each, so that a small group costs little more than its events.  A
+states come back, as one JSON text each.  Cases are dealt into ``GROUPS`` by a hash, and a call handles one group, so that a
+small case costs little more than its events; the state store holds the states of a group's cases as one compressed text, of which
+only those with events or a due timer are read.  A
 case whose last event is ``idle`` older than the watermark is finished: its timer fires, its last state is
 given out as ``expired``, and the state store forgets it, so the store holds running
-cases only.  Events older than the watermark are late and dropped.
+cases only.  A group's timer is the first of its cases' timers.  Events older than the watermark are late and dropped.
 
 A state holds counts, sums, a running mean and squared deviation, extremes, and first and last values by
 ``(ts, tiebreak)``, so an event out of order never overwrites a later one.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import json
 import math
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +37,8 @@ from procmon.functions.time import epoch_micros
 from procmon.spec import LogSpec, col
 
 EVENT_TIME = "_event_time"
+# Groups that cases are dealt into; a stream goes on from its checkpoint only with the same number.
+GROUPS = 4096
 
 
 # -- the state of a case ------------------------------------------------------------
@@ -113,6 +118,17 @@ def state_row(s: dict, key: str, status: str, spec: LogSpec, vocab: E.Vocab) ->
     return out | {f"first_{c}": s["static"].get(c, [None, None])[1] for c in (*spec.static_num, *spec.static_cat)}
 
 
+def _packed(held: dict) -> bytes:
+    """The states of a group (key -> when its timer is due, state), one line each; all parts are JSON, which has no tabs or line ends."""
+    return zlib.compress("\n".join(f"{due}\t{key}\t{s}" for key, (due, s) in held.items()).encode(), 1)
+
+
+def _held(packed: bytes) -> dict:
+    """The inverse of ``_packed``; states stay texts."""
+    lines = (line.split("\t", 2) for line in zlib.decompress(packed).decode().split("\n"))
+    return {key: (int(due), s) for due, key, s in lines}
+
+
 def case_states(source: DataFrame, spec: LogSpec, vocab: E.Vocab, idle: int, delay: str) -> DataFrame:
     """R2: a stream of case states (``state_schema``), one row for each case that a micro-batch touches or whose timer fires.
 
@@ -124,24 +140,38 @@ def case_states(source: DataFrame, spec: LogSpec, vocab: E.Vocab, idle: int, del
     event = {c: col(c).cast("string") for c in texts} | {c: col(c).cast("double") for c in numbers}
     at = F.struct(F.coalesce(epoch_micros(col(spec.ts)), F.lit(-(1 << 63))).alias("us"), col(spec.tiebreak).cast("long").alias("tie"))
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            s, status = json.loads(state.get[0]), "expired"
-            state.remove()
+    def update(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, rows, fed = state.getCurrentWatermarkMs(), [], {}
+        held = _held(state.get[0]) if state.exists else {}
+
+        def give(key: str, s: dict, status: str) -> None:
+            row = {k: None if _null(v) else v for k, v in state_row(s, json.loads(key), status, spec, vocab).items()}
+            rows.append(json.dumps(row, default=str))
+
+        for part in () if state.hasTimedOut else parts:
+            for text in part["e"]:
+                e = json.loads(text)
+                key = json.dumps(e.get("k"))
+                if key not in fed:
+                    fed[key] = json.loads(held[key][1]) if key in held else new_state()
+                add_event(fed[key], {c: e["v"].get(c) for c in texts} | {c: _number(e["v"].get(c)) for c in numbers}, [e["at"]["us"], e["at"]["tie"]], spec, vocab)
+        for key, s in fed.items():
+            held[key] = (max(s["last"][0][0] // 1000 + idle, now + 1), json.dumps(s))
+            give(key, s, "open")
+        for key in [k for k, (due, _) in held.items() if due < now]:
+            give(key, json.loads(held.pop(key)[1]), "expired")
+        if held:
+            state.update((_packed(held),))
+            state.setTimeoutTimestamp(min(due for due, _ in held.values()))
         else:
-            s, status = (json.loads(state.get[0]) if state.exists else new_state()), "open"
-            for part in parts:
-                for text in part["e"]:
-                    e = json.loads(text)
-                    add_event(s, {c: e["v"].get(c) for c in texts} | {c: _number(e["v"].get(c)) for c in numbers}, [e["at"]["us"], e["at"]["tie"]], spec, vocab)
-            state.update((json.dumps(s),))
-            state.setTimeoutTimestamp(max(s["last"][0][0] // 1000 + idle, state.getCurrentWatermarkMs() + 1))
-        row = {k: None if _null(v) else v for k, v in state_row(s, key[0], status, spec, vocab).items()}
-        yield pd.DataFrame({"row": [json.dumps(row, default=str)]})
-
-    packed = F.to_json(F.struct(at.alias("at"), F.struct(*(c.alias(n) for n, c in event.items())).alias("v")))
-    timed = source.select(col(spec.case).cast("string").alias("k"), packed.alias("e"), col(spec.ts).cast("timestamp").alias(EVENT_TIME)).withWatermark(EVENT_TIME, delay)
-    rows = timed.groupBy("k").applyInPandasWithState(update, "row string", "s string", "update", GroupStateTimeout.EventTimeTimeout)
+            state.remove()
+        yield pd.DataFrame({"row": rows})
+
+    k = col(spec.case).cast("string")
+    packed = F.to_json(F.struct(k.alias("k"), at.alias("at"), F.struct(*(c.alias(n) for n, c in event.items())).alias("v")))
+    group = F.pmod(F.xxhash64(k), F.lit(GROUPS)).cast("int")
+    timed = source.select(group.alias("g"), packed.alias("e"), col(spec.ts).cast("timestamp").alias(EVENT_TIME)).withWatermark(EVENT_TIME, delay)
+    rows = timed.groupBy("g").applyInPandasWithState(update, "row string", "s binary", "update", GroupStateTimeout.EventTimeTimeout)
     # times are read by a cast, which takes all six digits of a second
     wire = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType) for f in schema])
     return rows.select(F.from_json("row", wire).alias("r")).select(*(F.col("r")[f.name].cast(f.dataType).alias(f.name) for f in schema))
