@@ -45,6 +45,7 @@ RERANK = 0.4
 LEAST_RERANK = 64
 BLOCK = 4096
 ROUND = 2048
+ROWS_AT_ONCE = 64  # rows of weights that are compared at a time
 
 
 def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
@@ -110,10 +111,32 @@ def _spread(described: DataFrame, perm: str, lists, own_blocks: np.ndarray, othe
     return hashed.mapInArrow(run, f"p int, d int, q int, id {kind}, v binary, perm binary")
 
 
-def best(query_id, scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
-    """The k best of the scored ids: larger score, then smaller id."""
+def top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and scores of the k best: larger score, then smaller id."""
+    if len(scores) > k:
+        least = np.partition(-scores, k - 1)[k - 1]
+        some = np.flatnonzero(~(-scores > least))
+        scores, ids = scores[some], ids[some]
     order = np.lexsort([ids, -scores])[:k]
-    return [(query_id, i, s) for i, s in zip(ids[order].tolist(), scores[order].tolist(), strict=True)]
+    return ids[order], scores[order]
+
+
+def best(query_id, scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
+    """``top`` as rows of a query."""
+    return [(query_id, i, s) for i, s in zip(*(x.tolist() for x in top(scores, ids, k)), strict=True)]
+
+
+def shared_weights(by_pivot: np.ndarray, pivots: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each column, the sum over some pivots (rows) of the smaller of its weight and ``own``, which are at most ``len(own)``.
+
+    Some rows at a time, as many as sum up within their type and stay near the processor."""
+    step, out = max(1, min(ROWS_AT_ONCE, np.iinfo(by_pivot.dtype).max // len(own))), np.zeros(by_pivot.shape[1], np.int64)
+    room = np.empty((step, by_pivot.shape[1]), by_pivot.dtype)
+    for at in range(0, len(pivots), step):
+        some = pivots[at : at + step]
+        rows = np.take(by_pivot, some, axis=0, out=room[: len(some)], mode="clip")
+        out += np.minimum(rows, own[at : at + step, None], out=rows).sum(0, dtype=rows.dtype)
+    return out
 
 
 def expand(ids: list, scores: np.ndarray, query_id) -> tuple[np.ndarray, np.ndarray]:
@@ -162,32 +185,42 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     data_blocks, query_blocks = np.maximum(1, -(-sizes // BLOCK)), np.maximum(1, -(-readers // BLOCK))
 
     def run(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+        asking, found, scores = [], [], []
         if len(data) and len(queries):
             p = int(data["p"].iloc[0])
             v, ids = np.frombuffer(b"".join(data["v"]), np.float64).reshape(-1, width), data["id"].to_numpy()
-            alone = np.array([i[0] if len(i) == 1 else None for i in ids], object)
+            copies, first = np.array([len(i) for i in ids]), np.array([i[0] for i in ids])
+            single, no_copies = copies == 1, bool((copies == 1).all())
             perm = np.frombuffer(b"".join(data["perm"]), np.int16).reshape(-1, prefix).astype(np.int64)
-            rank = np.full((len(v), count), prefix, np.int16)
-            np.put_along_axis(rank, perm, np.arange(prefix, dtype=np.int16)[None, :], 1)
-            by_pivot = np.ascontiguousarray(rank.T)
-            place = np.arange(prefix, dtype=np.int16)[:, None]
+            files = np.ascontiguousarray(perm[:, :posted].T)
+            # a pivot's weight falls from ``prefix`` at the first place to 0 outside the prefix
+            own = np.arange(prefix, 0, -1, dtype=np.int16)
+            weights = np.zeros((len(v), count), np.int16)
+            np.put_along_axis(weights, perm, own[None, :], 1)
+            by_pivot = np.ascontiguousarray(weights.T)
+            of_query = np.empty(count, np.int16)
             for qid, qv, qp in zip(queries["id"].tolist(), queries["v"], queries["perm"], strict=True):
                 qperm = np.frombuffer(qp, np.int16)
-                of_query = np.full(count, prefix, np.int16)
-                of_query[qperm] = place[:, 0]
+                of_query[:] = 0
+                of_query[qperm] = own
                 # entries that a nearer file of the query holds too are handled there
-                here = np.flatnonzero((of_query[perm[:, :posted]].min(1) == of_query[p]) & (alone != qid))
+                here = np.flatnonzero((of_query[files].max(0) == of_query[p]) & ~(single & (first == qid)))
                 if len(here) == 0:
                     continue
                 keep = max(LEAST_RERANK, int(RERANK * len(here)))
                 if keep < len(here):
-                    there = by_pivot[qperm][:, here]
-                    # the footrule distance but for a constant: both prefixes' pivots, absent ones at ``prefix``
-                    far = (np.abs(place - there) + there - np.int16(prefix)).sum(0, dtype=np.int64)
-                    here = here[far <= np.partition(far, keep - 1)[keep - 1]]
-                out += best(qid, *expand(ids[here].tolist(), (v[here] * np.frombuffer(qv, np.float64)).sum(1), qid), k)
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+                    # the footrule distance of two prefixes, absent pivots at ``prefix``, is a constant of the query less twice the sum of
+                    # their pivots' smaller weights
+                    near = shared_weights(by_pivot, qperm, own)[here]
+                    here = here[near >= np.partition(near, len(here) - keep)[len(here) - keep]]
+                score = (v[here] * np.frombuffer(qv, np.float64)).sum(1)
+                i, score = top(*((score, first[here]) if no_copies else expand(ids[here].tolist(), score, qid)), k)
+                asking += [qid] * len(i)
+                found.append(i)
+                scores.append(score)
+        if not asking:
+            return pd.DataFrame([], columns=["query_id", "id", "score"])
+        return pd.DataFrame({"query_id": asking, "id": np.concatenate(found), "score": np.concatenate(scores)})
 
     data = _spread(described, "perm", entries, data_blocks, query_blocks, "d", "q")
     queries = _spread(asked, "qperm", probed, query_blocks, data_blocks, "q", "d")
